@@ -12,6 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "filter_queries",
     "text_queries",
+    "repair_queries",
+    "source_queries",
+    "sampling_queries",
 )
 
 QUERIES: dict[str, Query] = {}
