@@ -15,6 +15,7 @@ MODULES = (
     "repair_queries",
     "source_queries",
     "sampling_queries",
+    "dedup_queries",
 )
 
 QUERIES: dict[str, Query] = {}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,14 +56,11 @@ def read_ipc(spark: SparkSession, path: str, schema=None) -> DataFrame:
 _SNAPSHOT_FORMATS = {"parquet": read_parquet, "jsonl": read_json, "json": read_json, "csv": read_csv}
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    """Names inside a folder of any file system Spark can reach."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        raise FileNotFoundError(folder)
-    names = [status.getPath().getName() for status in fs.listStatus(path)]
-    return sorted(n for n in names if not n.startswith(("_", ".")))
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths below a folder, relative to it, listed without reading anything."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    inside = urlparse(folder).path.rstrip("/") + "/"
+    return sorted(unquote(urlparse(f).path).partition(inside)[2] for f in listing.inputFiles())
 
 
 def read_snapshot(
@@ -71,8 +68,7 @@ def read_snapshot(
 ) -> DataFrame:
     """One split of a dataset stored as ``<root>/<split>/*.{parquet,jsonl,json,csv}``."""
     folder = f"{root.rstrip('/')}/{split}"
-    names = [n.removesuffix(".gz") for n in _children(spark, folder)]
-    suffixes = {n.rpartition(".")[2] for n in names}
+    suffixes = {f.removesuffix(".gz").rpartition(".")[2] for f in _files(spark, folder)}
     if len(suffixes) != 1 or not suffixes <= _SNAPSHOT_FORMATS.keys():
         raise ValueError(f"{folder} must hold files of one known format, found {sorted(suffixes)}")
     df = _SNAPSHOT_FORMATS[suffixes.pop()](spark, folder)
@@ -101,10 +97,8 @@ def load_splits(
     elif path.endswith("parquet"):
         splits = {"train": read_parquet(spark, path)}
     else:
-        splits = {
-            os.path.basename(name): read_snapshot(spark, path, name)
-            for name in _children(spark, path)
-        }
+        names = {f.partition("/")[0] for f in _files(spark, path)}
+        splits = {name: read_snapshot(spark, path, name) for name in sorted(names)}
     if columns:
         splits = {name: df.select(*columns) for name, df in splits.items()}
     if test_size is not None and "train" in splits and "test" not in splits:

@@ -21,15 +21,16 @@ def _decode(body: Column, charset: Column) -> Column:
 
 
 def read_warc(spark: SparkSession, path, version: str = "1.0") -> DataFrame:
-    """Records of web archives (``.warc`` or ``.warc.gz``) as ``id, url, date, text``.
+    """Records of web archives (``.warc`` or ``.warc.gz``) as ``id, url, date, text, truncated``.
 
     Only ``response`` and ``conversion`` records hold page text; of a response, the HTTP head
     is dropped.  The archive streams through the JVM record by record, an uncompressed
-    archive is split between tasks, and the declared length of a record is trusted over the
-    place of the next boundary.
+    archive is split between tasks.  ``truncated`` marks a record that is shorter than its
+    declared length: the archive ends early, or the page itself holds a record boundary.
     """
     raw = spark.read.option("lineSep", f"{CRLF2}WARC/{version}\r\n").text(path)
     head = F.substring_index("value", CRLF2, 1)
+    length = _header(F.col("head"), "Content-Length").cast("int")
     records = raw.select("value", head.alias("head")).select(
         F.lower(_header(F.col("head"), "WARC-Type")).alias("type"),
         _header(F.col("head"), "WARC-Record-ID").alias("id"),
@@ -38,8 +39,9 @@ def read_warc(spark: SparkSession, path, version: str = "1.0") -> DataFrame:
         F.substring(
             F.col("value").cast("binary"),
             F.octet_length("head") + F.lit(len(CRLF2) + 1),
-            _header(F.col("head"), "Content-Length").cast("int"),
+            length,
         ).alias("body"),
+        length.alias("length"),
     )
     pages = records.where(F.col("type").isin("response", "conversion")).withColumn(
         "http_head",
@@ -56,4 +58,10 @@ def read_warc(spark: SparkSession, path, version: str = "1.0") -> DataFrame:
         ),
     ).otherwise(F.col("body"))
     charset = F.regexp_extract(F.coalesce("http_head", F.lit("")), r"(?i)charset=\"?([\w-]+)", 1)
-    return pages.select("id", "url", "date", _decode(payload, charset).alias("text"))
+    return pages.select(
+        "id",
+        "url",
+        "date",
+        _decode(payload, charset).alias("text"),
+        (F.octet_length("body") < F.col("length")).alias("truncated"),
+    )
