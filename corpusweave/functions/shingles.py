@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusweave.functions.text import BLANKS, words
+from corpusweave.functions.text import BLANKS
 
 #: Modulus of the min-hash family; products of two residues stay inside a 64-bit integer.
 PRIME = 2**31 - 1
@@ -40,9 +40,11 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, F.lit(BLANKS), F.lit(" ")))
 
 
-def word_ngrams(normalized: Column, n: int) -> Column:
-    """Distinct ``n``-word shingles; none when the text has fewer words."""
-    tokens = words(normalized)
+def word_ngrams(tokens: Column, n: int) -> Column:
+    """Distinct ``n``-word shingles of a word array; none when there are fewer words.
+
+    ``tokens`` is read once per shingle, so it must be a column, not an expression.
+    """
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
     shingles = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.coalesce(F.array_distinct(shingles), F.array().cast("array<string>"))

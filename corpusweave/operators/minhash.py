@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions import shingles as sh
-from corpusweave.functions.text import word_count
+from corpusweave.functions.text import word_count, words
 from corpusweave.operators.components import connected_components
+from corpusweave.plans.partitions import spread
 from corpusweave.plans.skew import HOT_ROWS, join_facts
 from corpusweave.plans.staging import stage
 
@@ -45,16 +47,18 @@ def minhash_signatures(
     """
     a, b = sh.hash_family(config.num_buckets * config.hashes_per_bucket, config.seed)
     residue = _HASHES[config.hash_fc]
-    normalized = docs.select(id_col, sh.normalize_text(F.col(text_col)).alias("_norm"))
-    grams = normalized.select(id_col, sh.word_ngrams(F.col("_norm"), config.n_grams).alias("_grams"))
-    hashed = grams.where(F.size("_grams") > 0).select(
-        id_col, F.transform("_grams", residue).alias("_x")
+    tokens = spread(docs.select(id_col, text_col)).select(
+        id_col, words(sh.normalize_text(F.col(text_col))).alias("_tokens")
     )
+    grams = sh.word_ngrams(F.col("_tokens"), config.n_grams)
+    hashed = tokens.select(id_col, F.transform(grams, residue).alias("_x"))
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.array(a, dtype=np.int64)[:, None]
         shifts = np.array(b, dtype=np.int64)[:, None]
         for batch in batches:
+            # Short texts are left out here: a filter above would normalise every text twice.
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
             lists = batch.column(1)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))

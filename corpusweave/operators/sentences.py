@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusweave.functions.shingles import line_key, normalize_text
 from corpusweave.functions.text import word_count
 from corpusweave.operators.minhash import count_tokens
+from corpusweave.plans.partitions import spread
 from corpusweave.plans.skew import HOT_ROWS, join_facts
 
 # Fixed value: end of a sentence, used when texts are split into sentences.
@@ -46,10 +47,12 @@ def sentence_signatures(
     """
     parts, n = config.parts(F.col(text_col)), config.n_sentences
     if n == 1:
-        spans = docs.select(id_col, F.posexplode(parts).alias("pos", "_span"))
+        spans = spread(docs.select(id_col, text_col)).select(id_col, F.posexplode(parts).alias("pos", "_span"))
         spans = spans.withColumn("_span", normalize_text(F.col("_span")))
     else:
-        lined = docs.select(id_col, F.transform(parts, normalize_text).alias("_lines"))
+        lined = spread(docs.select(id_col, text_col)).select(
+            id_col, F.transform(parts, normalize_text).alias("_lines")
+        )
         starts = F.when(F.size("_lines") >= n, F.sequence(F.lit(1), F.size("_lines") - (n - 1)))
         windows = F.transform(starts, lambda i: F.array_join(F.slice("_lines", i, n), "\n"))
         spans = lined.select(id_col, F.posexplode(windows).alias("pos", "_span"))
