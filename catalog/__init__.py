@@ -16,6 +16,7 @@ MODULES = (
     "source_queries",
     "sampling_queries",
     "dedup_queries",
+    "vector_queries",
 )
 
 QUERIES: dict[str, Query] = {}
