@@ -17,6 +17,7 @@ MODULES = (
     "sampling_queries",
     "dedup_queries",
     "vector_queries",
+    "language_queries",
 )
 
 QUERIES: dict[str, Query] = {}
