@@ -18,6 +18,9 @@ MODULES = (
     "dedup_queries",
     "vector_queries",
     "language_queries",
+    "vocabulary_queries",
+    "token_queries",
+    "metric_queries",
 )
 
 QUERIES: dict[str, Query] = {}
