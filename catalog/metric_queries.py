@@ -11,11 +11,6 @@ from catalog.shared import BLANK_SQL, PAIRS_SQL, turn_pairs, words_sql
 from corpusweave.operators import translation_metrics as tm
 
 
-def keyed_pairs(spark, sf_dir):
-    key = F.concat_ws(":", "conv_id", "turn")
-    return turn_pairs(spark, sf_dir).select(key.alias("k"), "text_1", "text_2")
-
-
 def _13a_sql(text: str) -> str:
     text = f"replace(replace(replace({text}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
     for entity, char in tm.ENTITIES_13A:
@@ -67,7 +62,7 @@ SELECT round(CASE WHEN sys_len < ref_len THEN exp(1 - ref_len / sys_len::DOUBLE)
 FROM parts"""
 )
 def corpus_bleu(spark, sf_dir):
-    bleu = tm.corpus_bleu(keyed_pairs(spark, sf_dir), "k", "text_1", "text_2")
+    bleu = tm.corpus_bleu(turn_pairs(spark, sf_dir), "text_1", "text_2")
     return bleu.select(F.round("bleu", 9).alias("bleu"), "sys_len", "ref_len")
 
 
@@ -96,5 +91,5 @@ means AS (
 SELECT round(100 * 5 * p * r / (4 * p + r), 9) AS chrf FROM means"""
 )
 def corpus_chrf(spark, sf_dir):
-    chrf = tm.corpus_chrf(keyed_pairs(spark, sf_dir), "k", "text_1", "text_2")
+    chrf = tm.corpus_chrf(turn_pairs(spark, sf_dir), "text_1", "text_2")
     return chrf.select(F.round("chrf", 9).alias("chrf"))

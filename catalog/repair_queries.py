@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, table
 from corpusweave.functions import repair as fx
+from corpusweave.operators.formatting import repair_fields
 
 ORIGINAL = "SELECT doc_id, text FROM documents"
 
@@ -175,9 +176,9 @@ def normalize_unicode(spark, sf_dir):
 @query(ORIGINAL)
 def fix_text(spark, sf_dir):
     """All default repairs at once; texts hold no tags, so entities are decoded."""
-    return repaired(
+    broken = damaged(
         spark,
         sf_dir,
         lambda t: swap(swap(misread(t), " ", "\x1b[1m \x1b[0m\x07"), "\n", "&#10;"),
-        fx.fix_text,
     )
+    return repair_fields(broken)

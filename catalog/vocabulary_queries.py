@@ -134,25 +134,25 @@ def compress_ranges_grouped(spark, sf_dir):
 def part_ranges(spark, sf_dir):
     """Inclusive ranges, some of them inverted or beyond the ends."""
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_partkey") - 3).alias("start"),
-        (F.col("l_partkey") - 6 + F.col("l_linenumber")).alias("end"),
+        (F.col("l_partkey") * 7 - 3).alias("start"),
+        (F.col("l_partkey") * 7 - 6 + F.col("l_linenumber")).alias("end"),
     )
 
 
 RANGES_SQL = """covered AS (
-  SELECT DISTINCT unnest(range(greatest(0, l_partkey - 3),
-                               least(1499, l_partkey - 6 + l_linenumber) + 1)) AS id
+  SELECT DISTINCT unnest(range(greatest(0, l_partkey * 7 - 3),
+                               least(9999, l_partkey * 7 - 6 + l_linenumber) + 1)) AS id
   FROM lineitem)"""
 
 
 @query(f"WITH {RANGES_SQL} SELECT id FROM covered")
 def expand_ranges(spark, sf_dir):
-    return rg.expand_ranges(part_ranges(spark, sf_dir), 1500)
+    return rg.expand_ranges(part_ranges(spark, sf_dir), 10_000)
 
 
-@query(f"WITH {RANGES_SQL} SELECT i AS id, i IN (SELECT id FROM covered) AS member FROM range(1500) r(i)")
+@query(f"WITH {RANGES_SQL} SELECT i AS id, i IN (SELECT id FROM covered) AS member FROM range(10000) r(i)")
 def ranges_to_mask(spark, sf_dir):
-    return rg.ranges_to_mask(part_ranges(spark, sf_dir), 1500)
+    return rg.ranges_to_mask(part_ranges(spark, sf_dir), 10_000)
 
 
 @query(

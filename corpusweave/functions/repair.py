@@ -101,11 +101,13 @@ def unescape_html(text: Column, mode: str | bool = "auto") -> Column:
 
 # --- text decoded with the wrong single-byte encoding -----------------------------------
 
-_BYTE = {chr(b): b for b in range(256)} | {_cp1252(b): b for b in range(0x80, 0x100)}
+#: Windows-1252 characters as the Latin-1 character of the same byte; a lost character as
+#: the substitute control.
+_LATIN = {ord(_cp1252(b)): b for b in range(0x80, 0xA0)} | {0xFFFD: 0x1A}
 
 
 def _class(low: int, high: int) -> str:
-    chars = {c for c, b in _BYTE.items() if low <= b <= high}
+    chars = {c for b in range(low, high + 1) for c in (chr(b), _cp1252(b))}
     return "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(chars)) + "]"
 
 
@@ -121,8 +123,8 @@ _LOST_BYTE = re.compile(rb"[\xc2-\xdf]\x1a|[\xe0-\xef](?:\x1a[\x80-\xbf\x1a]|[\x
 
 def _as_bytes(text: str) -> bytes | None:
     try:
-        return bytes(_BYTE["\x1a" if c == "\ufffd" else c] for c in text)
-    except KeyError:
+        return text.translate(_LATIN).encode("latin-1")
+    except UnicodeEncodeError:
         return None
 
 

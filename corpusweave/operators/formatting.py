@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.repair import fix_text
+from corpusweave.plans.partitions import spread
+
 ColumnFn = Callable[[Column], Column]
 
 _MAP_FIELD = re.compile(r"""^(?P<name>\w+)\[['"](?P<key>.+)['"]\]$""")
@@ -40,6 +43,11 @@ def format_fields(df: DataFrame, fn: ColumnFn, fields: str | Sequence[str] = "te
     return df
 
 
+def repair_fields(df: DataFrame, fields: str | Sequence[str] = "text", **switches) -> DataFrame:
+    """Repair the listed text fields; ``switches`` are those of ``fix_text``."""
+    return format_fields(spread(df), lambda text: fix_text(text, **switches), fields)
+
+
 def map_rows(df: DataFrame, fn: Callable[..., DataFrame], **kwargs) -> DataFrame:
     """Row mapping with keyword arguments; ``fn`` adds or replaces columns."""
     return df.transform(fn, **kwargs)

@@ -12,6 +12,7 @@ from corpusweave.functions.text import word_count
 from corpusweave.operators.minhash import count_tokens
 from corpusweave.plans.partitions import spread
 from corpusweave.plans.skew import HOT_ROWS, join_facts
+from corpusweave.plans.staging import stage
 
 # Fixed value: end of a sentence, used when texts are split into sentences.
 SENTENCE_END = r"(?<=[.!?…])\s+"
@@ -103,7 +104,8 @@ def sentence_dedup(
     Only positions travel to the documents, and those of one document are bounded by it.
     """
     n = config.n_sentences
-    signatures = sentence_signatures(docs, id_col, text_col, config)
+    # Counted once and matched once: written, so that the texts are normalised only once.
+    signatures = stage(sentence_signatures(docs, id_col, text_col, config), "line-signatures")
     positions = (
         find_duplicate_sentences(signatures, id_col, index, config)
         .groupBy(id_col)

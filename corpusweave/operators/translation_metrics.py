@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import string
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions.text import BLANKS, words
+from corpusweave.plans.partitions import spread
 
 # The 13a rules that separate punctuation, applied in this order.
 TOKENIZER_13A = (
@@ -35,78 +39,66 @@ def tokenize_13a(text: Column) -> Column:
     return words(text)
 
 
-def _grams(items: str, order: int, separator: str) -> Column:
-    """All n-grams up to ``order`` of an array column as ``n, gram`` structs."""
+def ngram_matches(hyp: Column, ref: Column, order: int, chars: bool = False) -> Column:
+    """``[hyp, ref, matched]`` totals for n-grams of 1 to ``order``, as one flat array per row.
 
-    def of(n: int) -> Column:
-        size = F.size(items)
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1)))
-        return F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i: F.struct(
-                F.lit(n).alias("n"), F.array_join(F.slice(items, i, n), separator).alias("gram")
-            ),
-        )
+    Both sides of a row are in the row, so clipping needs no join: exploding every n-gram
+    would multiply the corpus by the order and shuffle or spill all of it.  n-grams are taken
+    over characters, or over the blank-separated words of the texts.
+    """
 
-    return F.concat(*[of(n) for n in range(1, order + 1)])
+    def grams(items, n: int) -> Counter:
+        if chars:
+            return Counter(items[i : i + n] for i in range(len(items) - n + 1))
+        return Counter(zip(*(items[i:] for i in range(n))))
 
+    @F.pandas_udf("array<bigint>")
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for hyps, refs in batches:
+            rows = []
+            for h, r in zip(hyps.fillna(""), refs.fillna("")):
+                h, r = (h, r) if chars else (h.split(), r.split())
+                row = []
+                for n in range(1, order + 1):
+                    found, wanted = grams(h, n), grams(r, n)
+                    row += [found.total(), wanted.total(), (found & wanted).total()]
+                rows.append(row)
+            yield pd.Series(rows)
 
-def _counts(
-    pairs: DataFrame, id_col: str, hyp: Column, ref: Column, order: int, separator: str, unit: str
-) -> DataFrame:
-    """``row, unit, n, hyp, ref, matched``: n-gram totals and clipped matches per row and order.
+    return count(hyp, ref)
 
-    Texts are partitioned by row once; all later groupings start with the row and therefore
-    need no further exchange.
-    """
-    sides = pairs.repartition(id_col).select(
-        F.col(id_col).alias("row"),
-        F.inline(
-            F.array(
-                F.struct(F.lit(1).alias("h"), F.lit(0).alias("r"), hyp.alias("items")),
-                F.struct(F.lit(0).alias("h"), F.lit(1).alias("r"), ref.alias("items")),
-            )
-        ),
-    )
-    grams = sides.select("row", "h", "r", F.inline(_grams("items", order, separator)))
-    clipped = grams.groupBy("row", "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return (
-        clipped.groupBy("row", "n")
-        .agg(
-            F.sum("h").alias("hyp"),
-            F.sum("r").alias("ref"),
-            F.sum(F.least("h", "r")).alias("matched"),
-        )
-        .withColumn("unit", F.lit(unit))
-    )
 
+def _corpus_sums(pairs: DataFrame, counts: dict[str, tuple[Column, int]]) -> DataFrame:
+    """One row of corpus sums, ``hyp_<unit><n>`` and so on; only counters are shuffled.
 
-def _by_order(counts: DataFrame, orders: list[tuple[str, int]]) -> DataFrame:
-    """One row with the corpus sums of every order."""
+    A row's prediction n-grams only count where its reference has n-grams of that order.
+    """
+    rows = pairs.select(*[column.alias(unit) for unit, (column, _) in counts.items()])
     sums = []
-    for unit, n in orders:
-        here = (F.col("unit") == unit) & (F.col("n") == n)
-        for name in ("hyp", "ref", "matched"):
-            total = F.sum(F.when(here, F.col(name)).otherwise(0))
-            sums.append(F.coalesce(total, F.lit(0)).alias(f"{name}_{unit}{n}"))
-    return counts.agg(*sums)
-
-
-def corpus_bleu(pairs: DataFrame, id_col: str, prediction: str, reference: str) -> DataFrame:
+    for unit, (_, order) in counts.items():
+        for n in range(1, order + 1):
+            hyp, ref, matched = (F.get(unit, F.lit(3 * (n - 1) + i)) for i in range(3))
+            totals = {
+                "hyp": hyp,
+                "usable": F.when(ref > 0, hyp).otherwise(0),
+                "ref": ref,
+                "matched": matched,
+            }
+            sums += [
+                F.coalesce(F.sum(value), F.lit(0)).alias(f"{name}_{unit}{n}")
+                for name, value in totals.items()
+            ]
+    return rows.agg(*sums)
+
+
+def corpus_bleu(pairs: DataFrame, prediction: str, reference: str) -> DataFrame:
     """One row ``bleu, brevity_penalty, sys_len, ref_len, p1..p4`` for one reference per row.
 
     Orders without a match are smoothed by halving, as the standard implementation does.
     """
-    counts = _counts(
-        pairs,
-        id_col,
-        tokenize_13a(F.trim(prediction)),
-        tokenize_13a(F.trim(reference)),
-        BLEU_ORDER,
-        " ",
-        "w",
-    )
-    sums = _by_order(counts, [("w", n) for n in range(1, BLEU_ORDER + 1)])
+    hyp, ref = (F.array_join(tokenize_13a(F.col(c)), " ") for c in (prediction, reference))
+    pairs = spread(pairs.select(prediction, reference))
+    sums = _corpus_sums(pairs, {"w": (ngram_matches(hyp, ref, BLEU_ORDER), BLEU_ORDER)})
     precisions, halvings = [], F.lit(0)
     for n in range(1, BLEU_ORDER + 1):
         matched, total = F.col(f"matched_w{n}"), F.col(f"hyp_w{n}")
@@ -155,39 +147,21 @@ def _chrf_words(text: Column) -> Column:
 
 
 def corpus_chrf(
-    pairs: DataFrame, id_col: str, prediction: str, reference: str, word_order: int = 2
+    pairs: DataFrame, prediction: str, reference: str, word_order: int = 2
 ) -> DataFrame:
     """One row ``chrf``: F2 of the mean precision and recall over character n-grams up to 6
-    and word n-grams up to ``word_order``.  A row's prediction n-grams only count where its
-    reference has n-grams of that order."""
-
-    def chars(column: str) -> Column:
-        return F.regexp_extract_all(
-            F.regexp_replace(column, F.lit(BLANKS), F.lit("")), F.lit("(?s)."), F.lit(0)
-        )
-
-    counts = _counts(
-        pairs, id_col, chars(prediction), chars(reference), CHAR_ORDER, "", "c"
-    )
-    orders = [("c", n) for n in range(1, CHAR_ORDER + 1)]
+    and word n-grams up to ``word_order``."""
+    texts = [F.col(prediction), F.col(reference)]
+    dense = [F.regexp_replace(t, F.lit(BLANKS), F.lit("")) for t in texts]
+    counts = {"c": (ngram_matches(*dense, CHAR_ORDER, chars=True), CHAR_ORDER)}
     if word_order:
-        counts = counts.unionByName(
-            _counts(
-                pairs,
-                id_col,
-                _chrf_words(F.trim(prediction)),
-                _chrf_words(F.trim(reference)),
-                word_order,
-                " ",
-                "w",
-            )
-        )
-        orders += [("w", n) for n in range(1, word_order + 1)]
-    counts = counts.withColumn("hyp", F.when(F.col("ref") > 0, F.col("hyp")).otherwise(0))
-    sums = _by_order(counts, orders)
+        cut = [F.array_join(_chrf_words(t), " ") for t in texts]
+        counts["w"] = (ngram_matches(*cut, word_order), word_order)
+    sums = _corpus_sums(spread(pairs.select(prediction, reference)), counts)
+    orders = [(unit, n) for unit, (_, order) in counts.items() for n in range(1, order + 1)]
     precision = recall = effective = F.lit(0.0)
     for unit, n in orders:
-        hyp, ref, matched = (F.col(f"{c}_{unit}{n}") for c in ("hyp", "ref", "matched"))
+        hyp, ref, matched = (F.col(f"{c}_{unit}{n}") for c in ("usable", "ref", "matched"))
         usable = (hyp > 0) & (ref > 0)
         precision = precision + F.when(usable, matched / hyp).otherwise(0.0)
         recall = recall + F.when(usable, matched / ref).otherwise(0.0)

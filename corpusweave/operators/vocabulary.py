@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusweave.functions.text import words
+from corpusweave.functions.text import WORD, words
 from corpusweave.plans.partitions import spread
+from corpusweave.plans.staging import stage
 
 # Piece types, the word-start marker, and the control pieces with ids 0 to 2.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED = "NORMAL", "UNKNOWN", "CONTROL", "USER_DEFINED"
@@ -24,12 +25,11 @@ SCHEMA = "id int, piece string, score double, type string"
 
 def candidate_pieces(text: Column, split_digits: bool = True) -> Column:
     """Words with a start marker; digits become pieces of their own on request."""
-    marked = F.transform(words(text), lambda w: F.concat(F.lit(WORD_START), w))
-    if not split_digits:
-        return marked
-    # A digit is cut off on both sides; the marker stays with what precedes it.
-    cut = F.regexp_replace(F.array_join(marked, " "), F.lit(r"(\p{Nd})"), F.lit(" $1 "))
-    return words(cut)
+    marked = F.regexp_replace(text, F.lit(f"({WORD})"), F.lit(f"{WORD_START}$1"))
+    if split_digits:
+        # A digit is cut off on both sides; the marker stays with what precedes it.
+        marked = F.regexp_replace(marked, F.lit(r"(\p{Nd})"), F.lit(" $1 "))
+    return words(marked)
 
 
 def corpus_vocab(
@@ -50,7 +50,7 @@ def corpus_vocab(
     pieces = spread(docs.select(text_col)).select(
         F.explode(candidate_pieces(F.col(text_col), split_digits)).alias("piece")
     )
-    counts = pieces.groupBy("piece").count()
+    counts = stage(pieces.groupBy("piece").count(), "piece-counts")
     total = counts.agg(F.sum("count").alias("total")).first()["total"] or 1
     ranked = (
         counts.where(~F.col("piece").isin([p for p, _, _ in fixed]))
