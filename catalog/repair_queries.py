@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from catalog import query, table
 from corpusweave.functions import repair as fx
 from corpusweave.operators.formatting import repair_fields
+from corpusweave.plans.partitions import spread
 
 ORIGINAL = "SELECT doc_id, text FROM documents"
 
 
 def damaged(spark, sf_dir, damage):
-    return table(spark, sf_dir, "documents").select("doc_id", damage(F.col("text")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", damage(F.col("text")).alias("text"))
 
 
 def repaired(spark, sf_dir, damage, fix):

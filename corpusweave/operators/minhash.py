@@ -16,7 +16,7 @@ from corpusweave.functions.text import word_count, words
 from corpusweave.operators.components import connected_components
 from corpusweave.plans.partitions import spread
 from corpusweave.plans.skew import HOT_ROWS, join_facts
-from corpusweave.plans.staging import stage
+from corpusweave.plans.staging import stage_observed
 
 _HASHES = {"sha1": sh.sha1_residue, "xxhash": sh.xxhash_residue}
 
@@ -45,9 +45,13 @@ def minhash_signatures(
     Shingling and hashing are built-in expressions, the minima over the hash family one
     numpy call per document; nothing is shuffled.
     """
+    return _signatures(spread(docs.select(id_col, text_col)), id_col, text_col, config)
+
+
+def _signatures(docs: DataFrame, id_col: str, text_col: str, config: MinhashConfig) -> DataFrame:
     a, b = sh.hash_family(config.num_buckets * config.hashes_per_bucket, config.seed)
     residue = _HASHES[config.hash_fc]
-    tokens = spread(docs.select(id_col, text_col)).select(
+    tokens = docs.select(
         id_col, words(sh.normalize_text(F.col(text_col))).alias("_tokens")
     )
     grams = sh.word_ngrams(F.col("_tokens"), config.n_grams)
@@ -79,7 +83,10 @@ def minhash_signatures(
 
 
 def minhash_buckets(
-    signatures: DataFrame, id_col: str, config: MinhashConfig = MinhashConfig()
+    signatures: DataFrame,
+    id_col: str,
+    config: MinhashConfig = MinhashConfig(),
+    total_docs: int | None = None,
 ) -> DataFrame:
     """``src, dst``: each document tied to the smallest one that shares a bucket with it.
 
@@ -107,8 +114,11 @@ def minhash_buckets(
         .agg(F.min("dst").alias("src"), F.count("*").alias("members"))
         .where(F.col("members") > 1)
     )
+    # Each document is in a bucket at most once, so no band has more rows than documents.
     return (
-        join_facts(bands, facts, keys, "members", ["src"], config.hot_rows)
+        join_facts(
+            bands, facts, keys, "members", ["src"], config.hot_rows, total_rows=total_docs
+        )
         .where(F.col("src") < F.col("dst"))
         .select("src", "dst")
         .distinct()
@@ -119,9 +129,15 @@ def minhash_clusters(
     docs: DataFrame, id_col: str, text_col: str, config: MinhashConfig = MinhashConfig()
 ) -> DataFrame:
     """``node, component`` of all documents that have a near duplicate."""
+    return _clusters(spread(docs.select(id_col, text_col)), id_col, text_col, config)
+
+
+def _clusters(docs: DataFrame, id_col: str, text_col: str, config: MinhashConfig) -> DataFrame:
     # The bands are read twice (sizes, then members), so the signatures are written once.
-    signatures = stage(minhash_signatures(docs, id_col, text_col, config), "signatures")
-    edges = minhash_buckets(signatures, id_col, config)
+    signatures, seen = stage_observed(
+        _signatures(docs, id_col, text_col, config), "signatures", docs=F.count("*")
+    )
+    edges = minhash_buckets(signatures, id_col, config, seen["docs"])
     return connected_components(edges, "src", "dst", hot_rows=config.hot_rows)
 
 
@@ -134,7 +150,8 @@ def minhash_dedup(
     docs: DataFrame, id_col: str, text_col: str, config: MinhashConfig = MinhashConfig()
 ) -> tuple[DataFrame, DataFrame]:
     """Kept and removed documents, both with ``token_count``; the smallest id of a cluster stays."""
-    clusters = minhash_clusters(docs, id_col, text_col, config)
+    docs = spread(docs)
+    clusters = _clusters(docs, id_col, text_col, config)
     removed_ids = clusters.where("node <> component").select(F.col("node").alias(id_col))
     counted = count_tokens(docs, text_col)
     return (

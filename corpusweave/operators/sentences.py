@@ -12,7 +12,7 @@ from corpusweave.functions.text import word_count
 from corpusweave.operators.minhash import count_tokens
 from corpusweave.plans.partitions import spread
 from corpusweave.plans.skew import HOT_ROWS, join_facts
-from corpusweave.plans.staging import stage
+from corpusweave.plans.staging import stage_observed
 
 # Fixed value: end of a sentence, used when texts are split into sentences.
 SENTENCE_END = r"(?<=[.!?…])\s+"
@@ -46,14 +46,16 @@ def sentence_signatures(
 
     Windows are compared in normalised form; the texts themselves stay behind.
     """
+    return _signatures(spread(docs.select(id_col, text_col)), id_col, text_col, config)
+
+
+def _signatures(docs: DataFrame, id_col: str, text_col: str, config: SentenceConfig) -> DataFrame:
     parts, n = config.parts(F.col(text_col)), config.n_sentences
     if n == 1:
-        spans = spread(docs.select(id_col, text_col)).select(id_col, F.posexplode(parts).alias("pos", "_span"))
+        spans = docs.select(id_col, F.posexplode(parts).alias("pos", "_span"))
         spans = spans.withColumn("_span", normalize_text(F.col("_span")))
     else:
-        lined = spread(docs.select(id_col, text_col)).select(
-            id_col, F.transform(parts, normalize_text).alias("_lines")
-        )
+        lined = docs.select(id_col, F.transform(parts, normalize_text).alias("_lines"))
         starts = F.when(F.size("_lines") >= n, F.sequence(F.lit(1), F.size("_lines") - (n - 1)))
         windows = F.transform(starts, lambda i: F.array_join(F.slice("_lines", i, n), "\n"))
         spans = lined.select(id_col, F.posexplode(windows).alias("pos", "_span"))
@@ -68,6 +70,7 @@ def find_duplicate_sentences(
     id_col: str,
     index: DataFrame | None = None,
     config: SentenceConfig = SentenceConfig(),
+    total_rows: int | None = None,
 ) -> DataFrame:
     """``id_col, pos`` of every window that is not the first of its kind in id, position order.
 
@@ -86,7 +89,9 @@ def find_duplicate_sentences(
     else:
         facts = facts.where(F.col("n") > 1)
         payload, duplicate = ["first"], repeated
-    joined = join_facts(signatures, facts, keys, "n", payload, config.hot_rows)
+    joined = join_facts(
+        signatures, facts, keys, "n", payload, config.hot_rows, total_rows=total_rows
+    )
     return joined.where(duplicate).select(id_col, "pos")
 
 
@@ -104,10 +109,13 @@ def sentence_dedup(
     Only positions travel to the documents, and those of one document are bounded by it.
     """
     n = config.n_sentences
+    docs = spread(docs)
     # Counted once and matched once: written, so that the texts are normalised only once.
-    signatures = stage(sentence_signatures(docs, id_col, text_col, config), "line-signatures")
+    signatures, seen = stage_observed(
+        _signatures(docs, id_col, text_col, config), "line-signatures", rows=F.count("*")
+    )
     positions = (
-        find_duplicate_sentences(signatures, id_col, index, config)
+        find_duplicate_sentences(signatures, id_col, index, config, seen["rows"])
         .groupBy(id_col)
         .agg(F.collect_list("pos").alias("_dups"))
     )

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.plans.ordering import with_row_index
-from corpusweave.plans.staging import stage
+from corpusweave.plans.staging import shared_path, stage, stage_observed
 
 #: Upper bound on the bytes of one block as a float64 matrix.
 BLOCK_BYTES = 128 << 20
 #: Rows of one score tile inside a task.
 TILE = 512
+#: So few undecided rows are scanned by one task instead of in further rounds.
+FINISH_ROWS = 20_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -32,16 +34,18 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _block_count(vectors: DataFrame, vec_col: str, block_rows: int | None) -> int:
+def _dimension(vectors: DataFrame, vec_col: str) -> int:
+    first = vectors.select(F.size(vec_col).alias("d")).first()
+    return max(1, first["d"]) if first else 1
+
+
+def _block_count(df: DataFrame, rows: int, dim: int, block_rows: int | None = None) -> int:
     """Blocks that fit in memory, and enough of them to keep every core busy."""
-    n = vectors.count()
     if block_rows:
-        return max(1, math.ceil(n / block_rows))
-    first = vectors.select(F.size(vec_col).alias("d")).first()
-    dim = max(1, first["d"]) if first else 1
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    fits = math.ceil(n * dim * 8 / BLOCK_BYTES)
-    busy = min(math.ceil(n / 2048), math.ceil(math.sqrt(4 * cores)))
+        return max(1, math.ceil(rows / block_rows))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    fits = math.ceil(rows * dim * 8 / BLOCK_BYTES)
+    busy = min(math.ceil(rows / 2048), math.ceil(math.sqrt(4 * cores)))
     return max(1, fits, busy)
 
 
@@ -113,6 +117,11 @@ def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield start, a[start : start + TILE] @ b.T
 
 
+def _stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    staged, seen = stage_observed(df, label, rows=F.count("*"))
+    return staged, seen["rows"]
+
+
 def first_copies(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec, id, copies``: distinct vectors with their smallest id; combined map-side."""
     return (
@@ -134,8 +143,8 @@ def similarity_join(
     Pairs are listed between the first rows of distinct vectors; a further copy is listed
     once, with its first row, if their own product is above the threshold.
     """
-    distinct = stage(first_copies(vectors, id_col, vec_col), "distinct-vectors")
-    n = _block_count(distinct, "vec", block_rows)
+    distinct, seen = _stage_counted(first_copies(vectors, id_col, vec_col), "distinct-vectors")
+    n = _block_count(distinct, seen, _dimension(distinct, "vec"), block_rows)
 
     def pairs(ids_a, a, ids_b, b, same):
         for start, scores in _tiles(a, b):
@@ -197,6 +206,16 @@ def _near_any(rows: DataFrame, kept: DataFrame, threshold: float, blocks) -> Dat
     return _on_grid(rows, kept, flags, "id bigint", blocks).distinct()
 
 
+def _scan_all(rows: DataFrame, threshold: float) -> DataFrame:
+    """Ids kept by one scan over all rows; for row counts known to be small."""
+
+    def scan(block: pa.Table) -> pa.Table:
+        block = block.sort_by("id")
+        return block.select(["id"]).filter(pa.array(greedy_scan(_matrix(block["vec"]), threshold)))
+
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(scan, "id bigint")
+
+
 def greedy_dedup(
     vectors: DataFrame,
     id_col: str,
@@ -204,35 +223,41 @@ def greedy_dedup(
     threshold: float = 0.9,
     block_rows: int | None = None,
     max_rounds: int = 10_000,
+    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Ids kept by a scan in id order that drops every later neighbour of a kept row.
 
     The scan's result is reached in rounds: undecided rows without an undecided smaller
     neighbour are kept, their neighbours dropped, until nothing is undecided.  A chain of
     near duplicates takes as many rounds as it has kept members; unrelated rows are decided
-    in the first.  Only ids and flags leave the comparisons.
+    in the first.  Only ids and flags leave the comparisons.  Once at most ``finish_rows``
+    rows are undecided, a number that fits in one block, one task scans them.
     """
-    distinct = stage(first_copies(vectors, id_col, vec_col), "distinct-vectors")
+    spark = vectors.sparkSession
+    distinct, left = _stage_counted(first_copies(vectors, id_col, vec_col), "distinct-vectors")
+    dim = _dimension(distinct, "vec")
     rows = distinct.select("id", "vec")
-    kept_parts = []
-    for _ in range(max_rounds):
-        n = _block_count(rows, "vec", block_rows)
-        waiting = stage(_has_lower_neighbour(rows, threshold, n), "waiting")
+    kept_path = shared_path(spark, "kept")
+    for round_no in range(max_rounds):
+        if left <= min(finish_rows, BLOCK_BYTES // (8 * dim)):
+            _scan_all(rows, threshold).write.parquet(f"{kept_path}/round={round_no}")
+            break
+        n = _block_count(rows, left, dim, block_rows)
+        waiting, n_waiting = _stage_counted(_has_lower_neighbour(rows, threshold, n), "waiting")
         kept = rows.join(waiting, "id", "left_anti")
-        kept_parts.append(kept.select("id"))
-        if waiting.isEmpty():
+        # One folder per round: reading them back needs one scan however many rounds there were.
+        kept.select("id").write.parquet(f"{kept_path}/round={round_no}")
+        if n_waiting == 0:
             break
         undecided = rows.join(waiting, "id", "left_semi")
-        blocks = (_block_count(undecided, "vec", block_rows), n)
+        blocks = (_block_count(undecided, n_waiting, dim, block_rows), n)
         dropped = _near_any(undecided, kept, threshold, blocks)
-        rows = stage(undecided.join(dropped, "id", "left_anti"), "undecided")
-        if rows.isEmpty():
+        rows, left = _stage_counted(undecided.join(dropped, "id", "left_anti"), "undecided")
+        if left == 0:
             break
     else:
         raise RuntimeError(f"duplicates were not settled in {max_rounds} rounds")
-    keep = kept_parts[0]
-    for part in kept_parts[1:]:
-        keep = keep.unionByName(part)
+    keep = spark.read.schema("id bigint").parquet(kept_path).select("id")
     # Copies of a vector are neighbours when its squared length exceeds the threshold;
     # otherwise they share the fate of the first one.
     squared = F.aggregate(
@@ -341,7 +366,8 @@ def nearest(
                 "score": scores[np.arange(len(at)), at],
             }
 
-    blocks = (_block_count(left, "vec", block_rows), _block_count(right, "vec", block_rows))
+    dim = _dimension(right, "vec")
+    blocks = tuple(_block_count(df, df.count(), dim, block_rows) for df in (left, right))
     found = _on_grid(left, right, best, "src bigint, dst bigint, score double", blocks)
     return (
         found.groupBy("src")

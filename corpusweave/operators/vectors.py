@@ -24,7 +24,8 @@ def _with_vectors(rows: DataFrame, vectors: DataFrame, hot_rows: int) -> DataFra
     """Rows with the vector of their ``piece``; frequent pieces travel by broadcast."""
     uses = rows.groupBy("piece").agg(F.count("*").alias("uses"))
     facts = vectors.select(F.col("token").alias("piece"), "vec").join(uses, "piece")
-    return join_facts(rows, facts, ["piece"], "uses", ["vec"], hot_rows)
+    # Vectors are wide: 256 of them bound the broadcast to a few megabytes.
+    return join_facts(rows, facts, ["piece"], "uses", ["vec"], hot_rows, hot_keys=256)
 
 
 def _init(tokens: DataFrame, old: DataFrame, computed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: At most this many keys are treated as hot, which bounds the broadcast.
-HOT_KEYS = 256
+HOT_KEYS = 4096
 #: A key with fewer rows than this is never worth special treatment.
 HOT_ROWS = 100_000
 
@@ -21,6 +21,7 @@ def join_facts(
     payload: Sequence[str],
     hot_rows: int = HOT_ROWS,
     hot_keys: int = HOT_KEYS,
+    total_rows: int | None = None,
 ) -> DataFrame:
     """Left-join one-row-per-key ``facts`` onto ``rows`` without a hot task.
 
@@ -28,8 +29,16 @@ def join_facts(
     keys above ``hot_rows`` travel by broadcast (the limit bounds its size) and their rows
     are spread over a salt that matches nothing in the shuffled join; all other rows meet
     their fact in that ordinary shuffled join.  Every row comes back exactly once.
+
+    With ``total_rows``, the known size of ``rows``, below ``hot_rows`` no key can be hot and
+    the join is an ordinary one.
     """
     keys, payload = list(keys), list(payload)
+    if total_rows is not None and total_rows < hot_rows:
+        return rows.join(facts.select(*keys, *payload), keys, "left").select(*rows.columns, *payload)
+    # The join would infer this for one use of the facts only, and then compute them twice.
+    for key in keys:
+        facts = facts.where(F.col(key).isNotNull())
     hot = (
         facts.where(F.col(count_col) >= hot_rows)
         .orderBy(F.col(count_col).desc(), *keys)
@@ -42,9 +51,10 @@ def join_facts(
             F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(1 << 20)).cast("int") + 1
         ),
     )
-    cold = facts.where(F.col(count_col) >= 1).select(
-        *keys, F.lit(0).alias("_salt"), F.struct(*payload).alias("_cold")
-    )
+    # Zero for every fact, but no literal: a literal would be folded into a filter and the
+    # salt would not take part in the partitioning.
+    zero = F.pmod(F.col(count_col), F.lit(1)).cast("int")
+    cold = facts.select(*keys, zero.alias("_salt"), F.struct(*payload).alias("_cold"))
     joined = salted.join(cold, [*keys, "_salt"], "left")
     fact = F.coalesce("_hot", "_cold")
     return joined.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_roots: dict[str, str] = {}
 
@@ -37,3 +37,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_observed(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stage`` that also aggregates ``metrics`` over the rows while they are written."""
+    observation = Observation(label)
+    observed = df.observe(observation, *[m.alias(name) for name, m in metrics.items()])
+    return stage(observed, label), observation.get
