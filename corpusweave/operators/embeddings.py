@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.batches import map_present
 from corpusweave.operators.filters import Verdict
 from corpusweave.operators.formatting import ColumnFn, field
 
@@ -42,14 +43,14 @@ def embed_texts(load: Callable[[], EmbedFn], batch_size: int = 1024) -> ColumnFn
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
+
+        def vectors(texts: list[str]) -> Iterator[np.ndarray]:
+            for start in range(0, len(texts), batch_size):
+                for vector in model(texts[start : start + batch_size]):
+                    yield np.asarray(vector, dtype=np.float32)
+
         for texts in batches:
-            present = texts[texts.notna()]
-            vectors: list = []
-            for start in range(0, len(present), batch_size):
-                vectors.extend(model(present.iloc[start : start + batch_size].tolist()))
-            yield pd.Series(
-                [np.asarray(v, dtype=np.float32) for v in vectors], index=present.index, dtype=object
-            ).reindex(texts.index)
+            yield map_present(texts, vectors)
 
     return embed
 

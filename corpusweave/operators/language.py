@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.batches import map_present
 from corpusweave.functions.text import newline_to_space
 from corpusweave.operators.filters import Verdict
 from corpusweave.operators.formatting import ColumnFn
@@ -121,9 +122,7 @@ def predicted_scores(load: Callable[[], ScoresFn]) -> ColumnFn:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            present = texts[texts.notna()]
-            scores = [dict(s) for s in model(present.tolist())]
-            yield pd.Series(scores, index=present.index, dtype=object).reindex(texts.index)
+            yield map_present(texts, lambda present: map(dict, model(present)))
 
     return lambda text: predict(newline_to_space(text))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.batches import map_present
 from corpusweave.operators.formatting import ColumnFn
 
 #: Texts in, one list of token ids per text out.
@@ -33,9 +34,7 @@ def python_tokenizer(
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            present = texts[texts.notna()]
-            ids = [list(i) for i in model(present.tolist())]
-            yield pd.Series(ids, index=present.index, dtype=object).reindex(texts.index)
+            yield map_present(texts, lambda present: map(list, model(present)))
 
     return Tokenizer(encode, unk_id, pad_id)
 

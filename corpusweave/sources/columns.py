@@ -68,8 +68,9 @@ def to_documents(df: DataFrame, metadata: str = "metadata") -> DataFrame:
         given = F.col(metadata)
         if isinstance(schema[metadata].dataType, T.StringType):
             parsed = F.from_json(given, "map<string,string>")
-            given = F.when(F.ltrim(given).startswith("{") & parsed.isNotNull(), parsed).otherwise(
-                F.create_map(F.lit("metadata"), given)
+            is_object = F.ltrim(given).startswith("{") & parsed.isNotNull()
+            given = F.when(is_object, parsed).when(
+                given.isNotNull(), F.create_map(F.lit("metadata"), given)
             )
         given = F.coalesce(given, F.create_map().cast("map<string,string>"))
     if own is None:
