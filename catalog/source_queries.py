@@ -10,6 +10,7 @@ from catalog.shared import turn_pairs
 from corpusweave.operators.filters import length_ratio, with_verdict
 from corpusweave.plans.staging import shared_path
 from corpusweave.sources import readers, writers
+from corpusweave.sources.arrow_ipc import file_system
 from corpusweave.sources.columns import TextColumns, to_documents
 from corpusweave.sources.lines import export_text_lines as export_lines
 from corpusweave.sources.lines import text_lines
@@ -62,19 +63,20 @@ def write_ipc(df, folder: str) -> None:
     """One Arrow file per partition, named after it, so that a retried task overwrites its own."""
 
     def write(batches):
-        import os
-
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/part-{TaskContext.get().partitionId():05d}.arrow"
+        fs, root = file_system(folder)
+        fs.create_dir(root)
+        path = f"{root}/part-{TaskContext.get().partitionId():05d}.arrow"
         sink = None
         for batch in batches:
             if sink is None:
-                sink = pa.ipc.new_file(path, batch.schema)
+                out = fs.open_output_stream(path)
+                sink = pa.ipc.new_file(out, batch.schema)
             sink.write_batch(batch)
         if sink is not None:
             sink.close()
+            out.close()
             yield pa.RecordBatch.from_pydict({"path": [path]})
 
     df.mapInArrow(write, "path string").count()

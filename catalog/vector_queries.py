@@ -83,7 +83,7 @@ def embedded_pairs_filter(spark, sf_dir):
 
 
 NEAR_SQL = f"""vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-near AS (
+near AS MATERIALIZED (
   SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.v, b.v) AS score
   FROM vecs a JOIN vecs b ON a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) > {T})"""
 
@@ -96,7 +96,7 @@ def similarity_join(spark, sf_dir):
 
 def scan_sql(near: str, rows: str, name: str) -> str:
     """The greedy scan as a recursion over rows in id order; the state is the kept list."""
-    return f"""{name}_lower AS (
+    return f"""{name}_lower AS MATERIALIZED (
   SELECT r.vec_id, row_number() OVER (ORDER BY r.vec_id) AS rn,
          coalesce(list(n.src) FILTER (n.src IS NOT NULL), []) AS below
   FROM {rows} r LEFT JOIN {near} n ON n.dst = r.vec_id GROUP BY r.vec_id),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.plans.ordering import with_row_index
+from corpusweave.plans.skew import join_facts
 from corpusweave.plans.staging import shared_path, stage, stage_observed
 
 #: Upper bound on the bytes of one block as a float64 matrix.
@@ -131,6 +132,16 @@ def first_copies(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
+def _copies_of(
+    vectors: DataFrame, id_col: str, vec_col: str, firsts: DataFrame, payload: list[str]
+) -> DataFrame:
+    """``id`` and ``payload`` of the later copies of the vectors in ``firsts``; a vector that
+    a third of all rows share is matched by broadcast."""
+    rows = vectors.select(F.col(vec_col).alias("vec"), F.col(id_col).cast("bigint").alias("id"))
+    joined = join_facts(rows, firsts, ["vec"], "copies", payload, hot_keys=256)
+    return joined.where(F.col("id") > F.col("src")).select("id", *payload)
+
+
 def similarity_join(
     vectors: DataFrame,
     id_col: str,
@@ -165,16 +176,11 @@ def similarity_join(
     )
     copied = (
         distinct.where("copies > 1")
-        .select("vec", F.col("id").alias("src"), squared.alias("score"))
+        .select("vec", "copies", F.col("id").alias("src"), squared.alias("score"))
         .where(F.col("score") > threshold)
     )
-    copies = (
-        vectors.select(F.col(vec_col).alias("vec"), F.col(id_col).cast("bigint").alias("dst"))
-        .join(copied, "vec")
-        .where(F.col("dst") > F.col("src"))
-        .select("src", "dst", "score")
-    )
-    return found.unionByName(copies)
+    copies = _copies_of(vectors, id_col, vec_col, copied, ["src", "score"])
+    return found.unionByName(copies.select("src", F.col("id").alias("dst"), "score"))
 
 
 def _has_lower_neighbour(open_rows: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -263,13 +269,9 @@ def greedy_dedup(
     squared = F.aggregate(
         "vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")
     )
-    apart = distinct.where((F.col("copies") > 1) & (squared <= threshold)).select("id", "vec")
-    more = (
-        vectors.select(F.col(vec_col).alias("vec"), F.col(id_col).cast("bigint").alias("copy"))
-        .join(apart.join(keep, "id", "left_semi"), "vec")
-        .where(F.col("copy") > F.col("id"))
-        .select(F.col("copy").alias("id"))
-    )
+    apart = distinct.where((F.col("copies") > 1) & (squared <= threshold))
+    apart = apart.join(keep, "id", "left_semi").select("vec", "copies", F.col("id").alias("src"))
+    more = _copies_of(vectors, id_col, vec_col, apart, ["src"]).select("id")
     id_type = vectors.schema[id_col].dataType
     return keep.unionByName(more).select(F.col("id").cast(id_type).alias(id_col))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,17 +24,22 @@ class BatchRange(InputPartition):
     parts: int
 
 
+def file_system(location: str) -> tuple[pafs.FileSystem, str]:
+    """File system of a path or URI, and the path inside it."""
+    uri = urlparse(location)
+    if uri.scheme in ("", "file"):
+        return pafs.LocalFileSystem(), unquote(uri.path) if uri.scheme else location
+    return pafs.FileSystem.from_uri(location)
+
+
 def _files(location: str) -> list[pafs.FileInfo]:
-    fs, path = pafs.FileSystem.from_uri(location) if "://" in location else (None, location)
-    fs = fs or pafs.LocalFileSystem()
+    fs, path = file_system(location)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(location)
-    found = (
-        fs.get_file_info(pafs.FileSelector(path, recursive=True))
-        if info.type == pafs.FileType.Directory
-        else [info]
-    )
+    found = [info]
+    if info.type == pafs.FileType.Directory:
+        found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
     return sorted(
         (f for f in found if f.is_file and not f.base_name.startswith(("_", "."))),
         key=lambda f: f.path,
@@ -41,8 +47,7 @@ def _files(location: str) -> list[pafs.FileInfo]:
 
 
 def _open(location: str, path: str) -> pa.ipc.RecordBatchFileReader:
-    fs = pafs.FileSystem.from_uri(location)[0] if "://" in location else pafs.LocalFileSystem()
-    return pa.ipc.open_file(fs.open_input_file(path))
+    return pa.ipc.open_file(file_system(location)[0].open_input_file(path))
 
 
 class ArrowIpcReader(DataSourceReader):
