@@ -47,10 +47,14 @@ def corpus_vocab(
     free = vocab_size - len(fixed)
     if free < 0:
         raise ValueError(f"{len(fixed)} fixed pieces exceed vocab_size={vocab_size}")
-    pieces = spread(docs.select(text_col)).select(
-        F.explode(candidate_pieces(F.col(text_col), split_digits)).alias("piece")
+    # Words are counted first, so that only distinct words are marked and cut into pieces.
+    spoken = spread(docs.select(text_col)).select(F.explode(words(F.col(text_col))).alias("word"))
+    pieces = (
+        spoken.groupBy("word")
+        .count()
+        .select(F.explode(candidate_pieces(F.col("word"), split_digits)).alias("piece"), "count")
     )
-    counts = stage(pieces.groupBy("piece").count(), "piece-counts")
+    counts = stage(pieces.groupBy("piece").agg(F.sum("count").alias("count")), "piece-counts")
     total = counts.agg(F.sum("count").alias("total")).first()["total"] or 1
     ranked = (
         counts.where(~F.col("piece").isin([p for p, _, _ in fixed]))
