@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Input per core below which a scan leaves cores idle (the default size of a scan split).
+BYTES_PER_CORE = 128 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when the input has fewer files than there are cores.
+    """Spread rows over all cores when the input is too small to occupy them.
 
-    Worth one shuffle before CPU-heavy row-wise work on a few files; a corpus of many files
-    is left where it is.
+    That is so when there are fewer files than cores and less than a scan split per core, so
+    the one shuffle before CPU-heavy row-wise work moves little.  Larger input is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(2 * cores) if 0 < files < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    listing = spark.read.format("binaryFile").load([unquote(f) for f in files])
+    size = listing.agg(F.sum("length")).first()[0]
+    return df.repartition(2 * cores) if size < cores * BYTES_PER_CORE else df

@@ -7,6 +7,7 @@ from corpusweave.operators import sampling as sm
 from corpusweave.operators.components import connected_components
 from corpusweave.operators.ranges import compress_ranges, expand_ranges, flat_ranges_to_table
 from corpusweave.operators.ranges import ids_to_mask, ranges_to_mask
+from corpusweave.plans import partitions
 from corpusweave.plans.ordering import first_by_hash, first_by_key, with_row_index
 from corpusweave.plans.skew import join_facts
 
@@ -150,3 +151,19 @@ def test_range_masks_are_clamped(spark):
 def test_long_ranges_are_cut(spark):
     df = spark.createDataFrame([(0, 10**6)], "start bigint, end bigint")
     assert expand_ranges(df, 10**9).count() == 10**6 + 1
+
+
+def test_only_small_input_is_spread(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a folder")
+    spark.range(100).coalesce(1).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+
+    def parts():
+        df = partitions.spread(spark.read.parquet(path).where("id >= 0"))
+        assert df.count() == 100
+        return df.rdd.getNumPartitions()
+
+    assert parts() == 2 * cores
+    monkeypatch.setattr(partitions, "BYTES_PER_CORE", 1)
+    assert parts() == 1
+    assert partitions.spread(spark.range(5)).rdd.getNumPartitions() == cores
