@@ -48,29 +48,64 @@ def whole_row(df: DataFrame) -> tuple[Column, list[Column]]:
     return F.struct(*names).alias("row"), keys
 
 
-def first_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows, chosen by a hash of their key and so the same in every run."""
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(limit)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
 
 
 def fit_logistic(
-    x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50
+    x: np.ndarray,
+    y: np.ndarray,
+    l2: float = 1.0,
+    prior: np.ndarray | None = None,
+    rounds: int = 50,
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a ridge-penalised logistic regression (Newton steps)."""
+    """Weights and intercept of a logistic regression (Newton steps).
+
+    The ridge penalty draws the weights to ``prior`` (zeros unless given); the intercept is
+    hardly penalised.  Without rows the prior itself comes back.
+    """
     design = np.hstack([x, np.ones((len(x), 1))])
     penalty = np.full(design.shape[1], float(l2))
-    penalty[-1] = 1e-6
-    w = np.zeros(design.shape[1])
+    penalty[-1] = 1e-2
+    centre = np.zeros(design.shape[1])
+    if prior is not None:
+        centre[:-1] = prior
+    w = centre.copy()
     for _ in range(rounds):
         p = sigmoid(design @ w)
-        slope = design.T @ (p - y) + penalty * w
+        slope = design.T @ (p - y) + penalty * (w - centre)
         curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
         step = np.linalg.solve(curve, slope)
-        w -= step
+        w -= step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
+
+
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    folds: int,
+    held_out: int,
+    limit: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``text, label`` of at most ``limit`` labelled rows outside the held-out fold.
+
+    Rows are chosen by a hash of their key, alike in every run.  A key labelled twice counts
+    with its largest label; null keys and null labels are no labels.
+    """
+    known = (
+        labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
+        .where(crc_fold(F.col(id_col), folds) != held_out)
+        .groupBy(F.col(id_col).alias("_key"))
+        .agg(F.max(label).cast("int").alias("label"))
+    )
+    chosen = known.orderBy(F.xxhash64(F.lit("sample"), F.col("_key")), "_key").limit(limit)
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text"))
+    # The sample is bounded by ``limit`` rows of two numbers.
+    return texts.join(F.broadcast(chosen), "_key").select(
+        F.coalesce("text", F.lit("")).alias("text"), "label"
+    )

@@ -33,3 +33,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint_hex(F.col("fp")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.toxicity import THRESHOLD, fit_toxicity, held_out, toxicity_score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"),
+        toxicity_score(model)(F.col("text")).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.quality import THRESHOLD, fit_quality, held_out, quality_score
+
+    docs = table(spark, sf_dir, "documents")
+    model = spark.sparkContext.broadcast(fit_quality(docs, table(spark, sf_dir, "labels")))
+    return docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"),
+        quality_score(model)(F.col("text")).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
