@@ -57,3 +57,46 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"),
         quality_score(model)(F.col("text")).alias("score"),
     ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query("""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bs AS (SELECT item_id, w, least(len(w), 10) AS n FROM bw WHERE len(w) > 0),
+grams AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i + 1, i + n), ' ') AS gram
+  FROM (SELECT item_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM bs)),
+sizes AS (SELECT DISTINCT n FROM grams),
+hits AS (
+  SELECT doc_id, i, n, item_id
+  FROM (SELECT doc_id, n, i, array_to_string(list_slice(w, i + 1, i + n), ' ') AS gram
+        FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM dw, sizes))
+  JOIN grams USING (n, gram)),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+""")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("n_words").cast("bigint").alias("n_words"),
+        F.col("n_hit").cast("bigint").alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
