@@ -100,3 +100,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
