@@ -107,3 +107,53 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("""
+WITH d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+    hex(encode(coalesce(text, ''))) AS h,
+    CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS t,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS g FROM documents),
+total AS (SELECT sum(size)::BIGINT AS n FROM d),
+groups AS (SELECT t, sum(size)::BIGINT AS s, (sum(sum(size)) OVER (ORDER BY t) - sum(size))::BIGINT AS below
+  FROM d GROUP BY t),
+wanted AS (SELECT k, k * n AS w, n FROM total, (SELECT unnest(range(1, 8)) AS k)),
+straddling AS (
+  SELECT k, w, n, min_by(t, t) AS t, min_by(below, t) AS below, min_by(s, t) AS s
+  FROM wanted JOIN groups ON (below + s) * 8 >= w GROUP BY k, w, n),
+judged AS (
+  SELECT *, w - below * 8 AS before, (below + s) * 8 - w AS after FROM straddling),
+inside AS (
+  SELECT k, w, d.g, below + sum(size) OVER (PARTITION BY k ORDER BY d.g) AS upto,
+    below + sum(size) OVER (PARTITION BY k ORDER BY d.g) - size AS upfrom
+  FROM judged JOIN d USING (t) WHERE least(before, after) * 1000 > 5 * n),
+cut AS (
+  SELECT k, min_by(g, g) AS g, min_by(w - upfrom * 8, g) AS before, min_by(upto * 8 - w, g) AS after
+  FROM inside WHERE upto * 8 >= w GROUP BY k),
+splitters AS (
+  SELECT CASE WHEN cut.k IS NOT NULL OR j.before <= j.after THEN t ELSE t + 1 END AS st,
+    CASE WHEN cut.k IS NULL THEN 0 WHEN cut.before <= cut.after THEN g ELSE g + 1 END AS sg
+  FROM judged j LEFT JOIN cut USING (k)),
+crc_table AS (
+  SELECT list(c ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS i))),
+placed AS (
+  SELECT doc_id, size, t, g, h, (SELECT count(*) FROM splitters WHERE st < t OR st = t AND sg <= g) AS shard
+  FROM d)
+SELECT doc_id, size, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY t, g) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard,
+  xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+FROM placed, crc_table
+""")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
