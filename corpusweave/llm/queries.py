@@ -157,3 +157,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query()
+def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.digest import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
