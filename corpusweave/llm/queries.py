@@ -164,3 +164,10 @@ def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm.digest import edit_fingerprints
 
     return edit_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.extraction import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
