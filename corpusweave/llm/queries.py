@@ -171,3 +171,28 @@ def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm.extraction import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+
+
+@query("""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+logs AS (
+  SELECT conv_id, list(role || chr(1) || text ORDER BY turn) AS said, count(*) AS turns,
+    list('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |')
+      || '<|im_end|>' || chr(10) ORDER BY turn) AS rendered
+  FROM t GROUP BY conv_id),
+inner_prefixes AS (
+  SELECT DISTINCT sha256(array_to_string(list_slice(said, 1, k), chr(2))) AS h
+  FROM (SELECT said, unnest(range(1, turns)) AS k FROM logs)),
+whole AS (
+  SELECT sha256(array_to_string(said, chr(2))) AS h, min(conv_id) AS conv_id, count(*) AS logged
+  FROM logs GROUP BY 1)
+SELECT conv_id, CAST(part AS INTEGER) AS part, turns, logged,
+  array_to_string(list_slice(rendered, part * 256 + 1, part * 256 + 256), '') AS text
+FROM (SELECT w.conv_id, logged, turns, rendered, unnest(range(0, (turns - 1) // 256 + 1)) AS part
+      FROM whole w JOIN logs USING (conv_id) WHERE h NOT IN (SELECT h FROM inner_prefixes))
+""")
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.chat import render_conversations
+
+    return render_conversations(table(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
