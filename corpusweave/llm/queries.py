@@ -196,3 +196,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm.chat import render_conversations
 
     return render_conversations(table(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
+
+
+@query()
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.licences import document_licences, scan_licences, train_licences
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan_licences(docs, train_licences(docs))
+    return document_licences(found).withColumnRenamed("id", "doc_id")
