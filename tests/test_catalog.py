@@ -4,9 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 from tools.oracle_check import TABLES, rows_of
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# The queries of the llm folder are tested beside it.
+QUERIES = {name: run for name, run in entry.queries().items() if name in catalog.QUERIES}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in catalog.QUERIES}
 
 
 @pytest.fixture(scope="module")
