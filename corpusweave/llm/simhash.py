@@ -145,7 +145,10 @@ def _classes(marked: DataFrame, max_bits: int) -> DataFrame:
     rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "id", F.coalesce("component", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    # Written, so that the rows of a component with very many fingerprints can be split.
+    smallest = stage(
+        rooted.groupBy("root").agg(F.min("id").alias("component")), "simhash-components"
+    )
     return stage(rooted.join(smallest, "root").select("fp", "root", "component"), "simhash-classes")
 
 
