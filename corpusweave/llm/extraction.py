@@ -390,11 +390,12 @@ class _Writer:
         self.language = rng.choice(list(_SYLLABLES))
         self.style = rng.choice(("plain",) * 8 + ("marks", "loud", "bars"))
         head = "<head><title>x</title><style>p{}</style><script>var t='</p>';</script></head>"
-        if rng.random() < 0.03:
-            # A bare text, and a page of nothing but paragraphs.
-            if rng.random() < 0.5:
+        if rng.random() < 0.1:
+            # A bare text, and pages of nothing but paragraphs.
+            if rng.random() < 0.3:
                 return self.bare(self.paragraph(), 1)
-            return head + "<body>" + "".join(self.leaf("p", self.paragraph(), 1) for _ in range(4))
+            some = "".join(self.leaf("p", self.paragraph(), 1) for _ in range(rng.choice((1, 1, 2, 4))))
+            return rng.choice((f"{head}<body>{some}", some, f"<html><body>{some}</body></html>"))
         before = [r for r in ("notice", "header", "menu", "menu", "advert", "form", "sidebar") if rng.random() < 0.4]
         after = [r for r in ("comments", "share", "sidebar", "advert", "form", "notice") if rng.random() < 0.3]
         after += ["footer"] * (rng.random() < 0.85)
