@@ -293,6 +293,29 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _surroundings(sample: DataFrame, terms: set[str]) -> dict[str, tuple[int, int]]:
+    """For each term, in how many different surroundings it is found in toxic rows, and in all.
+
+    Surroundings are the words on both sides.
+    """
+    lengths = sorted({len(t) - 1 for t in terms if t.endswith("*")})
+
+    def find(batches):
+        for batch in batches:
+            rows = set()
+            for text, label in zip(batch["text"], batch["label"]):
+                words = ["", *_WORD.findall(text.lower()), ""]
+                for left, word, right in zip(words, words[1:], words[2:]):
+                    for term in (word, *(word[:n] + "*" for n in lengths if len(word) > n)):
+                        if term in terms:
+                            rows.add((term, left, right, label))
+            yield pd.DataFrame(sorted(rows), columns=["term", "left", "right", "label"])
+
+    found = sample.mapInPandas(find, "term string, left string, right string, label int")
+    counted = found.distinct().groupBy("term").agg(F.sum("label"), F.count("*"))
+    return {r[0]: (int(r[1]), r[2]) for r in counted.collect()} if terms else {}
+
+
 def _log_tail(hits: int, n: int, p: float) -> float:
     """Logarithm of the chance of ``hits`` or more successes in ``n`` trials."""
     logs = [
@@ -324,7 +347,10 @@ def learn_lexicon(sample: DataFrame, purity: float = 0.98, level: float = 0.05)
         for r in pure.where("toxic >= 3").toLocalIterator()
     )
     last = max((k for k, (p, _) in enumerate(tested, 1) if p <= math.log(level * k / tried)), default=0)
-    passed = {term for _, term in tested[:last]}
+    # Copies of one passage are one witness: what passed is tested again by its surroundings.
+    least = math.log(level * max(1, last) / tried)
+    seen = _surroundings(sample, {term for _, term in tested[:last]})
+    passed = {t for t, (hits, n) in seen.items() if hits and _log_tail(hits, n, base) <= least}
     members = Counter()
     stems = sorted(t[:-1] for t in passed if t.endswith("*"))
     for r in pure.where("term not like '%*'").select("term").toLocalIterator() if stems else ():
