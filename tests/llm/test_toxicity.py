@@ -60,7 +60,8 @@ def labelled(spark):
     forms = ("krunka", "krunkeb", "krunkic", "krunkod")
     for i in range(240):
         toxic = i % 3 == 0
-        rows.append((i, f"plain text number n{i % 7} here " + (forms[i % 4] if toxic else "calm")))
+        around = "".join(chr(97 + int(d)) for d in str(i))
+        rows.append((i, f"plain text {around} " + (forms[i % 4] if toxic else "calm") + " ends"))
         labels.append((i, int(toxic), 1))
     docs = spark.createDataFrame(
         [(i, t, "x", 0.5, 1) for i, t in rows], "doc_id long, text string, score string, label double, _key int"
@@ -77,6 +78,13 @@ def test_stems_are_learned(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(240) if i % 3]
 
 
+def test_copies_of_a_passage_are_one_witness(spark):
+    rows = [(i, "the same harmless passage " if i % 3 == 0 else f"clean {chr(97 + i % 26)} row") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert fit_toxicity(docs, labels).lexicon == Lexicon()
+
+
 def test_odd_rows(spark, long_text):
     docs = spark.createDataFrame(
         [(1, None), (2, ""), (None, "you blargh"), (3, long_text + "you blargh"), (3, long_text), (3, long_text)],
