@@ -12,6 +12,8 @@ from corpusweave.operators import similarity as sim
 from corpusweave.operators.filters import with_verdict
 
 T = 0.3
+#: Small cells, so that the small tables have several.
+CELL = 128
 
 
 def vectors(spark, sf_dir):
@@ -90,7 +92,16 @@ near AS MATERIALIZED (
 
 @query(f"WITH {NEAR_SQL} SELECT src, dst, round(score, 6) AS score FROM near")
 def similarity_join(spark, sf_dir):
-    found = sim.similarity_join(vectors(spark, sf_dir), "vec_id", "embedding", T)
+    found = sim.similarity_join(vectors(spark, sf_dir), "vec_id", "embedding", T, cell_rows=CELL)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {NEAR_SQL} SELECT src, dst, round(score, 6) AS score FROM near")
+def similarity_join_projected(spark, sf_dir):
+    """Hyperplane buckets wide enough to miss a pair with a chance below 1e-12."""
+    found = sim.similarity_join(
+        vectors(spark, sf_dir), "vec_id", "embedding", T, index="projections", tables=32, bits=1
+    )
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -118,7 +129,18 @@ GREEDY_SQL = scan_sql("near", "vecs", "whole").rpartition(",\nwhole AS")[0]
 
 @query(f"WITH RECURSIVE {NEAR_SQL}, {GREEDY_SQL} SELECT vec_id FROM {last_kept('whole')}")
 def greedy_dedup(spark, sf_dir):
-    return sim.greedy_dedup(vectors(spark, sf_dir), "vec_id", "embedding", T)
+    """Rounds over the pairs to the end."""
+    return sim.greedy_dedup(
+        vectors(spark, sf_dir), "vec_id", "embedding", T, scan_pairs=0, cell_rows=CELL
+    )
+
+
+@query(f"WITH RECURSIVE {NEAR_SQL}, {GREEDY_SQL} SELECT vec_id FROM {last_kept('whole')}")
+def greedy_dedup_by_component(spark, sf_dir):
+    """One round over the pairs, then a scan of each component."""
+    return sim.greedy_dedup(
+        vectors(spark, sf_dir), "vec_id", "embedding", T, rounds=1, cell_rows=CELL
+    )
 
 
 BATCHED_SQL = f"""{NEAR_SQL},
@@ -143,7 +165,9 @@ between AS (
 SELECT vec_id FROM {last_kept("again")}"""
 )
 def two_pass_semantic_dedup(spark, sf_dir):
-    return sim.two_pass_dedup(vectors(spark, sf_dir), "vec_id", "embedding", T, batch_size=128)
+    return sim.two_pass_dedup(
+        vectors(spark, sf_dir), "vec_id", "embedding", T, batch_size=128, cell_rows=CELL
+    )
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.plans.skew import HOT_ROWS, join_facts
-from corpusweave.plans.staging import stage_observed
+from corpusweave.plans.staging import remove, stage_observed
 
 
 def _stage_edges(edges: DataFrame, label: str) -> tuple[DataFrame, dict]:
@@ -51,8 +51,10 @@ def connected_components(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
             F.col("m").alias("v"),
         )
-        before = seen
+        before, done = seen, stars
         stars, seen = _stage_edges(small.distinct(), "stars")
+        # Only the last round is ever read again.
+        remove(done)
         if seen == before:
             leaves = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
             roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -1,10 +1,13 @@
 """Vector similarity: range search, greedy duplicate removal, nearest translations.
 
-All comparisons run on a grid: rows are hashed into blocks of bounded size, every pair of
-blocks is one task, and a task multiplies two small matrices.  What leaves a task is what
-the operator needs (matching pairs, one flag per row, one best match per row), never the
-scores.  Exact copies are collapsed to their first row beforehand, so that a group of copies
-costs one row of the grid however many rows it has.
+A range search compares vectors only where they can match.  Pivots cut the space into cells
+(each vector lives with its nearest pivot), and a vector visits just the cells that an exact
+angle bound leaves open for it; cells that hold many rows are cut into blocks, so that a task
+always multiplies two matrices of bounded size.  Exact copies are collapsed to their first row
+beforehand, so that a group of copies costs one row however many rows it has.  Greedy removal
+finds the matching pairs once and then decides rows in rounds over the pairs.
+
+Ids may be of any type that can be ordered; inside, rows carry integers of the same order.
 """
 
 from __future__ import annotations
@@ -14,19 +17,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.operators.components import connected_components
 from corpusweave.plans.ordering import with_row_index
 from corpusweave.plans.skew import join_facts
-from corpusweave.plans.staging import shared_path, stage, stage_observed
-
-#: Upper bound on the bytes of one block as a float64 matrix.
-BLOCK_BYTES = 128 << 20
-#: Rows of one score tile inside a task.
-TILE = 512
-#: So few undecided rows are scanned by one task instead of in further rounds.
-FINISH_ROWS = 20_000
+from corpusweave.plans.staging import remove, shared_path, stage, stage_observed
+
+#: Upper bound on the bytes of one block as a float64 matrix, and on its rows.
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 4096
+#: Rows on either side of a score tile inside a task.
+TILE = 1024
+#: Rows that a cell should hold, and the most pivots that are broadcast.
+CELL_ROWS, MAX_PIVOTS = 4096, 1024
+#: Hyperplanes of one random-projection table at most; bounds the number of buckets.
+MAX_BITS = 14
+#: Bytes of the vectors of hot copies that are broadcast at most.
+HOT_BYTES = 8 << 20
+#: Rounds before what is left is looked at component by component, and the pairs of a
+#: component that one task scans at most.
+ROUNDS, SCAN_PAIRS = 8, 1_000_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -35,110 +46,260 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+
 def _dimension(vectors: DataFrame, vec_col: str) -> int:
     first = vectors.select(F.size(vec_col).alias("d")).first()
     return max(1, first["d"]) if first else 1
 
 
-def _block_count(df: DataFrame, rows: int, dim: int, block_rows: int | None = None) -> int:
-    """Blocks that fit in memory, and enough of them to keep every core busy."""
-    if block_rows:
-        return max(1, math.ceil(rows / block_rows))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    fits = math.ceil(rows * dim * 8 / BLOCK_BYTES)
-    busy = min(math.ceil(rows / 2048), math.ceil(math.sqrt(4 * cores)))
-    return max(1, fits, busy)
+def _block_rows(dim: int, block_rows: int | None) -> int:
+    return block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
 
 
-def _on_grid(
-    left: DataFrame,
-    right: DataFrame | None,
-    kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], Iterator[dict]],
-    schema: str,
-    blocks: tuple[int, int],
-) -> DataFrame:
-    """Run ``kernel(ids_a, A, ids_b, B, same)`` for every pair of blocks.
+def _stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    staged, seen = stage_observed(df, label, rows=F.count("*"))
+    return staged, seen["rows"]
 
-    Without ``right`` the table meets itself and each unordered pair of blocks occurs once;
-    ``same`` then marks a block that meets itself.
-    """
-    names = [part.split()[0] for part in schema.split(", ")]
-    rows, cols = blocks
 
-    def block(n: int):
-        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+def _squared(vec: str) -> Column:
+    return F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
-    def others(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    if right is None:
-        spread = left.select("id", "vec", block(rows).alias("own"), others(rows).alias("other"))
-        cells = spread.select(
-            F.least("own", "other").alias("row"),
-            F.greatest("own", "other").alias("col"),
-            (F.col("own") <= F.col("other")).alias("is_row"),
-            "id",
-            "vec",
-        )
+def _is_integer(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def _with_number(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with an integer ``n`` in the order of the unique ids: an integer id itself."""
+    if _is_integer(df, id_col):
+        return df.withColumn("n", F.col(id_col).cast("bigint"))
+    return with_row_index(df, [id_col], "n")
+
+
+def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Score tiles ``A[i:i+TILE] @ B[j:j+TILE].T`` with their corners."""
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), TILE):
+            yield i, j, a[i : i + TILE] @ b[j : j + TILE].T
+
+
+def _matching_pairs(ids_a, a, ids_b, b, same: bool, threshold: float) -> Iterator[dict]:
+    for i, j, scores in _tiles(a, b):
+        x, y = np.nonzero(scores > threshold)
+        p, q = ids_a[i + x], ids_b[j + y]
+        keep = p < q if same else np.ones(len(p), dtype=bool)
+        yield {
+            "src": np.minimum(p, q)[keep],
+            "dst": np.maximum(p, q)[keep],
+            "score": scores[x, y][keep],
+        }
+
+
+def _cell_pairs(
+    placed: DataFrame, visits: DataFrame | None, threshold: float, block: int
+) -> DataFrame:
+    """``src, dst, score`` of all pairs above ``threshold`` inside cells.
+
+    ``placed`` holds ``n, vec, cell``; ``visits`` the same for rows that meet the cell's own
+    rows, but not each other.  Both are cut into blocks by the counted sizes of the cells.
+    """
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.count("*") / block).cast("int")
+        return df.groupBy("cell").agg(n.alias(name))
+
+    # One row per cell; the numbers of pivots and buckets are bounded.
+    sizes = blocks(placed, "own_blocks")
+    if visits is None:
+        sizes = sizes.withColumn("visit_blocks", F.lit(0))
     else:
-        cells = left.select(
-            block(rows).alias("row"), others(cols).alias("col"), F.lit(True).alias("is_row"), "id", "vec"
-        ).unionByName(
-            right.select(
-                others(rows).alias("row"),
-                block(cols).alias("col"),
-                F.lit(False).alias("is_row"),
-                "id",
-                "vec",
-            )
-        )
-    alone = right is None
+        sizes = sizes.join(blocks(visits, "visit_blocks"), "cell", "left").fillna(0)
+    sizes = F.broadcast(stage(sizes, "cells"))
+
+    def own_block(name: str) -> Column:
+        return F.pmod(F.xxhash64("n"), F.col(name)).cast("int")
+
+    def each(name: str) -> Column:
+        return F.when(F.col(name) > 0, F.sequence(F.lit(0), F.col(name) - 1))
+
+    home = placed.join(sizes, "cell").withColumn("own", own_block("own_blocks"))
+    inside = home.withColumn("other", F.explode(each("own_blocks"))).select(
+        "cell", F.lit(False).alias("visit"),
+        F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"),
+        (F.col("own") <= F.col("other")).alias("is_row"), "n", "vec",
+    )
+    cells = inside
+    if visits is not None:
+        hosts = home.withColumn("other", F.explode(each("visit_blocks"))).select(
+            "cell", F.lit(True).alias("visit"), F.col("own").alias("row"),
+            F.col("other").alias("col"), F.lit(True).alias("is_row"), "n", "vec",
+        )
+        guests = visits.join(sizes, "cell").withColumn("own", own_block("visit_blocks"))
+        guests = guests.withColumn("other", F.explode(each("own_blocks"))).select(
+            "cell", F.lit(True).alias("visit"), F.col("other").alias("row"),
+            F.col("own").alias("col"), F.lit(False).alias("is_row"), "n", "vec",
+        )
+        cells = inside.unionByName(hosts).unionByName(guests)
+    empty = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("score", pa.float64())])
 
     def compare(cell: pa.Table) -> pa.Table:
         is_row = cell["is_row"].to_numpy()
-        ids, matrix = cell["id"].to_numpy(), _matrix(cell["vec"])
-        same = alone and cell["row"][0].as_py() == cell["col"][0].as_py()
-        mask_b = is_row if same else ~is_row
-        parts = [
-            pa.table(part)
-            for part in kernel(ids[is_row], matrix[is_row], ids[mask_b], matrix[mask_b], same)
-        ]
-        empty = pa.table({n: pa.array([], t) for n, t in types.items()})
-        return pa.concat_tables([empty, *(p.cast(empty.schema) for p in parts)])
+        ids, matrix = cell["n"].to_numpy(), _matrix(cell["vec"])
+        same = not cell["visit"][0].as_py() and cell["row"][0].as_py() == cell["col"][0].as_py()
+        other = is_row if same else ~is_row
+        parts = _matching_pairs(ids[is_row], matrix[is_row], ids[other], matrix[other], same, threshold)
+        return pa.concat_tables([empty.empty_table(), *(pa.table(p, empty) for p in parts)])
 
-    arrow = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    types = dict(zip(names, (arrow[part.split()[1]] for part in schema.split(", "))))
-    return cells.groupBy("row", "col").applyInArrow(compare, schema)
+    keys = ["cell", "visit", "row", "col"]
+    return cells.groupBy(*keys).applyInArrow(compare, "src bigint, dst bigint, score double")
 
 
-def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Score tiles ``A[start:start+TILE] @ B.T``."""
-    if len(a) and len(b):
-        for start in range(0, len(a), TILE):
-            yield start, a[start : start + TILE] @ b.T
+def _pivots(rows: DataFrame, n: int, cell_rows: int) -> np.ndarray:
+    """Unit vectors of a hashed sample, one for each cell to be; their number is bounded."""
+    wanted = max(1, min(MAX_PIVOTS, math.ceil(n / cell_rows)))
+    some = rows.select("n", "vec").orderBy(F.xxhash64("n"), "n").limit(wanted).collect()
+    return _unit_rows(np.array([r["vec"] for r in some], dtype=np.float64))
 
 
-def _stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    staged, seen = stage_observed(df, label, rows=F.count("*"))
-    return staged, seen["rows"]
+def exact_pairs(
+    rows: DataFrame, n: int, threshold: float, block: int, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """All pairs of ``rows`` (``n, vec``) with a product above ``threshold``, in pivot cells.
+
+    With the largest norm M, a pair with ``x.y > t`` has an angle below ``acos(t / (|x| M))``.
+    If y is nearer to its pivot q than to any other, then x is at most twice that angle
+    farther from q than from its own pivot, and at most that angle farther from q than the
+    farthest row of q; x visits just the cells of higher number that satisfy both.
+    """
+    longest = rows.agg(F.max(_squared("vec"))).first()[0] if n else None
+    if not longest:
+        longest = 0.0
+    pivots, largest = _pivots(rows, n, cell_rows), math.sqrt(longest)
+    slack = 1e-6
+
+    def angles(matrix: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(_unit_rows(matrix) @ pivots.T, -1.0, 1.0))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            away = angles(_matrix(pa.chunked_array([batch["vec"]])))
+            cell = away.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(away.min(axis=1))],
+                names=["n", "vec", "cell", "away"],
+            )
+
+    kind = rows.schema["vec"].dataType.simpleString()
+    placed = rows.select("n", "vec").mapInArrow(place, f"n bigint, vec {kind}, cell int, away double")
+    if len(pivots) <= 1:
+        return _cell_pairs(placed.drop("away"), None, threshold, block)
+    placed = stage(placed, "placed")
+    radius = np.full(len(pivots), -1.0)
+    for r in placed.groupBy("cell").agg(F.max("away").alias("away")).collect():
+        radius[r["cell"]] = r["away"]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = _matrix(pa.chunked_array([batch["vec"]]))
+            reach = np.linalg.norm(matrix, axis=1) * largest
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosine = np.where(reach > 0, threshold / reach, np.inf if threshold >= 0 else -np.inf)
+            theta = np.arccos(np.clip(cosine, -1.0, 1.0))
+            # A product of zero vectors is zero, whatever the angle.
+            theta = np.where(threshold < 0, np.pi, theta)
+            away, home = angles(matrix), batch["cell"].to_numpy()
+            near = away <= away[np.arange(len(home)), home][:, None] + 2 * theta[:, None] + slack
+            near &= away <= radius[None, :] + theta[:, None] + slack
+            near &= (np.arange(len(pivots))[None, :] > home[:, None]) & (radius >= 0)[None, :]
+            near &= (cosine < 1)[:, None]
+            row, cell = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays(
+                [batch["n"].take(pa.array(row)), pa.array(cell, pa.int32())], names=["n", "cell"]
+            )
+
+    open_cells = stage(placed.mapInArrow(visit, "n bigint, cell int"), "visits")
+    visits = open_cells.join(placed.select("n", "vec"), "n")
+    return _cell_pairs(placed.drop("away"), visits, threshold, block)
+
+
+def projected_pairs(
+    rows: DataFrame, dim: int, threshold: float, block: int, tables: int, bits: int, seed: int = 1
+) -> DataFrame:
+    """Pairs above ``threshold`` that share a bucket of random hyperplanes; others are missed.
+
+    Every pair that is given was checked by its own product.
+    """
+    if not 1 <= bits <= MAX_BITS:
+        raise ValueError(f"bits must be from 1 to {MAX_BITS}")
+    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+    weights = 1 << np.arange(bits)
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            side = _matrix(pa.chunked_array([batch["vec"]])) @ planes > 0
+            codes = side.reshape(len(side), tables, bits) @ weights + (np.arange(tables) << bits)
+            row = pa.array(np.repeat(np.arange(len(side)), tables))
+            yield pa.RecordBatch.from_arrays(
+                [batch["n"].take(row), batch["vec"].take(row), pa.array(codes.ravel(), pa.int32())],
+                names=["n", "vec", "cell"],
+            )
+
+    kind = rows.schema["vec"].dataType.simpleString()
+    placed = rows.select("n", "vec").mapInArrow(bucket, f"n bigint, vec {kind}, cell int")
+    # The same product may differ in its last bits between tasks.
+    found = _cell_pairs(stage(placed, "buckets"), None, threshold, block)
+    return found.groupBy("src", "dst").agg(F.max("score").alias("score"))
+
+
+def _pairs(
+    distinct: DataFrame,
+    n: int,
+    threshold: float,
+    block_rows: int | None,
+    index: str,
+    options: dict,
+) -> DataFrame:
+    dim = _dimension(distinct, "vec")
+    block = _block_rows(dim, block_rows)
+    if index == "exact":
+        return exact_pairs(distinct, n, threshold, block, **options)
+    if index == "projections":
+        options = {"tables": 8, "bits": 10} | options
+        return projected_pairs(distinct, dim, threshold, block, **options)
+    raise ValueError("index is 'exact' or 'projections'")
 
 
 def first_copies(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec, id, copies``: distinct vectors with their smallest id; combined map-side."""
     return (
-        vectors.where(F.col(vec_col).isNotNull())
+        vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(vec_col).alias("vec"))
-        .agg(F.min(id_col).cast("bigint").alias("id"), F.count("*").alias("copies"))
+        .agg(F.min(id_col).alias("id"), F.count("*").alias("copies"))
     )
 
 
+def _distinct(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
+    numbered = _with_number(first_copies(vectors, id_col, vec_col), "id")
+    return _stage_counted(numbered, "distinct-vectors")
+
+
 def _copies_of(
     vectors: DataFrame, id_col: str, vec_col: str, firsts: DataFrame, payload: list[str]
 ) -> DataFrame:
     """``id`` and ``payload`` of the later copies of the vectors in ``firsts``; a vector that
     a third of all rows share is matched by broadcast."""
-    rows = vectors.select(F.col(vec_col).alias("vec"), F.col(id_col).cast("bigint").alias("id"))
-    joined = join_facts(rows, firsts, ["vec"], "copies", payload, hot_keys=256)
+    rows = vectors.select(F.col(vec_col).alias("vec"), F.col(id_col).alias("id"))
+    hot = max(1, HOT_BYTES // (8 * _dimension(vectors, vec_col)))
+    joined = join_facts(rows, firsts, ["vec"], "copies", payload, hot_keys=hot)
     return joined.where(F.col("id") > F.col("src")).select("id", *payload)
 
 
@@ -148,78 +309,99 @@ def similarity_join(
     vec_col: str,
     threshold: float = 0.9,
     block_rows: int | None = None,
+    index: str = "exact",
+    **options: int,
 ) -> DataFrame:
     """``src, dst, score`` with ``src < dst`` for all pairs above ``threshold``, by raw product.
 
     Pairs are listed between the first rows of distinct vectors; a further copy is listed
-    once, with its first row, if their own product is above the threshold.
+    once, with its first row, if their own product is above the threshold.  ``index`` is
+    "exact" (option ``cell_rows``) or "projections" (``tables``, ``bits``), which may miss
+    pairs.
     """
-    distinct, seen = _stage_counted(first_copies(vectors, id_col, vec_col), "distinct-vectors")
-    n = _block_count(distinct, seen, _dimension(distinct, "vec"), block_rows)
-
-    def pairs(ids_a, a, ids_b, b, same):
-        for start, scores in _tiles(a, b):
-            i, j = np.nonzero(scores > threshold)
-            x, y = ids_a[start + i], ids_b[j]
-            keep = x < y if same else np.ones(len(x), dtype=bool)
-            yield {
-                "src": np.minimum(x, y)[keep],
-                "dst": np.maximum(x, y)[keep],
-                "score": scores[i, j][keep],
-            }
-
-    found = _on_grid(
-        distinct.select("id", "vec"), None, pairs, "src bigint, dst bigint, score double", (n, n)
-    )
-    squared = F.aggregate(
-        "vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")
-    )
+    distinct, n = _distinct(vectors, id_col, vec_col)
+    found = _pairs(distinct, n, threshold, block_rows, index, options)
+    if _is_integer(vectors, id_col):
+        id_type = vectors.schema[id_col].dataType
+        found = found.withColumns({c: F.col(c).cast(id_type) for c in ("src", "dst")})
+    else:
+        for side in ("src", "dst"):
+            names = distinct.select(F.col("n").alias(side), F.col("id").alias(f"{side}_id"))
+            found = found.join(names, side).drop(side).withColumnRenamed(f"{side}_id", side)
     copied = (
         distinct.where("copies > 1")
-        .select("vec", "copies", F.col("id").alias("src"), squared.alias("score"))
+        .select("vec", "copies", F.col("id").alias("src"), _squared("vec").alias("score"))
         .where(F.col("score") > threshold)
     )
     copies = _copies_of(vectors, id_col, vec_col, copied, ["src", "score"])
-    return found.unionByName(copies.select("src", F.col("id").alias("dst"), "score"))
-
-
-def _has_lower_neighbour(open_rows: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Ids of rows with a neighbour of smaller id."""
-
-    def flags(ids_a, a, ids_b, b, same):
-        hit_a = np.zeros(len(ids_a), dtype=bool)
-        hit_b = np.zeros(len(ids_b), dtype=bool)
-        for start, scores in _tiles(a, b):
-            near = scores > threshold
-            rows = ids_a[start : start + TILE, None]
-            hit_a[start : start + TILE] |= (near & (ids_b[None, :] < rows)).any(axis=1)
-            if not same:
-                hit_b |= (near & (rows < ids_b[None, :])).any(axis=0)
-        yield {"id": np.concatenate([ids_a[hit_a], ids_b[hit_b]])}
-
-    return _on_grid(open_rows, None, flags, "id bigint", (n, n)).distinct()
+    return found.select("src", "dst", "score").unionByName(
+        copies.select("src", F.col("id").alias("dst"), "score")
+    )
 
 
-def _near_any(rows: DataFrame, kept: DataFrame, threshold: float, blocks) -> DataFrame:
-    """Ids of ``rows`` that are neighbours of some row of ``kept``."""
+def _dropped_by_scan(edges: DataFrame) -> DataFrame:
+    """``n`` of the rows that the scan drops, component by component.
 
-    def flags(ids_a, a, ids_b, b, same):
-        hit = np.zeros(len(ids_a), dtype=bool)
-        for start, scores in _tiles(a, b):
-            hit[start : start + TILE] = (scores > threshold).any(axis=1)
-        yield {"id": ids_a[hit]}
+    ``edges`` holds ``component, src, dst``, and each component few enough for one task.
+    """
 
-    return _on_grid(rows, kept, flags, "id bigint", blocks).distinct()
+    def scan(pairs: pa.Table) -> pa.Table:
+        pairs = pairs.sort_by("dst")
+        gone: set[int] = set()
+        for a, b in zip(pairs["src"].to_pylist(), pairs["dst"].to_pylist()):
+            if a not in gone:
+                gone.add(b)
+        return pa.table({"n": pa.array(sorted(gone), pa.int64())})
 
+    return edges.groupBy("component").applyInArrow(scan, "n bigint")
 
-def _scan_all(rows: DataFrame, threshold: float) -> DataFrame:
-    """Ids kept by one scan over all rows; for row counts known to be small."""
 
-    def scan(block: pa.Table) -> pa.Table:
-        block = block.sort_by("id")
-        return block.select(["id"]).filter(pa.array(greedy_scan(_matrix(block["vec"]), threshold)))
+def _drop_later_neighbours(
+    edges: DataFrame, left: int, rounds: int, scan_pairs: int, max_rounds: int
+) -> DataFrame | None:
+    """``n`` of the rows that a scan in the order of ``n`` drops, given the matching pairs.
 
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(scan, "id bigint")
+    In a round, rows that are no later end of a pair are kept for good, and their neighbours
+    dropped; pairs with a decided row go.  Every round is a written table, and the one before
+    it is removed.
+    """
+    spark = edges.sparkSession
+    path, schema = shared_path(spark, "dropped"), "n bigint"
+    if not left:
+        return None
+    for round_no in range(max_rounds):
+        if not left:
+            break
+        if round_no == rounds and scan_pairs:
+            # Chains take many rounds; most are short components that a task can scan.
+            parts = connected_components(edges, "src", "dst").withColumnRenamed("node", "src")
+            named = stage(edges.join(parts, "src"), "named-pairs")
+            small = named.groupBy("component").count().where(F.col("count") <= scan_pairs)
+            small = stage(small.select("component"), "small-components")
+            few = named.join(small, "component", "left_semi")
+            _dropped_by_scan(few).write.parquet(f"{path}/scan")
+            rest = named.join(small, "component", "left_anti").select("src", "dst")
+            done, (edges, left) = edges, _stage_counted(rest, "pairs")
+            remove(done)
+            if not left:
+                break
+        later = edges.select(F.col("dst").alias("src")).distinct()
+        kept = stage(edges.select("src").distinct().join(later, "src", "left_anti"), "kept")
+        dropped = edges.join(kept, "src", "left_semi").select(F.col("dst").alias("n")).distinct()
+        dropped.write.parquet(f"{path}/round-{round_no}")
+        gone = spark.read.schema(schema).parquet(f"{path}/round-{round_no}")
+        rest = (
+            edges.join(kept, "src", "left_anti")
+            .join(gone.withColumnRenamed("n", "src"), "src", "left_anti")
+            .join(gone.withColumnRenamed("n", "dst"), "dst", "left_anti")
+            .select("src", "dst")
+        )
+        done, (edges, left) = edges, _stage_counted(rest, "pairs")
+        remove(done, kept)
+    else:
+        raise RuntimeError(f"duplicates were not settled in {max_rounds} rounds")
+    # One folder per round: reading them back needs one scan however many rounds there were.
+    return spark.read.schema(schema).parquet(f"{path}/*")
 
 
 def greedy_dedup(
@@ -228,52 +410,30 @@ def greedy_dedup(
     vec_col: str,
     threshold: float = 0.9,
     block_rows: int | None = None,
+    index: str = "exact",
+    rounds: int = ROUNDS,
+    scan_pairs: int = SCAN_PAIRS,
     max_rounds: int = 10_000,
-    finish_rows: int = FINISH_ROWS,
+    **options: int,
 ) -> DataFrame:
     """Ids kept by a scan in id order that drops every later neighbour of a kept row.
 
-    The scan's result is reached in rounds: undecided rows without an undecided smaller
-    neighbour are kept, their neighbours dropped, until nothing is undecided.  A chain of
-    near duplicates takes as many rounds as it has kept members; unrelated rows are decided
-    in the first.  Only ids and flags leave the comparisons.  Once at most ``finish_rows``
-    rows are undecided, a number that fits in one block, one task scans them.
+    The pairs above the threshold are found once; rounds over the pairs then decide rows as
+    the scan would.  Pairs still undecided after ``rounds`` rounds are scanned component by
+    component where a component has at most ``scan_pairs`` of them; larger components go on
+    in rounds.
     """
-    spark = vectors.sparkSession
-    distinct, left = _stage_counted(first_copies(vectors, id_col, vec_col), "distinct-vectors")
-    dim = _dimension(distinct, "vec")
-    rows = distinct.select("id", "vec")
-    kept_path = shared_path(spark, "kept")
-    for round_no in range(max_rounds):
-        if left <= min(finish_rows, BLOCK_BYTES // (8 * dim)):
-            _scan_all(rows, threshold).write.parquet(f"{kept_path}/round={round_no}")
-            break
-        n = _block_count(rows, left, dim, block_rows)
-        waiting, n_waiting = _stage_counted(_has_lower_neighbour(rows, threshold, n), "waiting")
-        kept = rows.join(waiting, "id", "left_anti")
-        # One folder per round: reading them back needs one scan however many rounds there were.
-        kept.select("id").write.parquet(f"{kept_path}/round={round_no}")
-        if n_waiting == 0:
-            break
-        undecided = rows.join(waiting, "id", "left_semi")
-        blocks = (_block_count(undecided, n_waiting, dim, block_rows), n)
-        dropped = _near_any(undecided, kept, threshold, blocks)
-        rows, left = _stage_counted(undecided.join(dropped, "id", "left_anti"), "undecided")
-        if left == 0:
-            break
-    else:
-        raise RuntimeError(f"duplicates were not settled in {max_rounds} rounds")
-    keep = spark.read.schema("id bigint").parquet(kept_path).select("id")
+    distinct, n = _distinct(vectors, id_col, vec_col)
+    pairs = _pairs(distinct, n, threshold, block_rows, index, options).select("src", "dst")
+    edges, left = _stage_counted(pairs, "pairs")
+    dropped = _drop_later_neighbours(edges, left, rounds, scan_pairs, max_rounds)
+    keep = distinct if dropped is None else distinct.join(dropped, "n", "left_anti")
     # Copies of a vector are neighbours when its squared length exceeds the threshold;
     # otherwise they share the fate of the first one.
-    squared = F.aggregate(
-        "vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")
-    )
-    apart = distinct.where((F.col("copies") > 1) & (squared <= threshold))
-    apart = apart.join(keep, "id", "left_semi").select("vec", "copies", F.col("id").alias("src"))
+    apart = keep.where((F.col("copies") > 1) & (_squared("vec") <= threshold))
+    apart = apart.select("vec", "copies", F.col("id").alias("src"))
     more = _copies_of(vectors, id_col, vec_col, apart, ["src"]).select("id")
-    id_type = vectors.schema[id_col].dataType
-    return keep.unionByName(more).select(F.col("id").cast(id_type).alias(id_col))
+    return keep.select("id").unionByName(more).select(F.col("id").alias(id_col))
 
 
 def greedy_scan(matrix: np.ndarray, threshold: float) -> np.ndarray:
@@ -327,8 +487,12 @@ def two_pass_dedup(
     threshold: float = 0.9,
     batch_size: int = 100_000,
     block_rows: int | None = None,
+    **options,
 ) -> DataFrame:
-    """Ids kept by the scan over the survivors of the batches; raises on empty input."""
+    """Ids kept by the scan over the survivors of the batches; raises on empty input.
+
+    Further options are those of ``greedy_dedup``.
+    """
     present = vectors.where(F.col(vec_col).isNotNull())
     if present.isEmpty():
         raise ValueError("there are no vectors to deduplicate")
@@ -336,51 +500,101 @@ def two_pass_dedup(
     if first.where("batch > 0").isEmpty():
         return first.select(id_col)
     survivors = stage(present.join(first.select(id_col), id_col, "left_semi"), "survivors")
-    return greedy_dedup(survivors, id_col, vec_col, threshold, block_rows)
+    return greedy_dedup(survivors, id_col, vec_col, threshold, block_rows, **options)
 
 
-def nearest(
+def nearest_both(
     sources: DataFrame,
     targets: DataFrame,
     id_col: str,
     vec_col: str,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """``src, dst, score``: the most similar target of each source, the smallest id on a tie."""
+    """``forth, src, dst, score``: the most similar target of each source (``forth``), and the
+    most similar source of each target, by cosine; the smallest id on a tie.
 
-    def unit(df: DataFrame) -> DataFrame:
-        return df.where(F.col(vec_col).isNotNull()).select(
-            F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")
+    Every block of sources meets every block of targets once, in one task that finds both.
+    """
+    ids = sources.select(F.col(id_col).alias("id")).union(targets.select(id_col)).distinct()
+    ids = _with_number(ids.where("id is not null"), "id")
+
+    def numbered(df: DataFrame) -> DataFrame:
+        df = df.where(F.col(vec_col).isNotNull()).select(
+            F.col(id_col).alias("id"), F.col(vec_col).alias("vec")
         )
+        if _is_integer(df, "id"):
+            return df.where("id is not null").select(F.col("id").cast("bigint").alias("n"), "vec")
+        return df.join(ids, "id").select("n", "vec")
 
-    left, right = unit(sources), unit(targets)
-
-    def best(ids_a, a, ids_b, b, same):
-        order = np.argsort(ids_b, kind="stable")
-        ids_b, b = ids_b[order], _unit_rows(b[order])
-        a = _unit_rows(a)
-        for start, scores in _tiles(a, b):
-            scores = np.round(scores, 9)
-            at = scores.argmax(axis=1)
-            yield {
-                "src": ids_a[start : start + TILE],
-                "dst": ids_b[at],
-                "score": scores[np.arange(len(at)), at],
-            }
-
-    dim = _dimension(right, "vec")
-    blocks = tuple(_block_count(df, df.count(), dim, block_rows) for df in (left, right))
-    found = _on_grid(left, right, best, "src bigint, dst bigint, score double", blocks)
-    return (
-        found.groupBy("src")
+    left, n_left = _stage_counted(numbered(sources), "sources")
+    right, n_right = _stage_counted(numbered(targets), "targets")
+    block = _block_rows(_dimension(right, "vec"), block_rows)
+    rows, cols = max(1, math.ceil(n_left / block)), max(1, math.ceil(n_right / block))
+
+    def own(n: int) -> Column:
+        return F.pmod(F.xxhash64("n"), F.lit(n)).cast("int")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    cells = left.select(
+        own(rows).alias("row"), each(cols).alias("col"), F.lit(True).alias("is_row"), "n", "vec"
+    ).unionByName(
+        right.select(
+            each(rows).alias("row"), own(cols).alias("col"), F.lit(False).alias("is_row"), "n", "vec"
+        )
+    )
+    schema = pa.schema(
+        [("forth", pa.bool_()), ("src", pa.int64()), ("dst", pa.int64()), ("score", pa.float64())]
+    )
+
+    def best(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("n")
+        is_row = cell["is_row"].to_numpy()
+        n, matrix = cell["n"].to_numpy(), _unit_rows(_matrix(cell["vec"]))
+        sides = (n[is_row], matrix[is_row]), (n[~is_row], matrix[~is_row])
+        parts = []
+        for forth, (ids_a, a), (ids_b, b) in ((True, *sides), (False, *sides[::-1])):
+            top = np.full(len(a), -np.inf)
+            who = np.zeros(len(a), np.int64)
+            if not len(b):
+                continue
+            for i, j, scores in _tiles(a, b):
+                # Rounded, so that equal directions tie in every block.
+                np.round(scores, 9, out=scores)
+                at = scores.argmax(axis=1)
+                found = scores[np.arange(len(at)), at]
+                better = found > top[i : i + TILE]
+                top[i : i + TILE] = np.where(better, found, top[i : i + TILE])
+                who[i : i + TILE] = np.where(better, ids_b[j + at], who[i : i + TILE])
+            parts.append(pa.table([np.full(len(a), forth), ids_a, who, top], schema=schema))
+        return pa.concat_tables([schema.empty_table(), *parts])
+
+    found = cells.groupBy("row", "col").applyInArrow(
+        best, "forth boolean, src bigint, dst bigint, score double"
+    )
+    found = (
+        found.groupBy("forth", "src")
         .agg(F.max(F.struct("score", (-F.col("dst")).alias("neg"))).alias("b"))
-        .select("src", (-F.col("b.neg")).alias("dst"), F.col("b.score").alias("score"))
+        .select("forth", "src", (-F.col("b.neg")).alias("dst"), F.col("b.score").alias("score"))
     )
+    if _is_integer(sources, id_col):
+        return found
+    for side in ("src", "dst"):
+        names = ids.select(F.col("n").alias(side), F.col("id").alias(f"{side}_id"))
+        found = found.join(names, side).drop(side).withColumnRenamed(f"{side}_id", side)
+    return found.select("forth", "src", "dst", "score")
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+def nearest(
+    sources: DataFrame,
+    targets: DataFrame,
+    id_col: str,
+    vec_col: str,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """``src, dst, score``: the most similar target of each source, the smallest id on a tie."""
+    return nearest_both(sources, targets, id_col, vec_col, block_rows).where("forth").drop("forth")
 
 
 def translation_retrieval_accuracy(
@@ -390,9 +604,6 @@ def translation_retrieval_accuracy(
     sources = pairs.select(id_col, F.col(source_vec).alias("vec"))
     targets = pairs.select(id_col, F.col(target_vec).alias("vec"))
     hit = F.avg((F.col("src") == F.col("dst")).cast("double"))
-    forth = nearest(sources, targets, id_col, "vec", block_rows)
-    back = nearest(targets, sources, id_col, "vec", block_rows)
-    both = forth.withColumn("way", F.lit("src2trg")).unionByName(
-        back.withColumn("way", F.lit("trg2src"))
-    )
-    return both.groupBy("way").agg(hit.alias("accuracy"))
+    both = nearest_both(sources, targets, id_col, "vec", block_rows)
+    way = F.when(F.col("forth"), "src2trg").otherwise("trg2src")
+    return both.groupBy(way.alias("way")).agg(hit.alias("accuracy"))

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-_local_roots: dict[str, str] = {}
-
-
 def shared_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a fresh local one only under a local master."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="corpusweave-")
-    return _local_roots[app]
+    return root.rstrip("/")
+
+
+def default_root(spark: SparkSession) -> None:
+    """For tests and trials: name a temporary folder where none is set and all is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpusweave-"))
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -36,7 +36,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def remove(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in staged:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage_observed(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:

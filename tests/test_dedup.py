@@ -120,12 +120,16 @@ def cloud(n, seed, copies=()):
 COPIES = [(3, 9), (3, 40), (10, 11), (0, 59)]
 
 
-@pytest.mark.parametrize("seed, threshold, finish", [(1, 0.8, 0), (2, 0.2, 0), (3, 0.5, 20), (4, 0.4, 999)])
-def test_greedy_removal_equals_the_scan(spark, seed, threshold, finish):
+@pytest.mark.parametrize(
+    "seed, threshold, rounds, scan_pairs",
+    [(1, 0.8, 8, 99), (2, 0.2, 8, 0), (3, 0.5, 0, 10**6), (4, 0.4, 1, 10**6), (5, -0.1, 0, 5), (6, 0.0, 2, 3)],
+)
+def test_greedy_removal_equals_the_scan(spark, seed, threshold, rounds, scan_pairs):
     matrix = cloud(60, seed, COPIES)
     got = sim.greedy_dedup(
-        vectors(spark, matrix), "vec_id", "embedding", threshold, block_rows=17, finish_rows=finish
-    )
+        vectors(spark, matrix), "vec_id", "embedding", threshold, block_rows=7, cell_rows=9,
+        rounds=rounds, scan_pairs=scan_pairs,
+    )
     assert sorted(r["vec_id"] for r in got.collect()) == naive_greedy(matrix, threshold)
 
 
@@ -133,7 +137,7 @@ def test_greedy_removal_of_a_chain(spark):
     angles = np.arange(12) * 0.3
     matrix = np.stack([np.cos(angles), np.sin(angles)], axis=1)
     got = sim.greedy_dedup(
-        vectors(spark, matrix), "vec_id", "embedding", 0.95, block_rows=5, finish_rows=0
+        vectors(spark, matrix), "vec_id", "embedding", 0.95, block_rows=5, rounds=2
     )
     assert sorted(r["vec_id"] for r in got.collect()) == [0, 2, 4, 6, 8, 10]
 
@@ -144,17 +148,83 @@ def test_greedy_removal_with_a_hot_group(spark):
     matrix[::3] = matrix[0] + rng.normal(size=(30, 24)) * 1e-3
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
     got = sim.greedy_dedup(
-        vectors(spark, matrix), "vec_id", "embedding", 0.9, block_rows=20, finish_rows=0
+        vectors(spark, matrix), "vec_id", "embedding", 0.9, block_rows=20, cell_rows=10
     )
     assert sorted(r["vec_id"] for r in got.collect()) == [0, *(i for i in range(90) if i % 3)]
 
 
 def test_zero_vectors_have_no_neighbours(spark):
     matrix = np.zeros((4, 3))
-    got = sim.greedy_dedup(vectors(spark, matrix), "vec_id", "embedding", 0.5, finish_rows=0)
+    got = sim.greedy_dedup(vectors(spark, matrix), "vec_id", "embedding", 0.5)
     assert sorted(r["vec_id"] for r in got.collect()) == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.7, 0.3, 0.0, -0.2])
+@pytest.mark.parametrize("cell_rows, block_rows", [(10, 4), (25, 100), (1000, 1000)])
+def test_pivot_cells_find_every_pair(spark, threshold, cell_rows, block_rows):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(6, 5))
+    matrix = centres[rng.integers(0, 6, 70)] + rng.normal(size=(70, 5)) * 0.3
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix *= rng.uniform(0.6, 1.2, size=(70, 1))
+    matrix[13] = 0
+    got = sim.similarity_join(
+        vectors(spark, matrix), "vec_id", "embedding", threshold, block_rows, cell_rows=cell_rows
+    )
+    pairs = [(r["src"], r["dst"]) for r in got.collect()]
+    scores = matrix @ matrix.T
+    assert sorted(pairs) == [(i, j) for i in range(70) for j in range(i + 1, 70) if scores[i, j] > threshold]
+
+
+def test_cells_prune(spark):
+    # Tight clusters far from each other: hardly any row leaves its cell.
+    rng = np.random.default_rng(2)
+    matrix = np.repeat(np.eye(16), 20, axis=0) + rng.normal(size=(320, 16)) * 0.01
+    rows = vectors(spark, matrix).select(
+        "vec_id", "embedding"
+    ).toDF("n", "vec")
+    before = sim._cell_pairs
+    seen = {}
+
+    def counted(placed, visits, *rest):
+        seen["visits"] = 0 if visits is None else visits.count()
+        return before(placed, visits, *rest)
+
+    sim._cell_pairs = counted
+    try:
+        assert sim.exact_pairs(rows, 320, 0.9, 64, cell_rows=8).count() == 16 * 190
+    finally:
+        sim._cell_pairs = before
+    assert seen["visits"] < 320 * 6
+
+
+def test_projected_buckets_give_true_pairs(spark):
+    matrix = cloud(60, 3)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    scores = matrix @ matrix.T
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if scores[i, j] > 0.8}
+    table = vectors(spark, matrix)
+    for options, least in (({"tables": 24, "bits": 2}, 1.0), ({"tables": 4, "bits": 6}, 0.3)):
+        got = sim.similarity_join(table, "vec_id", "embedding", 0.8, 16, index="projections", **options)
+        pairs = [(r["src"], r["dst"]) for r in got.collect()]
+        assert len(set(pairs)) == len(pairs) and set(pairs) <= want
+        assert len(pairs) >= least * len(want)
+    with pytest.raises(ValueError):
+        sim.similarity_join(table, "vec_id", "embedding", index="flat")
+
+
+def test_ids_of_any_ordered_type(spark):
+    matrix = cloud(40, 8, COPIES[:1])
+    rows = [(f"v{i:03d}", [float(x) for x in v]) for i, v in enumerate(matrix)]
+    table = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = sim.greedy_dedup(table, "vec_id", "embedding", 0.4, block_rows=9, cell_rows=10)
+    assert sorted(r["vec_id"] for r in got.collect()) == [f"v{i:03d}" for i in naive_greedy(matrix, 0.4)]
+    pairs = sim.similarity_join(table, "vec_id", "embedding", 0.4, cell_rows=10)
+    assert all(r["src"] < r["dst"] for r in pairs.collect())
+    best = sim.nearest(table, table, "vec_id", "embedding", block_rows=8)
+    assert best.where("src = dst").count() >= 38
+
+
 def test_similarity_join_lists_copies_once(spark):
     matrix = cloud(40, 7, [(2, 5), (2, 8)])
     matrix[2] = matrix[5] = matrix[8] = [1, 0, 0, 0, 0, 0]
