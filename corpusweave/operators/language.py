@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions.batches import map_present
 from corpusweave.functions.text import newline_to_space
-from corpusweave.operators.filters import Verdict
+from corpusweave.operators.filters import Verdict, with_verdict
 from corpusweave.operators.formatting import ColumnFn
 from corpusweave.plans.partitions import spread
 from corpusweave.plans.skew import join_facts
@@ -22,94 +23,150 @@ ScoresFn = Callable[[list[str]], Sequence[Mapping[str, float]]]
 
 #: Log-probabilities are kept as integers of this unit, so that sums do not depend on order.
 UNIT = 1_000_000
-#: A model with more cells (grams x languages) than this is joined by shuffle instead.
+#: A model with at most so many cells (grams x languages) is broadcast and scores texts where
+#: they are; a larger one is joined by shuffle.
 BROADCAST_CELLS = 4_000_000
+#: More labels than this are taken for a mistake in the choice of the label column.
+MAX_LANGUAGES = 10_000
+
+
+def _line(text: Column) -> Column:
+    return F.lower(newline_to_space(text))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Overlapping ``n``-character substrings of lower-cased, single-line text."""
-    line = F.lower(newline_to_space(text))
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.regexp_extract_all(_line(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Naive Bayes over character n-grams: ``gram, n, s0, s1, ...``, one column per language."""
+    """Naive Bayes over character n-grams, add-one smoothed.
+
+    ``table`` has one row per gram: how often it occurred (``n``) and ``entries``, the score
+    ``s`` of each language number ``l`` in which it occurred; ``unseen`` holds the score of a
+    gram of the model in the languages in which it did not.
+    """
 
     table: DataFrame
     languages: tuple[str, ...]
+    unseen: tuple[int, ...]
     n: int
-    max_grams: int
+    grams: int
 
-    @property
-    def score_columns(self) -> list[str]:
-        return [f"s{i}" for i in range(len(self.languages))]
 
-
-def train_language_model(
-    docs: DataFrame, text_col: str, lang_col: str, n: int = 3, max_grams: int = 50_000
-) -> LanguageModel:
-    """Count n-grams per language; the ``max_grams`` most frequent ones, add-one smoothed.
-
-    ``max_grams`` is the size of the model (what a hashing model calls its buckets) and
-    bounds the table that scoring joins.
-    """
+def train_language_model(docs: DataFrame, text_col: str, lang_col: str, n: int = 3) -> LanguageModel:
+    """Count the n-grams of every labelled text per language; all of them are kept."""
     grams = spread(docs.select(lang_col, text_col)).select(
         F.col(lang_col).alias("lang"), F.explode(char_ngrams(F.col(text_col), n)).alias("gram")
     )
-    counts = stage(grams.groupBy("lang", "gram").count(), "gram-counts")
-    languages = tuple(r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect())
-    if not languages:
+    counts = stage(grams.where("lang is not null").groupBy("lang", "gram").count(), "gram-counts")
+    totals = counts.groupBy("lang").agg(F.sum("count").alias("total")).orderBy("lang")
+    found = totals.limit(MAX_LANGUAGES + 1).collect()
+    if not found:
         raise ValueError("the training table holds no labelled text")
-    # One row per gram with a count per language.
-    wide = counts.groupBy("gram").agg(
-        F.sum("count").alias("n"),
-        *[
-            F.sum(F.when(F.col("lang") == name, F.col("count")).otherwise(0)).alias(f"c{i}")
-            for i, name in enumerate(languages)
-        ],
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col!r} holds more than {MAX_LANGUAGES} languages")
+    size = counts.select("gram").distinct().count()
+    names = F.array(*[F.lit(r["lang"]) for r in found])
+    sums = F.array(*[F.lit(float(r["total"] + size)) for r in found])
+    number = (F.array_position(names, F.col("lang")) - 1).cast("int")
+
+    def score(count: Column, total: Column) -> Column:
+        return F.round(F.log((count + 1) / total) * UNIT, 0).cast("bigint")
+
+    entry = F.struct(
+        number.alias("l"), score(F.col("count"), F.get(sums, number)).alias("s")
+    )
+    table = counts.groupBy("gram").agg(
+        F.sum("count").alias("n"), F.collect_list(entry).alias("entries")
+    )
+    unseen = docs.sparkSession.range(1).select(F.transform(sums, lambda t: score(F.lit(0), t)))
+    return LanguageModel(
+        stage(table, "gram-model"), tuple(r["lang"] for r in found), tuple(unseen.first()[0]), n, size
     )
-    top = wide.orderBy(F.col("n").desc(), "gram").limit(max_grams)
-    top = stage(top, "gram-model")
-    totals = top.agg(
-        F.count("*").alias("v"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(languages))]
-    ).first()
-    scores = [
-        F.round(F.log((F.col(f"c{i}") + 1) / F.lit(float(totals[f"c{i}"] + totals["v"]))) * UNIT, 0)
-        .cast("bigint")
-        .alias(f"s{i}")
-        for i in range(len(languages))
-    ]
-    return LanguageModel(top.select("gram", "n", *scores), languages, n, max_grams)
 
 
-def language_scores(
-    docs: DataFrame, id_col: str, text_col: str, model: LanguageModel
-) -> DataFrame:
-    """``id_col, scores``: a probability per language, for every document.
+def _scored_in_place(text: Column, model: LanguageModel) -> Column:
+    """Scores by the broadcast model; rows stay where they are."""
+    rows = model.table.select("gram", "entries").collect()
+    place = {r["gram"]: i for i, r in enumerate(rows)}
+    # The last row stands for grams outside the model.
+    scores = np.tile(np.array(model.unseen, np.int64), (len(rows) + 1, 1))
+    scores[-1] = 0
+    for i, r in enumerate(rows):
+        for e in r["entries"]:
+            scores[i, e["l"]] = e["s"]
+    shipped = model.table.sparkSession.sparkContext.broadcast((place, scores))
+    names, n = model.languages, model.n
+
+    @F.pandas_udf("map<string,double>")
+    def score(lines: pd.Series) -> pd.Series:
+        place, scores = shipped.value
+        other = len(scores) - 1
+
+        def one(line: str) -> dict[str, float]:
+            at = [place.get(line[i : i + n], other) for i in range(len(line) - n + 1)]
+            sums = scores[at].sum(axis=0) if at else np.zeros(len(names))
+            odds = np.exp((sums - sums.max()) / UNIT)
+            return dict(zip(names, (odds / odds.sum()).tolist()))
+
+        return lines.map(one, na_action="ignore").astype(object)
 
-    The bounded model meets the exploded n-grams by broadcast, sums are combined before the
-    shuffle, so one short row per document crosses the network.
+    return score(_line(text))
+
+
+def _scored_by_shuffle(docs: DataFrame, text_col: str, model: LanguageModel, out: str) -> DataFrame:
+    """Scores by a join of counted grams, for models too large to broadcast.
+
+    The rows are numbered in a written table, so that they find their scores again.
     """
-    names = model.score_columns
-    grams = spread(docs.select(id_col, text_col)).select(
-        id_col, F.explode_outer(char_ngrams(F.col(text_col), model.n)).alias("gram")
+    row, count = "_language_row", len(model.languages)
+    kept = stage(docs.withColumn(row, F.monotonically_increasing_id()), "language-rows")
+    grams = kept.select(row, F.explode(char_ngrams(F.col(text_col), model.n)).alias("gram"))
+    counted = grams.groupBy(row, "gram").agg(F.count("*").alias("times"))
+    met = join_facts(counted, model.table, ["gram"], "n", ["entries"]).where("entries is not null")
+    known = met.groupBy(row).agg(F.sum("times").alias("known"))
+    unseen = F.array(*[F.lit(u) for u in model.unseen])
+    gain = (F.col("e.s") - F.get(unseen, F.col("e.l"))) * F.col("times")
+    gains = (
+        met.select(row, "times", F.explode("entries").alias("e"))
+        .groupBy(row, F.col("e.l").alias("l"))
+        .agg(F.sum(gain).alias("gain"))
+        .groupBy(row)
+        .agg(F.map_from_entries(F.collect_list(F.struct("l", "gain"))).alias("gains"))
     )
-    if model.max_grams * len(names) <= BROADCAST_CELLS:
-        scored = grams.join(F.broadcast(model.table.drop("n")), "gram", "left")
-    else:
-        # Counting first leaves one row per document and gram for the shuffled join.
-        counted = grams.groupBy(id_col, "gram").agg(F.count("*").alias("times"))
-        joined = join_facts(counted, model.table, ["gram"], "n", names)
-        scored = joined.withColumns({s: F.col(s) * F.col("times") for s in names})
-    sums = scored.groupBy(id_col).agg(
-        *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in names]
+    sums = F.transform(
+        F.sequence(F.lit(0), F.lit(count - 1)),
+        lambda l: F.get(unseen, l) * F.coalesce("known", F.lit(0))
+        + F.coalesce(F.try_element_at("gains", l), F.lit(0)),
     )
-    top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-    odds = [F.exp((F.col(s) - top) / float(UNIT)) for s in names]
-    total = sum(odds[1:], odds[0])
-    pairs = [x for name, odd in zip(model.languages, odds) for x in (F.lit(name), odd / total)]
-    return sums.select(id_col, F.create_map(*pairs).alias("scores"))
+    names = F.array(*[F.lit(name) for name in model.languages])
+    odds = F.transform("_sums", lambda s: F.exp((s - F.array_max("_sums")) / float(UNIT)))
+    total = F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)
+    shares = F.map_from_arrays(names, F.transform("_odds", lambda o: o / F.col("_total")))
+    scored = (
+        kept.join(known, row, "left")
+        .join(gains, row, "left")
+        .withColumn("_sums", sums)
+        .withColumn("_odds", odds)
+        .withColumn("_total", total)
+    )
+    scores = F.when(F.col(text_col).isNotNull(), shares)
+    return scored.select(*docs.columns, scores.alias(out))
+
+
+def language_scores(
+    docs: DataFrame,
+    text_col: str,
+    model: LanguageModel,
+    out: str = "scores",
+    broadcast_cells: int = BROADCAST_CELLS,
+) -> DataFrame:
+    """``docs`` with a map ``out``: a probability per language; null for null texts."""
+    if model.grams * len(model.languages) <= broadcast_cells:
+        return spread(docs).withColumn(out, _scored_in_place(F.col(text_col), model))
+    return _scored_by_shuffle(docs, text_col, model, out)
 
 
 def predicted_scores(load: Callable[[], ScoresFn]) -> ColumnFn:
@@ -193,3 +250,20 @@ class LanguageFilter:
             values = F.map_values(self._restricted(F.col(scores)))
             keep = F.exists(values, lambda v: v > self.language_threshold)
         return Verdict(F.coalesce(keep, F.lit(False)), F.lit(None).cast("string"))
+
+
+def language_filter(
+    docs: DataFrame, text_col: str, scores: LanguageModel | ColumnFn, rule: LanguageFilter
+) -> DataFrame:
+    """``docs`` with its languages and a verdict, ready for the writer of kept and dropped rows.
+
+    ``scores`` is a trained model, or a column function such as ``predicted_scores`` gives.
+    Adds ``language``, ``language_score``, ``keep`` and ``drop_reason`` (and
+    ``top_language_scores`` if the rule asks for them).
+    """
+    if isinstance(scores, LanguageModel):
+        scored = language_scores(docs, text_col, scores, "_scores")
+    else:
+        scored = docs.withColumn("_scores", scores(F.col(text_col)))
+    labelled = rule.label(scored, "_scores")
+    return with_verdict(labelled, rule.verdict("_scores")).drop("_scores")

@@ -34,7 +34,7 @@ def test_language_scores_and_filter(spark, model):
     rows = [(0, "the other house"), (1, "другие животные"), (2, "les autres\nmaisons"), (3, "")]
     docs = spark.createDataFrame(rows, "id int, text string")
     wanted = lg.LanguageFilter(["eng", "rus"], language_threshold=0.5)
-    scored = lg.language_scores(docs, "id", "text", model)
+    scored = lg.language_scores(docs, "text", model)
     judged = wanted.label(scored).withColumn("keep", wanted.verdict().keep).orderBy("id").collect()
     assert [(r["language"], r["keep"]) for r in judged[:3]] == [
         ("eng", True),
@@ -45,12 +45,30 @@ def test_language_scores_and_filter(spark, model):
     assert sum(judged[0]["scores"].values()) == pytest.approx(1)
 
 
-def test_both_ways_of_joining_the_model_agree(spark, model, monkeypatch):
-    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TRAIN)], "id int, text string")
-    first = {r["id"]: r["scores"] for r in lg.language_scores(docs, "id", "text", model).collect()}
-    monkeypatch.setattr(lg, "BROADCAST_CELLS", 0)
-    other = {r["id"]: r["scores"] for r in lg.language_scores(docs, "id", "text", model).collect()}
-    assert first == other
+def test_both_ways_of_meeting_the_model_agree(spark, model):
+    texts = [t for t, _ in TRAIN] + ["", None, "日本語のテキスト", TRAIN[0][0], "ab"]
+    docs = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "id int, text string")
+    both = [
+        sorted(
+            ((r["id"], r["text"], r["scores"] and {k: round(v, 12) for k, v in r["scores"].items()})
+             for r in lg.language_scores(docs, "text", model, broadcast_cells=cells).collect()),
+            key=str,
+        )
+        for cells in (0, 10**6)
+    ]
+    assert both[0] == both[1] and len(both[0]) == len(texts)
+    assert [s for _, t, s in both[0] if t is None] == [None]
+
+
+def test_language_filter_keeps_the_table(spark, model):
+    docs = spark.createDataFrame(
+        [(1, "the other house", "x"), (1, "les autres maisons", "y"), (2, None, "z")], "id int, text string, more string"
+    )
+    judged = lg.language_filter(docs, "text", model, lg.LanguageFilter("eng", 0.5))
+    assert judged.columns == [*docs.columns, "language", "language_score", "keep", "drop_reason"]
+    assert {r["more"]: (r["language"], r["keep"]) for r in judged.collect()} == {
+        "x": ("eng", True), "y": ("fra", False), "z": (None, False)
+    }
 
 
 @pytest.mark.parametrize(
