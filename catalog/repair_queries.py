@@ -104,6 +104,30 @@ def decode_inconsistent_utf8(spark, sf_dir):
     )
 
 
+# Characters of the second halves of the Cyrillic code page, by which bytes become text.
+CYRILLIC = "".join(fx._char(b, "cp1251") for b in range(0x80, 0x100))
+
+
+@query(ORIGINAL)
+def fix_encoding_cyrillic(spark, sf_dir):
+    """UTF-8 bytes read as Windows-1251, in every second line only."""
+    high = "".join(map(chr, range(0x80, 0x100)))
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.when(i % 2 == 0, F.translate(misread(line), high, CYRILLIC)).otherwise(line),
+    )
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    broken = docs.select("doc_id", F.array_join(lines, "\n").alias("text"))
+    # One misread sequence in a line is not enough evidence outside Latin-1.
+    few = F.exists(
+        F.split(F.col("original"), "\n"),
+        lambda line: F.char_length(F.regexp_replace(line, r"[\x00-\x7F]", "")).between(1, 2),
+    )
+    both = broken.join(docs.select("doc_id", F.col("text").alias("original")), "doc_id")
+    fixed = fx.fix_encoding(F.col("text"))
+    return both.select("doc_id", F.when(few, F.col("original")).otherwise(fixed).alias("text"))
+
+
 @query("SELECT doc_id, replace(text, ' ', ' “') AS text FROM documents")
 def fix_c1_controls(spark, sf_dir):
     return repaired(spark, sf_dir, lambda t: swap(t, " ", " \x93"), fx.fix_c1_controls)

@@ -1,8 +1,9 @@
 """Text repair: one switchable chain of column expressions.
 
 Everything but entity names, mis-decoded text and Unicode normal forms is a built-in
-expression.  Those three need Python and see only the rows that can change: other rows
-reach the Arrow worker as nulls.
+expression.  Those need Python and see only the rows that can change: other rows reach the
+Arrow worker as nulls.  Entities and mis-decoded text are repaired in one pass over the lines
+of a text, each line until nothing changes any more.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,11 +53,6 @@ CONTROL = r"[\x00-\x08\x0B\x0E-\x1F\x7F\x{206A}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFC
 NORMAL_FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
-def _cp1252(byte: int) -> str:
-    """Windows-1252 character of a byte; the five undefined bytes keep their C1 control."""
-    return bytes([byte]).decode("cp1252", errors="ignore") or chr(byte)
-
-
 def _where(applies: Column, text: Column, fn: Callable[[Column], Column]) -> Column:
     """Run a Python-backed ``fn`` on the rows where ``applies`` holds; keep the others."""
     return F.coalesce(fn(F.when(applies, text)), text)
@@ -67,75 +64,102 @@ def _replace_all(text: Column, pattern: str, by: str) -> Column:
 
 # --- entities ------------------------------------------------------------------------
 
-_ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,23});")
+_ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+_ENTITY_HINT = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _entity(match: re.Match) -> str:
+    """The character of a reference; a name that is in no entity table stays as it is."""
+    name = match[0][1:]
+    if name[0] == "#":
+        return html.unescape(match[0])
+    if name in html5:
+        return html5[name]
+    # A name in capitals stands for the capital letter.
+    low = html5.get(name.lower(), "") if name.isupper() else ""
+    return low.upper() if low.isalpha() else match[0]
 
 
 def _decode_entities(text: str) -> str:
-    while (decoded := _ENTITY.sub(lambda m: html.unescape(m[0]), text)) != text:
+    while (decoded := _ENTITY.sub(_entity, text)) != text:
         text = decoded
     return text
 
 
-def _decode_entities_before_markup(text: str) -> str:
-    """Stop at the first line that holds a ``<``: from there on the text may be markup."""
-    markup = text.find("<")
-    if markup < 0:
-        return _decode_entities(text)
-    line = text.rfind("\n", 0, markup) + 1
-    return _decode_entities(text[:line]) + text[line:]
-
-
-def unescape_html(text: Column, mode: str | bool = "auto") -> Column:
-    """Decode character references; ``"auto"`` leaves text from the first tag line on alone."""
-    if mode is False:
-        return text
-    decode = _decode_entities_before_markup if mode == "auto" else _decode_entities
+# --- text decoded with the wrong single-byte encoding -----------------------------------
 
-    @F.pandas_udf("string")
-    def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(decode, na_action="ignore")
+# Encodings by which UTF-8 is misread, in the order in which they are tried
+# after Latin-1 and Windows-1252.
+OTHER_ENCODINGS = (
+    "cp1251", "cp1250", "cp1253", "cp1254", "cp1257", "iso8859_2", "mac_roman", "cp437"
+)
 
-    return _where(text.rlike("&[#A-Za-z][^;]{1,24};"), text, unescape)
 
+def _char(byte: int, encoding: str) -> str:
+    """Character of a byte; undefined bytes keep their C1 control."""
+    return bytes([byte]).decode(encoding, errors="ignore") or chr(byte)
 
-# --- text decoded with the wrong single-byte encoding -----------------------------------
 
 #: Windows-1252 characters as the Latin-1 character of the same byte; a lost character as
 #: the substitute control.
-_LATIN = {ord(_cp1252(b)): b for b in range(0x80, 0xA0)} | {0xFFFD: 0x1A}
+_LATIN = {ord(_char(b, "cp1252")): b for b in range(0x80, 0xA0)} | {0xFFFD: 0x1A}
 
 
-def _class(low: int, high: int) -> str:
-    chars = {c for b in range(low, high + 1) for c in (chr(b), _cp1252(b))}
+def _table(encoding: str) -> dict[int, int]:
+    """Characters as the Latin-1 character of their byte; all others leave Latin-1."""
+    outside = dict.fromkeys(range(0x80, 0x100), 0xFFFF)
+    return outside | {ord(_char(b, encoding)): b for b in range(0x80, 0x100)} | {0xFFFD: 0x1A}
+
+
+_TABLES = [_LATIN, *map(_table, OTHER_ENCODINGS)]
+
+
+def _class(low: int, high: int, *encodings: str) -> str:
+    chars = {_char(b, e) for b in range(low, high + 1) for e in encodings}
     return "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(chars)) + "]"
 
 
-_TRAIL = _class(0x80, 0xBF)
-_TWO = _class(0xC2, 0xDF) + _TRAIL
-_LONG = f"{_class(0xE0, 0xEF)}{_TRAIL}{{2}}|{_class(0xF0, 0xF4)}{_TRAIL}{{3}}"
+def _sequences(*encodings: str) -> tuple[str, str, str]:
+    """Patterns of a trailing byte, a two-byte sequence and a longer one."""
+    trail = _class(0x80, 0xBF, *encodings)
+    long_ = f"{_class(0xE0, 0xEF, *encodings)}{trail}{{2}}|{_class(0xF0, 0xF4, *encodings)}{trail}{{3}}"
+    return trail, _class(0xC2, 0xDF, *encodings) + trail, long_
+
+
+_TRAIL, _TWO, _LONG = _sequences("latin-1", "cp1252")
 #: A lone two-character sequence is only trusted with the lead characters Â and Ã; after
-#: other capitals it may be real text, so two in a row are asked for.
-_SEQUENCES = re.compile(f"(?:{_LONG}|[\u00c2\u00c3]{_TRAIL})+|(?:{_TWO}|{_LONG}){{2,}}")
-_MISREAD_HINT = f"{_class(0xC2, 0xF4)}(?:{_TRAIL}|[ \\x1A\\uFFFD])"
+#: other capitals it may be real text, so two in a row are asked for, and of the other
+#: encodings three.
+_PARTS = [
+    (_LATIN, re.compile(f"(?:{_LONG}|[\u00c2\u00c3]{_TRAIL})+|(?:{_TWO}|{_LONG}){{2,}}")),
+    *(
+        (_table(e), re.compile("(?:{1}|{2}){{3,}}".format(*_sequences(e))))
+        for e in OTHER_ENCODINGS
+    ),
+]
+_EVERY = ("latin-1", "cp1252", *OTHER_ENCODINGS)
+_MISREAD_HINT = f"{_class(0xC2, 0xF4, *_EVERY)}(?:{_class(0x80, 0xBF, *_EVERY)}|[ \\x1A\\uFFFD])"
 _LOST_BYTE = re.compile(rb"[\xc2-\xdf]\x1a|[\xe0-\xef](?:\x1a[\x80-\xbf\x1a]|[\x80-\xbf]\x1a)")
+_MULTIBYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xf4][\x80-\xbf]{2,3}")
 
 
-def _as_bytes(text: str) -> bytes | None:
+def _as_bytes(text: str, table: dict[int, int]) -> bytes | None:
     try:
-        return text.translate(_LATIN).encode("latin-1")
+        return text.translate(table).encode("latin-1")
     except UnicodeEncodeError:
         return None
 
 
-def _redecode(text: str, restore_a0: bool, lossy: bool) -> str | None:
-    """Read the whole text as the UTF-8 it was before a single-byte decoder saw it."""
-    raw = _as_bytes(text)
+def _redecode(text: str, table: dict[int, int], restore_a0: bool, lossy: bool) -> str | None:
+    """Read all of a line as the UTF-8 it was before a single-byte decoder saw it."""
+    raw = _as_bytes(text, table)
     if raw is None or raw.isascii():
         return None
+    if table is not _LATIN and len(_MULTIBYTE.findall(raw)) < 2:
+        return None
     if restore_a0:
         raw = re.sub(rb"\xc3 (?=[^ \x80-\xff])", b"\xc3\xa0 ", raw)
-        raw = re.sub(rb"([\xc2\xc3]) ", b"\\1\xa0", raw)
+        raw = re.sub(rb"([\xc2-\xdf]) ", b"\\1\xa0", raw)
     if lossy:
         raw = _LOST_BYTE.sub("\ufffd".encode(), raw)
     try:
@@ -144,39 +168,93 @@ def _redecode(text: str, restore_a0: bool, lossy: bool) -> str | None:
         return None
 
 
-def _redecode_sequence(match: re.Match) -> str:
-    raw = _as_bytes(match[0])
-    try:
-        return match[0] if raw is None else raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return match[0]
+def _redecode_parts(text: str) -> str:
+    """Read those parts as UTF-8 that were misread, whatever stands around them."""
+    for table, pattern in _PARTS:
 
+        def read(match: re.Match, table=table) -> str:
+            raw = _as_bytes(match[0], table)
+            try:
+                return match[0] if raw is None else raw.decode("utf-8")
+            except UnicodeDecodeError:
+                return match[0]
 
-def fix_encoding(
-    text: Column,
-    restore_byte_a0: bool = True,
-    replace_lossy_sequences: bool = True,
-    decode_inconsistent_utf8: bool = True,
-) -> Column:
-    """Undo UTF-8 read as Latin-1 or Windows-1252, for the whole text or, where only parts
-    of it were misread, sequence by sequence."""
+        fixed = pattern.sub(read, text)
+        if fixed != text:
+            return fixed
+    return text
+
+
+def _fix_line_encoding(
+    line: str, restore_a0: bool, lossy: bool, parts: bool, again: bool = False
+) -> str:
+    """Text may have been misread more than once, so this goes on until nothing changes.
+
+    A replacement character that an earlier pass has put there is no lost byte any more.
+    """
+    while not line.isascii():
+        tables = () if again and "\ufffd" in line else _TABLES
+        whole = (_redecode(line, table, restore_a0, lossy) for table in tables)
+        fixed, again = next((w for w in whole if w is not None), None), True
+        if fixed is None and parts:
+            fixed = _redecode_parts(line)
+        if fixed is None or fixed == line:
+            break
+        line = fixed
+    return line
+
+
+_LINES = re.compile(r"[^\n]*\n|[^\n]+")
+
+
+def _python_repairs(text: Column, entities: str | bool, encoding: tuple | None) -> Column:
+    """Entities and encoding of each line; ``encoding`` holds the three switches, or None.
+
+    With the mode "auto", entities are left alone from the first line on that holds a ``<``:
+    from there on the text may be markup.
+    """
 
     def repair(value: str) -> str:
-        for _ in range(4):  # text may have been misread more than once
-            fixed = _redecode(value, restore_byte_a0, replace_lossy_sequences)
-            if fixed is None and decode_inconsistent_utf8:
-                fixed = _SEQUENCES.sub(_redecode_sequence, value)
-            if fixed is None or fixed == value:
-                break
-            value = fixed
-        return value
+        decode, out = bool(entities), []
+        for line in _LINES.findall(value):
+            decode = decode and not (entities == "auto" and "<" in line)
+            again = False
+            while True:
+                fixed = _decode_entities(line) if decode else line
+                if encoding:
+                    fixed = _fix_line_encoding(fixed, *encoding, again)
+                if fixed == line:
+                    break
+                line, again = fixed, True
+            out.append(line)
+        return "".join(out)
 
     @F.pandas_udf("string")
-    def redecode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(repair, na_action="ignore")
 
-    return _where(text.rlike(_MISREAD_HINT), text, redecode)
+    hints = [_ENTITY_HINT] * bool(entities) + [_MISREAD_HINT] * bool(encoding)
+    if not hints:
+        return text
+    return _where(text.rlike("|".join(hints)), text, apply)
+
+
+def unescape_html(text: Column, mode: str | bool = "auto") -> Column:
+    """Decode character references; ``"auto"`` leaves text from the first tag line on alone."""
+    return _python_repairs(text, mode, None)
+
+
+def fix_encoding(
+    text: Column,
+    restore_byte_a0: bool = True,
+    replace_lossy_sequences: bool = True,
+    decode_inconsistent_utf8: bool = True,
+) -> Column:
+    """Undo UTF-8 read in a single-byte encoding, for whole lines or, where only parts of a
+    line were misread, sequence by sequence."""
+    switches = (restore_byte_a0, replace_lossy_sequences, decode_inconsistent_utf8)
+    return _python_repairs(text, False, switches)
 
 
 # --- built-in expressions ---------------------------------------------------------------
@@ -184,8 +262,8 @@ def fix_encoding(
 
 def fix_c1_controls(text: Column) -> Column:
     """C1 controls become the Windows-1252 characters of the same bytes."""
-    codes = [b for b in range(0x80, 0xA0) if _cp1252(b) != chr(b)]
-    return F.translate(text, "".join(map(chr, codes)), "".join(map(_cp1252, codes)))
+    codes = [b for b in range(0x80, 0xA0) if _char(b, "cp1252") != chr(b)]
+    return F.translate(text, "".join(map(chr, codes)), "".join(_char(b, "cp1252") for b in codes))
 
 
 def fix_latin_ligatures(text: Column) -> Column:
@@ -253,6 +331,7 @@ _REPAIRS = {
 }
 
 
+# The switches and their defaults.
 def fix_text(
     text: Column,
     *,
@@ -272,11 +351,8 @@ def fix_text(
     normalization: str | None = None,
 ) -> Column:
     """Repair a text column; each switch turns one repair on or off."""
-    text = _REPAIRS["unescape_html"](text, unescape_html)
-    if fix_encoding:
-        text = _REPAIRS["fix_encoding"](
-            text, restore_byte_a0, replace_lossy_sequences, decode_inconsistent_utf8
-        )
+    encoding = (restore_byte_a0, replace_lossy_sequences, decode_inconsistent_utf8)
+    text = _python_repairs(text, unescape_html, encoding if fix_encoding else None)
     switches = {
         "fix_c1_controls": fix_c1_controls,
         "fix_latin_ligatures": fix_latin_ligatures,

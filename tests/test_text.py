@@ -30,6 +30,13 @@ def one(spark, value, fn):
         (fx.fix_encoding, "CAFÉ» et ÂGE", "CAFÉ» et ÂGE"),
         (fx.fix_encoding, "voilÃ  lÃ ", "voilà là"),
         (fx.fix_encoding, "SÃ£o TomÃ©, Ã¼ber", "São Tomé, über"),
+        (fx.fix_encoding, "РџСЂРёРІРµС‚", "Привет"),
+        (fx.fix_encoding, "слово РџСЂРёРІРµС‚ éé", "слово Привет éé"),
+        (fx.fix_encoding, "Чистый текст, её В° Г—", "Чистый текст, её В° Г—"),
+        (fx.fix_encoding, "ĹĽĂłĹ‚w", "żółw"),
+        (fx.fix_encoding, "┬½caf├⌐┬╗", "«café»"),
+        (fx.unescape_html, "&copyright; &sectional; &copy; &EACUTE;", "&copyright; &sectional; © É"),
+        (fx.unescape_html, "&CounterClockwiseContourIntegral; &#x1F600; &#00000000065;", "∳ 😀 A"),
         (fx.fix_c1_controls, "\x93quoted\x94", "“quoted”"),
         (fx.fix_latin_ligatures, "ﬁﬂﬃ Ĳ", "fiflffi IJ"),
         (fx.fix_character_width, "ＬＯＵＤ　ｶﾅ", "LOUD カナ"),
@@ -42,6 +49,42 @@ def test_string_functions(spark, fn, given, expected):
     assert one(spark, given, fn) == expected
 
 
+def misread(text, encoding, times=1):
+    for _ in range(times):
+        text = "".join(fx._char(b, encoding) if b > 127 else chr(b) for b in text.encode())
+    return text
+
+
+@pytest.mark.parametrize(
+    "encoding, text",
+    [
+        ("latin-1", "с и ты в лесу с ним"),
+        ("cp1252", "élève à côté, señor"),
+        ("cp1251", "Привет, и ты в лесу с ним"),
+        ("cp1250", "Zażółć gęślą jaźń"),
+        ("cp1253", "καλημέρα κόσμε"),
+        ("cp1254", "çok güzel bir gün"),
+        ("cp1257", "ąžuolas ir šuo"),
+        ("iso8859_2", "Příliš žluťoučký kůň"),
+        ("mac_roman", "garçon déjà élevé"),
+        ("cp437", "naïve café déjà"),
+    ],
+)
+def test_lines_misread_in_any_encoding(spark, encoding, text):
+    given = f"чистая строка, ещё\n{misread(text, encoding)}\nplain\nñandú é"
+    assert one(spark, given, fx.fix_encoding) == f"чистая строка, ещё\n{text}\nplain\nñandú é"
+
+
+@pytest.mark.parametrize("times", [2, 4, 6])
+def test_text_misread_many_times(spark, times):
+    assert one(spark, misread("café", "latin-1", times), fx.fix_encoding) == "café"
+
+
+def test_entities_and_misreading_nested(spark):
+    given = misread("a &amp;eacute; ünd ö", "cp1252") + "\n<b>&amp;"
+    assert one(spark, given, fx.fix_text) == "a é ünd ö\n<b>&amp;"
+
+
 @pytest.mark.parametrize(
     "switches, given, expected",
     [
