@@ -29,10 +29,16 @@ def normal_sql(text: str) -> str:
     return f"trim(regexp_replace({letters}, '[{BLANK_SQL}]+', ' ', 'g'))"
 
 
-def _signature_sql() -> str:
+def _signature_sql(precision: int = 32) -> str:
     n = CONFIG.n_grams
     a, b = hash_family(CONFIG.num_buckets * CONFIG.hashes_per_bucket, CONFIG.seed)
-    minima = ", ".join(f"min(({x} * x + {y}) % {PRIME}) AS h{i}" for i, (x, y) in enumerate(zip(a, b)))
+    if precision == 32:
+        family, modulus = "({0} * x + {1}) % " + str(PRIME), f"% {PRIME}"
+    else:
+        family, modulus = f"((({{0}} | 1)::HUGEINT * x + {{1}}) % {1 << 64}) // 2", ""
+    minima = ", ".join(
+        f"min({family.format(x, y)})::BIGINT AS h{i}" for i, (x, y) in enumerate(zip(a, b))
+    )
     return f"""tokens AS (
   SELECT doc_id, {words_sql("norm")} AS w FROM (
     SELECT doc_id, {normal_sql("text")} AS norm FROM documents)),
@@ -41,11 +47,11 @@ grams AS (
            lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) AS gram
   FROM tokens WHERE len(w) >= {n}),
 hashed AS (
-  SELECT doc_id, ('0x' || substr(sha1(gram), 1, 15))::BIGINT % {PRIME} AS x FROM grams),
+  SELECT doc_id, ('0x' || substr(sha1(gram), 1, 15))::BIGINT {modulus} AS x FROM grams),
 signatures AS (SELECT doc_id, {minima} FROM hashed GROUP BY doc_id)"""
 
 
-def _edges_sql() -> str:
+def _edges_sql(precision: int = 32) -> str:
     r = CONFIG.hashes_per_bucket
     bands = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS bucket, concat_ws(',', "
@@ -53,7 +59,7 @@ def _edges_sql() -> str:
         + ") AS band FROM signatures"
         for i in range(CONFIG.num_buckets)
     )
-    return f"""{_signature_sql()},
+    return f"""{_signature_sql(precision)},
 bands AS ({bands}),
 edges AS (
   SELECT DISTINCT src, doc_id AS dst FROM (
@@ -61,7 +67,8 @@ edges AS (
   WHERE src < doc_id)"""
 
 
-CLUSTERS_SQL = f"""{_edges_sql()},
+def _clusters_sql(precision: int = 32) -> str:
+    return f"""{_edges_sql(precision)},
 both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach(node, seen) AS (
   SELECT a, b FROM both_ways UNION SELECT a, a FROM both_ways
@@ -69,6 +76,9 @@ reach(node, seen) AS (
   SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
 clusters AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
 
+
+CLUSTERS_SQL = _clusters_sql()
+
 TOKENS_SQL = f"len({words_sql('text')})::BIGINT"
 
 SIGNATURE_ROWS = ", ".join(
@@ -96,6 +106,23 @@ def minhash_clusters(spark, sf_dir):
     return mh.minhash_clusters(docs(spark, sf_dir), "doc_id", "text")
 
 
+@query(f"WITH RECURSIVE {CLUSTERS_SQL} SELECT node, component FROM clusters")
+def minhash_clusters_salted(spark, sf_dir):
+    """Every key counts as hot, so all joins spread their rows."""
+    config = mh.MinhashConfig(hot_rows=1)
+    return mh.minhash_clusters(docs(spark, sf_dir), "doc_id", "text", config)
+
+
+@query(
+    f"""WITH {_signature_sql(64)}
+SELECT doc_id, i::INT AS i, h FROM signatures, LATERAL (VALUES {SIGNATURE_ROWS}) v(i, h)"""
+)
+def minhash_signatures_precise(spark, sf_dir):
+    config = mh.MinhashConfig(precision=64)
+    signatures = mh.minhash_signatures(docs(spark, sf_dir), "doc_id", "text", config)
+    return signatures.select("doc_id", F.posexplode("signature").alias("i", "h"))
+
+
 @query(
     f"""WITH RECURSIVE {CLUSTERS_SQL}
 SELECT doc_id, text, {TOKENS_SQL} AS token_count,
@@ -110,7 +137,7 @@ def minhash_dedup(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {CLUSTERS_SQL}
+    f"""WITH RECURSIVE {_clusters_sql(64)}
 SELECT doc_id, text, lang, coalesce(node <> component, false) AS removed
 FROM documents LEFT JOIN clusters ON node = doc_id"""
 )
@@ -198,6 +225,14 @@ def find_duplicate_sentences(spark, sf_dir):
     return st.find_duplicate_sentences(signatures, "doc_id")
 
 
+@query(f"WITH {lines_sql()} SELECT doc_id, pos::INT AS pos FROM dups")
+def find_duplicate_sentences_salted(spark, sf_dir):
+    """Every line counts as hot, so its occurrences are spread."""
+    config = st.SentenceConfig(hot_rows=1)
+    signatures = st.sentence_signatures(docs(spark, sf_dir), "doc_id", "text", config)
+    return st.find_duplicate_sentences(signatures, "doc_id", config=config)
+
+
 @query(
     f"""WITH {lines_sql()}, listed AS (
   SELECT DISTINCT {normal_sql("line")} AS span

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -51,6 +52,11 @@ def read_json(spark, sf_dir):
     return readers.read_json(spark, path, TURNS_SCHEMA)
 
 
+@query("SELECT doc_id, lang, text FROM documents")
+def read_parquet_whole(spark, sf_dir):
+    return readers.read_parquet(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang", "text"])
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 1000")
 def read_parquet(spark, sf_dir):
     docs = readers.read_parquet(
@@ -119,6 +125,44 @@ def read_warc(spark, sf_dir):
     return readers.read_warc(spark, path).select("id", "url", "text")
 
 
+# The Latin-1 letters, and the Cyrillic letters that stand in for them in one of the encodings.
+ACCENTED_LETTERS = "".join(map(chr, range(0xC0, 0x100)))
+CYRILLIC_LETTERS = "".join(map(chr, range(0x410, 0x450)))
+
+
+@query(
+    f"""SELECT '<urn:page:' || page_id || '>' AS id, url,
+  CASE WHEN page_id % 3 = 2 THEN translate(html, '{ACCENTED_LETTERS}', '{CYRILLIC_LETTERS}') ELSE html END AS text,
+  ['utf-8', 'iso-8859-1', 'windows-1251'][page_id % 3 + 1] AS charset, false AS truncated
+FROM pages"""
+)
+def read_warc_charsets(spark, sf_dir):
+    """An archive of version 1.1 whose pages are in three encodings; records are bytes."""
+    path = shared_path(spark, "warc")
+    names = F.array(*[F.lit(n) for n in ("utf-8", "iso-8859-1", "windows-1251")])
+    pages = table(spark, sf_dir, "pages").withColumn("charset", F.get(names, F.col("page_id") % 3))
+    cyrillic = F.translate("html", ACCENTED_LETTERS, CYRILLIC_LETTERS)
+    pages = pages.withColumn("html", F.when(F.col("page_id") % 3 == 2, cyrillic).otherwise(F.col("html")))
+
+    @F.pandas_udf("binary")
+    def record(ids: pd.Series, urls: pd.Series, html: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for i, url, page, name in zip(ids, urls, html, names):
+            # The page's own declaration is not what the server says.
+            body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={name}\r\n\r\n".encode()
+            body += page.encode(name)
+            head = (
+                f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\n"
+                f"WARC-Target-URI: {url}\r\nContent-Length: {len(body)}\r\n\r\n"
+            )
+            out.append(head.encode() + body)
+        return pd.Series(out)
+
+    written = pages.select(record("page_id", "url", "html", "charset").cast("string").alias("value"))
+    written.write.options(lineSep="\r\n\r\n").text(path)
+    return readers.read_warc(spark, path).select("id", "url", "text", "charset", "truncated")
+
+
 @query("SELECT doc_id, lang FROM documents")
 def read_dataset_snapshot(spark, sf_dir):
     root = shared_path(spark, "snapshot")

@@ -111,13 +111,14 @@ def diff_vocab(spark, sf_dir):
 
 
 @query(
-    """WITH ids AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'),
+    """WITH ids AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id FROM lineitem),
 runs AS (SELECT id, id - row_number() OVER (ORDER BY id) AS run FROM ids)
 SELECT min(id) AS start, max(id) AS end FROM runs GROUP BY run"""
 )
 def compress_ranges(spark, sf_dir):
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    return rg.compress_ranges(urgent, "o_custkey")
+    lines = table(spark, sf_dir, "lineitem")
+    ids = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return rg.compress_ranges(ids, "id")
 
 
 @query(
@@ -139,29 +140,49 @@ def part_ranges(spark, sf_dir):
     )
 
 
-RANGES_SQL = """covered AS (
+def covered_sql(n: str) -> str:
+    return f"""covered AS (
   SELECT DISTINCT unnest(range(greatest(0, l_partkey * 7 - 3),
-                               least(9999, l_partkey * 7 - 6 + l_linenumber) + 1)) AS id
+                               least({n} - 1, l_partkey * 7 - 6 + l_linenumber) + 1)) AS id
   FROM lineitem)"""
 
 
-@query(f"WITH {RANGES_SQL} SELECT id FROM covered")
+# Ids up to the largest end of a range, and up to a place among the ranges.
+ALL_IDS = "(SELECT max(l_partkey) * 7 + 8 FROM lineitem)"
+CLAMPED = 10_000
+
+
+def all_ids(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "lineitem").agg(F.max("l_partkey") * 7 + 8).first()[0]
+
+
+@query(f"WITH {covered_sql(ALL_IDS)} SELECT id FROM covered")
 def expand_ranges(spark, sf_dir):
-    return rg.expand_ranges(part_ranges(spark, sf_dir), 10_000)
+    return rg.expand_ranges(part_ranges(spark, sf_dir), all_ids(spark, sf_dir))
 
 
-@query(f"WITH {RANGES_SQL} SELECT i AS id, i IN (SELECT id FROM covered) AS member FROM range(10000) r(i)")
+@query(f"WITH {covered_sql(str(CLAMPED))} SELECT id FROM covered")
+def expand_ranges_clamped(spark, sf_dir):
+    """Ranges that cross the upper end are clamped, those beyond it go."""
+    return rg.expand_ranges(part_ranges(spark, sf_dir), CLAMPED)
+
+
+@query(
+    f"""WITH {covered_sql(ALL_IDS)}
+SELECT i AS id, i IN (SELECT id FROM covered) AS member FROM (SELECT unnest(range({ALL_IDS})) AS i)"""
+)
 def ranges_to_mask(spark, sf_dir):
-    return rg.ranges_to_mask(part_ranges(spark, sf_dir), 10_000)
+    return rg.ranges_to_mask(part_ranges(spark, sf_dir), all_ids(spark, sf_dir))
 
 
 @query(
-    """SELECT i AS id, i IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS member
-FROM range(2000) r(i)"""
+    """SELECT i AS id, i IN (SELECT o_custkey FROM orders) AS member
+FROM (SELECT unnest(range((SELECT max(o_custkey) + 1 FROM orders))) AS i)"""
 )
 def ids_to_mask(spark, sf_dir):
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    return rg.ids_to_mask(urgent, 2000, "o_custkey")
+    orders = table(spark, sf_dir, "orders")
+    n = orders.agg(F.max("o_custkey") + 1).first()[0]
+    return rg.ids_to_mask(orders, n, "o_custkey")
 
 
 SPECIAL = [str(i) for i in range(60)]

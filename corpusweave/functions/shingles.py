@@ -40,19 +40,29 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, F.lit(BLANKS), F.lit(" ")))
 
 
-def word_ngrams(tokens: Column, n: int) -> Column:
-    """Distinct ``n``-word shingles of a word array; none when there are fewer words.
+def word_ngrams(tokens: Column, n: int, distinct: bool = True) -> Column:
+    """The ``n``-word shingles of a word array; none when there are fewer words.
 
     ``tokens`` is read once per shingle, so it must be a column, not an expression.
     """
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
     shingles = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.coalesce(F.array_distinct(shingles), F.array().cast("array<string>"))
+    shingles = F.array_distinct(shingles) if distinct else shingles
+    return F.coalesce(shingles, F.array().cast("array<string>"))
+
+
+def sha1_bits(text: Column) -> Column:
+    """First 60 bits of SHA-1."""
+    return F.conv(F.substring(F.sha1(text), 1, 15), 16, 10).cast("bigint")
+
+
+def xxhash_bits(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def sha1_residue(text: Column) -> Column:
     """First 60 bits of SHA-1 below ``PRIME``; other engines compute the same number."""
-    return F.conv(F.substring(F.sha1(text), 1, 15), 16, 10).cast("bigint") % F.lit(PRIME)
+    return sha1_bits(text) % F.lit(PRIME)
 
 
 def xxhash_residue(text: Column) -> Column:

@@ -21,13 +21,13 @@ def hashed_ngram_embedder(dim: int = 64) -> Callable[[], EmbedFn]:
     """Counts of character pairs, hashed into ``dim`` cells; needs no model."""
 
     def load() -> EmbedFn:
-        def embed(texts: list[str]) -> list[np.ndarray]:
-            vectors = []
-            for text in texts:
-                codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-                cells = (codes[:-1] * 31 + codes[1:]) % dim
-                vectors.append(np.bincount(cells, minlength=dim).astype(np.float32))
-            return vectors
+        def embed(texts: list[str]) -> np.ndarray:
+            flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            inside = owner[:-1] == owner[1:]
+            cells = (flat[:-1] * 31 + flat[1:]) % dim + owner[:-1] * dim
+            counts = np.bincount(cells[inside], minlength=len(texts) * dim)
+            return counts.reshape(len(texts), dim).astype(np.float32)
 
         return embed
 

@@ -84,19 +84,30 @@ def with_verdict(df: DataFrame, verdict: Verdict) -> DataFrame:
 def apply_filters(df: DataFrame, steps: Mapping[str, Verdict]) -> DataFrame:
     """Run named verdicts in order; a row is charged to the first step that drops it.
 
-    Adds ``keep``, ``drop_step`` and ``drop_reason``.  The whole chain is one projection.
+    Adds ``keep``, ``drop_step`` and ``drop_reason``.  A step sees nulls in place of rows
+    that an earlier step has dropped, so that a model in a later step does not work on them.
     """
-    flags = {f"_keep_{i}": v.keep for i, v in enumerate(steps.values())}
-    reasons = {f"_why_{i}": v.reason for i, v in enumerate(steps.values())}
-    step, why = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, name in reversed(list(enumerate(steps))):
-        step = F.when(~F.col(f"_keep_{i}"), F.lit(name)).otherwise(step)
-        why = F.when(~F.col(f"_keep_{i}"), F.col(f"_why_{i}")).otherwise(why)
-    return (
-        df.withColumns(flags | reasons)
-        .withColumns({"drop_step": step, "drop_reason": why})
-        .withColumn("keep", F.col("drop_step").isNull())
-        .drop(*flags, *reasons)
+    given = [F.col(f"`{c}`") for c in df.columns]
+    judged = df.withColumns(
+        {"_given": F.struct(*given), "_step": F.lit(None).cast("string"), "_why": F.lit(None).cast("string")}
+    )
+    for i, (name, verdict) in enumerate(steps.items()):
+        if i:
+            alive = F.col("_step").isNull()
+            judged = judged.withColumns({c: F.when(alive, F.col(f"`{c}`")) for c in df.columns})
+        judged = judged.withColumns({"_keep": verdict.keep, "_reason": verdict.reason})
+        first = F.col("_step").isNull() & ~F.col("_keep")
+        judged = judged.withColumns(
+            {
+                "_step": F.when(first, F.lit(name)).otherwise(F.col("_step")),
+                "_why": F.when(first, F.col("_reason")).otherwise(F.col("_why")),
+            }
+        )
+    added = {"keep": F.col("_step").isNull(), "drop_step": F.col("_step"), "drop_reason": F.col("_why")}
+    names = [c for c in df.columns if c not in added]
+    return judged.select(
+        *[F.col("_given").getField(c).alias(c) for c in names],
+        *[column.alias(name) for name, column in added.items()],
     )
 
 

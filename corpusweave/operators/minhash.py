@@ -18,7 +18,13 @@ from corpusweave.plans.partitions import spread
 from corpusweave.plans.skew import HOT_ROWS, join_facts
 from corpusweave.plans.staging import stage_observed
 
-_HASHES = {"sha1": sh.sha1_residue, "xxhash": sh.xxhash_residue}
+#: By precision: the hash of a shingle in each hash function.
+_HASHES = {
+    32: {"sha1": sh.sha1_residue, "xxhash": sh.xxhash_residue},
+    64: {"sha1": sh.sha1_bits, "xxhash": sh.xxhash_bits},
+}
+#: Numbers of the hash family that are held at a time.
+TILE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -31,10 +37,13 @@ class MinhashConfig:
     hash_fc: str = "sha1"
     seed: int = 1
     hot_rows: int = HOT_ROWS
+    precision: int = 32
 
     def __post_init__(self):
-        if self.hash_fc not in _HASHES:
-            raise ValueError(f"hash_fc must be one of {sorted(_HASHES)}, got {self.hash_fc!r}")
+        if self.precision not in _HASHES:
+            raise ValueError(f"precision must be one of {sorted(_HASHES)}, got {self.precision!r}")
+        if self.hash_fc not in _HASHES[self.precision]:
+            raise ValueError(f"hash_fc must be one of {sorted(_HASHES[32])}, got {self.hash_fc!r}")
 
 
 def minhash_signatures(
@@ -43,37 +52,44 @@ def minhash_signatures(
     """``id_col, signature``; texts with fewer words than a shingle have no row.
 
     Shingling and hashing are built-in expressions, the minima over the hash family one
-    numpy call per document; nothing is shuffled.
+    numpy call per bounded tile of shingles; nothing is shuffled.
     """
     return _signatures(spread(docs.select(id_col, text_col)), id_col, text_col, config)
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, config: MinhashConfig) -> DataFrame:
     a, b = sh.hash_family(config.num_buckets * config.hashes_per_bucket, config.seed)
-    residue = _HASHES[config.hash_fc]
+    residue, wide = _HASHES[config.precision][config.hash_fc], config.precision == 64
     tokens = docs.select(
         id_col, words(sh.normalize_text(F.col(text_col))).alias("_tokens")
     )
-    grams = sh.word_ngrams(F.col("_tokens"), config.n_grams)
+    # A shingle that occurs twice does not change a minimum.
+    grams = sh.word_ngrams(F.col("_tokens"), config.n_grams, distinct=False)
     hashed = tokens.select(id_col, F.transform(grams, residue).alias("_x"))
 
+    def family(x: np.ndarray) -> np.ndarray:
+        """The numbers of all hash functions, one row per shingle."""
+        if not wide:
+            return (x[:, None] * np.array(a, np.int64) + np.array(b, np.int64)) % sh.PRIME
+        odd = np.array(a, np.uint64) | np.uint64(1)
+        spread = x.astype(np.uint64)[:, None] * odd + np.array(b, np.uint64)
+        return (spread >> np.uint64(1)).astype(np.int64)
+
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = np.array(a, dtype=np.int64)[:, None]
-        shifts = np.array(b, dtype=np.int64)[:, None]
+        tile = max(1, TILE // len(a))
         for batch in batches:
             # Short texts are left out here: a filter above would normalise every text twice.
             batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
             lists = batch.column(1)
             values = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            starts = np.concatenate([[0], ends[:-1]])
-            out = np.empty((len(lists), len(a)), dtype=np.int64)
-            for row, (start, end) in enumerate(zip(starts, ends)):
-                low = np.full(len(a), sh.PRIME, dtype=np.int64)
-                for at in range(start, end, 8192):  # bounds memory for very long texts
-                    x = values[at : min(at + 8192, end)][None, :]
-                    low = np.minimum(low, ((factors * x + shifts) % sh.PRIME).min(axis=1))
-                out[row] = low
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), sizes)
+            out = np.full((len(lists), len(a)), np.iinfo(np.int64).max, dtype=np.int64)
+            for at in range(0, len(values), tile):
+                own = owner[at : at + tile]
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
+                low = np.minimum.reduceat(family(values[at : at + tile]), starts, axis=0)
+                out[own[starts]] = np.minimum(out[own[starts]], low)
             offsets = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * len(a))
             signature = pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), signature], names=[id_col, "signature"])
@@ -146,15 +162,28 @@ def count_tokens(docs: DataFrame, text_col: str, tokens=word_count) -> DataFrame
     return docs.withColumn("token_count", tokens(F.col(text_col)).cast("bigint"))
 
 
+def mark_duplicates(
+    docs: DataFrame, id_col: str, text_col: str, config: MinhashConfig = MinhashConfig()
+) -> DataFrame:
+    """``docs`` with ``token_count`` and ``is_duplicate``; the smallest id of a cluster is none."""
+    docs = spread(docs)
+    clusters = _clusters(docs, id_col, text_col, config)
+    removed = clusters.where("node <> component").select(
+        F.col("node").alias(id_col), F.lit(True).alias("is_duplicate")
+    )
+    return (
+        count_tokens(docs, text_col)
+        .join(removed, id_col, "left")
+        .withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+    )
+
+
 def minhash_dedup(
     docs: DataFrame, id_col: str, text_col: str, config: MinhashConfig = MinhashConfig()
 ) -> tuple[DataFrame, DataFrame]:
     """Kept and removed documents, both with ``token_count``; the smallest id of a cluster stays."""
-    docs = spread(docs)
-    clusters = _clusters(docs, id_col, text_col, config)
-    removed_ids = clusters.where("node <> component").select(F.col("node").alias(id_col))
-    counted = count_tokens(docs, text_col)
+    judged = mark_duplicates(docs, id_col, text_col, config)
     return (
-        counted.join(removed_ids, id_col, "left_anti"),
-        counted.join(removed_ids, id_col, "left_semi"),
+        judged.where("not is_duplicate").drop("is_duplicate"),
+        judged.where("is_duplicate").drop("is_duplicate"),
     )

@@ -43,11 +43,15 @@ def expand_ranges(ranges: DataFrame, n: int) -> DataFrame:
         F.greatest(F.lit(0).cast("bigint"), "start").alias("s"),
         F.least(F.lit(n - 1).cast("bigint"), "end").alias("e"),
     ).where("s <= e")
-    chunks = clamped.select(
+    # Ranges of one start are one range; so many ranges may begin at the lower end.
+    longest = clamped.groupBy("s").agg(F.max("e").alias("e"))
+    chunks = longest.select(
         F.explode(F.sequence("s", "e", F.lit(CHUNK).cast("bigint"))).alias("from"), "e"
     )
     ids = F.sequence("from", F.least("e", F.col("from") + (CHUNK - 1)))
-    return chunks.repartition("from").select(F.explode(ids).alias("id")).distinct()
+    # Chunks that begin alike are one chunk again.
+    chunks = chunks.groupBy("from").agg(F.max("e").alias("e"))
+    return chunks.select(F.explode(ids).alias("id")).distinct()
 
 
 def ids_to_mask(ids: DataFrame, n: int, id_col: str = "id") -> DataFrame:

@@ -130,9 +130,10 @@ def sentence_dedup(
     )
     changed = F.col("_dups").isNotNull()
     new_text = F.when(changed, F.array_join("_kept", config.separator)).otherwise(F.col(text_col))
-    drop = F.trim(text_col) == ""
+    # A null text has no lines and stays as it is.
+    drop = F.coalesce(F.trim(text_col) == "", F.lit(False))
     if config.min_doc_words > 0:
         drop |= changed & (word_count(F.col(text_col)) < config.min_doc_words)
     if config.min_num_sentences > 0:
         drop |= changed & (F.size("_kept") < config.min_num_sentences)
-    return kept.withColumn(text_col, new_text).where(~drop).drop("_parts", "_kept", "_dups")
+    return kept.withColumn(text_col, new_text).where(~F.coalesce(drop, F.lit(False))).drop("_parts", "_kept", "_dups")

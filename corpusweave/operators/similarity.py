@@ -33,7 +33,7 @@ TILE = 1024
 CELL_ROWS, MAX_PIVOTS = 4096, 1024
 #: Hyperplanes of one random-projection table at most; bounds the number of buckets.
 MAX_BITS = 14
-#: Bytes of the vectors of hot copies that are broadcast at most.
+#: Bytes of hot vectors, the keys of spread rows, that are broadcast at most.
 HOT_BYTES = 8 << 20
 #: Rounds before what is left is looked at component by component, and the pairs of a
 #: component that one task scans at most.
@@ -295,8 +295,8 @@ def _distinct(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame,
 def _copies_of(
     vectors: DataFrame, id_col: str, vec_col: str, firsts: DataFrame, payload: list[str]
 ) -> DataFrame:
-    """``id`` and ``payload`` of the later copies of the vectors in ``firsts``; a vector that
-    a third of all rows share is matched by broadcast."""
+    """``id`` and ``payload`` of the later copies of the vectors in ``firsts``; the rows of a
+    vector that a third of all rows share are spread."""
     rows = vectors.select(F.col(vec_col).alias("vec"), F.col(id_col).alias("id"))
     hot = max(1, HOT_BYTES // (8 * _dimension(vectors, vec_col)))
     joined = join_facts(rows, firsts, ["vec"], "copies", payload, hot_keys=hot)

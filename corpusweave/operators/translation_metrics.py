@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import string
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,31 +39,64 @@ def tokenize_13a(text: Column) -> Column:
     return words(text)
 
 
+def clipped_matches(hyps: list[np.ndarray], refs: list[np.ndarray], order: int) -> np.ndarray:
+    """``hyp, ref, matched`` n-gram totals of 1 to ``order`` for each pair of token arrays.
+
+    All n-grams of one order are numbered in one step, by the number of their first n - 1
+    tokens and their last one, and counted per pair and side.
+    """
+    n_rows = len(hyps)
+    out = np.zeros((n_rows, order, 3), np.int64)
+    sequences = [*hyps, *refs]
+    flat = np.concatenate([np.empty(0, np.int64), *sequences])
+    if not len(flat):
+        return out.reshape(n_rows, 3 * order)
+    owner = np.repeat(np.arange(2 * n_rows), [len(x) for x in sequences])
+    _, token = np.unique(flat, return_inverse=True)
+    size, at, gram = token.max() + 1, np.arange(len(flat)), token
+    for n in range(order):
+        if n:
+            longer = at + n < len(flat)
+            longer[longer] = owner[at[longer] + n] == owner[at[longer]]
+            at = at[longer]
+            _, gram = np.unique(gram[longer] * size + token[at + n], return_inverse=True)
+        if not len(at):
+            break
+        grams = gram.max() + 1
+        row, is_hyp = owner[at] % n_rows, owner[at] < n_rows
+        key = row * grams + gram
+        found, times = np.unique(key[is_hyp], return_counts=True)
+        wanted, allowed = np.unique(key[~is_hyp], return_counts=True)
+        both, x, y = np.intersect1d(found, wanted, assume_unique=True, return_indices=True)
+        out[:, n, 0] = np.bincount(row[is_hyp], minlength=n_rows)
+        out[:, n, 1] = np.bincount(row[~is_hyp], minlength=n_rows)
+        np.add.at(out[:, n, 2], both // grams, np.minimum(times[x], allowed[y]))
+    return out.reshape(n_rows, 3 * order)
+
+
 def ngram_matches(hyp: Column, ref: Column, order: int, chars: bool = False) -> Column:
     """``[hyp, ref, matched]`` totals for n-grams of 1 to ``order``, as one flat array per row.
 
     Both sides of a row are in the row, so clipping needs no join: exploding every n-gram
     would multiply the corpus by the order and shuffle or spill all of it.  n-grams are taken
-    over characters, or over the blank-separated words of the texts.
+    over characters, or over the blank-separated words of the texts; a batch of rows is
+    counted at a time.
     """
 
-    def grams(items, n: int) -> Counter:
-        if chars:
-            return Counter(items[i : i + n] for i in range(len(items) - n + 1))
-        return Counter(zip(*(items[i:] for i in range(n))))
+    def characters(texts: pd.Series, _: dict) -> list[np.ndarray]:
+        return [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts]
+
+    def numbered(texts: pd.Series, numbers: dict[str, int]) -> list[np.ndarray]:
+        split = (t.split() for t in texts)
+        return [np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int64) for t in split]
 
     @F.pandas_udf("array<bigint>")
     def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tokens = characters if chars else numbered
         for hyps, refs in batches:
-            rows = []
-            for h, r in zip(hyps.fillna(""), refs.fillna("")):
-                h, r = (h, r) if chars else (h.split(), r.split())
-                row = []
-                for n in range(1, order + 1):
-                    found, wanted = grams(h, n), grams(r, n)
-                    row += [found.total(), wanted.total(), (found & wanted).total()]
-                rows.append(row)
-            yield pd.Series(rows)
+            numbers: dict[str, int] = {}
+            sides = (tokens(side.fillna(""), numbers) for side in (hyps, refs))
+            yield pd.Series(list(clipped_matches(*sides, order)), dtype=object)
 
     return count(hyp, ref)
 

@@ -21,11 +21,10 @@ def _mean(column: str):
 
 
 def _with_vectors(rows: DataFrame, vectors: DataFrame, hot_rows: int) -> DataFrame:
-    """Rows with the vector of their ``piece``; frequent pieces travel by broadcast."""
+    """Rows with the vector of their ``piece``; the rows of a frequent piece are spread."""
     uses = rows.groupBy("piece").agg(F.count("*").alias("uses"))
     facts = vectors.select(F.col("token").alias("piece"), "vec").join(uses, "piece")
-    # Vectors are wide: 256 of them bound the broadcast to a few megabytes.
-    return join_facts(rows, facts, ["piece"], "uses", ["vec"], hot_rows, hot_keys=256)
+    return join_facts(rows, facts, ["piece"], "uses", ["vec"], hot_rows)
 
 
 def _init(tokens: DataFrame, old: DataFrame, computed: DataFrame) -> DataFrame:

@@ -6,11 +6,22 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.operators.minhash import MinhashConfig, minhash_dedup
+from corpusweave.operators.minhash import MinhashConfig, mark_duplicates
 from corpusweave.operators.sentences import SentenceConfig, sentence_dedup, sentence_signatures
+from corpusweave.plans.staging import stage
 from corpusweave.sources.registry import create_io_object, create_reader_and_writer
 
 
+# Languages (ISO 639-3) that are written without blanks between words.
+UNSPACED = ("zho", "cmn", "yue", "wuu", "jpn", "tha", "lao", "khm", "mya", "bod", "dzo")
+
+
+def _check_language(language: str | None) -> None:
+    """Words are what blanks set apart, which serves every other language."""
+    if language and language.lower().split("_")[0] in UNSPACED:
+        raise ValueError(f"words of {language!r} are not set apart by blanks")
+
+
 def load_config(config: str | dict[str, Any]) -> dict[str, Any]:
     """A dict as it is, or a YAML file; an empty configuration raises ``ValueError``."""
     if isinstance(config, str):
@@ -27,15 +38,24 @@ def run_minhash_job(spark: SparkSession, config: str | dict[str, Any]) -> None:
     """Read, remove near duplicates, write; removed rows go to the exclusion writer if any.
 
     Directories, logging and worker counts of the configuration are Spark's business here.
-    Numbers in ``hash_config`` other than the hash function do not apply either.
+    Unknown options of ``hash_config`` and ``minhash_config`` raise, and so does a
+    ``language`` whose words are not set apart by blanks.
     """
     cfg = load_config(config)
+    _check_language(cfg.get("language"))
+    hashing = dict(cfg.get("hash_config") or {})
+    unknown = sorted(hashing.keys() - {"hash_fc", "precision"})
+    if unknown:
+        raise ValueError(f"unknown options of hash_config: {unknown}")
+    options = MinhashConfig(**(cfg.get("minhash_config") or {}), **hashing)
     source, sink = create_reader_and_writer(spark, cfg)
     docs, columns = source.load()
-    hashing = {k: v for k, v in (cfg.get("hash_config") or {}).items() if k in ("hash_fc",)}
-    options = MinhashConfig(**(cfg.get("minhash_config") or {}), **hashing)
     id_col, text_col = _keys(docs, source)
-    kept, removed = minhash_dedup(docs, id_col, text_col, options)
+    judged = mark_duplicates(docs, id_col, text_col, options)
+    if cfg.get("exclusion_writer"):
+        # Both writers read it.
+        judged = stage(judged, "judged")
+    kept, removed = (judged.where(c).drop("is_duplicate") for c in ("not is_duplicate", "is_duplicate"))
     sink.save(kept, columns)
     if cfg.get("exclusion_writer"):
         use_adapter = cfg.get("use_column_info_adapter_for_exclusion_writer", False)
@@ -49,6 +69,7 @@ def run_sentence_job(
     """Read, remove repeated lines, write.  ``index`` holds ``id`` and ``text`` of a corpus
     whose lines are to be removed."""
     cfg = load_config(config)
+    _check_language(cfg.get("language"))
     source, sink = create_reader_and_writer(spark, cfg)
     docs, columns = source.load()
     options = SentenceConfig(**(cfg.get("dedup_config") or {}))

@@ -55,24 +55,34 @@ def seeded_hash(seed: int, key: Column) -> Column:
     return F.sha1(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def first_by_hash(df: DataFrame, key: str, n: int, seed: int) -> Column:
+#: So many rows are sorted at most to find the last one taken.
+EDGE_ROWS = 1 << 20
+
+
+def first_by_hash(df: DataFrame, key: str, n: int, seed: int, edge_rows: int = EDGE_ROWS) -> Column:
     """Predicate that holds for exactly the ``n`` rows with the smallest seeded hash.
 
-    ``key`` must be unique.  A histogram over hash prefixes (at most 65 536 counts) finds the
-    prefix in which the n-th row lies; only that prefix, a 65 536th of the rows, is sorted.
-    The returned predicate compares with a literal, so applying it needs no shuffle.
+    ``key`` must be unique.  Histograms over hash prefixes (at most 65 536 counts each) find
+    the prefix in which the n-th row lies, four digits at a time until few rows share it; only
+    those are sorted.  The returned predicate compares with a literal, so applying it needs no
+    shuffle.
     """
     if n <= 0:
         return F.lit(False)
     hashed = df.select(seeded_hash(seed, F.col(key)).alias("h"), F.col(key).alias("k"))
-    histogram = hashed.groupBy(F.substring("h", 1, 4).alias("prefix")).count()
-    running = histogram.withColumn("upto", F.sum("count").over(Window.orderBy("prefix")))
-    cut = running.where(F.col("upto") >= n).orderBy("prefix").limit(1).first()
-    if cut is None:
-        return F.lit(True)
-    rest = n - (cut["upto"] - cut["count"])
+    rest, prefix = n, ""
+    while True:
+        inside = hashed.where(F.col("h").startswith(prefix))
+        found = inside.groupBy(F.substring("h", 1, len(prefix) + 4).alias("prefix")).count()
+        running = found.withColumn("upto", F.sum("count").over(Window.orderBy("prefix")))
+        cut = running.where(F.col("upto") >= rest).orderBy("prefix").limit(1).first()
+        if cut is None:
+            return F.lit(True)
+        rest, prefix = rest - (cut["upto"] - cut["count"]), cut["prefix"]
+        if cut["count"] <= edge_rows or len(prefix) == 40:
+            break
     edge = (
-        hashed.where(F.substring("h", 1, 4) == cut["prefix"])
+        hashed.where(F.col("h").startswith(prefix))
         .orderBy("h", "k")
         .offset(rest - 1)
         .limit(1)
@@ -82,9 +92,29 @@ def first_by_hash(df: DataFrame, key: str, n: int, seed: int) -> Column:
     return (h < edge["h"]) | ((h == edge["h"]) & (F.col(key) <= F.lit(edge["k"])))
 
 
-def first_by_key(df: DataFrame, key: str, n: int) -> Column:
-    """Predicate that holds for exactly the ``n`` rows with the smallest unique ``key``."""
+def first_by_key(df: DataFrame, key: str, n: int, bins: int = 4096) -> Column:
+    """Predicate that holds for exactly the ``n`` rows with the smallest unique ``key``.
+
+    For an integer key, histograms of ever narrower ranges find the n-th key; nothing is
+    sorted or moved but their counts.  Other keys are put in order.
+    """
     if n <= 0:
         return F.lit(False)
-    edge = with_row_index(df.select(key), [key], "_i").where(F.col("_i") == n - 1).first()
-    return F.lit(True) if edge is None else F.col(key) <= F.lit(edge[key])
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        edge = with_row_index(df.select(key), [key], "_i").where(F.col("_i") == n - 1).first()
+        return F.lit(True) if edge is None else F.col(key) <= F.lit(edge[key])
+    keys = df.select(F.col(key).cast("decimal(20,0)").alias("k")).where("k is not null")
+    low, high, total = keys.agg(F.min("k"), F.max("k"), F.count("*")).first()
+    if total < n:
+        return F.lit(True)
+    low, high, rest = int(low), int(high), n
+    while low < high:
+        width = (high - low) // bins + 1
+        place = F.floor((F.col("k") - F.lit(low)) / F.lit(width)).cast("int")
+        counts = keys.where(F.col("k").between(low, high)).groupBy(place.alias("bin")).count()
+        for r in sorted(counts.collect()):
+            if r["count"] >= rest:
+                low, high = low + r["bin"] * width, min(high, low + (r["bin"] + 1) * width - 1)
+                break
+            rest -= r["count"]
+    return F.col(key) <= F.lit(low)

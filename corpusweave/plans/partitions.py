@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Input per core below which a scan leaves cores idle (the default size of a scan split).
 BYTES_PER_CORE = 128 << 20
@@ -17,11 +14,10 @@ def spread(df: DataFrame) -> DataFrame:
     That is so when there are fewer files than cores and less than a scan split per core, so
     the one shuffle before CPU-heavy row-wise work moves little.  Larger input is left alone.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not 0 < len(files) < cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # The list of files stays in the JVM; only its length and the planned size are asked for.
+    files = len(df._jdf.inputFiles())
+    if not 0 < files < cores:
         return df
-    listing = spark.read.format("binaryFile").load([unquote(f) for f in files])
-    size = listing.agg(F.sum("length")).first()[0]
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(2 * cores) if size < cores * BYTES_PER_CORE else df

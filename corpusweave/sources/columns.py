@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +35,14 @@ class TextColumns:
             df = df.withColumn("text", F.lit(""))
         if self.id_key in df.columns:
             return df.withColumnRenamed(self.id_key, "id")
-        # The number is only stable once written: a recomputed task could number differently.
-        number = F.monotonically_increasing_id().cast("string")
-        return stage(df.withColumn("id", F.concat(F.lit(f"{source}/"), number)), "numbered")
+        try:
+            # A Parquet file knows the place of its rows, so nothing needs to be written.
+            place = F.concat_ws("/", F.lit(source), "_metadata.file_path", "_metadata.row_index")
+            return df.withColumn("id", place)
+        except AnalysisException:
+            # Other numbers are only stable once written: a task run again could differ.
+            number = F.monotonically_increasing_id().cast("string")
+            return stage(df.withColumn("id", F.concat(F.lit(f"{source}/"), number)), "numbered")
 
     def restore(self, df: DataFrame, keep_added: bool = False) -> DataFrame:
         """Original columns in original order, then, on request, those added since."""

@@ -26,10 +26,10 @@ def _as_line(field: T.StructField) -> Column:
 
 
 def text_lines(datasets: Mapping[str, Callable[[], Splits]]) -> DataFrame:
-    """``dataset, split, column_name, line`` in dataset, split, column, row order.
+    """``dataset, split, column_name, column_no, line`` of all non-null values.
 
-    Each column is its own scan, pruned to that column, so the order needs no sort.
-    A dataset that cannot be loaded is logged and skipped.
+    Every split is scanned once; inside a task of its scan the lines come column by column,
+    in row order.  A dataset that cannot be loaded is logged and skipped.
     """
     parts = []
     for dataset, load in datasets.items():
@@ -39,14 +39,25 @@ def text_lines(datasets: Mapping[str, Callable[[], Splits]]) -> DataFrame:
             log.error("skipping dataset %s: %s", dataset, error)
             continue
         for split, df in splits.items():
-            for field in df.schema.fields:
-                line = df.where(F.col(field.name).isNotNull()).select(
-                    F.lit(dataset).alias("dataset"),
-                    F.lit(split).alias("split"),
+            cells = [
+                F.struct(
                     F.lit(field.name).alias("column_name"),
+                    F.lit(number).alias("column_no"),
                     _as_line(field).alias("line"),
                 )
-                parts.append(line)
+                for number, field in enumerate(df.schema.fields)
+            ]
+            rows = df.select(F.monotonically_increasing_id().alias("_row"), F.array(*cells).alias("_cells"))
+            lines = rows.select("_row", F.inline("_cells")).where("line is not null")
+            parts.append(
+                lines.sortWithinPartitions("column_no", "_row").select(
+                    F.lit(dataset).alias("dataset"),
+                    F.lit(split).alias("split"),
+                    "column_name",
+                    "column_no",
+                    "line",
+                )
+            )
     if not parts:
         raise ValueError("no dataset could be loaded")
     return reduce(DataFrame.unionByName, parts)

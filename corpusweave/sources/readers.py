@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusweave.operators.sampling import train_test_split
 from corpusweave.sources.arrow_ipc import ArrowIpcSource
@@ -22,12 +23,16 @@ __all__ = [
 ]
 
 
-def read_csv(spark: SparkSession, path, schema=None, multi_line: bool = True, **options):
+def read_csv(spark: SparkSession, path, schema=None, multi_line: bool | None = None, **options):
     """CSV with a header, doubled quotes and significant outer blanks.
 
     ``multi_line`` allows line breaks inside quoted fields, at the price of one task per
-    file; switch it off for large files without such fields.
+    file; without it files are split.  Unless given, a scan for lines with an open quotation
+    mark finds out whether there are such fields.
     """
+    if multi_line is None:
+        quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
     reader = reader.options(
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options
@@ -83,17 +88,19 @@ def load_splits(
     seed: int = 42,
     schema=None,
     columns: Sequence[str] | None = None,
+    multi_line: bool | None = None,
 ) -> dict[str, DataFrame]:
     """Load a dataset by its path suffix, as a dict of splits.
 
     ``jsonl``, ``json`` and ``gz`` mean JSON Lines, ``csv`` and ``parquet`` themselves; any
-    other path is a snapshot folder with one sub-folder per split.  ``test_size`` splits
+    other path is a snapshot folder with one sub-folder per split.  ``multi_line`` is that of
+    ``read_csv``.  ``test_size`` splits
     ``train`` by the seeded hash of the unique ``key``, unless there is a ``test`` split.
     """
     if path.endswith(("jsonl", "json", "gz")):
         splits = {"train": read_json(spark, path, schema)}
     elif path.endswith("csv"):
-        splits = {"train": read_csv(spark, path, schema)}
+        splits = {"train": read_csv(spark, path, schema, multi_line)}
     elif path.endswith("parquet"):
         splits = {"train": read_parquet(spark, path)}
     else:

@@ -13,8 +13,10 @@ from corpusweave.sources.columns import TextColumns
 # Option names under which a configuration may give the location.
 READ_LOCATIONS = ("data_folder", "path", "dataset")
 WRITE_LOCATION = "output_folder"
-# Options of a single-machine run that have no meaning on a cluster.
-IGNORED = {"shuffle_files", "output_filename", "adapter", "limit", "skip", "batch_size"}
+# Options that only say how one machine goes about it, and change no row.
+WITHOUT_EFFECT = {"shuffle_files", "batch_size"}
+# Options that would change the result in a way that Spark's writers do not offer.
+REFUSED = {"output_filename", "adapter"}
 
 
 class Source(NamedTuple):
@@ -68,7 +70,11 @@ def create_io_object(
     if cfg["type"] not in ROLES[role]:
         raise ValueError(f"unknown {role} type {cfg['type']!r}, choose from {list(ROLES[role])}")
     make = ROLES[role][cfg["type"]]
-    kwargs = {k: v for k, v in (cfg.get("kwargs") or {}).items() if k not in IGNORED}
+    kwargs = {k: v for k, v in (cfg.get("kwargs") or {}).items() if k not in WITHOUT_EFFECT}
+    refused = sorted(k for k in REFUSED & kwargs.keys() if kwargs[k] is not None)
+    if refused:
+        raise ValueError(f"options that are not supported: {refused}")
+    kwargs = {k: v for k, v in kwargs.items() if k not in REFUSED}
     if role == "writer":
         folder = kwargs.pop(WRITE_LOCATION)
         return Sink(lambda df: make(df, folder, **kwargs), use_adapter)
@@ -76,7 +82,15 @@ def create_io_object(
     location = next((kwargs.pop(k) for k in READ_LOCATIONS if k in kwargs), None)
     if location is None:
         raise ValueError(f"a reader needs one of {READ_LOCATIONS}")
-    return Source(lambda: make(spark, location, **kwargs), text_key, id_key, use_adapter)
+    limit, skip = kwargs.pop("limit", -1), kwargs.pop("skip", 0)
+
+    def read() -> DataFrame:
+        """Rows in the order of the scan, after ``skip`` and up to ``limit`` (-1: all)."""
+        df = make(spark, location, **kwargs)
+        df = df.offset(skip) if skip else df
+        return df.limit(limit) if limit is not None and limit >= 0 else df
+
+    return Source(read, text_key, id_key, use_adapter)
 
 
 def create_reader_and_writer(

@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
+import codecs
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF2 = "\r\n\r\n"
+#: What stands before every record but the first, whatever the version of the archive.
+BOUNDARY = f"{CRLF2}WARC/"
+# Names of the encodings that Spark decodes itself.
+LATIN = ("iso-8859-1", "latin-1", "latin1", "iso8859-1", "iso_8859-1")
+UTF8 = ("utf-8", "utf8", "us-ascii", "ascii")
+#: Bytes of a page in which its own declaration of the encoding is looked for.
+DECLARED_WITHIN = 1024
 
 
 def _header(head: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
 
 
-def _decode(body: Column, charset: Column) -> Column:
-    """Latin-1 where the server said so, otherwise UTF-8 with bad bytes replaced."""
-    latin = F.lower(charset).isin("iso-8859-1", "latin-1", "latin1")
-    return F.when(latin, F.decode(body, "ISO-8859-1")).otherwise(
-        F.make_valid_utf8(body.cast("string"))
-    )
+def _other_charset(body: Column, charset: Column) -> Column:
+    """Bytes in any encoding that Python knows; null where the name is unknown."""
+
+    @F.pandas_udf("string")
+    def decode(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bodies, names in pairs:
+            out = []
+            for raw, name in zip(bodies, names):
+                try:
+                    out.append(raw.decode(codecs.lookup(name).name, "replace") if name else None)
+                except (LookupError, TypeError, AttributeError):
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return decode(body, charset)
 
 
-def read_warc(spark: SparkSession, path, version: str = "1.0") -> DataFrame:
-    """Records of web archives (``.warc`` or ``.warc.gz``) as ``id, url, date, text, truncated``.
+def read_warc(spark: SparkSession, path) -> DataFrame:
+    """Records of web archives as ``id, url, date, text, charset, lossy, truncated``.
 
-    Only ``response`` and ``conversion`` records hold page text; of a response, the HTTP head
-    is dropped.  The archive streams through the JVM record by record, an uncompressed
-    archive is split between tasks.  ``truncated`` marks a record that is shorter than its
+    Archives (``.warc`` or ``.warc.gz``) of any version; only ``response`` and ``conversion``
+    records hold page text, and of a response the HTTP head is dropped.  The archive streams
+    through the JVM record by record, an uncompressed archive is split between tasks.
+
+    ``charset`` is what the server or else the page declares; without either, and with an
+    unknown name, the text is read as UTF-8.  ``lossy`` marks a text in which bytes could not
+    be decoded and became U+FFFD.  ``truncated`` marks a record that is shorter than its
     declared length: the archive ends early, or the page itself holds a record boundary.
     """
-    raw = spark.read.option("lineSep", f"{CRLF2}WARC/{version}\r\n").text(path)
+    raw = spark.read.option("lineSep", BOUNDARY).text(path)
     head = F.substring_index("value", CRLF2, 1)
     length = _header(F.col("head"), "Content-Length").cast("int")
     records = raw.select("value", head.alias("head")).select(
@@ -43,25 +67,48 @@ def read_warc(spark: SparkSession, path, version: str = "1.0") -> DataFrame:
         ).alias("body"),
         length.alias("length"),
     )
+    response = F.col("type") == "response"
     pages = records.where(F.col("type").isin("response", "conversion")).withColumn(
-        "http_head",
-        F.when(
-            F.col("type") == "response", F.substring_index(F.col("body").cast("string"), CRLF2, 1)
-        ),
+        "http_head", F.when(response, F.substring_index(F.col("body").cast("string"), CRLF2, 1))
     )
     payload = F.when(
-        F.col("type") == "response",
+        response,
         F.substring(
             F.col("body"),
             F.octet_length("http_head") + F.lit(len(CRLF2) + 1),
             F.octet_length("body"),
         ),
     ).otherwise(F.col("body"))
-    charset = F.regexp_extract(F.coalesce("http_head", F.lit("")), r"(?i)charset=\"?([\w-]+)", 1)
-    return pages.select(
-        "id",
-        "url",
-        "date",
-        _decode(payload, charset).alias("text"),
-        (F.octet_length("body") < F.col("length")).alias("truncated"),
+
+    def declared(text: Column) -> Column:
+        name = F.regexp_extract(text, r"(?i)charset=[\"\']?([\w:.-]+)", 1)
+        return F.nullif(F.lower(name), F.lit(""))
+
+    start = F.decode(F.substring("payload", 1, DECLARED_WITHIN), "ISO-8859-1")
+    charset = F.coalesce(
+        declared(F.col("http_head")), F.when(response, declared(F.regexp_extract(start, r"(?i)<meta[^>]*charset[^>]*>", 0)))
+    )
+    pages = pages.withColumn("payload", payload).withColumn("charset", charset)
+    own = F.coalesce("charset", F.lit("utf-8"))
+    strange = ~own.isin(*LATIN, *UTF8)
+    valid = F.make_valid_utf8(F.col("payload").cast("string"))
+    text = (
+        F.when(own.isin(*LATIN), F.decode("payload", "ISO-8859-1"))
+        .when(strange, F.coalesce("other", valid))
+        .otherwise(valid)
     )
+    # Only rows in other encodings reach Python; the rest travel as nulls.
+    other = _other_charset(F.when(strange, F.col("payload")), F.when(strange, own))
+    added = F.octet_length(F.col("payload").cast("string")) > 0
+    bad = F.contains("text", F.lit("\ufffd")) & ~F.coalesce(
+        F.contains(F.col("payload").cast("string"), F.lit("\ufffd")) & F.is_valid_utf8(F.col("payload").cast("string")),
+        F.lit(False),
+    )
+    return (
+        pages.withColumn("other", other)
+        .withColumn("text", text)
+        .select(
+            "id", "url", "date", "text", "charset", (bad & added).alias("lossy"),
+            (F.octet_length("body") < F.col("length")).alias("truncated"),
+        )
+    )

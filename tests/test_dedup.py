@@ -6,6 +6,7 @@ import pytest
 from corpusweave.operators import minhash as mh
 from corpusweave.operators import sentences as st
 from corpusweave.operators import similarity as sim
+from corpusweave.plans import jobs
 
 BASE = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
 
@@ -40,6 +41,64 @@ def test_minhash_with_a_hot_group_of_copies(spark):
 def test_minhash_arguments():
     with pytest.raises(ValueError):
         mh.MinhashConfig(hash_fc="md5")
+    with pytest.raises(ValueError):
+        mh.MinhashConfig(precision=16)
+
+
+@pytest.mark.parametrize("precision", [32, 64])
+def test_signatures_of_any_tiles(spark, monkeypatch, precision):
+    """Minima do not depend on the tiles; copies and repeats change nothing."""
+    texts = [BASE, BASE + " " + BASE, "a b c d", " ".join(BASE.split()[3:50]), BASE]
+    config = mh.MinhashConfig(precision=precision, hash_fc="xxhash")
+    found = []
+    for tile in (1, 500, 1 << 20):
+        monkeypatch.setattr(mh, "TILE", tile)
+        rows = mh.minhash_signatures(docs(spark, texts).coalesce(1), "doc_id", "text", config).collect()
+        found.append({r["doc_id"]: r["signature"] for r in rows})
+    assert found[0] == found[1] == found[2] and set(found[0]) == {0, 1, 3, 4}
+    assert found[0][0] == found[0][4] and min(found[0][0]) >= 0
+
+
+def test_null_texts_stay(spark):
+    table = docs(spark, ["same line", None, "same line", ""])
+    out = st.sentence_dedup(table, "doc_id", "text", config=st.SentenceConfig(min_doc_words=1))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: "same line", 1: None}
+
+
+def job(tmp_path, **options):
+    reader = {"type": "json", "kwargs": {"data_folder": str(tmp_path / "in"), "id_key": "doc_id"}}
+    writer = {"type": "json", "kwargs": {"output_folder": str(tmp_path / f"out-{len(options)}")}}
+    reader["kwargs"] |= options.pop("reading", {})
+    writer["kwargs"] |= options.pop("writing", {})
+    return {"reader": reader, "writer": writer, "use_column_info_adapter": True} | options
+
+
+@pytest.mark.parametrize(
+    "options",
+    [
+        {"hash_config": {"hash_fc": "sha1", "seed": 3}},
+        {"hash_config": {"precision": 16}},
+        {"language": "tha_Thai"},
+        {"writing": {"output_filename": "x_${rank}.jsonl"}},
+        {"reading": {"adapter": print}},
+        {"minhash_config": {"buckets": 3}},
+    ],
+)
+def test_options_that_cannot_be_honoured_raise(spark, tmp_path, options):
+    docs(spark, [BASE]).write.json(str(tmp_path / "in"))
+    with pytest.raises((ValueError, TypeError)):
+        jobs.run_minhash_job(spark, job(tmp_path, **options))
+
+
+def test_limit_and_skip_of_a_reader(spark, tmp_path):
+    table = docs(spark, [f"{BASE} {chr(97 + i) * 9}" for i in range(10)]).coalesce(1)
+    table.write.json(str(tmp_path / "in"))
+    for k, (reading, want) in enumerate([({"limit": 3, "skip": 2}, 3), ({"limit": -1}, 10), ({"skip": 4}, 6)]):
+        cfg = job(tmp_path, reading=reading | {"shuffle_files": False}, language="rus_Cyrl", hash_config={"precision": 64})
+        cfg["writer"]["kwargs"]["output_folder"] = str(tmp_path / f"limited-{k}")
+        cfg["minhash_config"] = {"n_grams": 200}
+        jobs.run_minhash_job(spark, cfg)
+        assert spark.read.json(str(tmp_path / f"limited-{k}")).count() == want
 
 
 LINES = [

@@ -1,9 +1,11 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.operators import filters as fl
 from corpusweave.operators.embeddings import translation_similarity
 
+# The two number patterns.
 FLOAT_BASIC = r"[+-]?\d+(?:\.\d+)?"
 FLOAT_EXTENDED = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 TEXTS = ["text_1", "text_2"]
@@ -126,3 +128,27 @@ def test_row_wise_filters_need_no_shuffle(spark):
     df = spark.createDataFrame([("a", "b")], "text_1 string, text_2 string")
     judged = fl.apply_filters(df, {"r": fl.length_ratio(TEXTS, 2.0)}).where(F.col("keep"))
     assert "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_later_steps_do_not_work_on_dropped_rows(spark):
+    """A model in the second step gets nulls for what the first step has dropped."""
+
+    @F.pandas_udf("boolean")
+    def model(texts: pd.Series) -> pd.Series:
+        assert not texts.dropna().str.startswith("drop").any()
+        return texts.fillna("").str.len() > 3
+
+    rows = [(1, "drop me please", 5), (2, "ok", None), (3, "keep it", 7), (4, None, 1)]
+    df = spark.createDataFrame(rows, "id int, text string, keep int")
+    steps = {
+        "first": fl.Verdict(~F.coalesce(F.col("text"), F.lit("")).startswith("drop"), F.lit("prefix")),
+        "second": fl.Verdict(model("text"), F.lit("short")),
+    }
+    judged = fl.apply_filters(df.drop("keep"), steps)
+    assert judged.columns == ["id", "text", "keep", "drop_step", "drop_reason"]
+    assert {tuple(r) for r in judged.collect()} == {
+        (1, "drop me please", False, "first", "prefix"),
+        (2, "ok", False, "second", "short"),
+        (3, "keep it", True, None, None),
+        (4, None, False, "second", "short"),
+    }

@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,26 @@ def test_generated_length(spark):
     assert stx.mean_generated_length(unmasked, "ids", 0).first()["gen_len"] == 1.5
 
 
+@pytest.mark.parametrize("order", [1, 4])
+def test_clipped_matches(order):
+    rng = random.Random(4)
+    sides = [[[rng.randint(0, 3) for _ in range(rng.choice((0, 1, 2, 9)))] for _ in range(40)] for _ in range(2)]
+    got = tm.clipped_matches(*([np.array(x, np.int64) for x in side] for side in sides), order)
+
+    def grams(items, n):
+        return Counter(zip(*(items[i:] for i in range(n))))
+
+    want = []
+    for h, r in zip(*sides):
+        row = []
+        for n in range(1, order + 1):
+            a, b = grams(h, n), grams(r, n)
+            row += [a.total(), b.total(), (a & b).total()]
+        want.append(row)
+    assert got.tolist() == want
+    assert tm.clipped_matches([], [], order).shape == (0, 3 * order)
+
+
 def naive_bleu(rows):
     match, total, sys_len, ref_len = [0] * 4, [0] * 4, 0, 0
     for hyp, ref in rows:

@@ -31,16 +31,37 @@ def test_facts_reach_every_row_once(spark, hot_rows):
     }
 
 
+def test_more_hot_keys_than_are_broadcast(spark):
+    rows = spark.range(3000).select((F.col("id") % 10).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    got = join_facts(rows, facts, ["k"], "n", ["least"], hot_rows=20, hot_keys=3).collect()
+    assert len(got) == 3000 and all(r["least"] == r["k"] == r["id"] % 10 for r in got)
+
+
+@pytest.mark.parametrize("n", [1, 7, 400, 999, 1000])
+def test_edges_are_found_in_several_steps(spark, n):
+    ids = random.Random(1).sample(range(-(10**17), 10**17), 1000)
+    df = spark.createDataFrame([(i, f"k{i}") for i in ids], "id bigint, name string")
+    least = sorted(ids)[:n]
+    assert sorted(r["id"] for r in df.where(first_by_key(df, "id", n, bins=3)).collect()) == least
+    names = sorted(f"k{i}" for i in ids)[:n]
+    assert sorted(r["name"] for r in df.where(first_by_key(df, "name", n)).collect()) == names
+    few, many = (df.where(first_by_hash(df, "id", n, 5, edge_rows=e)).collect() for e in (1, 10**6))
+    assert sorted(few) == sorted(many) and len(few) == n
+
+
 def test_hot_rows_are_spread_by_the_salt(spark):
     rows = hot_table(spark)
     facts = rows.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     joined = join_facts(rows, facts, ["k"], "n", ["least"], 100)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         plan = joined._jdf.queryExecution().executedPlan().toString()
         sizes = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     partitionings = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert sum("_salt" in line for line in partitionings) == 2
     assert max(r["count"] for r in sizes) < 2000

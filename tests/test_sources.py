@@ -47,6 +47,15 @@ def test_ipc_files_are_split_by_batches(spark, tmp_path, monkeypatch):
     assert sorted(ids) == [*range(10), *range(100, 110)]
 
 
+def test_csv_is_split_unless_fields_hold_line_breaks(spark, tmp_path):
+    for name, text in (("plain", 'x"" ""y, z'), ("broken", "two\nlines")):
+        (tmp_path / f"{name}.csv").write_text("a,b\n" + f'1,"{text}"\n' * 3)
+        df = readers.read_csv(spark, str(tmp_path / f"{name}.csv"))
+        assert [r["b"] for r in df.collect()] == [text.replace('""', '"')] * 3
+        options = df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.count() == 3 and "CSV" in df._jdf.queryExecution().executedPlan().toString(), options
+
+
 def warc_record(kind, url, body: bytes) -> bytes:
     head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{url}>\r\nWARC-Target-URI: {url}\r\n"
     return head.encode() + f"Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
@@ -77,6 +86,31 @@ def test_warc(spark, tmp_path, zipped):
     assert not any(r["truncated"] for r in rows)
 
 
+def test_warc_versions_and_charsets(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html%s\r\n\r\n"
+    meta = '<html><head><meta charset="koi8-r"></head>мир</html>'
+    pages = {
+        "a": http % b"; charset=windows-1251" + "привет, ёлка".encode("cp1251"),
+        "b": http % b'; charset="Shift_JIS"' + "日本語".encode("shift_jis"),
+        "c": http % b"" + meta.encode("koi8-r"),
+        "d": http % b"; charset=no-such-name" + "naïve".encode(),
+        "e": http % b"; charset=utf-8" + b"bad \xff byte",
+        "f": http % b"; charset=utf-8" + "kept \ufffd sign".encode(),
+        "g": http % b"" + "日本語".encode(),
+    }
+    records = [warc_record("response", url, body).replace(b"WARC/1.0", b"WARC/1.1") for url, body in pages.items()]
+    records.append(warc_record("response", "h", http % b"" + b"other version"))
+    (tmp_path / "x.warc").write_bytes(b"".join(records))
+    rows = {r["url"]: r for r in readers.read_warc(spark, str(tmp_path)).collect()}
+    assert {u: r["text"] for u, r in rows.items()} == {
+        "a": "привет, ёлка", "b": "日本語", "c": meta, "d": "naïve", "e": "bad \ufffd byte",
+        "f": "kept \ufffd sign", "g": "日本語", "h": "other version",
+    }
+    assert [u for u in "abcdefgh" if rows[u]["lossy"]] == ["e"]
+    assert not any(r["truncated"] for r in rows.values())
+    assert [rows[u]["charset"] for u in "abcg"] == ["windows-1251", "shift_jis", "koi8-r", None]
+
+
 def test_snapshot_splits_and_columns(spark, tmp_path):
     root = str(tmp_path / "data")
     df = spark.range(10).select("id", F.lit("x").alias("text"))
