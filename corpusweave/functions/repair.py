@@ -111,9 +111,6 @@ def _table(encoding: str) -> dict[int, int]:
     return outside | {ord(_char(b, encoding)): b for b in range(0x80, 0x100)} | {0xFFFD: 0x1A}
 
 
-_TABLES = [_LATIN, *map(_table, OTHER_ENCODINGS)]
-
-
 def _class(low: int, high: int, *encodings: str) -> str:
     chars = {_char(b, e) for b in range(low, high + 1) for e in encodings}
     return "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(chars)) + "]"
@@ -137,8 +134,19 @@ _PARTS = [
         for e in OTHER_ENCODINGS
     ),
 ]
-_EVERY = ("latin-1", "cp1252", *OTHER_ENCODINGS)
-_MISREAD_HINT = f"{_class(0xC2, 0xF4, *_EVERY)}(?:{_class(0x80, 0xBF, *_EVERY)}|[ \\x1A\\uFFFD])"
+
+
+def _misread_hint(*encodings: str) -> re.Pattern:
+    """Without such a pair of characters nothing can have been misread in the encoding."""
+    lead, trail = _class(0xC2, 0xF4, *encodings), _class(0x80, 0xBF, *encodings)
+    return re.compile(f"{lead}(?:{trail}|[ \\x1A\\uFFFD])")
+
+
+#: The tables in the order in which they are tried, each with its hint.
+_TABLES = [
+    (_LATIN, _misread_hint("latin-1", "cp1252")),
+    *((_table(e), _misread_hint(e)) for e in OTHER_ENCODINGS),
+]
 _LOST_BYTE = re.compile(rb"[\xc2-\xdf]\x1a|[\xe0-\xef](?:\x1a[\x80-\xbf\x1a]|[\x80-\xbf]\x1a)")
 _MULTIBYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xf4][\x80-\xbf]{2,3}")
 
@@ -168,9 +176,9 @@ def _redecode(text: str, table: dict[int, int], restore_a0: bool, lossy: bool) -
         return None
 
 
-def _redecode_parts(text: str) -> str:
+def _redecode_parts(text: str, likely: list[int]) -> str:
     """Read those parts as UTF-8 that were misread, whatever stands around them."""
-    for table, pattern in _PARTS:
+    for table, pattern in (_PARTS[i] for i in likely):
 
         def read(match: re.Match, table=table) -> str:
             raw = _as_bytes(match[0], table)
@@ -193,11 +201,12 @@ def _fix_line_encoding(
     A replacement character that an earlier pass has put there is no lost byte any more.
     """
     while not line.isascii():
-        tables = () if again and "\ufffd" in line else _TABLES
+        likely = [i for i, (_, hint) in enumerate(_TABLES) if hint.search(line)]
+        tables = [] if again and "\ufffd" in line else [_TABLES[i][0] for i in likely]
         whole = (_redecode(line, table, restore_a0, lossy) for table in tables)
         fixed, again = next((w for w in whole if w is not None), None), True
         if fixed is None and parts:
-            fixed = _redecode_parts(line)
+            fixed = _redecode_parts(line, likely)
         if fixed is None or fixed == line:
             break
         line = fixed
@@ -234,10 +243,12 @@ def _python_repairs(text: Column, entities: str | bool, encoding: tuple | None)
         for texts in batches:
             yield texts.map(repair, na_action="ignore")
 
-    hints = [_ENTITY_HINT] * bool(entities) + [_MISREAD_HINT] * bool(encoding)
-    if not hints:
-        return text
-    return _where(text.rlike("|".join(hints)), text, apply)
+    applies = F.lit(False)
+    if entities:
+        applies |= F.contains(text, F.lit("&")) & text.rlike(_ENTITY_HINT)
+    if encoding:
+        applies |= F.octet_length(text) > F.char_length(text)
+    return _where(applies, text, apply)
 
 
 def unescape_html(text: Column, mode: str | bool = "auto") -> Column:
