@@ -1,7 +1,7 @@
 """Near-duplicate documents by SimHash fingerprints and one-wildcard segment variants.
 
 Two fingerprints that differ in at most ``max_bits`` bits agree, up to one bit, in at least
-one of ``max_bits // 2 + 1`` segments.  Each fingerprint is therefore indexed under every
+one of ``max_bits // 2 + 1`` segments (two at least).  Each fingerprint is therefore indexed under every
 variant of each segment with one bit taken out; fingerprints that share a variant are found
 by an equality join and verified on all bits.
 
@@ -28,6 +28,8 @@ from corpusweave.plans.staging import stage
 SHINGLE, SEED, BITS = 3, 42, 64
 #: Largest number of fingerprints compared with one another in one task; larger buckets are cut.
 BLOCK = 128
+#: Buckets of more fingerprints are indexed again by their other bits before they are cut.
+REFINE = 4096
 
 _PLACE = (np.arange(8, dtype=np.uint16) * 256)[None, :]
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -68,16 +70,21 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _variants(fp: Column, segments: int) -> Column:
-    """Every segment with each of its bits taken out, as one integer per variant."""
-    width = BITS // segments
+def _segments(low: int, high: int, count: int) -> list[tuple[int, int]]:
+    """The bits from ``low`` up to ``high``, cut into ``count`` ranges."""
+    cuts = [low + (high - low) * k // count for k in range(count + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _variants(fp: Column, segments: list[tuple[int, int]]) -> Column:
+    """Every segment with each of its bits taken out: the bit, and what is left."""
     keys = []
-    for s in range(segments):
-        size = width if s < segments - 1 else BITS - width * (segments - 1)
-        part = F.shiftrightunsigned(fp, s * width).bitwiseAND(F.lit((1 << size) - 1))
-        for bit in range(size):
-            rest = part.bitwiseAND(F.lit(((1 << size) - 1) & ~(1 << bit)))
-            keys.append(F.struct(F.lit(s * width + bit).cast("int").alias("hole"), rest.alias("rest")))
+    for low, high in segments:
+        ones = (1 << (high - low)) - 1
+        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(ones))
+        for bit in range(low, high):
+            rest = part.bitwiseAND(F.lit(ones & ~(1 << (bit - low))))
+            keys.append(F.struct(F.lit(bit).alias("hole"), rest.alias("rest")))
     return F.array(*keys)
 
 
@@ -104,36 +111,64 @@ def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """``u, v``: links between distinct fingerprints that connect all within ``max_bits`` bits.
+def _shared(indexed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key others share, with the number ``n`` of those."""
+    shared = indexed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return indexed.join(shared, keys)
+
+
+def _linked(members: DataFrame, keys: list[str], max_bits: int, block: int) -> DataFrame:
+    """``u, v``: links inside buckets of ``n`` members.
 
-    ``fps`` has one row per distinct ``fp``.  A bucket of more than ``block`` fingerprints is
-    cut into blocks, every two of which meet in a task of their own, so no task gets more than
-    twice the block whatever the size of the bucket.
+    A bucket of more than ``block`` fingerprints is cut into blocks, every two of which meet in
+    a task of their own, so no task gets more than about twice the block.
     """
-    segments = max_bits // 2 + 1
-    indexed = fps.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key")).select(
-        "fp", "key.hole", "key.rest"
-    )
-    shared = indexed.groupBy("hole", "rest").agg(F.count("*").alias("n")).where("n > 1")
-    members = indexed.join(shared, ["hole", "rest"])
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     cells = (
         members.withColumn("blocks", blocks)
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "hole", "rest", "fp",
-            F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+            *keys, "fp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")
         )
-    )
+    )
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         u, v = forest(group["fp"].to_numpy(np.int64), max_bits)
         return pd.DataFrame({"u": u, "v": v})
 
-    found = cells.groupBy("hole", "rest", "a", "b").applyInPandas(link, "u bigint, v bigint")
+    return cells.groupBy(*keys, "a", "b").applyInPandas(link, "u bigint, v bigint")
+
+
+def fingerprint_links(
+    fps: DataFrame, max_bits: int = 3, block: int = BLOCK, refine: int = REFINE
+) -> DataFrame:
+    """``u, v``: links between distinct fingerprints that connect all within ``max_bits`` bits.
+
+    ``fps`` has one row per distinct ``fp``.  Fingerprints that share a variant agree in its
+    segment but for the bit taken out.  Where more than ``refine`` of them do, they are indexed
+    a second time, by variants of the bits outside that segment, which again differ in at most
+    ``max_bits`` bits; so even a bucket of very many stays cheap.
+    """
+    count = max(2, max_bits // 2 + 1)
+    segments = _segments(0, BITS, count)
+    indexed = fps.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key")).select(
+        "fp", "key.hole", "key.rest"
+    )
+    first = ["hole", "rest"]
+    members = stage(_shared(indexed, first), "simhash-members")
+    small = _linked(members.where(F.col("n") <= refine), first, max_bits, block)
+    outside = F.array().cast("array<struct<hole:int,rest:bigint>>")
+    for low, high in segments:
+        parts = [x for r in ((0, low), (high, BITS)) if r[0] < r[1] for x in _segments(*r, count)]
+        inside = (F.col("hole") >= low) & (F.col("hole") < high)
+        outside = F.when(inside, _variants(F.col("fp"), parts)).otherwise(outside)
+    again = members.where(F.col("n") > refine).select(
+        *first, "fp", F.explode(outside).alias("key")
+    ).select(*first, "fp", F.col("key.hole").alias("hole2"), F.col("key.rest").alias("rest2"))
+    second = [*first, "hole2", "rest2"]
+    large = _linked(_shared(again, second), second, max_bits, block)
+    found = small.unionByName(large)
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

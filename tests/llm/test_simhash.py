@@ -54,8 +54,8 @@ def flipped(fp, *bits):
     return fp
 
 
-@pytest.mark.parametrize("block", [1, 3, 128])
-def test_links_connect_what_brute_force_connects(spark, block):
+@pytest.mark.parametrize("block, refine", [(1, 4096), (3, 4096), (128, 4096), (3, 1), (128, 20)])
+def test_links_connect_what_brute_force_connects(spark, block, refine):
     rng = np.random.default_rng(3)
     fps = {0, 2**64 - 1}
     for _ in range(12):
@@ -71,7 +71,7 @@ def test_links_connect_what_brute_force_connects(spark, block):
     df = spark.createDataFrame([(signed(f),) for f in order], "fp bigint")
     best = list(range(len(order)))
     place = {signed(f): i for i, f in enumerate(order)}
-    links = [(place[r.u], place[r.v]) for r in fingerprint_links(df, 3, block).collect()]
+    links = [(place[r.u], place[r.v]) for r in fingerprint_links(df, 3, block, refine).collect()]
     assert all((order[a] ^ order[b]).bit_count() <= 3 for a, b in links)
     for _ in order:
         for a, b in links:
@@ -79,6 +79,30 @@ def test_links_connect_what_brute_force_connects(spark, block):
     assert best == want
 
 
+@pytest.mark.parametrize("max_bits", [1, 5])
+def test_other_numbers_of_bits(spark, max_bits):
+    rng = np.random.default_rng(8)
+    fps = {int(rng.integers(0, 2**63)) for _ in range(10)}
+    for fp in list(fps):
+        fps |= {flipped(fp, *rng.integers(0, 64, k).tolist()) for k in range(1, 8)}
+    order = sorted(fps)
+    df = spark.createDataFrame([(signed(f),) for f in order], "fp bigint")
+    for refine in (1, 4096):
+        links = {(r.u, r.v) for r in fingerprint_links(df, max_bits, 4, refine).collect()}
+        parent = {signed(f): signed(f) for f in order}
+
+        def find(x):
+            return x if parent[x] == x else find(parent[x])
+
+        for a, b in links:
+            assert ((a ^ b) % 2**64).bit_count() <= max_bits
+            parent[find(a)] = find(b)
+        for a in order:
+            for b in order:
+                if (a ^ b).bit_count() <= max_bits:
+                    assert find(signed(a)) == find(signed(b))
+
+
 def test_forest_has_fewer_edges_than_nodes():
     fps = np.array([signed(flipped(2**63, b)) for b in range(40)], np.int64)
     u, v = forest(fps, 3)
