@@ -14,8 +14,11 @@ other columns may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,16 +79,16 @@ def _segments(low: int, high: int, count: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def _variants(fp: Column, segments: list[tuple[int, int]]) -> Column:
-    """Every segment with each of its bits taken out: the bit, and what is left."""
-    keys = []
+def _variants(segments: list[tuple[int, int]]) -> Column:
+    """Every segment with each of its bits taken out: the bit, and a mask of what is left."""
+    masks = []
     for low, high in segments:
-        ones = (1 << (high - low)) - 1
-        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(ones))
+        ones = ((1 << (high - low)) - 1) << low
         for bit in range(low, high):
-            rest = part.bitwiseAND(F.lit(ones & ~(1 << (bit - low))))
-            keys.append(F.struct(F.lit(bit).alias("hole"), rest.alias("rest")))
-    return F.array(*keys)
+            mask = ones & ~(1 << bit)
+            signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
+            masks.append(F.struct(F.lit(bit).alias("hole"), F.lit(signed).cast("bigint").alias("mask")))
+    return F.array(*masks)
 
 
 def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +114,23 @@ def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
+def _links_of_cells(
+    fps: np.ndarray, starts: np.ndarray, max_bits: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside each run of ``fps`` between two successive ``starts``."""
+    sizes = np.diff(starts)
+    pairs = starts[:-1][sizes == 2]
+    a, b = fps[pairs], fps[pairs + 1]
+    near = np.bitwise_count((a ^ b).view(np.uint64)) <= max_bits
+    parts = [(a[near], b[near])]
+    parts += [
+        forest(fps[start : start + size], max_bits)
+        for start, size in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist())
+    ]
+    u, v = zip(*parts)
+    return np.concatenate(u), np.concatenate(v)
+
+
 def _shared(indexed: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose key others share, with the number ``n`` of those."""
     shared = indexed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -133,11 +153,29 @@ def _linked(members: DataFrame, keys: list[str], max_bits: int, block: int) -> D
         )
     )
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        u, v = forest(group["fp"].to_numpy(np.int64), max_bits)
-        return pd.DataFrame({"u": u, "v": v})
-
-    return cells.groupBy(*keys, "a", "b").applyInPandas(link, "u bigint, v bigint")
+    names = [*keys, "a", "b"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            last = batch is None
+            columns = [] if last else [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                columns = held if last else [np.concatenate(x) for x in zip(held, columns)]
+            if not columns or not len(columns[0]):
+                continue
+            changes = np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)
+            starts = np.concatenate([[0], np.flatnonzero(changes) + 1, [len(columns[0])]])
+            if not last:
+                # The last cell may go on in the next batch.
+                held = [c[starts[-2] :] for c in columns]
+                starts = starts[:-1]
+            u, v = _links_of_cells(columns[-1], starts, max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    # Cells are small and most hold two rows, so a task works through many of them at a time.
+    dealt = cells.select(*names, "fp").repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(link, "u bigint, v bigint")
 
 
 def fingerprint_links(
@@ -152,20 +190,23 @@ def fingerprint_links(
     """
     count = max(2, max_bits // 2 + 1)
     segments = _segments(0, BITS, count)
-    indexed = fps.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key")).select(
-        "fp", "key.hole", "key.rest"
+    rest = F.col("fp").bitwiseAND(F.col("key.mask"))
+    indexed = fps.select("fp", F.explode(_variants(segments)).alias("key")).select(
+        "fp", "key.hole", rest.alias("rest")
     )
     first = ["hole", "rest"]
     members = stage(_shared(indexed, first), "simhash-members")
     small = _linked(members.where(F.col("n") <= refine), first, max_bits, block)
-    outside = F.array().cast("array<struct<hole:int,rest:bigint>>")
+    outside = F.lit(None)
     for low, high in segments:
         parts = [x for r in ((0, low), (high, BITS)) if r[0] < r[1] for x in _segments(*r, count)]
         inside = (F.col("hole") >= low) & (F.col("hole") < high)
-        outside = F.when(inside, _variants(F.col("fp"), parts)).otherwise(outside)
-    again = members.where(F.col("n") > refine).select(
-        *first, "fp", F.explode(outside).alias("key")
-    ).select(*first, "fp", F.col("key.hole").alias("hole2"), F.col("key.rest").alias("rest2"))
+        outside = F.when(inside, _variants(parts)).otherwise(outside)
+    again = (
+        members.where(F.col("n") > refine)
+        .select(*first, "fp", F.explode(outside).alias("key"))
+        .select(*first, "fp", F.col("key.hole").alias("hole2"), rest.alias("rest2"))
+    )
     second = [*first, "hole2", "rest2"]
     large = _linked(_shared(again, second), second, max_bits, block)
     found = small.unionByName(large)
