@@ -13,21 +13,25 @@ from corpusweave.operators import statistics as stx
 from corpusweave.operators import tokenizers as tk
 from corpusweave.operators.filters import length_ratio, with_verdict
 from corpusweave.operators.vocabulary import WORD_START, corpus_vocab
-from corpusweave.plans.staging import shared_path
+from corpusweave.plans.staging import shared_path, stage
 from corpusweave.streaming import token_stats as stream
 
 SIZES = {"small": 300, "large": 2000}
 
 
-def tokenizer(spark, sf_dir, size: int) -> tk.Tokenizer:
-    """Words of the documents by frequency; the unknown token has id 0."""
-    pieces = corpus_vocab(table(spark, sf_dir, "documents"), "text", size, split_digits=False)
-    plain = F.replace("piece", F.lit(WORD_START), F.lit(""))
-    return tk.word_tokenizer(pieces.select(plain.alias("piece"), "id"), unk_id=0, pad_id=1)
-
-
 def tokenizers(spark, sf_dir):
-    return {name: tokenizer(spark, sf_dir, size) for name, size in SIZES.items()}
+    """Words of the documents by frequency; the unknown token has id 0.
+
+    The corpus is counted once: a smaller vocabulary is the beginning of a larger one.
+    """
+    docs = table(spark, sf_dir, "documents")
+    largest = corpus_vocab(docs, "text", max(SIZES.values()), split_digits=False)
+    plain = F.replace("piece", F.lit(WORD_START), F.lit(""))
+    pieces = stage(largest.select(plain.alias("piece"), "id"), "vocabulary")
+    return {
+        name: tk.word_tokenizer(pieces.where(F.col("id") < size), unk_id=0, pad_id=1)
+        for name, size in SIZES.items()
+    }
 
 
 VOCABS_SQL = ",\n".join(
@@ -170,7 +174,7 @@ def tokenized(spark, sf_dir):
         turn_pairs(spark, sf_dir),
         "text_1",
         "text_2",
-        tokenizer(spark, sf_dir, SIZES["large"]),
+        tokenizers(spark, sf_dir)["large"],
         64,
         64,
         keep=["conv_id", "turn"],

@@ -1,7 +1,7 @@
 """Vocabulary tables ``id, piece, score, type``: deriving, merging, shrinking, comparing.
 
-A vocabulary is bounded by its declared size, so ranking its rows in one window is fine;
-everything that touches a corpus is aggregated first.
+A derived vocabulary is bounded by its declared size, so ranking its rows in one window is
+fine; vocabularies that are given may have any size and are put in order by ranges.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.text import WORD, words
+from corpusweave.plans.ordering import with_row_index
 from corpusweave.plans.partitions import spread
 from corpusweave.plans.staging import stage
 
@@ -100,8 +101,8 @@ def merge_vocab(old: DataFrame, new: DataFrame) -> DataFrame:
     added = new.where(F.col("type").isin(NORMAL, USER_DEFINED)).join(
         old.select("piece"), "piece", "left_anti"
     )
-    moved = added.select(
-        (F.row_number().over(Window.orderBy("id")) + bounds["last"]).cast("int").alias("id"),
+    moved = with_row_index(added, ["id"], "_place").select(
+        (F.col("_place") + (bounds["last"] + 1)).cast("int").alias("id"),
         "piece",
         F.when(F.col("type") == NORMAL, F.col("score") + bounds["least"])
         .otherwise(F.lit(0.0))
@@ -132,8 +133,8 @@ def shrink_vocab(
     else:
         warnings.warn("no size given, the vocabulary stays as it is", stacklevel=2)
         return vocab
-    place = F.row_number().over(Window.orderBy("id")) - 1
-    return kept.withColumn("id", place.cast("int"))
+    placed = with_row_index(kept, ["id"], "_place")
+    return placed.withColumn("id", F.col("_place").cast("int")).drop("_place")
 
 
 def diff_vocab(old: DataFrame, new: DataFrame, token: str = "piece") -> DataFrame:
