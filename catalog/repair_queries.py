@@ -104,6 +104,12 @@ def decode_inconsistent_utf8(spark, sf_dir):
     )
 
 
+@query(ORIGINAL)
+def fix_encoding_of_clean_text(spark, sf_dir):
+    """What was never misread stays as it is."""
+    return repaired(spark, sf_dir, lambda t: t, fx.fix_encoding)
+
+
 # Characters of the second halves of the Cyrillic code page, by which bytes become text.
 CYRILLIC = "".join(fx._char(b, "cp1251") for b in range(0x80, 0x100))
 

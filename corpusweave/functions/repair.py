@@ -163,11 +163,13 @@ def _redecode(text: str, table: dict[int, int], restore_a0: bool, lossy: bool) -
     raw = _as_bytes(text, table)
     if raw is None or raw.isascii():
         return None
-    if table is not _LATIN and len(_MULTIBYTE.findall(raw)) < 2:
+    certain = len(_MULTIBYTE.findall(raw)) >= 2
+    if table is not _LATIN and not certain:
         return None
     if restore_a0:
         raw = re.sub(rb"\xc3 (?=[^ \x80-\xff])", b"\xc3\xa0 ", raw)
-        raw = re.sub(rb"([\xc2-\xdf]) ", b"\\1\xa0", raw)
+        # Lead bytes of Greek and Cyrillic letters are letters themselves in clean text.
+        raw = re.sub(rb"([\xc2\xc3\xce-\xd1]) " if certain else rb"([\xc2\xc3]) ", b"\\1\xa0", raw)
     if lossy:
         raw = _LOST_BYTE.sub("\ufffd".encode(), raw)
     try:
