@@ -35,8 +35,13 @@ from corpusweave.plans.staging import stage
 CAPACITY, END_ID = 1024, 2
 
 #: Characters whose classes all regular-expression libraries agree on; other texts take the
-#: reference tokenizer itself.
-_OTHER = re.compile("[^\t\n\r -~¡-ſ‐-‧€]|<\\||[^\\s]{2000}")
+#: reference tokenizer itself, and so do special-token marks and very long words.
+_OTHER = re.compile("[^\t\n\r -~¡-ſ‐-‧€]")
+_LONG_WORD = re.compile(r"(?<!\S)\S{2000}")
+
+
+def _plain(text: str) -> bool:
+    return not (_OTHER.search(text) or "<|" in text or _LONG_WORD.search(text))
 
 
 class ByteLevelTokenizer:
@@ -91,7 +96,7 @@ class ByteLevelTokenizer:
         )
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and not _OTHER.search(text):
+        if self.fast is not None and _plain(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
