@@ -17,10 +17,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def default_root(spark: SparkSession) -> None:
-    """For tests and trials: name a temporary folder where none is set and all is one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpusweave-"))
+    """For tests and trials: name a folder where none is set.
+
+    On a single machine that is a temporary folder, on a cluster one in the warehouse, which
+    all executors share.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        root = tempfile.mkdtemp(prefix="corpusweave-")
+    else:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged-tables"
+    # The setting itself is fixed once a session has begun.
+    spark.sparkContext.setCheckpointDir(root)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -1,4 +1,8 @@
+import os
+import pathlib
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +11,7 @@ from corpusweave.operators import sampling as sm
 from corpusweave.operators.components import connected_components
 from corpusweave.operators.ranges import compress_ranges, expand_ranges, flat_ranges_to_table
 from corpusweave.operators.ranges import ids_to_mask, ranges_to_mask
-from corpusweave.plans import partitions
+from corpusweave.plans import partitions, staging
 from corpusweave.plans.ordering import first_by_hash, first_by_key, with_row_index
 from corpusweave.plans.skew import join_facts
 
@@ -188,3 +192,37 @@ def test_only_small_input_is_spread(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(partitions, "BYTES_PER_CORE", 1)
     assert parts() == 1
     assert partitions.spread(spark.range(5)).rdd.getNumPartitions() == cores
+
+
+WITHOUT_FOLDER = """
+import pathlib, sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as entry
+from corpusweave.plans import staging
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+try:
+    staging.shared_root(spark)
+except RuntimeError as error:
+    assert "spark.checkpoint.dir" in str(error)
+else:
+    raise AssertionError("no folder was asked for")
+rows = entry.queries()["minhash_clusters"](spark, {sf_dir!r}).count()
+table = staging.stage(spark.range(3), "three")
+assert rows and table.count() == 3
+staging.remove(table, spark.range(1))
+left = [str(p) for p in pathlib.Path(staging.shared_root(spark).removeprefix("file:")).iterdir()]
+assert left and not any("three" in p for p in left), left
+"""
+
+
+def test_written_tables_need_a_folder(sf_dir, tmp_path):
+    """The library asks for one; the registered queries name one on a single machine."""
+    repo = str(pathlib.Path(__file__).resolve().parents[1])
+    code = WITHOUT_FOLDER.format(repo=repo, sf_dir=sf_dir)
+    # An empty folder of settings, in case the installation has some.
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path)}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
