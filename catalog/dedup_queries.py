@@ -35,7 +35,10 @@ def _signature_sql(precision: int = 32) -> str:
     if precision == 32:
         family, modulus = "({0} * x + {1}) % " + str(PRIME), f"% {PRIME}"
     else:
-        family, modulus = f"((({{0}} | 1)::HUGEINT * x + {{1}}) % {1 << 64}) // 2", ""
+        # Products below 2^64: the upper and the lower half of the hash one after the other.
+        upper = "((({0} | 1)::UBIGINT * (x >> 32)::UBIGINT) & 4294967295) * 2147483648"
+        lower = "(({0} | 1)::UBIGINT * (x & 4294967295)::UBIGINT + {1}) >> 1"
+        family, modulus = f"({upper} + ({lower})) & {(1 << 63) - 1}", ""
     minima = ", ".join(
         f"min({family.format(x, y)})::BIGINT AS h{i}" for i, (x, y) in enumerate(zip(a, b))
     )
