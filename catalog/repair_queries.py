@@ -124,14 +124,7 @@ def fix_encoding_cyrillic(spark, sf_dir):
     )
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     broken = docs.select("doc_id", F.array_join(lines, "\n").alias("text"))
-    # One misread sequence in a line is not enough evidence outside Latin-1.
-    few = F.exists(
-        F.split(F.col("original"), "\n"),
-        lambda line: F.char_length(F.regexp_replace(line, r"[\x00-\x7F]", "")).between(1, 2),
-    )
-    both = broken.join(docs.select("doc_id", F.col("text").alias("original")), "doc_id")
-    fixed = fx.fix_encoding(F.col("text"))
-    return both.select("doc_id", F.when(few, F.col("original")).otherwise(fixed).alias("text"))
+    return broken.select("doc_id", fx.fix_encoding(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, replace(text, ' ', ' “') AS text FROM documents")

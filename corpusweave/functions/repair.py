@@ -151,6 +151,21 @@ _LOST_BYTE = re.compile(rb"[\xc2-\xdf]\x1a|[\xe0-\xef](?:\x1a[\x80-\xbf\x1a]|[\x
 _MULTIBYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xf4][\x80-\xbf]{2,3}")
 
 
+#: A single Latin letter misread as Windows-1251, in a line without other such characters.  It
+#: touches plain letters, which mixes two scripts in a word; or it is the letter Г with a symbol
+#: or, among Latin words, with a letter.  Punctuation or a blank behind a lone letter is real text.
+_CYRILLIC = _table("cp1251")
+_LEAD = "[" + "".join(_char(b, "cp1251") for b in range(0xC3, 0xCA)) + "]"
+_OWN_TRAIL = [_char(b, "cp1251") for b in range(0x80, 0xC0)]
+_SYMBOL = "[" + "".join(c for c in _OWN_TRAIL if unicodedata.category(c)[0] in "S" or c in "§¶\xad") + "]"
+_LETTER = "[" + "".join(c for c in _OWN_TRAIL if c.isalpha()) + "]"
+_ONE_LETTER = re.compile(
+    f"(?<=[A-Za-z]){_LEAD}{_class(0x80, 0xBF, 'cp1251')}"
+    f"|{_LEAD}(?![–—\xa0]){_class(0x80, 0xBF, 'cp1251')}(?=[A-Za-z])|Г[–—](?=[A-Za-z])"
+    f"|Г{_SYMBOL}|(?<=[A-Za-z] )Г{_LETTER}|Г{_LETTER}(?= [A-Za-z])"
+)
+
+
 def _as_bytes(text: str, table: dict[int, int]) -> bytes | None:
     try:
         return text.translate(table).encode("latin-1")
@@ -165,7 +180,8 @@ def _redecode(text: str, table: dict[int, int], restore_a0: bool, lossy: bool) -
         return None
     certain = len(_MULTIBYTE.findall(raw)) >= 2
     if table is not _LATIN and not certain:
-        return None
+        if table != _CYRILLIC or not _ONE_LETTER.search(text):
+            return None
     if restore_a0:
         raw = re.sub(rb"\xc3 (?=[^ \x80-\xff])", b"\xc3\xa0 ", raw)
         # Lead bytes of Greek and Cyrillic letters are letters themselves in clean text.

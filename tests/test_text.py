@@ -75,6 +75,23 @@ def test_lines_misread_in_any_encoding(spark, encoding, text):
     assert one(spark, given, fx.fix_encoding) == f"чистая строка, ещё\n{text}\nplain\nñandú é"
 
 
+@pytest.mark.parametrize("line", ["le café noir", "ein ö, und", "È.", "das ü war", "Über", "ÖL", "año"])
+def test_one_letter_misread_as_cyrillic(spark, line):
+    assert one(spark, misread(line, "cp1251"), fx.fix_encoding) == line
+
+
+@pytest.mark.parametrize("line", ["plan «Г»", "Г – X", "дії", "Зі", "Дія in 2 words", "aΓ²", "Г\xa0Moscow", "Її"])
+def test_clean_cyrillic_stays(spark, line):
+    assert one(spark, line, fx.fix_encoding) == line
+
+
+def test_cyrillic_query_gives_the_repaired_text(spark, sf_dir, monkeypatch):
+    from catalog import repair_queries as queries
+
+    monkeypatch.setattr(queries.fx, "fix_encoding", lambda text: F.concat(text, F.lit("!")))
+    assert queries.fix_encoding_cyrillic(spark, sf_dir).where("text not like '%!'").count() == 0
+
+
 @pytest.mark.parametrize("times", [2, 4, 6])
 def test_text_misread_many_times(spark, times):
     assert one(spark, misread("café", "latin-1", times), fx.fix_encoding) == "café"
