@@ -1,0 +1,156 @@
+"""Links between texts whose word shingles have at least a given Jaccard similarity.
+
+Texts with the same MinHash band are candidates; the number of bands follows from the
+similarity, so that a pair just that similar is missed with chance ``MISS`` and closer pairs
+with less.  Every link is checked on the whole shingle sets.  Near copies of that similarity
+differ in up to 17 of 64 SimHash bits in the given tables, too many for segments.
+
+Defined cases: a null text is an empty text; texts without words are alike; a text shorter than
+a shingle is one shingle; ASCII letters count without case.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from corpusweave.llm.common import per_text, utf8
+from corpusweave.plans.staging import stage
+
+#: Words of a shingle, minima of a band, and the chance that a pair at the bound is missed.
+SHINGLE, ROWS, MISS = 5, 5, 3e-6
+#: Largest number of texts compared with one another in one task; larger buckets are cut.
+BLOCK = 512
+#: Shingles hashed, and columns of shared shingles multiplied, at a time.
+TILE = 4096
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(utf8(text))
+
+
+def band_count(similarity: float) -> int:
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity must be above 0 and at most 1, got {similarity!r}")
+    return 1 if similarity == 1 else math.ceil(math.log(MISS) / math.log1p(-(similarity**ROWS)))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    from corpusweave.llm.simhash import word_shingle_hashes
+
+    return np.unique(word_shingle_hashes(text, SHINGLE)).view(np.int64)
+
+
+def bands(similarity: float):
+    """A column function: per band the hash of its minima."""
+    count = band_count(similarity)
+    draw = np.random.Generator(np.random.PCG64(42))
+    a, b, mix = (draw.integers(0, 2**64, n, np.uint64) for n in (count * ROWS, count * ROWS, ROWS))
+    a, mix = a | np.uint64(1), mix | np.uint64(1)
+
+    def of(text: bytes) -> np.ndarray:
+        hashes = shingle_set(text).view(np.uint64)
+        low = np.full(count * ROWS, 2**64 - 1, np.uint64)
+        for at in range(0, len(hashes), TILE):
+            family = hashes[at : at + TILE, None] * a + b
+            low = np.minimum(low, family.min(axis=0))
+        return (low.reshape(count, ROWS) * mix).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+    return per_text(of, ArrayType(LongType()))
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Places of edges that connect all sets reachable by links of at least ``similarity``."""
+    count, sizes = len(sets), np.array([len(s) for s in sets])
+    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Only values that two sets hold can be common; their columns are multiplied in tiles.
+    shared = times[flat] > 1
+    column = (np.cumsum(times > 1) - 1)[flat[shared]]
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], np.repeat(np.arange(count), sizes)[shared][by]
+    common = np.zeros((count, count), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, TILE):
+        low, high = np.searchsorted(column, [at, at + TILE])
+        held = np.zeros((count, int(column[high - 1]) + 1 - at), np.float32)
+        held[owner[low:high], column[low:high] - at] = 1
+        common += held @ held.T
+    common = common.astype(np.float64)
+    union = sizes[:, None] + sizes[None, :] - common
+    alike = np.where(union == 0, 1.0, common / np.maximum(union, 1)) >= similarity
+    edges, open_ = [], np.arange(len(sets))
+    while len(open_) > 1:
+        queue, open_ = [open_[0]], open_[1:]
+        while queue and len(open_):
+            node = queue.pop()
+            near = alike[node, open_]
+            edges += [(node, other) for other in open_[near]]
+            queue += open_[near].tolist()
+            open_ = open_[~near]
+    return edges
+
+
+def similar_links(
+    docs: DataFrame, text_col: str, banded: DataFrame, similarity: float, block: int = BLOCK
+) -> DataFrame:
+    """``u, v``: links between texts that connect all of at least ``similarity``.
+
+    ``banded`` has one row ``node, bands`` per distinct text of ``docs``.  Buckets of the same
+    members are compared once.  A bucket of more than ``block`` texts is cut into blocks, every
+    two of which meet in a task of their own.
+    """
+    indexed = banded.select("node", F.posexplode("bands").alias("band", "h"))
+    shared = (
+        indexed.groupBy("band", "h")
+        .agg(
+            F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("node")).alias("x0"),
+            F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x1"),
+        )
+        .where("n > 1")
+    )
+    kept = shared.groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "h")).alias("k"))
+    kept = kept.select("k.band", "k.h", "n")
+    members = stage(indexed.join(kept, ["band", "h"]), "near-members")
+    # Copies of a text are combined before its shingles are made.
+    sets = (
+        docs.select(text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
+        .join(members.select("node").distinct(), "node", "left_semi")
+        .groupBy("node")
+        .agg(F.first("text").alias("text"))
+        .select("node", per_text(shingle_set, ArrayType(LongType()))(F.col("text")).alias("shingles"))
+    )
+    names = ["band", "h", "a", "b"]
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    cells = (
+        members.withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "h", "node", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    )
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes, sets = None, [], []
+        for batch in chain(batches, [None]):
+            u, v = [], []
+            rows = [None] if batch is None else zip(*[c.to_pylist() for c in batch.columns[:4]])
+            for i, cell in enumerate(rows):
+                if cell != held:
+                    edges = similar_forest(sets, similarity) if len(sets) > 1 else []
+                    u += [nodes[x] for x, _ in edges]
+                    v += [nodes[y] for _, y in edges]
+                    held, nodes, sets = cell, [], []
+                if cell is not None:
+                    nodes.append(batch.column(4)[i].as_py())
+                    sets.append(batch.column(5)[i].values.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    dealt = cells.join(sets, "node").select(*names, "node", "shingles").repartition(*names)
+    found = dealt.sortWithinPartitions(*names).mapInArrow(link, "u bigint, v bigint")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

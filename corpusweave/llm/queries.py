@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm.simhash import fingerprint_hex, simhash_components
 
-    found = simhash_components(table(spark, sf_dir, "documents"))
+    found = simhash_components(table(spark, sf_dir, "documents"), similarity=None)
     return found.select(
         F.col("id").alias("doc_id"),
         fingerprint_hex(F.col("fp")).alias("fingerprint"),
