@@ -44,7 +44,9 @@ def whole_row(df: DataFrame) -> tuple[Column, list[Column]]:
     """All columns as one struct ``row``, and a 128-bit key ``h0, h1`` made from them."""
     names = [F.col(f"`{c}`") for c in df.columns]
     plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
-    keys = [F.xxhash64(F.lit(i), *plain).alias(f"h{i}") for i in (0, 1)]
+    # xxhash64 skips nulls, so which columns are null is hashed as well.
+    nulls = [c.isNull() for c in plain]
+    keys = [F.xxhash64(F.lit(i), *plain, *nulls).alias(f"h{i}") for i in (0, 1)]
     return F.struct(*names).alias("row"), keys
 
 

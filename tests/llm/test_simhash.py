@@ -6,6 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpusweave.llm.common import whole_row
 from corpusweave.llm.queries import QUERIES
 from corpusweave.llm.simhash import (
     fingerprint_links,
@@ -147,6 +148,12 @@ def test_one_row_of_each_component_stays(spark):
     )
 
 
+def test_rows_that_differ_in_the_place_of_a_null(spark):
+    rows = [("x", None), (None, "x"), (None, None), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert df.select(*whole_row(df)[1]).distinct().count() == 3
+
+
 def test_empty_table(spark):
     df = make(spark, [])
     assert simhash_components(df).count() == 0
