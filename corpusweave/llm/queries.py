@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm.simhash import fingerprint_hex, simhash_components
 
-    found = simhash_components(table(spark, sf_dir, "documents"), similarity=None)
+    found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
         fingerprint_hex(F.col("fp")).alias("fingerprint"),
@@ -205,3 +205,116 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = scan_licences(docs, train_licences(docs))
     return document_licences(found).withColumnRenamed("id", "doc_id")
+
+
+_ROUND = """
+near{i} AS MATERIALIZED (
+  SELECT v.n, min_by(c.cluster, (d, c.cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT v.n, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d
+        FROM kept v, c{i} c) p JOIN kept v USING (n) JOIN c{i} c USING (cluster) GROUP BY v.n),
+"""
+_MOVE = """
+sums{i} AS (
+  SELECT cluster, k, sum(x[k])::HUGEINT AS s, count(*)::HUGEINT AS m
+  FROM near{i} JOIN kept USING (n), (SELECT unnest(range(1, 65)) AS k) GROUP BY cluster, k),
+c{j} AS MATERIALIZED (
+  SELECT cluster, coalesce(y, x) AS x FROM c{i} LEFT JOIN (
+    SELECT cluster, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY k) AS y FROM sums{i} GROUP BY cluster)
+  USING (cluster)),
+"""
+
+
+@query(
+    """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS cluster, x
+  FROM (SELECT sha256('2:' || vec_id) AS h, x FROM kept ORDER BY h LIMIT 40)),
+"""
+    + "".join(_ROUND.format(i=i) + (_MOVE.format(i=i, j=i + 1) if i < 5 else "") for i in range(6))
+    + """
+inertias AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM near5 GROUP BY cluster)
+SELECT vec_id, cluster, distance, cluster_inertia, (SELECT sum(distance) FROM near5)::BIGINT AS inertia,
+  sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM near5 JOIN kept USING (n) JOIN inertias USING (cluster) JOIN c5 USING (cluster)
+"""
+)
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.clustering import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("""
+WITH l AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (
+  SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+frequent AS (
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT doc_id, pos, line, key IN (SELECT key FROM frequent) AS dropped FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""")
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", F.col("n_lines").cast("bigint").alias("n_lines"),
+        F.col("n_dropped").cast("bigint").alias("n_dropped"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+@query("""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\\x{C0}-\\x{FF}]{6,}')) AS run FROM documents WHERE text IS NOT NULL),
+crc_table AS (
+  SELECT list(c ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS i))),
+once AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h
+  FROM runs GROUP BY doc_id, run),
+summed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM once, crc_table),
+said AS (
+  SELECT CASE WHEN crc % 199 = 0
+    THEN left(run, (crc % length(run))::BIGINT) || substring(run, (crc % length(run))::BIGINT + 2) ELSE run END AS word, n
+  FROM summed),
+vocab AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+plain AS (
+  SELECT word, n, length(word) AS size, translate(word, (SELECT string_agg(chr(192 + i::INTEGER), '' ORDER BY i) FROM range(64) r(i)),
+    (SELECT string_agg(chr(33 + i::INTEGER), '' ORDER BY i) FROM range(64) r(i))) AS bytes FROM vocab),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS m FROM plain a JOIN plain b
+  ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> b.word AND levenshtein(a.bytes, b.bytes) = 1),
+best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN m END AS form_n,
+    CASE WHEN m >= 5 * v.n THEN (SELECT min(other) FROM near x WHERE x.word = v.word AND x.m = best.m) END AS form
+  FROM vocab v LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS here, 0 AS depth FROM forms
+  UNION ALL
+  SELECT walk.word, f.form, depth + 1 FROM walk JOIN forms f ON f.word = walk.here WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n
+FROM forms JOIN (SELECT word, max_by(here, depth) AS root FROM walk GROUP BY word) USING (word)
+""")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm.spelling import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents")))

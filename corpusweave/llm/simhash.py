@@ -25,13 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from corpusweave.llm.common import bounded_batches, per_text, whole_row
-from corpusweave.llm.near import bands, similar_links, text_key
 from corpusweave.operators.components import connected_components
 from corpusweave.plans.staging import stage
 
 SHINGLE, SEED, BITS = 3, 42, 64
-#: The general rule for near copies; the contract of op2 asks for bits instead.
-SIMILARITY = 0.8
 #: Largest number of fingerprints compared with one another in one task; larger buckets are cut.
 BLOCK = 128
 #: Buckets of more fingerprints are indexed again by their other bits before they are cut.
@@ -216,81 +213,54 @@ def fingerprint_links(
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _classes(marked: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, root, component`` for the rows ``id, node``: one root per component, and its smallest id."""
-    nodes = stage(marked.groupBy("node").agg(F.min("id").alias("id")), "simhash-fps")
-    links = stage(link(nodes.select("node")), "simhash-links")
-    roots = connected_components(links, "u", "v").withColumnRenamed("component", "root")
-    rooted = nodes.join(roots, "node", "left").select(
-        "node", "id", F.coalesce("root", "node").alias("root")
-    )
+def _classes(marked: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, root, component`` for the rows ``id, fp``: one root per component, and its smallest id."""
+    nodes = stage(marked.groupBy("fp").agg(F.min("id").alias("id")), "simhash-fps")
+    links = stage(fingerprint_links(nodes.select("fp"), max_bits), "simhash-links")
+    roots = connected_components(links, "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    rooted = nodes.join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     # Written, so that the rows of a component with very many fingerprints can be split.
     smallest = stage(
         rooted.groupBy("root").agg(F.min("id").alias("component")), "simhash-components"
     )
-    return stage(rooted.join(smallest, "root").select("node", "root", "component"), "simhash-classes")
-
+    return stage(rooted.join(smallest, "root").select("fp", "root", "component"), "simhash-classes")
 
-def _marked(
-    docs: DataFrame, id_col: str, text_col: str, max_bits: int, similarity: float | None, *more: Column
-) -> tuple[DataFrame, Callable[[], DataFrame]]:
-    """The rows ``id, node`` and ``more`` columns, and what makes their classes."""
-    text = F.col(text_col)
-    node = fingerprint(text) if similarity is None else text_key(text)
-    signed = [] if similarity is None else [bands(similarity)(text).alias("bands")]
-    marked = stage(docs.select(F.col(id_col).alias("id"), node.alias("node"), *more, *signed), "simhash")
 
-    def link(nodes: DataFrame) -> DataFrame:
-        if similarity is None:
-            return fingerprint_links(nodes.withColumnRenamed("node", "fp"), max_bits)
-        banded = marked.groupBy("node").agg(F.first("bands").alias("bands"))
-        return similar_links(docs, text_col, banded, similarity)
-
-    return marked, lambda: _classes(marked, link)
+def _marked(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``id, fp`` and ``more`` columns of every row."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"), *more)
+    return stage(rows, "simhash")
 
 
 def simhash_components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    max_bits: int = 3,
-    similarity: float | None = SIMILARITY,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3
 ) -> DataFrame:
-    """``id, fp, component`` of every row; rows reachable by links share the component.
-
-    Links join texts whose five-word shingles have a Jaccard similarity of at least
-    ``similarity``; if that is None, fingerprints within ``max_bits`` bits.
-    """
-    bounded_batches(docs.sparkSession)
-    more = [] if similarity is None else [fingerprint(F.col(text_col)).alias("fp")]
-    marked, classes = _marked(docs, id_col, text_col, max_bits, similarity, *more)
-    fp = F.col("node" if similarity is None else "fp").alias("fp")
-    return marked.join(classes(), "node").select("id", fp, "component")
+    """``id, fp, component`` of every row; rows reachable by links of at most ``max_bits``
+    differing bits share the component."""
+    marked = _marked(docs, id_col, text_col)
+    return marked.join(_classes(marked, max_bits), "fp").select("id", "fp", "component")
 
 
 def simhash_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    max_bits: int = 3,
-    similarity: float | None = SIMILARITY,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each component one, with the smallest id.
 
     Components are those of ``simhash_components``.  Between rows of the same id the choice
     goes by a hash of the row; of rows equal in all columns one stays.  Null ids come last.
     """
-    bounded_batches(docs.sparkSession)
     row, keys = whole_row(docs)
-    marked, classes = _marked(docs, id_col, text_col, max_bits, similarity, *keys)
+    marked = _marked(docs, id_col, text_col, *keys)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "h0", "h1")
-    chosen = (
-        marked.groupBy("node")
+    chosen = stage(
+        marked.groupBy("fp")
         .agg(F.min(order).alias("best"))
-        .join(classes(), "node")
+        .join(_classes(marked, max_bits), "fp")
         .groupBy("root")
         .agg(F.min("best").alias("best"))
-        .select("best.h0", "best.h1")
+        .select("best.h0", "best.h1"),
+        "simhash-chosen",
     )
     # Equal rows are combined before they travel, so many copies of a row are no hot key.
     single = docs.select(row, *keys).groupBy("h0", "h1").agg(F.first("row").alias("row"))

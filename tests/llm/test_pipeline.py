@@ -1,10 +1,8 @@
-import random
-
 import pytest
 
 import corpus_pipeline
 from corpusweave.llm.decontaminate import contamination
-from corpusweave.llm.near import bands, similar_links, text_key
+from corpusweave.llm.queries import QUERIES
 from corpusweave.llm.simhash import simhash_components
 from corpusweave.plans.staging import stage
 
@@ -89,49 +87,7 @@ def test_odd_rows_pass_every_stage(spark, sf_dir, long_text):
         assert fn(spark, extra, sf_dir).columns == extra.columns
 
 
-def plain_components(texts):
-    """Smallest place reachable over five-word Jaccard similarities of 0.8 or more."""
-    sets = []
-    for text in texts:
-        w = (text or "").encode().lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    best = list(range(len(sets)))
-    pairs = [
-        (a, b) for a in best for b in range(a)
-        if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
-    ]
-    for _ in best:
-        for a, b in pairs:
-            best[a] = best[b] = min(best[a], best[b])
-    return best
-
-
-def test_near_duplicates_against_brute_force_jaccard(spark, sf_dir):
-    rng = random.Random(5)
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    for _ in range(6):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 100, 400]))]
-        for edits in (0, 1, 1, 2, 4, 8):
-            copy = list(words)
-            for _ in range(edits):
-                copy[rng.randrange(len(copy))] = "x"
-            rows.append((1000 + len(rows), " ".join(copy)))
-    rows.sort()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {rows[k][0] for k in plain_components([t for _, t in rows])}
-    assert {1, 6} <= want and not {145, 177} & want
-    assert set(ids(corpus_pipeline.near_duplicates(spark, docs, sf_dir))) == want
-
-
-@pytest.mark.parametrize("block", [2, 512])
-def test_blocks_link_alike(spark, block):
-    base = [f"w{i}" for i in range(200)]
-    texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 200, 20)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    banded = docs.select(text_key(docs.text).alias("node"), bands(0.8)(docs.text).alias("bands"))
-    links = similar_links(docs, "text", banded, 0.8, block).collect()
-    reached, size = {links[0].u}, 0
-    while len(reached) > size:
-        size = len(reached)
-        reached |= {x for r in links if {r.u, r.v} & reached for x in (r.u, r.v)}
-    assert len(reached) == len(texts)
+def test_near_duplicates_by_the_fingerprints_of_the_contract(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = QUERIES["op2_simhash"](spark, sf_dir).collect()
+    assert set(ids(corpus_pipeline.near_duplicates(spark, docs, sf_dir))) == {r.component_id for r in found}
