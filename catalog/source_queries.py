@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from corpusweave.sources.arrow_ipc import file_system
 from corpusweave.sources.columns import TextColumns, to_documents
 from corpusweave.sources.lines import export_text_lines as export_lines
 from corpusweave.sources.lines import text_lines
-from corpusweave.sources.registry import create_reader_and_writer
+from corpusweave.sources.registry import create_io_object, create_reader_and_writer
 
 TURNS_SQL = "SELECT conv_id, turn, role, text FROM conversations"
 TURNS_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
@@ -163,6 +165,46 @@ def read_warc_charsets(spark, sf_dir):
     return readers.read_warc(spark, path).select("id", "url", "text", "charset", "truncated")
 
 
+#: A page that holds what looks like the end of a record and the head of another.
+INNER = "\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: inner\r\nContent-Length: 2\r\n\r\nxx"
+
+
+@query(
+    f"""SELECT kind, page_id::VARCHAR AS id, url, html || {"||".join(f"chr({ord(c)})" if ord(c) < 32 else f"'{c}'" for c in INNER)} AS text
+FROM pages, (SELECT unnest(['1.0 plain', '1.1 plain', '1.0 gzip', '1.1 gzip']) AS kind)"""
+)
+def read_warc_by_length(spark, sf_dir):
+    """Record boundaries inside pages; plain archives, and gzip members read in ranges."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit(INNER)))
+
+    def records(version: str, zipped: bool):
+        @F.pandas_udf("binary")
+        def record(ids: pd.Series, urls: pd.Series, html: pd.Series) -> pd.Series:
+            out = []
+            for i, url, page in zip(ids, urls, html):
+                body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + page.encode()
+                head = (
+                    f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: {i}\r\n"
+                    f"WARC-Target-URI: {url}\r\nContent-Length: {len(body)}\r\n\r\n"
+                )
+                whole = head.encode() + body + b"\r\n\r\n"
+                out.append(gzip.compress(whole) if zipped else whole)
+            return pd.Series(out)
+
+        return record("page_id", "url", "html").cast("string").alias("value")
+
+    found = None
+    for version in ("1.0", "1.1"):
+        for zipped in (False, True):
+            path = shared_path(spark, "warc")
+            # Zeros between gzip members are padding; a line end between records is blank.
+            pages.select(records(version, zipped)).write.option("lineSep", "\0" if zipped else "\n").text(path)
+            kind = F.lit(f"{version} {'gzip' if zipped else 'plain'}").alias("kind")
+            part = readers.read_warc(spark, path, split_bytes=1 << 20).select(kind, "id", "url", "text")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query("SELECT doc_id, lang FROM documents")
 def read_dataset_snapshot(spark, sf_dir):
     root = shared_path(spark, "snapshot")
@@ -205,6 +247,16 @@ def write_json(spark, sf_dir):
     return spark.read.schema(TURNS_SCHEMA).json(f"{path}/*.json.gz")
 
 
+@query("SELECT conv_id, turn, role, text, true AS named FROM conversations")
+def write_json_with_names(spark, sf_dir):
+    """Files with names of their own, through a job's writer configuration."""
+    path = shared_path(spark, "written")
+    kwargs = {"output_folder": path, "output_filename": "result_${rank}"}
+    create_io_object(spark, {"type": "json", "kwargs": kwargs}, "writer").save(turns(spark, sf_dir))
+    named = F.input_file_name().rlike(r"/result_\d{5}\.gz$").alias("named")
+    return spark.read.schema(TURNS_SCHEMA).json(path).select("*", named)
+
+
 @query("SELECT doc_id, lang, text FROM documents")
 def write_parquet(spark, sf_dir):
     path = shared_path(spark, "written")

@@ -15,8 +15,8 @@ READ_LOCATIONS = ("data_folder", "path", "dataset")
 WRITE_LOCATION = "output_folder"
 # Options that only say how one machine goes about it, and change no row.
 WITHOUT_EFFECT = {"shuffle_files", "batch_size"}
-# Options that would change the result in a way that Spark's writers do not offer.
-REFUSED = {"output_filename", "adapter"}
+# Fixed value: an option that would change the result in a way that Spark's writers do not offer.
+REFUSED = {"adapter"}
 
 
 class Source(NamedTuple):

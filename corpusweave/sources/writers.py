@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.plans.staging import stage
+from corpusweave.sources.named_files import write_named_json
 
 Writer = Callable[[DataFrame], None]
 
 
-def write_json(df: DataFrame, folder: str, mode: str = "errorifexists", **options) -> None:
-    """Gzipped JSON Lines; nulls are written, so that every row has every column."""
+def write_json(
+    df: DataFrame, folder: str, mode: str = "errorifexists", output_filename: str | None = None, **options
+) -> None:
+    """Gzipped JSON Lines; nulls are written, so that every row has every column.
+
+    ``output_filename`` names the files, as ``write_named_json`` describes.
+    """
+    if output_filename:
+        return write_named_json(df, folder, output_filename, mode, **options)
     options = {"compression": "gzip", "ignoreNullFields": False} | options
     df.write.mode(mode).options(**options).json(folder)
 

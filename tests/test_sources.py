@@ -1,4 +1,5 @@
 import gzip
+import json
 import os
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from corpusweave.sources import arrow_ipc, readers, writers
 from corpusweave.sources.columns import TextColumns, to_documents
 from corpusweave.sources.lines import export_text_lines, text_lines, with_file_number
 from corpusweave.sources.registry import create_io_object, create_reader_and_writer
+from corpusweave.sources.warc import archive_ranges
 
 
 def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
@@ -86,6 +88,50 @@ def test_warc(spark, tmp_path, zipped):
     assert not any(r["truncated"] for r in rows)
 
 
+@pytest.mark.parametrize("kind", ["plain", "members", "one member", "padded"])
+@pytest.mark.parametrize("split_bytes", [1, 900, 1 << 30])
+def test_warc_records_end_where_they_say(spark, tmp_path, kind, split_bytes):
+    inner = warc_record("response", "http://inner", b"HTTP/1.1 200 OK\r\n\r\ninner")
+    pages = {f"http://{i}": f"page {i}\r\n\r\nWARC/1.0\r\n".encode() + inner * (i % 3) + b"x" * (37 * i % 301) for i in range(40)}
+    pages["http://gz"] = gzip.compress(inner) * 2
+    pages["http://empty"] = b""
+    records = [warc_record("conversion", url, body) for url, body in pages.items()]
+    records.insert(3, warc_record("request", "http://0", inner))
+    whole = {
+        "plain": b"".join(records),
+        "members": b"".join(gzip.compress(r, 0) for r in records),
+        "one member": gzip.compress(b"".join(records)),
+        "padded": b"".join(gzip.compress(r) for r in records) + b"\0" * 100,
+    }[kind]
+    (tmp_path / "a b%20.warc").write_bytes(whole)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = readers.read_warc(spark, str(tmp_path), split_bytes=split_bytes)
+    found = {r["url"]: r for r in rows.collect()}
+    assert len(found) == rows.count() == len(pages)
+    assert all(found[u]["text"] == body.decode("utf-8", "replace") for u, body in pages.items())
+    assert not any(r["truncated"] for r in found.values())
+    ranges = archive_ranges(spark, str(tmp_path), split_bytes)
+    assert (len(ranges) > 20) == (split_bytes == 1 and kind != "one member")
+
+
+def test_warc_that_ends_early(spark, tmp_path):
+    records = [warc_record("conversion", f"http://{i}", b"text " * 50) for i in range(3)]
+    (tmp_path / "x.warc").write_bytes(b"".join(records)[:-60])
+    packed = b"".join(gzip.compress(r, 0) for r in records)
+    (tmp_path / "y.warc.gz").write_bytes(packed[:-60])
+    rows = readers.read_warc(spark, str(tmp_path)).collect()
+    assert sorted((r["url"], r["truncated"]) for r in rows) == sorted(
+        [(f"http://{i}", i == 2) for i in range(3)] * 2
+    )
+
+
+def test_warc_lines_between_records(spark, tmp_path):
+    lone = b"WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Target-URI: http://no-length\r\n\r\nlost\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(b"junk\r\n" + lone + b"\r\n\r\n" + warc_record("conversion", "http://a", b"kept"))
+    rows = readers.read_warc(spark, str(tmp_path)).collect()
+    assert {(r["url"], r["text"]) for r in rows} == {("http://no-length", ""), ("http://a", "kept")}
+
+
 def test_warc_versions_and_charsets(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html%s\r\n\r\n"
     meta = '<html><head><meta charset="koi8-r"></head>мир</html>'
@@ -209,3 +255,56 @@ def test_empty_job_configuration(tmp_path):
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_path(spark, "x").startswith(shared_root(spark))
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def lines_of(path):
+    return [json.loads(x) for x in gzip.open(path, "rt", encoding="utf-8")]
+
+
+def test_named_files_through_the_registry(spark, tmp_path):
+    rows = [(i, f"été {i}" if i % 3 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(4)
+    out = str(tmp_path / "results")
+    kwargs = {"output_folder": out, "output_filename": "result_${rank}", "compression": "gzip"}
+    sink = create_io_object(spark, {"type": "json", "kwargs": kwargs}, "writer")
+    sink.save(df)
+    assert sorted(os.listdir(out)) == [f"result_{i:05d}.gz" for i in range(4)]
+    found = [r for f in os.listdir(out) for r in lines_of(f"{out}/{f}")]
+    assert sorted((r["id"], r["text"]) for r in found) == rows
+    with pytest.raises(FileExistsError):
+        sink.save(df)
+    writers.write_json(df.limit(3), out, "overwrite", "only", compression=None)
+    assert os.listdir(out) == ["only"] and len(open(f"{out}/only").readlines()) == 3
+    writers.write_json(df, out, "ignore", "x_${rank}")
+    writers.write_json(df.limit(1), out, "append", "more/${rank}.jsonl")
+    assert sorted(os.listdir(out)) == ["more", "only"] and os.listdir(f"{out}/more") == ["00000.jsonl.gz"]
+
+
+def test_files_named_by_columns(spark, tmp_path):
+    rows = [(i, "abc"[i % 3] if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, lang string").repartition(3)
+    writers.write_json(df, str(tmp_path / "a"), output_filename="${lang}/part-${rank}.jsonl")
+    writers.write_json(df, str(tmp_path / "b"), output_filename="$lang.jsonl")
+    for lang in ("a", "b", "c"):
+        want = [i for i, x in rows if x == lang]
+        parts = sorted((tmp_path / "a" / lang).iterdir())
+        assert sorted(r["id"] for p in parts for r in lines_of(p)) == want
+        assert sorted(r["id"] for r in lines_of(tmp_path / "b" / f"{lang}.jsonl.gz")) == want
+    with pytest.raises(ValueError):
+        writers.write_json(df, str(tmp_path / "c"), output_filename="${nothing}_${rank}")
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    @F.udf("int")
+    def fails(i):
+        if i == 77:
+            raise RuntimeError("no")
+        return i
+
+    out = tmp_path / "out"
+    df = spark.range(100).repartition(4).select(fails(F.col("id").cast("int")).alias("id"))
+    with pytest.raises(Exception):
+        writers.write_json(df, str(out), output_filename="result_${rank}")
+    assert not out.exists() or os.listdir(out) == []
+    writers.write_json(spark.range(0), str(out / "none"), output_filename="result_${rank}")
+    assert os.listdir(out / "none") == []
