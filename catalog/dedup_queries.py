@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalog import query, table
 from catalog.shared import BLANK_SQL, words_sql
 from corpusweave.functions.shingles import ACCENTED, PLAIN, PRIME, hash_family
+from corpusweave.functions.text import BLANKS
 from corpusweave.operators import minhash as mh
+from corpusweave.operators import segmentation as sg
 from corpusweave.operators import sentences as st
 from corpusweave.plans import jobs
 from corpusweave.plans.staging import shared_path
@@ -302,3 +304,49 @@ def run_sentence_job(spark, sf_dir):
         },
     )
     return spark.read.parquet(out)
+
+
+#: Texts without their blanks, to be cut into words again.
+LETTERS = r"\p{L}\p{N}"
+UNSPACED_SQL = f"regexp_replace(text, '[{BLANK_SQL}]+', '', 'g')"
+
+
+def unspaced(spark, sf_dir):
+    text = F.regexp_replace("text", F.lit(BLANKS), F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(
+    f"""WITH runs AS (SELECT unnest(regexp_extract_all({UNSPACED_SQL}, '[{LETTERS}]+')) AS run FROM documents),
+grams AS (
+  SELECT substring(run, i, n) AS word FROM (
+    SELECT run, n, unnest(range(1, length(run) - n + 2)) AS i FROM runs, (SELECT unnest(range(1, 5)) AS n)))
+SELECT word, count(*) AS n FROM grams GROUP BY word HAVING count(*) >= 5"""
+)
+def word_candidates(spark, sf_dir):
+    return sg.word_candidates(unspaced(spark, sf_dir), "text", letters=LETTERS)
+
+
+@query()
+def segment_words(spark, sf_dir):
+    """The texts of all documents without their blanks, cut into words learned from them."""
+    docs = unspaced(spark, sf_dir)
+    model = sg.fit_words(docs, "text", max_chars=5, letters=LETTERS)
+    return docs.select("doc_id", sg.segmenter(spark, model)("text").alias("text"))
+
+
+@query()
+def run_minhash_job_unspaced(spark, sf_dir):
+    """The job in a language without blanks, over all documents, whose words it finds itself."""
+    out = shared_path(spark, "unspaced-job")
+    unspaced(spark, sf_dir).write.parquet(f"{out}/in")
+    jobs.run_minhash_job(
+        spark,
+        {
+            "reader": {"type": "parquet", "kwargs": {"data_folder": f"{out}/in", "id_key": "doc_id"}},
+            "writer": {"type": "parquet", "kwargs": {"output_folder": f"{out}/kept"}},
+            "language": "zho",
+            "use_column_info_adapter": True,
+        },
+    )
+    return spark.read.parquet(f"{out}/kept").select("doc_id", "text")

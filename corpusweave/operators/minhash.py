@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions import shingles as sh
@@ -163,16 +163,28 @@ def count_tokens(docs: DataFrame, text_col: str, tokens=word_count) -> DataFrame
 
 
 def mark_duplicates(
-    docs: DataFrame, id_col: str, text_col: str, config: MinhashConfig = MinhashConfig()
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    config: MinhashConfig = MinhashConfig(),
+    segment: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``token_count`` and ``is_duplicate``; the smallest id of a cluster is none."""
+    """``docs`` with ``token_count`` and ``is_duplicate``; the smallest id of a cluster is none.
+
+    ``segment`` sets words apart by blanks where the language does not.
+    """
     docs = spread(docs)
-    clusters = _clusters(docs, id_col, text_col, config)
+    if segment:
+        texts = docs.select(id_col, segment(F.col(text_col)).alias(text_col))
+        clusters = _clusters(texts, id_col, text_col, config)
+        tokens = lambda text: word_count(segment(text))
+    else:
+        clusters, tokens = _clusters(docs, id_col, text_col, config), word_count
     removed = clusters.where("node <> component").select(
         F.col("node").alias(id_col), F.lit(True).alias("is_duplicate")
     )
     return (
-        count_tokens(docs, text_col)
+        count_tokens(docs, text_col, tokens)
         .join(removed, id_col, "left")
         .withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
     )

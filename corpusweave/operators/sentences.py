@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,10 @@ from corpusweave.plans.partitions import spread
 from corpusweave.plans.skew import HOT_ROWS, join_facts
 from corpusweave.plans.staging import stage_observed
 
-# Fixed value: end of a sentence, used when texts are split into sentences.
+# End of a sentence, used when texts are split into sentences, and the same where
+# no blank follows a full stop.
 SENTENCE_END = r"(?<=[.!?…])\s+"
+UNSPACED_SENTENCE_END = r"(?<=[。！？…｡។༎༏၊။])\s*|(?<=[.!?])\s+"
 
 
 @dataclass(frozen=True)
@@ -28,15 +31,18 @@ class SentenceConfig:
     min_doc_words: int = 0
     min_num_sentences: int = -1
     hot_rows: int = HOT_ROWS
+    unspaced: bool = False
 
     def parts(self, text: Column) -> Column:
         if self.split_sentences:
-            return F.split(text, SENTENCE_END)
+            return F.split(text, UNSPACED_SENTENCE_END if self.unspaced else SENTENCE_END)
         return F.split(text, "\n")
 
     @property
     def separator(self) -> str:
-        return " " if self.split_sentences else "\n"
+        if self.split_sentences:
+            return "" if self.unspaced else " "
+        return "\n"
 
 
 def sentence_signatures(
@@ -101,14 +107,21 @@ def sentence_dedup(
     text_col: str,
     index: DataFrame | None = None,
     config: SentenceConfig = SentenceConfig(),
+    segment: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Documents without their duplicated windows, with ``token_count`` of the original text.
 
     A document goes when nothing is left of it, or when it was changed and now has fewer
     than ``min_doc_words`` words or ``min_num_sentences`` lines.  ``id_col`` must be unique.
     Only positions travel to the documents, and those of one document are bounded by it.
+    ``segment`` sets words apart by blanks where the language does not; words are then counted
+    so.
     """
     n = config.n_sentences
+
+    def tokens(text: Column) -> Column:
+        return word_count(segment(text) if segment else text)
+
     docs = spread(docs)
     # Counted once and matched once: written, so that the texts are normalised only once.
     signatures, seen = stage_observed(
@@ -119,7 +132,7 @@ def sentence_dedup(
         .groupBy(id_col)
         .agg(F.collect_list("pos").alias("_dups"))
     )
-    joined = count_tokens(docs, text_col).join(positions, id_col, "left")
+    joined = count_tokens(docs, text_col, tokens).join(positions, id_col, "left")
     parts = config.parts(F.col(text_col))
     covered = F.flatten(F.transform("_dups", lambda p: F.sequence(p, p + (n - 1))))
     left = F.sort_array(
@@ -133,7 +146,7 @@ def sentence_dedup(
     # A null text has no lines and stays as it is.
     drop = F.coalesce(F.trim(text_col) == "", F.lit(False))
     if config.min_doc_words > 0:
-        drop |= changed & (word_count(F.col(text_col)) < config.min_doc_words)
+        drop |= changed & (tokens(F.col(text_col)) < config.min_doc_words)
     if config.min_num_sentences > 0:
         drop |= changed & (F.size("_kept") < config.min_num_sentences)
     return kept.withColumn(text_col, new_text).where(~F.coalesce(drop, F.lit(False))).drop("_parts", "_kept", "_dups")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from corpusweave.operators.minhash import MinhashConfig, mark_duplicates
+from corpusweave.operators.segmentation import fit_words, segmenter
 from corpusweave.operators.sentences import SentenceConfig, sentence_dedup, sentence_signatures
 from corpusweave.plans.staging import stage
 from corpusweave.sources.registry import create_io_object, create_reader_and_writer
@@ -16,10 +18,15 @@ from corpusweave.sources.registry import create_io_object, create_reader_and_wri
 UNSPACED = ("zho", "cmn", "yue", "wuu", "jpn", "tha", "lao", "khm", "mya", "bod", "dzo")
 
 
-def _check_language(language: str | None) -> None:
-    """Words are what blanks set apart, which serves every other language."""
-    if language and language.lower().split("_")[0] in UNSPACED:
-        raise ValueError(f"words of {language!r} are not set apart by blanks")
+def _is_unspaced(language: str | None) -> bool:
+    return bool(language) and language.lower().split("_")[0] in UNSPACED
+
+
+def _segment(docs: DataFrame, text_col: str, language: str | None) -> Callable[[Column], Column] | None:
+    """What sets the words of the job's language apart, learned from the job's documents."""
+    if not _is_unspaced(language):
+        return None
+    return segmenter(docs.sparkSession, fit_words(docs, text_col))
 
 
 def load_config(config: str | dict[str, Any]) -> dict[str, Any]:
@@ -38,11 +45,10 @@ def run_minhash_job(spark: SparkSession, config: str | dict[str, Any]) -> None:
     """Read, remove near duplicates, write; removed rows go to the exclusion writer if any.
 
     Directories, logging and worker counts of the configuration are Spark's business here.
-    Unknown options of ``hash_config`` and ``minhash_config`` raise, and so does a
-    ``language`` whose words are not set apart by blanks.
+    Unknown options of ``hash_config`` and ``minhash_config`` raise.  In a ``language`` whose
+    words are not set apart by blanks, words are found by a model of the documents.
     """
     cfg = load_config(config)
-    _check_language(cfg.get("language"))
     hashing = dict(cfg.get("hash_config") or {})
     unknown = sorted(hashing.keys() - {"hash_fc", "precision"})
     if unknown:
@@ -51,7 +57,8 @@ def run_minhash_job(spark: SparkSession, config: str | dict[str, Any]) -> None:
     source, sink = create_reader_and_writer(spark, cfg)
     docs, columns = source.load()
     id_col, text_col = _keys(docs, source)
-    judged = mark_duplicates(docs, id_col, text_col, options)
+    segment = _segment(docs, text_col, cfg.get("language"))
+    judged = mark_duplicates(docs, id_col, text_col, options, segment)
     if cfg.get("exclusion_writer"):
         # Both writers read it.
         judged = stage(judged, "judged")
@@ -69,13 +76,14 @@ def run_sentence_job(
     """Read, remove repeated lines, write.  ``index`` holds ``id`` and ``text`` of a corpus
     whose lines are to be removed."""
     cfg = load_config(config)
-    _check_language(cfg.get("language"))
     source, sink = create_reader_and_writer(spark, cfg)
     docs, columns = source.load()
-    options = SentenceConfig(**(cfg.get("dedup_config") or {}))
+    unspaced = {"unspaced": _is_unspaced(cfg.get("language"))}
+    options = SentenceConfig(**(unspaced | (cfg.get("dedup_config") or {})))
     id_col, text_col = _keys(docs, source)
     listed = None if index is None else sentence_signatures(index, "id", "text", options)
-    sink.save(sentence_dedup(docs, id_col, text_col, listed, options), columns)
+    segment = _segment(docs, text_col, cfg.get("language"))
+    sink.save(sentence_dedup(docs, id_col, text_col, listed, options, segment), columns)
 
 
 def _keys(docs: DataFrame, source) -> tuple[str, str]:

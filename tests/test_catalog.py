@@ -21,11 +21,15 @@ def con(sf_dir):
     return con
 
 
-def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+#: A cheapest segmentation is beyond SQL; its tests are in test_segmentation.py.
+WITHOUT_SQL = {"segment_words", "run_minhash_job_unspaced"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_other_query_has_sql():
+    assert set(SQL) == set(QUERIES) - WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, con, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     cursor = con.execute(SQL[name])
