@@ -96,6 +96,15 @@ def similarity_join(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {NEAR_SQL} SELECT src, dst, round(score, 6) AS score FROM near")
+def similarity_join_in_two_levels(spark, sf_dir):
+    """More cells than one table of pivots may have, so cells are divided again."""
+    found = sim.similarity_join(
+        vectors(spark, sf_dir), "vec_id", "embedding", T, cell_rows=32, max_pivots=8
+    )
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {NEAR_SQL} SELECT src, dst, round(score, 6) AS score FROM near")
 def similarity_join_projected(spark, sf_dir):
     """Hyperplane buckets wide enough to miss a pair with a chance below 1e-12."""
@@ -129,6 +138,11 @@ GREEDY_SQL = scan_sql("near", "vecs", "whole").rpartition(",\nwhole AS")[0]
 
 @query(f"WITH RECURSIVE {NEAR_SQL}, {GREEDY_SQL} SELECT vec_id FROM {last_kept('whole')}")
 def greedy_dedup(spark, sf_dir):
+    return sim.greedy_dedup(vectors(spark, sf_dir), "vec_id", "embedding", T, cell_rows=CELL)
+
+
+@query(f"WITH RECURSIVE {NEAR_SQL}, {GREEDY_SQL} SELECT vec_id FROM {last_kept('whole')}")
+def greedy_dedup_by_rounds(spark, sf_dir):
     """Rounds over the pairs to the end."""
     return sim.greedy_dedup(
         vectors(spark, sf_dir), "vec_id", "embedding", T, scan_pairs=0, cell_rows=CELL
@@ -137,9 +151,9 @@ def greedy_dedup(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {NEAR_SQL}, {GREEDY_SQL} SELECT vec_id FROM {last_kept('whole')}")
 def greedy_dedup_by_component(spark, sf_dir):
-    """One round over the pairs, then a scan of each component."""
+    """One round over the pairs, then a scan of each component, 200 pairs at a time."""
     return sim.greedy_dedup(
-        vectors(spark, sf_dir), "vec_id", "embedding", T, rounds=1, cell_rows=CELL
+        vectors(spark, sf_dir), "vec_id", "embedding", T, rounds=1, scan_pairs=200, cell_rows=CELL
     )
 
 

@@ -21,6 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.operators.components import connected_components
+from corpusweave.operators.pivot_cells import (
+    CELL_ROWS,
+    MAX_PIVOTS,
+    nearest_targets,
+    pivot_cells,
+)
+from corpusweave.operators.pivot_cells import matrix_of as _matrix
+from corpusweave.operators.pivot_cells import squared_length as _squared
 from corpusweave.plans.ordering import with_row_index
 from corpusweave.plans.skew import join_facts
 from corpusweave.plans.staging import remove, shared_path, stage, stage_observed
@@ -29,8 +37,6 @@ from corpusweave.plans.staging import remove, shared_path, stage, stage_observed
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 4096
 #: Rows on either side of a score tile inside a task.
 TILE = 1024
-#: Rows that a cell should hold, and the most pivots that are broadcast.
-CELL_ROWS, MAX_PIVOTS = 4096, 1024
 #: Hyperplanes of one random-projection table at most; bounds the number of buckets.
 MAX_BITS = 14
 #: Bytes of hot vectors, the keys of spread rows, that are broadcast at most.
@@ -40,17 +46,6 @@ HOT_BYTES = 8 << 20
 ROUNDS, SCAN_PAIRS = 8, 1_000_000
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
-
-
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
 def _dimension(vectors: DataFrame, vec_col: str) -> int:
     first = vectors.select(F.size(vec_col).alias("d")).first()
     return max(1, first["d"]) if first else 1
@@ -65,10 +60,6 @@ def _stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return staged, seen["rows"]
 
 
-def _squared(vec: str) -> Column:
-    return F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-
-
 def _is_integer(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
 
@@ -111,13 +102,14 @@ def _cell_pairs(
         n = F.ceil(F.count("*") / block).cast("int")
         return df.groupBy("cell").agg(n.alias(name))
 
-    # One row per cell; the numbers of pivots and buckets are bounded.
     sizes = blocks(placed, "own_blocks")
     if visits is None:
         sizes = sizes.withColumn("visit_blocks", F.lit(0))
     else:
         sizes = sizes.join(blocks(visits, "visit_blocks"), "cell", "left").fillna(0)
-    sizes = F.broadcast(stage(sizes, "cells"))
+    # One row per cell.  The optimizer knows the size of the written table and sends it to all
+    # tasks if it is small.
+    sizes = stage(sizes, "cells")
 
     def own_block(name: str) -> Column:
         return F.pmod(F.xxhash64("n"), F.col(name)).cast("int")
@@ -157,76 +149,17 @@ def _cell_pairs(
     return cells.groupBy(*keys).applyInArrow(compare, "src bigint, dst bigint, score double")
 
 
-def _pivots(rows: DataFrame, n: int, cell_rows: int) -> np.ndarray:
-    """Unit vectors of a hashed sample, one for each cell to be; their number is bounded."""
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(n / cell_rows)))
-    some = rows.select("n", "vec").orderBy(F.xxhash64("n"), "n").limit(wanted).collect()
-    return _unit_rows(np.array([r["vec"] for r in some], dtype=np.float64))
-
-
 def exact_pairs(
-    rows: DataFrame, n: int, threshold: float, block: int, cell_rows: int = CELL_ROWS
+    rows: DataFrame,
+    n: int,
+    threshold: float,
+    block: int,
+    cell_rows: int = CELL_ROWS,
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
-    """All pairs of ``rows`` (``n, vec``) with a product above ``threshold``, in pivot cells.
-
-    With the largest norm M, a pair with ``x.y > t`` has an angle below ``acos(t / (|x| M))``.
-    If y is nearer to its pivot q than to any other, then x is at most twice that angle
-    farther from q than from its own pivot, and at most that angle farther from q than the
-    farthest row of q; x visits just the cells of higher number that satisfy both.
-    """
-    longest = rows.agg(F.max(_squared("vec"))).first()[0] if n else None
-    if not longest:
-        longest = 0.0
-    pivots, largest = _pivots(rows, n, cell_rows), math.sqrt(longest)
-    slack = 1e-6
-
-    def angles(matrix: np.ndarray) -> np.ndarray:
-        return np.arccos(np.clip(_unit_rows(matrix) @ pivots.T, -1.0, 1.0))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            away = angles(_matrix(pa.chunked_array([batch["vec"]])))
-            cell = away.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell, pa.int32()), pa.array(away.min(axis=1))],
-                names=["n", "vec", "cell", "away"],
-            )
-
-    kind = rows.schema["vec"].dataType.simpleString()
-    placed = rows.select("n", "vec").mapInArrow(place, f"n bigint, vec {kind}, cell int, away double")
-    if len(pivots) <= 1:
-        return _cell_pairs(placed.drop("away"), None, threshold, block)
-    placed = stage(placed, "placed")
-    radius = np.full(len(pivots), -1.0)
-    for r in placed.groupBy("cell").agg(F.max("away").alias("away")).collect():
-        radius[r["cell"]] = r["away"]
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix = _matrix(pa.chunked_array([batch["vec"]]))
-            reach = np.linalg.norm(matrix, axis=1) * largest
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = np.where(reach > 0, threshold / reach, np.inf if threshold >= 0 else -np.inf)
-            theta = np.arccos(np.clip(cosine, -1.0, 1.0))
-            # A product of zero vectors is zero, whatever the angle.
-            theta = np.where(threshold < 0, np.pi, theta)
-            away, home = angles(matrix), batch["cell"].to_numpy()
-            near = away <= away[np.arange(len(home)), home][:, None] + 2 * theta[:, None] + slack
-            near &= away <= radius[None, :] + theta[:, None] + slack
-            near &= (np.arange(len(pivots))[None, :] > home[:, None]) & (radius >= 0)[None, :]
-            near &= (cosine < 1)[:, None]
-            row, cell = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays(
-                [batch["n"].take(pa.array(row)), pa.array(cell, pa.int32())], names=["n", "cell"]
-            )
-
-    open_cells = stage(placed.mapInArrow(visit, "n bigint, cell int"), "visits")
-    visits = open_cells.join(placed.select("n", "vec"), "n")
-    return _cell_pairs(placed.drop("away"), visits, threshold, block)
+    """All pairs of ``rows`` (``n, vec``) with a product above ``threshold``, in pivot cells."""
+    placed, visits = pivot_cells(rows, n, threshold, cell_rows, max_pivots)
+    return _cell_pairs(placed, visits, threshold, block)
 
 
 def projected_pairs(
@@ -356,35 +289,66 @@ def _dropped_by_scan(edges: DataFrame) -> DataFrame:
     return edges.groupBy("component").applyInArrow(scan, "n bigint")
 
 
+def _decide_prefixes(named: DataFrame, scan_pairs: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """``n`` of rows dropped, the pairs left, and tables to remove, after deciding a prefix of
+    each component.
+
+    In the order of ``n``, a prefix is as long as about ``scan_pairs`` pairs, at least half of
+    that, lie inside it.  A task scans those; all rows of the prefix are then decided, and later
+    neighbours of the kept ones are dropped.
+    """
+    # Later ends by ranks 1, 1/2, 1/4 and so on; the digests are combined map-side.
+    ranks = F.percentile_approx("dst", F.array(*[F.lit(0.5**i) for i in range(31)]), 10_000)
+    cuts = named.groupBy("component").agg(F.count("*").alias("pairs"), ranks.alias("marks"))
+    halved = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("pairs") / F.lit(float(scan_pairs))))).cast("int")
+    cuts = stage(cuts.select("component", F.get("marks", F.least(halved, F.lit(30))).alias("until")), "prefixes")
+    cut = named.join(cuts, "component")
+    inside = cut.where(F.col("dst") <= F.col("until")).select("component", "src", "dst")
+    gone = stage(_dropped_by_scan(inside), "prefix-dropped")
+    # Every row up to the mark is decided: it was dropped, or it is kept.
+    open_ = cut.where(F.col("dst") > F.col("until"))
+    open_ = open_.join(gone.withColumnRenamed("n", "src"), "src", "left_anti")
+    decided = F.col("src") <= F.col("until")
+    later = stage(open_.where(decided).select(F.col("dst").alias("n")).distinct(), "prefix-neighbours")
+    rest = open_.where(~decided)
+    for side in ("src", "dst"):
+        rest = rest.join(later.withColumnRenamed("n", side), side, "left_anti")
+    return gone.unionByName(later), rest.select("component", "src", "dst"), [cuts, gone, later]
+
+
 def _drop_later_neighbours(
     edges: DataFrame, left: int, rounds: int, scan_pairs: int, max_rounds: int
 ) -> DataFrame | None:
     """``n`` of the rows that a scan in the order of ``n`` drops, given the matching pairs.
 
-    In a round, rows that are no later end of a pair are kept for good, and their neighbours
-    dropped; pairs with a decided row go.  Every round is a written table, and the one before
-    it is removed.
+    Up to ``scan_pairs`` pairs are scanned by one task.  Of more, in a round rows that are no
+    later end of a pair are kept for good, and their neighbours dropped; pairs with a decided
+    row go.  After ``rounds`` rounds, what is left are chains: components of up to
+    ``scan_pairs`` pairs are scanned, of larger ones a prefix at a time.  Every round is a
+    written table, and the one before it is removed.
     """
     spark = edges.sparkSession
     path, schema = shared_path(spark, "dropped"), "n bigint"
     if not left:
         return None
+    if left <= scan_pairs:
+        whole = edges.select(F.lit(0).alias("component"), "src", "dst")
+        return stage(_dropped_by_scan(whole), "dropped")
+
+    named = None
     for round_no in range(max_rounds):
         if not left:
             break
-        if round_no == rounds and scan_pairs:
-            # Chains take many rounds; most are short components that a task can scan.
-            parts = connected_components(edges, "src", "dst").withColumnRenamed("node", "src")
-            named = stage(edges.join(parts, "src"), "named-pairs")
-            small = named.groupBy("component").count().where(F.col("count") <= scan_pairs)
-            small = stage(small.select("component"), "small-components")
-            few = named.join(small, "component", "left_semi")
-            _dropped_by_scan(few).write.parquet(f"{path}/scan")
-            rest = named.join(small, "component", "left_anti").select("src", "dst")
-            done, (edges, left) = edges, _stage_counted(rest, "pairs")
-            remove(done)
-            if not left:
-                break
+        if round_no >= rounds and scan_pairs:
+            if named is None:
+                parts = connected_components(edges, "src", "dst").withColumnRenamed("node", "src")
+                named = stage(edges.join(parts, "src"), "named-pairs")
+                remove(edges)
+            dropped, rest, spent = _decide_prefixes(named, scan_pairs)
+            dropped.write.parquet(f"{path}/round-{round_no}")
+            done, (named, left) = named, _stage_counted(rest, "pairs")
+            remove(done, *spent)
+            continue
         later = edges.select(F.col("dst").alias("src")).distinct()
         kept = stage(edges.select("src").distinct().join(later, "src", "left_anti"), "kept")
         dropped = edges.join(kept, "src", "left_semi").select(F.col("dst").alias("n")).distinct()
@@ -418,10 +382,10 @@ def greedy_dedup(
 ) -> DataFrame:
     """Ids kept by a scan in id order that drops every later neighbour of a kept row.
 
-    The pairs above the threshold are found once; rounds over the pairs then decide rows as
-    the scan would.  Pairs still undecided after ``rounds`` rounds are scanned component by
-    component where a component has at most ``scan_pairs`` of them; larger components go on
-    in rounds.
+    The pairs above the threshold are found once, and rows then decided as the scan would: up
+    to ``scan_pairs`` pairs by one task, more in rounds over the pairs.  Pairs still undecided
+    after ``rounds`` rounds are scanned component by component, of a component about
+    ``scan_pairs`` pairs at a time.
     """
     distinct, n = _distinct(vectors, id_col, vec_col)
     pairs = _pairs(distinct, n, threshold, block_rows, index, options).select("src", "dst")
@@ -504,97 +468,51 @@ def two_pass_dedup(
 
 
 def nearest_both(
+    sources: DataFrame, targets: DataFrame, id_col: str, vec_col: str, block_rows: int | None = None
+) -> DataFrame:
+    """``forth, src, dst, score``: the most similar target of each source (``forth``), and the
+    most similar source of each target, by cosine; the smallest id on a tie."""
+    forth = nearest(sources, targets, id_col, vec_col, block_rows)
+    back = nearest(targets, sources, id_col, vec_col, block_rows)
+    return forth.select(F.lit(True).alias("forth"), "*").unionByName(back.select(F.lit(False).alias("forth"), "*"))
+
+
+def nearest(
     sources: DataFrame,
     targets: DataFrame,
     id_col: str,
     vec_col: str,
     block_rows: int | None = None,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """``forth, src, dst, score``: the most similar target of each source (``forth``), and the
-    most similar source of each target, by cosine; the smallest id on a tie.
+    """``src, dst, score``: the most similar target of each source, the smallest id on a tie.
 
-    Every block of sources meets every block of targets once, in one task that finds both.
+    Equal vectors are compared once.  A source first meets the targets of its own cell; what it
+    finds there bounds the angle of anything better, and only cells that can hold such a target
+    are visited.  A zero vector is equally far from all.
     """
-    ids = sources.select(F.col(id_col).alias("id")).union(targets.select(id_col)).distinct()
-    ids = _with_number(ids.where("id is not null"), "id")
-
-    def numbered(df: DataFrame) -> DataFrame:
-        df = df.where(F.col(vec_col).isNotNull()).select(
+    def given(df: DataFrame) -> DataFrame:
+        return df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(
             F.col(id_col).alias("id"), F.col(vec_col).alias("vec")
         )
-        if _is_integer(df, "id"):
-            return df.where("id is not null").select(F.col("id").cast("bigint").alias("n"), "vec")
-        return df.join(ids, "id").select("n", "vec")
-
-    left, n_left = _stage_counted(numbered(sources), "sources")
-    right, n_right = _stage_counted(numbered(targets), "targets")
-    block = _block_rows(_dimension(right, "vec"), block_rows)
-    rows, cols = max(1, math.ceil(n_left / block)), max(1, math.ceil(n_right / block))
-
-    def own(n: int) -> Column:
-        return F.pmod(F.xxhash64("n"), F.lit(n)).cast("int")
-
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    cells = left.select(
-        own(rows).alias("row"), each(cols).alias("col"), F.lit(True).alias("is_row"), "n", "vec"
-    ).unionByName(
-        right.select(
-            each(rows).alias("row"), own(cols).alias("col"), F.lit(False).alias("is_row"), "n", "vec"
-        )
-    )
-    schema = pa.schema(
-        [("forth", pa.bool_()), ("src", pa.int64()), ("dst", pa.int64()), ("score", pa.float64())]
-    )
 
-    def best(cell: pa.Table) -> pa.Table:
-        cell = cell.sort_by("n")
-        is_row = cell["is_row"].to_numpy()
-        n, matrix = cell["n"].to_numpy(), _unit_rows(_matrix(cell["vec"]))
-        sides = (n[is_row], matrix[is_row]), (n[~is_row], matrix[~is_row])
-        parts = []
-        for forth, (ids_a, a), (ids_b, b) in ((True, *sides), (False, *sides[::-1])):
-            top = np.full(len(a), -np.inf)
-            who = np.zeros(len(a), np.int64)
-            if not len(b):
-                continue
-            for i, j, scores in _tiles(a, b):
-                # Rounded, so that equal directions tie in every block.
-                np.round(scores, 9, out=scores)
-                at = scores.argmax(axis=1)
-                found = scores[np.arange(len(at)), at]
-                better = found > top[i : i + TILE]
-                top[i : i + TILE] = np.where(better, found, top[i : i + TILE])
-                who[i : i + TILE] = np.where(better, ids_b[j + at], who[i : i + TILE])
-            parts.append(pa.table([np.full(len(a), forth), ids_a, who, top], schema=schema))
-        return pa.concat_tables([schema.empty_table(), *parts])
-
-    found = cells.groupBy("row", "col").applyInArrow(
-        best, "forth boolean, src bigint, dst bigint, score double"
+    sources = given(sources)
+    askers, _ = _stage_counted(
+        with_row_index(sources.groupBy("vec").agg(F.count("*").alias("copies")), ["vec"], "n"), "askers"
     )
-    found = (
-        found.groupBy("forth", "src")
-        .agg(F.max(F.struct("score", (-F.col("dst")).alias("neg"))).alias("b"))
-        .select("forth", "src", (-F.col("b.neg")).alias("dst"), F.col("b.score").alias("score"))
+    # Numbers in the order of the ids, so that ties go by the id.
+    offered = _with_number(given(targets).groupBy("vec").agg(F.min("id").alias("id")), "id")
+    offered, n = _stage_counted(offered, "offered")
+    block = _block_rows(_dimension(offered, "vec"), block_rows)
+    found = nearest_targets(askers.select("n", "vec"), offered.select("n", "vec"), n, block, cell_rows)
+    named = found.join(offered.select(F.col("n").alias("dst"), F.col("id").alias("best")), "dst")
+    named = named.select("src", "best", "score")
+    facts = askers.join(named, F.col("n") == F.col("src")).select("vec", "copies", "best", "score")
+    hot = max(1, HOT_BYTES // (8 * _dimension(offered, "vec")))
+    joined = join_facts(sources, facts, ["vec"], "copies", ["best", "score"], hot_keys=hot)
+    return joined.where("best is not null").select(
+        F.col("id").alias("src"), F.col("best").alias("dst"), "score"
     )
-    if _is_integer(sources, id_col):
-        return found
-    for side in ("src", "dst"):
-        names = ids.select(F.col("n").alias(side), F.col("id").alias(f"{side}_id"))
-        found = found.join(names, side).drop(side).withColumnRenamed(f"{side}_id", side)
-    return found.select("forth", "src", "dst", "score")
-
-
-def nearest(
-    sources: DataFrame,
-    targets: DataFrame,
-    id_col: str,
-    vec_col: str,
-    block_rows: int | None = None,
-) -> DataFrame:
-    """``src, dst, score``: the most similar target of each source, the smallest id on a tie."""
-    return nearest_both(sources, targets, id_col, vec_col, block_rows).where("forth").drop("forth")
 
 
 def translation_retrieval_accuracy(

@@ -2,11 +2,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusweave.operators import minhash as mh
 from corpusweave.operators import sentences as st
 from corpusweave.operators import similarity as sim
+from corpusweave.operators.pivot_cells import pivot_cells
 from corpusweave.plans import jobs
+from corpusweave.plans.staging import stage
 
 BASE = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
 
@@ -78,8 +81,7 @@ def job(tmp_path, **options):
     [
         {"hash_config": {"hash_fc": "sha1", "seed": 3}},
         {"hash_config": {"precision": 16}},
-        {"language": "tha_Thai"},
-        {"writing": {"output_filename": "x_${rank}.jsonl"}},
+        {"writing": {"output_filename": "x_${page}.jsonl"}},
         {"reading": {"adapter": print}},
         {"minhash_config": {"buckets": 3}},
     ],
@@ -219,8 +221,8 @@ def test_zero_vectors_have_no_neighbours(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.95, 0.7, 0.3, 0.0, -0.2])
-@pytest.mark.parametrize("cell_rows, block_rows", [(10, 4), (25, 100), (1000, 1000)])
-def test_pivot_cells_find_every_pair(spark, threshold, cell_rows, block_rows):
+@pytest.mark.parametrize("cell_rows, block_rows, max_pivots", [(10, 4, 1024), (25, 100, 1024), (1000, 1000, 1024), (4, 9, 5)])
+def test_pivot_cells_find_every_pair(spark, threshold, cell_rows, block_rows, max_pivots):
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(6, 5))
     matrix = centres[rng.integers(0, 6, 70)] + rng.normal(size=(70, 5)) * 0.3
@@ -228,8 +230,9 @@ def test_pivot_cells_find_every_pair(spark, threshold, cell_rows, block_rows):
     matrix *= rng.uniform(0.6, 1.2, size=(70, 1))
     matrix[13] = 0
     got = sim.similarity_join(
-        vectors(spark, matrix), "vec_id", "embedding", threshold, block_rows, cell_rows=cell_rows
-    )
+        vectors(spark, matrix), "vec_id", "embedding", threshold, block_rows, cell_rows=cell_rows,
+        max_pivots=max_pivots,
+    )
     pairs = [(r["src"], r["dst"]) for r in got.collect()]
     scores = matrix @ matrix.T
     assert sorted(pairs) == [(i, j) for i in range(70) for j in range(i + 1, 70) if scores[i, j] > threshold]
@@ -257,6 +260,25 @@ def test_cells_prune(spark):
     assert seen["visits"] < 320 * 6
 
 
+@pytest.mark.parametrize("copies", [20, 200])
+def test_visits_follow_the_rows_in_two_levels(spark, copies):
+    rng = np.random.default_rng(2)
+    n = 16 * copies
+    matrix = np.repeat(np.eye(16), copies, axis=0) + rng.normal(size=(n, 16)) * 0.01
+    rows = vectors(spark, matrix).toDF("n", "vec")
+    placed, visits = pivot_cells(rows, n, 0.9, cell_rows=copies // 2, max_pivots=8)
+    assert placed.count() == n and placed.select("cell").distinct().count() > 20
+    # However many rows there are, a row visits about as many parts.
+    assert visits.count() < 16 * n
+
+
+def test_a_long_chain_is_decided_in_few_rounds(spark):
+    n = 60_000
+    edges = stage(spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), "chain")
+    dropped = sim._drop_later_neighbours(edges, n - 1, rounds=1, scan_pairs=25_000, max_rounds=8)
+    assert sorted(r.n for r in dropped.collect()) == list(range(1, n, 2))
+
+
 def test_projected_buckets_give_true_pairs(spark):
     matrix = cloud(60, 3)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -312,6 +334,34 @@ def test_batches_and_second_pass(spark):
         sim.two_pass_dedup(table.limit(0), "vec_id", "embedding")
 
 
+@pytest.mark.parametrize("seed, zeros, cell_rows", [(1, False, 8), (2, True, 8), (3, False, 500), (4, True, 3)])
+def test_nearest_equals_brute_force(spark, seed, zeros, cell_rows):
+    rng = np.random.default_rng(seed)
+    source, target = rng.normal(size=(50, 4)), rng.normal(size=(60, 4))
+    target[7], target[30] = target[31], 3 * target[9]
+    source[5], source[6] = target[31] / 2, source[8]
+    if zeros:
+        source[0] = target[2] = target[40] = 0
+        target[50:] = 0
+    a, b = vectors(spark, source), vectors(spark, target)
+    got = sorted(map(tuple, sim.nearest(a, b, "vec_id", "embedding", 7, cell_rows=cell_rows).collect()))
+    with np.errstate(invalid="ignore"):
+        unit = [np.nan_to_num(m / np.linalg.norm(m, axis=1, keepdims=True)) for m in (source, target)]
+    scores = np.round(unit[0] @ unit[1].T, 9)
+    assert [(s, d) for s, d, _ in got] == list(enumerate(scores.argmax(axis=1).tolist()))
+    assert np.allclose([x for *_, x in got], scores.max(axis=1))
+
+
+def test_nearest_without_rows(spark):
+    some, none = vectors(spark, cloud(3, 1)), vectors(spark, cloud(0, 1))
+    assert sim.nearest(some, none, "vec_id", "embedding").count() == 0
+    assert sim.nearest(none, some, "vec_id", "embedding").count() == 0
+    zero = vectors(spark, np.zeros((2, 3)))
+    assert [tuple(r) for r in sim.nearest(zero, zero, "vec_id", "embedding").orderBy("src").collect()] == [
+        (0, 0, 0.0), (1, 0, 0.0)
+    ]
+
+
 def test_nearest_prefers_the_smallest_id(spark):
     matrix = cloud(30, 12)
     matrix[4] = matrix[20] * 2
