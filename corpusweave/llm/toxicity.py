@@ -1,14 +1,20 @@
 """Toxicity scores from a weighted finite-state grammar over clauses.
 
 Words become symbols (insult, threat, target, negation, reporting verb, quotation mark, other
-word).  Three sequential transducers read them one after another: negation marks what it
-covers, reported speech marks what is only quoted, and targeting turns marked insults and
-threats into clause events.  They are composed into one machine before use.  A document's
-score is a logistic function of the weighted numbers of its events; a word that takes part in
-no event counts nothing.
-
-Insults are learned from labelled rows (words and open stems that occur in toxic documents
-significantly more often), and so are the weights of the events, drawn to stated priors.
+word and so on).  Sequential transducers read the symbols of a clause one after another.  From
+right to left: words that only name a thing together with the next one lose their insult ("garbage
+collection"), and quotations that a reporting verb follows are marked.  From left to right:
+negation marks what it covers up to a comma, reported speech marks what is only quoted,
+addressing decides words that are insults of somebody only ("you are a clown", not "the clown"),
+wishes join hopes, targets and death, and targeting turns what is left into clause events.  The
+machines of each direction are composed into one before use.  A document's score is a logistic
+function of the weighted numbers of its events; a word that takes part in no event counts
+nothing.
+
+Unambiguous insults are events also without a target, as the labels have them; their weight is
+learned.  Insults are learned from labelled rows (words and open stems that occur in toxic
+documents significantly more often), and so are the weights of the events, drawn to stated
+priors.
 
 Defined cases: a null or empty text has no event and gets the score of the intercept; without
 usable labels the lexicon is empty and the priors hold; equal texts get equal scores.  Texts
@@ -49,21 +55,38 @@ THRESHOLD = 0.7
 
 # Fixed word lists of the grammar; labels add insults to these.
 INSULTS = set(
-    "idiot idiots idiotic moron morons moronic imbecile stupid dumb dumbass fool loser losers scum "
-    "trash garbage worthless pathetic disgusting clown clowns jerk bastard bitch asshole shithead "
-    "scumbag retard freak pig vermin filth liar coward crap "
-    "dumm dummkopf trottel blödmann arschloch abschaum versager ekelhaft wertlos "
-    "imbécile crétin connard salaud ordure débile abruti "
-    "estúpido imbécil tonto basura cabrón gilipollas inútil asqueroso".split()
+    "idiot idiots idiotic moron morons moronic imbecile stupid dumbass fool loser losers scum "
+    "worthless pathetic disgusting jerk bastard bitch asshole shithead "
+    "scumbag retard vermin liar coward "
+    "dummkopf trottel blödmann arschloch abschaum versager ekelhaft wertlos "
+    "imbécile crétin connard salaud débile abruti "
+    "estúpido imbécil tonto cabrón gilipollas inútil asqueroso".split()
+)
+# Words with a plain sense: insults of somebody, or where nothing speaks for the plain sense.
+DOUBTFUL = set(
+    "trash garbage clown clowns pig pigs freak filth crap dumb dumm ordure basura".split()
 )
 THREATS = set(
-    "kill hurt destroy beat burn punch shoot stab murder strangle "
-    "töten schlagen verbrennen tuer frapper brûler matar golpear quemar".split()
+    "kill hurt destroy beat burn punch shoot stab murder strangle hate despise "
+    "töten schlagen verbrennen hasse tuer frapper brûler déteste matar golpear quemar odio".split()
 )
 TARGETS = set(
     "you your yours yourself he she they him her them his their "
     "du dich dir ihr euch sie tu toi te vous tú ti usted ustedes".split()
 )
+COPULAS = set("are is am was were be you're bist ist seid sind es est êtes sont eres son".split())
+#: Written in one word with their target.
+ADDRESSES = {"you're": ("target", "copula"), "they're": ("target", "copula"), "he's": ("target", "copula"),
+             "she's": ("target", "copula")}
+DETERMINERS = set(
+    "the a an this that these those of some any my our its into in "
+    "der die das den dem ein eine einen le la les un une des el los las una".split()
+)
+# Words that make a thing or a degree of the word before them.
+COMPOUNDS = set(
+    "collection collector collectors can cans bin bins bag bags truck trucks day disposal dump heap "
+    "fish nose car farm pen cheap easy simple fast luck".split()
+)
 NEGATIONS = set(
     "not no never isn't aren't wasn't don't won't cannot can't nobody "
     "nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco".split()
@@ -72,10 +95,13 @@ REPORTS = set(
     "said says wrote writes called calls claimed claims told reported quoted "
     "sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 )
+HOPES = set("hope wish hoffe hoffentlich espère espero ojalá".split())
+DEATHS = set("die dies dead sterben stirbst verreckst meurs crèves mueras muerto".split())
 QUOTES = "\"“”„«»"
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[" + QUOTES + "]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[" + QUOTES + ",]")
 _WORD = re.compile(r"[^\W\d_]+")
-_BREAK = re.compile(r"[.!?;\n]")
+#: The end of a clause; a mark inside a closing quotation ends none.
+_BREAK = re.compile(r"[.!?;](?![" + QUOTES + r"])|\n")
 
 #: Scope in words of a negation, and distance at which a target counts as addressed.
 SCOPE, REACH = 3, 4
@@ -85,7 +111,7 @@ PRIORS = {
     "insult+target": 4.0,
     "insult+negated": 0.5,
     "insult+reported": 0.5,
-    "threat": 3.0,
+    "threat": 5.0,
     "threat+negated": 0.0,
     "threat+reported": 0.5,
 }
@@ -122,19 +148,50 @@ class Transducer:
         return Transducer(start, step)
 
 
-SYMBOLS = ("insult", "threat", "target", "not", "report", "quote", "word")
+MARKED = ("insult", "threat")
+#: What words become, and what the machines that read from the right make of them.
+SYMBOLS = (
+    "insult", "doubtful", "threat", "target", "copula", "determiner", "compound", "not", "report",
+    "hope", "death", "quote", "comma", "word",
+)
+PASSED = (*SYMBOLS, "insult+reported", "threat+reported")
+
+
+def compounds() -> Transducer:
+    """From the right: a doubtful word or an insult before a compounding word is a plain one."""
+    step = {("open", s): ("open", s) for s in SYMBOLS} | {("bound", s): ("open", s) for s in SYMBOLS}
+    for state in ("open", "bound"):
+        step[state, "compound"] = ("bound", "word")
+    for kind in ("insult", "doubtful"):
+        step["bound", kind] = ("open", "word")
+    return Transducer("open", step)
+
+
+def quoted_before_report() -> Transducer:
+    """From the right: marks what stands in quotation marks before a reporting verb."""
+    step = {}
+    for state in ("plain", "reported", "quoted"):
+        step[state, "report"] = ("quoted" if state == "quoted" else "reported", "report")
+        step[state, "quote"] = ("quoted" if state == "reported" else "plain", "quote")
+    for kind in MARKED:
+        step["quoted", kind] = ("quoted", f"{kind}+reported")
+    step["quoted", "doubtful"] = ("quoted", "insult+reported")
+    return Transducer("plain", step)
 
 
 def negation() -> Transducer:
-    """Marks an insult or threat up to ``SCOPE`` words after a negation."""
+    """Marks an insult or threat up to ``SCOPE`` words after a negation, in the same phrase."""
     step = {}
     for left in range(SCOPE + 1):
-        for symbol in SYMBOLS:
+        for symbol in PASSED:
             less = max(0, left - 1)
             step[left, symbol] = (less, symbol)
-            if left and symbol in ("insult", "threat"):
+            if left and symbol in MARKED:
                 step[left, symbol] = (less, f"{symbol}+negated")
+            if left and symbol == "doubtful":
+                step[left, symbol] = (less, "insult+negated")
         step[left, "not"] = (SCOPE, "word")
+        step[left, "comma"] = (0, "comma")
     return Transducer(0, step)
 
 
@@ -146,28 +203,68 @@ def reported_speech() -> Transducer:
         step[state, "quote"] = ("quoted" if state == "reported" else "plain", "word")
     step["quoted", "report"] = ("quoted", "word")
     for state in ("reported", "quoted"):
-        for kind in ("insult", "threat"):
+        for kind in MARKED:
             step[state, kind] = (state, f"{kind}+reported")
             step[state, f"{kind}+negated"] = (state, f"{kind}+negated")
+        step[state, "doubtful"] = (state, "insult+reported")
     return Transducer("plain", step)
 
 
+def addressing() -> Transducer:
+    """Decides doubtful words: insults right after a target, or after one and its copula; plain
+    after a determiner; else insults."""
+    far, step = REACH + 1, {}
+    symbols = (*PASSED, *(f"{kind}+negated" for kind in MARKED))
+    # Words since a target and its copula, and what stood before.
+    for since in range(far + 1):
+        for last in ("target", "determiner", "word"):
+            for symbol in symbols:
+                later, out = min(far, since + 1), symbol
+                if symbol == "copula":
+                    later, out = (0 if last == "target" else later), "word"
+                if symbol in ("determiner", "hope", "death", "compound"):
+                    out = symbol if symbol in ("hope", "death") else "word"
+                if symbol == "doubtful":
+                    plain = last == "determiner" and since >= REACH
+                    out = "word" if plain else "insult"
+                now = symbol if symbol in ("target", "determiner") else "word"
+                step[(since, last), symbol] = ((later, now), out)
+    return Transducer((far, "word"), step)
+
+
+def wishes() -> Transducer:
+    """A hope, then a target, then death within reach is a wish, which is a threat."""
+    step = {}
+    for stage_ in ("none", "hope", "target"):
+        for left in range(REACH + 1):
+            state = (stage_, left)
+            aged = (stage_, left - 1) if left > 0 else ("none", 0)
+            for symbol in (*PASSED, *(f"{kind}+negated" for kind in MARKED)):
+                step[state, symbol] = (aged, symbol)
+            step[state, "hope"] = (("hope", REACH), "word")
+            step[state, "target"] = (("target", REACH) if stage_ != "none" else aged, "target")
+            step[state, "death"] = (("none", 0), "wish" if stage_ == "target" else "word")
+    return Transducer(("none", 0), step)
+
+
 def targeting() -> Transducer:
     """Turns marked symbols into events; ``None`` is no event.
 
     The state holds the words since the last target and since the last open insult or threat.
-    A plain insult is an event at once, and a second one when its target follows.
+    A plain insult is an event at once, and a second one when its target follows.  A wish is the
+    event of a threat.
     """
     step = {}
     far = REACH + 1
-    marked = ["insult", "threat"]
-    marked += [f"{kind}+{mark}" for kind in ("insult", "threat") for mark in ("negated", "reported")]
+    marked = [*MARKED, *(f"{kind}+{mark}" for kind in MARKED for mark in ("negated", "reported"))]
     for since in range(far + 1):
         for pending in (None, *((m, d) for m in marked for d in range(REACH + 1))):
             later = min(far, since + 1)
             aged = None if pending is None or pending[1] >= REACH else (pending[0], pending[1] + 1)
             state = (since, pending)
             step[state, "word"] = ((later, aged), None)
+            step[state, "comma"] = (state, None)
+            step[state, "wish"] = ((later, aged), "threat")
             found = pending and (pending[0] if pending[0].startswith("threat") else None)
             if pending and pending[0] == "insult":
                 found = "insult+target"
@@ -183,9 +280,36 @@ def targeting() -> Transducer:
     return Transducer((far, None), step)
 
 
+#: The machines in the order in which they read: from the right, and then from the left.
+BACKWARD = (compounds, quoted_before_report)
+FORWARD = (negation, reported_speech, addressing, wishes, targeting)
+
+
+@lru_cache(2)
+def grammar(forward: bool) -> Transducer:
+    machines, symbols = (FORWARD, PASSED) if forward else (BACKWARD, SYMBOLS)
+    whole = machines[0]()
+    for machine in machines[1:]:
+        whole = whole.then(machine(), symbols)
+    return whole
+
+
+def _numbered(machine: Transducer, symbols: tuple, outputs: dict) -> tuple[int, list, list]:
+    """Start, next states and outputs of a composed machine, over small numbers."""
+    states = {s: i for i, s in enumerate(dict.fromkeys(s for s, _ in machine.step))}
+    codes = {s: i for i, s in enumerate(symbols)}
+    following = [[0] * len(symbols) for _ in states]
+    out = [[None] * len(symbols) for _ in states]
+    for (state, symbol), (to, said) in machine.step.items():
+        following[states[state]][codes[symbol]] = states[to]
+        out[states[state]][codes[symbol]] = outputs.get(said, said)
+    return states[machine.start], following, out
+
+
 @lru_cache(1)
-def grammar() -> Transducer:
-    return negation().then(reported_speech(), SYMBOLS).then(targeting(), SYMBOLS)
+def _tables() -> tuple[tuple, tuple]:
+    codes = {s: i for i, s in enumerate(PASSED)}
+    return _numbered(grammar(False), SYMBOLS, codes), _numbered(grammar(True), PASSED, {})
 
 
 @dataclass(frozen=True)
@@ -205,51 +329,60 @@ class ToxicityModel:
 
 class _Matcher:
     def __init__(self, lexicon: Lexicon):
-        self.symbol = dict.fromkeys(REPORTS, "report") | dict.fromkeys(NEGATIONS, "not")
+        self.symbol = dict.fromkeys(DETERMINERS, "determiner") | dict.fromkeys(COMPOUNDS, "compound")
+        self.symbol |= dict.fromkeys(REPORTS, "report") | dict.fromkeys(NEGATIONS, "not")
+        self.symbol |= dict.fromkeys(HOPES, "hope") | dict.fromkeys(DEATHS, "death")
+        self.symbol |= dict.fromkeys(COPULAS, "copula") | {",": "comma"}
         self.symbol |= dict.fromkeys(TARGETS, "target") | dict.fromkeys(QUOTES, "quote")
         self.symbol |= dict.fromkeys(THREATS, "threat")
         self.symbol |= dict.fromkeys((*INSULTS, *lexicon.words), "insult")
+        self.symbol |= dict.fromkeys(DOUBTFUL, "doubtful")
         self.stems = frozenset(lexicon.stems)
         self.lengths = sorted({len(s) for s in lexicon.stems})
         self.cores = ahocorasick.Automaton()
-        for core in {*lexicon.words, *lexicon.stems, *INSULTS, *THREATS}:
+        for core in {*lexicon.words, *lexicon.stems, *INSULTS, *DOUBTFUL, *THREATS, *HOPES}:
             self.cores.add_word(core, len(core))
         self.cores.make_automaton()
-        # The composed machine over small numbers.
-        machine = grammar()
-        states = {s: i for i, s in enumerate(dict.fromkeys(s for s, _ in machine.step))}
-        codes = {s: i for i, s in enumerate(SYMBOLS)}
-        self.codes, self.start = codes, states[machine.start]
-        self.next = [[0] * len(SYMBOLS) for _ in states]
-        self.out = [[None] * len(SYMBOLS) for _ in states]
-        for (state, symbol), (to, out) in machine.step.items():
-            self.next[states[state]][codes[symbol]] = states[to]
-            self.out[states[state]][codes[symbol]] = out
-
-    def code(self, word: str) -> int:
-        symbol = self.symbol.get(word)
-        if symbol is None and any(word[:n] in self.stems for n in self.lengths):
-            symbol = "insult"
-        return self.codes[symbol or "word"]
+        self.codes = {s: i for i, s in enumerate(SYMBOLS)}
+
+    def symbols(self, words: list[str]) -> list[str]:
+        out = []
+        for word in words:
+            word = word.replace("’", "'")
+            found = self.symbol.get(word)
+            if found is None and any(word[:n] in self.stems for n in self.lengths):
+                found = "insult"
+            out += ADDRESSES.get(word, (found or "word",))
+        return out
 
     def events(self, text: str) -> Iterator[tuple[int, int, str]]:
         """``start, end, event`` for each event; start and end are those of the clause."""
         text = text.lower()
+        (back, back_next, back_out), (start, following, said) = _tables()
         done = 0
         for last, size in self.cores.iter(text):
             at = last + 1 - size
             if at < done or (at and (text[at - 1].isalpha() or text[at - 1] == "_")):
                 continue
-            begin = max(text.rfind(c, done, at) for c in ".!?;\n") + 1
-            begin = max(begin, done)
+            begin = done
+            # The clause begins behind the last break before the word.
+            cut = at
+            while (cut := max(text.rfind(c, begin, cut) for c in ".!?;\n")) >= begin:
+                if _BREAK.match(text, cut):
+                    begin = cut + 1
+                    break
             stop = _BREAK.search(text, at)
             done = stop.end() if stop else len(text)
-            state = self.start
-            for word in _TOKEN.findall(text, begin, done):
-                code = self.code(word)
-                if event := self.out[state][code]:
+            marked, state = [], back
+            for symbol in reversed(self.symbols(_TOKEN.findall(text, begin, done))):
+                code = self.codes[symbol]
+                marked.append(back_out[state][code])
+                state = back_next[state][code]
+            state = start
+            for code in reversed(marked):
+                if event := said[state][code]:
                     yield begin, done, event
-                state = self.next[state][code]
+                state = following[state][code]
 
 
 @lru_cache(4)

@@ -1,9 +1,17 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from corpusweave.llm.queries import QUERIES
 from corpusweave.llm.toxicity import (
+    _TOKEN,
+    BACKWARD,
     EVENTS,
+    FORWARD,
     PRIORS,
     Lexicon,
     ToxicityModel,
+    _matcher,
     clause_events,
     drop_toxic,
     event_features,
@@ -42,6 +50,90 @@ def test_threats_need_a_target():
     assert events("he wrote kill them") == ["threat+reported"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Take out the trash and the filth.", []),
+        ("The garbage collection runs on Monday.", []),
+        ("We use garbage collection here", []),
+        ("This clown fish is stupid cheap.", []),
+        ("They take out the trash", []),
+        ("We beat the team and burn the candle", []),
+        ("The engine will die soon, he said", []),
+        ("You are a clown", ["insult+target"]),
+        ("you clown", ["insult+target"]),
+        ("You’re trash", ["insult+target"]),
+        ("I will kill you.", ["threat"]),
+        ("I hate you and hope you die", ["threat", "threat"]),
+        ('"You are an idiot," he said.', ["insult+reported"]),
+        ('"You are an idiot!" she wrote', ["insult+reported"]),
+        ("“Kill them all”, he claimed", ["threat+reported"]),
+        ("Don't you dare, idiot!", ["insult+target"]),
+        ("you are not a clown", ["insult+negated"]),
+        ("It is not so. You idiot", ["insult+target"]),
+    ],
+)
+def test_senses_reports_and_wishes(text, want):
+    assert events(text) == want
+
+
+def test_plain_senses_stay_below_the_threshold(spark):
+    docs = spark.createDataFrame(
+        [
+            (0, "Take out the trash and the filth."), (1, "The garbage collection runs on Monday."),
+            (2, "This clown fish is stupid cheap."), (3, "We beat the team."), (4, "He said 'you' is a word"),
+            (5, "I will kill you."), (6, "I hate you and hope you die"), (7, "You are a clown"), (8, "you moron"),
+            (9, '"You are an idiot," he said.'), (10, "You are not an idiot"),
+        ],
+        "doc_id long, text string",
+    )
+    model = fit_toxicity(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")))
+    assert {r.doc_id for r in drop_toxic(docs, model).collect()} == {0, 1, 2, 3, 4, 9, 10}
+
+
+def plain_events(text, lexicon):
+    """The machines of each direction one after another over the symbols of a clause."""
+    symbols = _matcher(lexicon).symbols(_TOKEN.findall(text.lower()))
+
+    def run(machine, tape):
+        out, state = [], machine.start
+        for symbol in tape:
+            state, said = machine(state, symbol)
+            out.append(said)
+        return out
+
+    tape = symbols[::-1]
+    for machine in BACKWARD:
+        tape = run(machine(), tape)
+    tape = tape[::-1]
+    for machine in FORWARD:
+        tape = run(machine(), tape)
+    return [e for e in tape if e]
+
+
+VOCABULARY = (
+    "you are is the a not never said hope die kill hate blargh zorpy trash clown fish cheap word , \" “ idiot he them"
+).split()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(VOCABULARY), max_size=14))
+def test_composed_machines_say_what_single_ones_say(words):
+    text = " ".join(words)
+    want = plain_events(text, WORDS)
+    # A clause is only read if it holds a word that can start an event.
+    assert events(text) == want or (not want and not events(text))
+
+
+def test_given_documents_against_single_machines(spark, sf_dir):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for text in texts:
+        clauses = {(a, b) for a, b, _ in clause_events(text, WORDS)}
+        for a, b in clauses:
+            want = plain_events(text[a:b], WORDS)
+            assert [e for x, y, e in clause_events(text, WORDS) if (x, y) == (a, b)] == want
+
+
 def test_positions_are_those_of_the_clause():
     text = "Fine. What a blargh! Good."
     (start, end, _), = clause_events(text, WORDS)
