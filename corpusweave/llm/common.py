@@ -96,8 +96,9 @@ def labelled_sample(
 ) -> DataFrame:
     """``text, label`` of at most ``limit`` labelled rows outside the held-out fold.
 
-    Rows are chosen by a hash of their key, alike in every run.  A key labelled twice counts
-    with its largest label; null keys and null labels are no labels.
+    Rows are chosen by a hash of their key, alike in every run, among the documents that are in
+    the table.  A key labelled twice counts with its largest label, a key of several rows with
+    one of them; null keys and null labels are no labels.
     """
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
@@ -105,9 +106,12 @@ def labelled_sample(
         .groupBy(F.col(id_col).alias("_key"))
         .agg(F.max(label).cast("int").alias("label"))
     )
-    chosen = known.orderBy(F.xxhash64(F.lit("sample"), F.col("_key")), "_key").limit(limit)
-    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text"))
-    # The sample is bounded by ``limit`` rows of two numbers.
-    return texts.join(F.broadcast(chosen), "_key").select(
-        F.coalesce("text", F.lit("")).alias("text"), "label"
-    )
+    texts = docs.select(F.col(id_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Only labels of documents in the table count; of the table just its keys are read here.
+    here = known.join(texts.select("_key").distinct(), "_key", "left_semi")
+    chosen = here.orderBy(F.xxhash64(F.lit("sample"), F.col("_key")), "_key").limit(limit)
+    # Bounded by ``limit`` rows of two numbers.
+    found = texts.join(F.broadcast(chosen), "_key")
+    # One row of a key, the smallest by a hash of its text; combined in each task first.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("one")
+    return found.groupBy("_key").agg(one).select("one.text", "one.label")

@@ -132,10 +132,17 @@ def vote(
     said = np.empty((len(docs), 0), labels.dtype)
     for at in range(0, len(vectors), block):
         near = docs @ vectors[at : at + block].T
+        # Held ones come first, in the order of their positions among equals.
         best = np.hstack([best, near])
         said = np.hstack([said, np.broadcast_to(labels[at : at + block], near.shape)])
         if best.shape[1] > neighbours:
-            top = np.argpartition(-best, neighbours - 1, axis=1)[:, :neighbours]
+            edge = -np.partition(-best, neighbours - 1, axis=1)[:, neighbours - 1 : neighbours]
+            above = best > edge
+            # As many of those at the edge as there is room for, from the front.
+            tied = best == edge
+            room = neighbours - above.sum(axis=1, keepdims=True)
+            chosen = above | (tied & (np.cumsum(tied, axis=1) <= room))
+            top = np.nonzero(chosen)[1].reshape(len(best), neighbours)
             best, said = np.take_along_axis(best, top, 1), np.take_along_axis(said, top, 1)
     weights = np.maximum(best.astype(np.float64), 1e-3) ** POWER
     return np.clip((weights * said).sum(1) / weights.sum(1), 0.0, 1.0)

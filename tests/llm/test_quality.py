@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 
+from corpusweave.llm.common import labelled_sample
 from corpusweave.llm.quality import (
     NEIGHBOURS,
     POWER,
@@ -72,3 +73,26 @@ def test_held_out_accuracy(spark):
     assert sum(p == y for p, y in held) / len(held) > 0.95
     assert len(rows) == 1000 and all(0 <= r.score <= 1 for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_ties_go_to_the_front():
+    known = np.ones((4025, 1), np.float32)
+    labels = np.array([1] * 25 + [0] * 4000, np.float32)
+    for block in (7, 25, 1000, 5000):
+        assert vote(np.ones((3, 1), np.float32), known, labels, block=block).tolist() == [1.0] * 3
+        assert vote(np.ones((1, 1), np.float32), known, labels[::-1], block=block).tolist() == [0.0]
+
+
+def test_labels_of_other_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id long, quality int")
+    got = [r.text for r in labelled_sample(docs, labels, "quality", 5, 9, 4).collect()]
+    assert len(set(got)) == len(got) == 4
+
+
+def test_a_repeated_key_counts_once(spark):
+    rows = [(1, f"copy {i % 3}") for i in range(100_000)] + [(2, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, quality int")
+    got = [tuple(r) for r in labelled_sample(docs, labels, "quality", 5, 9, 50).collect()]
+    assert len(got) == 2 and ("", 0) in got and {x for _, x in got} == {0, 1}
