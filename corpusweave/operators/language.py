@@ -87,31 +87,80 @@ def train_language_model(docs: DataFrame, text_col: str, lang_col: str, n: int =
     )
 
 
+#: Cells (n-grams x languages) that a task adds up at a time.
+TILE_CELLS = 1 << 22
+#: Bits of a code point; three of them are packed into one integer.
+POINT_BITS = 21
+
+
+def packed_ngrams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of the texts, up to three characters each as one integer, and the number of
+    n-grams of each text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes = np.zeros(max(0, len(points) - n + 1), np.int64)
+    for i in range(n):
+        codes = (codes << POINT_BITS) | points[i : i + len(codes)]
+    counts = np.maximum(sizes - n + 1, 0)
+    # Of the n-grams of the joined text those that begin a text's end reach into the next one.
+    ends = np.repeat(np.cumsum(sizes), sizes)[: len(codes)]
+    return codes[np.arange(len(codes)) + n <= ends], counts
+
+
+def language_sums(texts: list[str], keys: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the scores of each text's n-grams; ``keys`` are sorted, and the last row of
+    ``scores`` stands for what is not among them."""
+    out = np.zeros((len(texts), scores.shape[1]), np.int64)
+    codes, counts = packed_ngrams(texts, n)
+    if not len(keys) or not len(codes):
+        return out
+    place = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    place = np.where(keys[place] == codes, place, len(keys))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    tile = max(1, TILE_CELLS // scores.shape[1])
+    for at in range(0, len(codes), tile):
+        own = owner[at : at + tile]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[first]] += np.add.reduceat(scores[place[at : at + tile]], first, axis=0)
+    return out
+
+
 def _scored_in_place(text: Column, model: LanguageModel) -> Column:
     """Scores by the broadcast model; rows stay where they are."""
     rows = model.table.select("gram", "entries").collect()
-    place = {r["gram"]: i for i, r in enumerate(rows)}
+    if model.n > 63 // POINT_BITS:
+        keys = None
+        rows.sort(key=lambda r: r["gram"])
+    else:
+        packed, _ = packed_ngrams([r["gram"] for r in rows], model.n)
+        order = np.argsort(packed)
+        keys, rows = packed[order], [rows[i] for i in order]
     # The last row stands for grams outside the model.
     scores = np.tile(np.array(model.unseen, np.int64), (len(rows) + 1, 1))
     scores[-1] = 0
     for i, r in enumerate(rows):
         for e in r["entries"]:
             scores[i, e["l"]] = e["s"]
-    shipped = model.table.sparkSession.sparkContext.broadcast((place, scores))
+    place = None if keys is not None else {r["gram"]: i for i, r in enumerate(rows)}
+    shipped = model.table.sparkSession.sparkContext.broadcast((keys, place, scores))
     names, n = model.languages, model.n
 
     @F.pandas_udf("map<string,double>")
     def score(lines: pd.Series) -> pd.Series:
-        place, scores = shipped.value
-        other = len(scores) - 1
-
-        def one(line: str) -> dict[str, float]:
-            at = [place.get(line[i : i + n], other) for i in range(len(line) - n + 1)]
-            sums = scores[at].sum(axis=0) if at else np.zeros(len(names))
-            odds = np.exp((sums - sums.max()) / UNIT)
-            return dict(zip(names, (odds / odds.sum()).tolist()))
-
-        return lines.map(one, na_action="ignore").astype(object)
+        keys, place, scores = shipped.value
+        present = lines.notna().to_numpy()
+        texts = lines[present].tolist()
+        if keys is not None:
+            sums = language_sums(texts, keys, scores, n)
+        else:
+            other = len(scores) - 1
+            at = [[place.get(t[i : i + n], other) for i in range(len(t) - n + 1)] for t in texts]
+            sums = np.array([scores[a].sum(axis=0) for a in at], np.int64).reshape(len(texts), len(names))
+        odds = np.exp((sums - sums.max(axis=1, initial=np.iinfo(np.int64).min, keepdims=True)) / UNIT)
+        shares = (odds / odds.sum(axis=1, keepdims=True)).tolist()
+        out = np.full(len(lines), None, object)
+        out[present] = [dict(zip(names, s)) for s in shares]
+        return pd.Series(out)
 
     return score(_line(text))
 

@@ -42,8 +42,9 @@ def tokenize_13a(text: Column) -> Column:
 def clipped_matches(hyps: list[np.ndarray], refs: list[np.ndarray], order: int) -> np.ndarray:
     """``hyp, ref, matched`` n-gram totals of 1 to ``order`` for each pair of token arrays.
 
-    All n-grams of one order are numbered in one step, by the number of their first n - 1
-    tokens and their last one, and counted per pair and side.
+    Pair, the next ``order`` tokens and the side are packed into one integer per position, and
+    sorted once: equal n-grams of a pair then stand side by side for every n.  Pairs whose
+    numbers do not fit 63 bits together are counted in two halves.
     """
     n_rows = len(hyps)
     out = np.zeros((n_rows, order, 3), np.int64)
@@ -51,27 +52,55 @@ def clipped_matches(hyps: list[np.ndarray], refs: list[np.ndarray], order: int)
     flat = np.concatenate([np.empty(0, np.int64), *sequences])
     if not len(flat):
         return out.reshape(n_rows, 3 * order)
-    owner = np.repeat(np.arange(2 * n_rows), [len(x) for x in sequences])
     _, token = np.unique(flat, return_inverse=True)
-    size, at, gram = token.max() + 1, np.arange(len(flat)), token
+    # Zero stands for the end of a text.
+    bits = int(token.max() + 1).bit_length()
+    room = 63 - 1 - max(1, (n_rows - 1).bit_length())
+    if bits * order > room and n_rows > 1:
+        half = n_rows // 2
+        parts = [(hyps[:half], refs[:half]), (hyps[half:], refs[half:])]
+        return np.concatenate([clipped_matches(*part, order) for part in parts])
+    if bits * order > room:
+        return _clipped_by_numbers(token, len(hyps[0]), order)
+    sizes = np.array([len(x) for x in sequences])
+    owner = np.repeat(np.arange(2 * n_rows), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
+    code = np.concatenate([token + 1, np.zeros(order, np.int64)])
+    key = owner % n_rows
+    for n in range(order):
+        key = (key << bits) | np.where(left > n, code[n : n + len(flat)], 0)
+    key = np.sort((key << 1) | (owner < n_rows))
+    is_hyp = key & 1
+    for n in range(1, order + 1):
+        gram = key >> (1 + bits * (order - n))
+        first = np.flatnonzero(np.diff(gram, prepend=-1))
+        whole = (gram[first] & ((1 << bits) - 1)) > 0
+        count = np.diff(first, append=len(gram))
+        said = np.add.reduceat(is_hyp, first)[whole]
+        asked, row = count[whole] - said, gram[first][whole] >> (bits * n)
+        for i, value in enumerate((said, asked, np.minimum(said, asked))):
+            # Counts of a batch are far below 2^53.
+            out[:, n - 1, i] = np.bincount(row, value, n_rows)
+    return out.reshape(n_rows, 3 * order)
+
+
+def _clipped_by_numbers(token: np.ndarray, n_hyp: int, order: int) -> np.ndarray:
+    """``clipped_matches`` of one pair with very many different tokens.
+
+    The n-grams of one order are numbered by their first n - 1 tokens and their last one.
+    """
+    out = np.zeros((1, order, 3), np.int64)
+    size, at, gram = token.max() + 1, np.arange(len(token)), token
     for n in range(order):
         if n:
-            longer = at + n < len(flat)
-            longer[longer] = owner[at[longer] + n] == owner[at[longer]]
-            at = at[longer]
-            _, gram = np.unique(gram[longer] * size + token[at + n], return_inverse=True)
+            fits = (at + n < len(token)) & ((at >= n_hyp) | (at + n < n_hyp))
+            at, gram = at[fits], gram[fits]
+            _, gram = np.unique(gram * size + token[at + n], return_inverse=True)
         if not len(at):
             break
-        grams = gram.max() + 1
-        row, is_hyp = owner[at] % n_rows, owner[at] < n_rows
-        key = row * grams + gram
-        found, times = np.unique(key[is_hyp], return_counts=True)
-        wanted, allowed = np.unique(key[~is_hyp], return_counts=True)
-        both, x, y = np.intersect1d(found, wanted, assume_unique=True, return_indices=True)
-        out[:, n, 0] = np.bincount(row[is_hyp], minlength=n_rows)
-        out[:, n, 1] = np.bincount(row[~is_hyp], minlength=n_rows)
-        np.add.at(out[:, n, 2], both // grams, np.minimum(times[x], allowed[y]))
-    return out.reshape(n_rows, 3 * order)
+        said, asked = (np.bincount(gram[side], minlength=gram.max() + 1) for side in (at < n_hyp, at >= n_hyp))
+        out[0, n] = said.sum(), asked.sum(), np.minimum(said, asked).sum()
+    return out.reshape(1, 3 * order)
 
 
 def ngram_matches(hyp: Column, ref: Column, order: int, chars: bool = False) -> Column:

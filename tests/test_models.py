@@ -61,6 +61,40 @@ def test_both_ways_of_meeting_the_model_agree(spark, model):
     assert [s for _, t, s in both[0] if t is None] == [None]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_sums_of_packed_ngrams(n):
+    rng = random.Random(n)
+    texts = ["", "a", "é😀xyz", *["".join(rng.choice("abcé😀 ") for _ in range(rng.randint(0, 40))) for _ in range(50)]]
+    grams = sorted({t[i : i + n] for t in texts[::2] for i in range(len(t) - n + 1)})
+    table = {g: [rng.randint(-9, 9), rng.randint(-9, 9)] for g in grams}
+    packed, _ = lg.packed_ngrams(grams, n)
+    order = np.argsort(packed)
+    scores = np.array([table[grams[i]] for i in order] + [[7, 8]], np.int64)
+    want = [
+        np.sum([table.get(t[i : i + n], [7, 8]) for i in range(len(t) - n + 1)] or [[0, 0]], axis=0).tolist()
+        for t in texts
+    ]
+    assert lg.language_sums(texts, packed[order], scores, n).tolist() == want
+    tile, lg.TILE_CELLS = lg.TILE_CELLS, 7
+    try:
+        assert lg.language_sums(texts, packed[order], scores, n).tolist() == want
+    finally:
+        lg.TILE_CELLS = tile
+    assert lg.language_sums([], packed[order], scores, n).shape == (0, 2)
+
+
+def test_longer_ngrams_give_the_same_in_place_and_shuffled(spark):
+    rows = [("one two three four", "en"), ("eins zwei drei vier", "de"), (None, "en"), ("one", "de"), ("xy", "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = lg.train_language_model(docs.where("text is not null"), "text", "lang", n=4)
+    found = [
+        {r["text"]: r["scores"] and {k: round(v, 9) for k, v in r["scores"].items()}
+         for r in lg.language_scores(docs, "text", model, broadcast_cells=cells).collect()}
+        for cells in (10**9, 0)
+    ]
+    assert found[0] == found[1]
+
+
 def test_language_filter_keeps_the_table(spark, model):
     docs = spark.createDataFrame(
         [(1, "the other house", "x"), (1, "les autres maisons", "y"), (2, None, "z")], "id int, text string, more string"
@@ -189,6 +223,21 @@ def test_generated_length(spark):
     assert stx.mean_generated_length(unmasked, "ids", 0).first()["gen_len"] == 1.5
 
 
+def test_clipped_matches_of_many_different_tokens():
+    rng = np.random.default_rng(5)
+    hyps = [rng.integers(0, 2**40, 3000), np.arange(70_000) % 65_000]
+    refs = [np.concatenate([hyps[0][500:900], hyps[0][:40]]), np.arange(40_000)]
+
+    def grams(x, n):
+        return Counter(tuple(x[i : i + n].tolist()) for i in range(len(x) - n + 1))
+
+    got = tm.clipped_matches(hyps, refs, 6).reshape(2, 6, 3)
+    for row, (a, b) in enumerate(zip(hyps, refs)):
+        for n in (1, 2, 6):
+            x, y = grams(a, n), grams(b, n)
+            assert got[row, n - 1].tolist() == [sum(x.values()), sum(y.values()), sum((x & y).values())]
+
+
 @pytest.mark.parametrize("order", [1, 4])
 def test_clipped_matches(order):
     rng = random.Random(4)
