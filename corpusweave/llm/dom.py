@@ -49,20 +49,35 @@ _ATTRIBUTE = re.compile(
 _NAME = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
+    """An open element; the blocks inside share it, however deep they lie."""
+
     tag: str
     names: tuple[str, ...] = ()
+    parent: Element | None = None
+    depth: int = 1
+    #: What features its blocks have in common; filled in when it is first asked for.
+    shared: tuple | None = None
 
 
 @dataclass
 class Block:
-    """A leaf block: its text, the elements around it, and how much of it is links."""
+    """A leaf block: its text, the innermost element around it, and how much of it is links."""
 
     text: str
-    path: tuple[Element, ...]
+    inside: Element | None
     linked: int
 
+    @property
+    def path(self) -> tuple[Element, ...]:
+        """The elements around it, from the outermost on."""
+        out, element = [], self.inside
+        while element:
+            out.append(element)
+            element = element.parent
+        return tuple(reversed(out))
+
 
 @dataclass
 class _Open:
@@ -97,7 +112,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if now.parts:
             text = " ".join("".join(now.parts).split())
             if text:
-                blocks.append(Block(text, tuple(stack), now.linked))
+                blocks.append(Block(text, stack[-1] if stack else None, now.linked))
             now = _Open()
 
     def text(chunk: str) -> None:
@@ -165,7 +180,7 @@ def leaf_blocks(html: str) -> list[Block]:
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        stack.append(Element(tag, _names(m[3])))
+        stack.append(Element(tag, _names(m[3]), stack[-1] if stack else None, len(stack) + 1))
         opened[tag] += 1
         silent += tag in SILENT
         links += tag == "a"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.common import bounded_batches
-from corpusweave.llm.dom import Block, leaf_blocks
+from corpusweave.llm.dom import Block, Element, leaf_blocks
 
 #: Labelled pages that the default model is trained on.
 TRAINING_PAGES = 1000
@@ -54,38 +54,58 @@ def _bucket(n: int) -> int:
     return n if n < 2 else min(9, 1 + int(math.log2(n)))
 
 
+#: Near telling elements, nearest names, inner telling element, and all tags and names around.
+_OUTSIDE = (None, (), None, ())
+
+
+def _shared(element: Element | None) -> tuple:
+    """What the features of all blocks inside an element have in common.
+
+    It follows from the parent's; an element that adds nothing hands on the parent's own.
+    """
+    todo = []
+    while element is not None and element.shared is None:
+        todo.append(element)
+        element = element.parent
+    known = _OUTSIDE if element is None else element.shared
+    for element in reversed(todo):
+        near, names, inner, around = known
+        telling = element.tag in TELLING
+        if telling or element.names:
+            near = element.tag
+        if telling:
+            inner = element.tag
+        added = [f"in={element.tag}", *(f"within={w}" for w in element.names)]
+        fresh = [f for f in added if f not in around]
+        found = (near, element.names or names, inner, (*around, *fresh) if fresh else around)
+        known = element.shared = known if found == known else found
+    return known
+
+
 def block_features(block: Block, place: int, n: int) -> list[str]:
     """Names of the features that hold for a block."""
-    path = block.path
     words = block.text.split()
     count = len(words)
     linked = block.linked / max(1, len(block.text))
+    depth = block.inside.depth if block.inside else 0
+    near, names, inner, around = _shared(block.inside)
     out = [
         "bias",
         f"words={_bucket(count)}",
         f"linked={0 if linked == 0 else 1 if linked < 0.3 else 2 if linked < 0.8 else 3}",
-        f"depth={min(6, len(path))}",
+        f"depth={min(6, depth)}",
         f"ends={block.text[-1] if block.text[-1] in '.!?:;,…|»' else 'other'}",
         f"early={place < 2}",
         f"late={n - place < 3}",
     ]
-    if path:
-        out.append(f"leaf={path[-1].tag}")
-    near = names = None
-    for element in reversed(path):
-        if near is None and (element.tag in TELLING or element.names):
-            near = element.tag
-            out.append(f"near={near}")
-        if names is None and element.names:
-            names = element.names
-            out += [f"name={w}" for w in names]
-    inner = True
-    for element in reversed(path):
-        out.append(f"in={element.tag}")
-        out += [f"within={w}" for w in element.names]
-        if inner and element.tag in TELLING:
-            out.append(f"inner={element.tag}")
-            inner = False
+    if block.inside:
+        out.append(f"leaf={block.inside.tag}")
+    if near:
+        out.append(f"near={near}")
+    out += [f"name={w}" for w in names]
+    out += around
+    if inner:
+        out.append(f"inner={inner}")
     # Hints say more of a short block than of a long one.
     size = "short" if count < 12 else "long"
     for word in _WORD.findall(block.text.lower()) if count < 60 else ():
@@ -150,7 +170,7 @@ def train_chain(
     ``pages`` hold the features of each block and its label.  All pages are worked on at once,
     padded to the longest.
     """
-    pages = [p for p in pages if p[1]]
+    pages = sorted((p for p in pages if p[1]), key=lambda p: -len(p[1]))
     names = sorted({f for features, _ in pages for block in features for f in block})
     number = {f: i for i, f in enumerate(names)}
     n, longest = len(pages), max(len(p[1]) for p in pages)
@@ -170,6 +190,8 @@ def train_chain(
     def unpack(x):
         return x[: 2 * size].reshape(size, 2), x[2 * size : 2 * size + 4].reshape(2, 2), x[-2:]
 
+    # Longer pages first: at each place, the pages that reach it stand in front.
+    live = [int((mask[:, t] > 0).sum()) for t in range(longest)]
     x = np.zeros(2 * size + 6)
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, rounds + 1):
@@ -177,22 +199,28 @@ def train_chain(
         scores = np.stack(
             [np.bincount(rows, w[columns, k], n * longest) for k in (0, 1)], 1
         ).reshape(n, longest, 2)
-        ahead = np.zeros((n, longest, 2))
-        ahead[:, 0] = scores[:, 0] + first
+        # Forward and backward in probabilities, scaled at every place.
+        fit = np.exp(scores - scores.max(axis=2, keepdims=True))
+        go = np.exp(trans)
+        ahead = np.zeros((longest, n, 2))
+        ahead[0] = fit[:, 0] * np.exp(first)
+        ahead[0] /= ahead[0].sum(axis=1, keepdims=True)
         for t in range(1, longest):
-            through = np.logaddexp.reduce(ahead[:, t - 1, :, None] + trans, axis=1)
-            ahead[:, t] = np.where(mask[:, t, None] > 0, through + scores[:, t], ahead[:, t - 1])
-        after = np.zeros((n, longest, 2))
+            k = live[t]
+            now = (ahead[t - 1, :k] @ go) * fit[:k, t]
+            ahead[t, :k] = now / now.sum(axis=1, keepdims=True)
+        after = np.ones((longest, n, 2))
         pair = np.zeros((2, 2))
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
         for t in range(longest - 2, -1, -1):
-            beyond = trans + (scores[:, t + 1] + after[:, t + 1])[:, None, :]
-            live = mask[:, t + 1] > 0
-            after[:, t] = np.where(live[:, None], np.logaddexp.reduce(beyond, axis=2), 0)
-            chance = np.exp(ahead[:, t, :, None] + beyond - total[:, None, None])
-            true = one_hot[:, t, :, None] * one_hot[:, t + 1, None, :]
-            pair += ((true - chance) * live[:, None, None]).sum(0)
-        share = np.exp(ahead + after - total[:, None, None]) * mask[:, :, None]
+            k = live[t + 1]
+            beyond = fit[:k, t + 1] * after[t + 1, :k]
+            chance = ahead[t, :k, :, None] * go * beyond[:, None, :]
+            chance /= chance.sum(axis=(1, 2), keepdims=True)
+            pair += (one_hot[:k, t, :, None] * one_hot[:k, t + 1, None, :] - chance).sum(0)
+            back = beyond @ go.T
+            after[t, :k] = back / back.sum(axis=1, keepdims=True)
+        share = (ahead * after).transpose(1, 0, 2)
+        share = share / np.maximum(share.sum(axis=2, keepdims=True), 1e-300) * mask[:, :, None]
         excess = (one_hot - share).reshape(-1, 2)
         slope = np.concatenate(
             [
@@ -225,6 +253,11 @@ ROLES = {
     "comments": ("section div ol ul", "comments comment commentlist discussion replies responses reader feedback disqus thread"),
     "share": ("div ul", "share social sharing follow tools tags meta"),
 }
+#: Names of the layout, which stand around anything.
+NEUTRAL = (
+    "wrap wrapper container row col column inner outer box layout grid site page flex block group region "
+    "holder cell panel area root app view clearfix fluid left right center default bg dark light"
+).split()
 MAIN = ("article main section div", "content article post entry story body text main prose page")
 _SYLLABLES = {
     "en": "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split(),
@@ -274,6 +307,17 @@ class _Writer:
         name = self.rng.choice((name, f"site-{name}", f"{name}-wrap", f"js-{name} {name}", f"{name}Box"))
         return f' {self.rng.choice(("class", "class", "id"))}="{name}"'
 
+    def neutral(self, text: str, chance: float) -> str:
+        """The text in containers of the layout, whose names tell nothing, or that have none."""
+        rng = self.rng
+        while rng.random() < chance:
+            name = rng.choice(NEUTRAL)
+            some = rng.choice((name, f"{name}-{rng.choice(NEUTRAL)}", f"{name}{rng.randint(1, 12)}", f"c{rng.randint(1, 99)}", ""))
+            attribute = f' {rng.choice(("class", "class", "id"))}="{some}"' if some else ""
+            tag = rng.choice(("div", "div", "div", "section"))
+            text, chance = f"<{tag}{attribute}>{text}</{tag}>", chance / 2
+        return text
+
     def leaf(self, tag: str, text: str, label: int) -> str:
         text = self.bare(text, label)
         inner = self.rng.random()
@@ -292,8 +336,10 @@ class _Writer:
         # A container without a telling tag has a telling name, but for footers and notices.
         telling = tag in ("nav", "header", "footer", "aside", "form", "menu")
         chance = 0.6 if telling else 0.85 if role in ("footer", "notice") else 1.0
-        open_, close = f"<{tag}{self.attributes(names, chance)}>", f"</{tag}>"
-        return open_ + self.filling(role, tag) + close
+        filling = self.filling(role, tag)
+        if tag not in ("ul", "ol", "menu"):
+            filling = self.neutral(filling, 0.2)
+        return self.neutral(f"<{tag}{self.attributes(names, chance)}>{filling}</{tag}>", 0.25)
 
     @staticmethod
     def bare(text: str, label: int) -> str:
@@ -395,6 +441,8 @@ class _Writer:
             if rng.random() < 0.3:
                 return self.bare(self.paragraph(), 1)
             some = "".join(self.leaf("p", self.paragraph(), 1) for _ in range(rng.choice((1, 1, 2, 4))))
+            title = self.leaf("h1", self.words(1, 10), 1) if rng.random() < 0.5 else ""
+            some = self.neutral(title + some, 0.6)
             return rng.choice((f"{head}<body>{some}", some, f"<html><body>{some}</body></html>"))
         before = [r for r in ("notice", "header", "menu", "menu", "advert", "form", "sidebar") if rng.random() < 0.4]
         after = [r for r in ("comments", "share", "sidebar", "advert", "form", "notice") if rng.random() < 0.3]
@@ -402,13 +450,16 @@ class _Writer:
         top = "".join(map(self.boilerplate, before))
         tag = rng.choice(MAIN[0].split() + ["article"] * 3)
         names = self.attributes(MAIN[1], 0.5 if tag in ("article", "main") else 1.0)
-        body = f"<{tag}{names}>{self.main()}</{tag}>"
+        main = self.neutral(self.main(), 0.2)
+        # In some layouts nothing but its text tells the article.
+        body = main if rng.random() < 0.12 else f"<{tag}{names}>{main}</{tag}>"
+        body = self.neutral(body, 0.35)
         if rng.random() < 0.3:
             outer = rng.choice(("main", "div", "section"))
             inside = self.boilerplate(rng.choice(("sidebar", "comments", "advert"))) if rng.random() < 0.5 else ""
             body = f"<{outer}{self.attributes('main content wrapper container layout', 0.5)}>{body}{inside}</{outer}>"
         bottom = "".join(map(self.boilerplate, after))
-        return f"<!DOCTYPE html><html>{head}<body>{top}{body}{bottom}</body></html>"
+        return f"<!DOCTYPE html><html>{head}<body>{self.neutral(top + body + bottom, 0.3)}</body></html>"
 
 
 def sample_pages(n: int = TRAINING_PAGES, seed: int = 1) -> list[tuple[str, list[int]]]:

@@ -1,5 +1,7 @@
 import html
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -66,6 +68,50 @@ def test_deep_nesting_is_quick():
     assert len(texts("<p>a" * 20_000)) == 20_000
 
 
+def test_text_at_every_level_of_a_deep_page():
+    page = "".join(f'<div class="level{"abc"[i % 3]}">x ' for i in range(100_000))
+    start = time.perf_counter()
+    tracemalloc.start()
+    blocks = leaf_blocks(page)
+    found = [block_features(b, i, len(blocks)) for i, b in enumerate(blocks)]
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 100_000 and len(blocks[-1].path) == 100_000
+    assert used < 1e9 and time.perf_counter() - start < 60
+
+
+SENTENCES = "<p>{} this is an ordinary sentence of the article, and it goes on for a while. Another one follows it here.</p>"
+ARTICLE = "<h1>The title of it</h1>" + "".join(SENTENCES.format(i) for i in "ABC")
+MENU = '<ul class="menu"><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>About us</a></ul>'
+FOOT = "<footer>&copy; 2024 Some Company</footer>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='wrap'><div class='c1'>{ARTICLE}</div></div>",
+        f"<div id='wrap'>{ARTICLE}</div>",
+        f"<div><div>{ARTICLE}</div></div>",
+        f"<div class='container-fluid'><div class='row'><div class='col-md-8'>{ARTICLE}</div>"
+        f"<div class='col-md-4 sidebar'><h3>Related</h3>{MENU}</div></div></div>{FOOT}",
+        f"<nav>{MENU}</nav><div class='page-wrapper'><div class='inner'>{ARTICLE}</div></div>{FOOT}",
+        f"<header><div class='css-1q2w'>Site name</div>{MENU}</header><div class='css-9x8y'>"
+        f"<section class='sc-abc'>{ARTICLE}</section></div>{FOOT}",
+        f"<table><tr><td class='left'>{MENU}</td><td class='main'>{ARTICLE}</td></tr></table>",
+        f"<div id='header'><h1>Site</h1></div><div id='nav'>{MENU}</div><div id='content'>{ARTICLE}</div>"
+        "<div id='footer'>Copyright 2024</div>",
+        f"<article class='post'>{ARTICLE}<div class='share'><a href=x>Share on Facebook</a></div></article>"
+        "<section class='comments'><h3>Comments</h3><p>Great read, thanks.</p></section>",
+        f"<main>{ARTICLE}</main><aside><p>Popular: other things</p></aside>",
+        f"<section class='layout'><section>{ARTICLE}</section></section><div class='cookie-notice'>We use cookies "
+        "to improve. <button>Accept</button></div>",
+    ],
+)
+def test_layouts_that_the_training_pages_do_not_have(body):
+    want = ["The title of it", *(re.sub("<[^>]+>", "", SENTENCES.format(i)) for i in "ABC")]
+    assert default_extractor().extract(f"<body>{body}</body>").split("\n") == want
+
+
 def test_viterbi_agrees_with_brute_force():
     rng = np.random.default_rng(1)
     blocks = leaf_blocks("<nav>a b</nav><p>c</p><div class=ad>d.</div><p>e f g</p><footer>h</footer><p>i</p>")
