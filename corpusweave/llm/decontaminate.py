@@ -200,7 +200,9 @@ def decontaminate(
     hits = window_hits(docs, text_col, keys, grams, max_broadcast).where("start is not null")
     keyed = docs.select(row, *keys)
     if remove == "documents":
-        dirty = hits.select("h0", "h1").distinct()
+        # Written, so that its size is known: as few rows as these are mostly go to every task,
+        # and the texts stay where they are.
+        dirty = stage(hits.select("h0", "h1").distinct(), "dirty-rows")
         return keyed.join(dirty, ["h0", "h1"], "left_anti").select("row.*")
     span = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
     spans = hits.groupBy("h0", "h1").agg(F.collect_set(span).alias("spans"))
