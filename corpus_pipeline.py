@@ -17,7 +17,7 @@ from corpusweave.llm.packing import pack_documents
 from corpusweave.llm.quality import drop_low_quality, fit_quality
 from corpusweave.llm.simhash import simhash_dedup
 from corpusweave.llm.toxicity import drop_toxic, fit_toxicity
-from corpusweave.plans.staging import default_root, stage
+from corpusweave.plans.staging import default_root, remove, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: fingerprints of three-word shingles
+    that differ in at most three bits."""
     _ready(spark)
     return simhash_dedup(docs)
 
@@ -74,8 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; of the tables between them only the last one stays."""
     _ready(spark)
     docs = _table(spark, sf_dir, "documents")
     for name, fn in STAGES:
-        docs = stage(fn(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage(fn(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(before)
     return docs
