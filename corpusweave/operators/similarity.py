@@ -400,21 +400,36 @@ def greedy_dedup(
     return keep.select("id").unionByName(more).select(F.col("id").alias(id_col))
 
 
-def greedy_scan(matrix: np.ndarray, threshold: float) -> np.ndarray:
-    """Keep flags of the scan over the rows of one bounded matrix, in row order."""
+def greedy_scan(matrix: np.ndarray, threshold: float, rows: int = 256, columns: int = 4096) -> np.ndarray:
+    """Keep flags of the scan over the rows of one bounded matrix, in row order.
+
+    Products are made in double precision, a tile at a time; the matrix itself stays as it is.
+    """
     n = len(matrix)
     keep = np.ones(n, dtype=bool)
-    for start in range(0, n, 256):
-        stop = min(start + 256, n)
+    for start in range(0, n, rows):
+        stop = min(start + rows, n)
         tile = np.flatnonzero(keep[start:stop]) + start
-        scores = matrix[tile] @ matrix[start:].T
-        for row, i in enumerate(tile):
-            if keep[i]:
-                near = np.flatnonzero(scores[row] > threshold) + start
-                keep[near[near > i]] = False
+        own = matrix[tile].astype(np.float64)
+        near = own @ own.T > threshold
+        stays = np.ones(len(tile), dtype=bool)
+        for i in range(len(tile)):
+            if stays[i]:
+                stays[i + 1 :] &= ~near[i, i + 1 :]
+        keep[tile] = stays
+        own = own[stays]
+        for at in range(stop, n, columns):
+            open_ = np.flatnonzero(keep[at : at + columns]) + at
+            keep[open_] = ~(own @ matrix[open_].astype(np.float64).T > threshold).any(axis=0)
     return keep
 
 
+def _as_stored(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column in their own precision."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
 def _with_batch(vectors: DataFrame, id_col: str, vec_col: str, batch_size: int) -> DataFrame:
     rows = vectors.where(F.col(vec_col).isNotNull()).select(id_col, vec_col)
     indexed = with_row_index(rows, [id_col])
@@ -437,7 +452,7 @@ def batched_dedup(
     def scan(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by(id_col)
         return batch.select([id_col, "batch"]).filter(
-            pa.array(greedy_scan(_matrix(batch[vec_col]), threshold))
+            pa.array(greedy_scan(_as_stored(batch[vec_col]), threshold))
         )
 
     batches = _with_batch(vectors, id_col, vec_col, batch_size).select(id_col, "batch", vec_col)

@@ -317,6 +317,15 @@ def test_similarity_join_lists_copies_once(spark):
     assert pairs == expected | {(2, 5), (2, 8)}
 
 
+@pytest.mark.parametrize("rows, columns", [(1, 1), (7, 5), (256, 4096)])
+def test_scan_in_tiles(rows, columns):
+    for seed, threshold in ((1, 0.5), (2, -0.2), (3, 0.0)):
+        matrix = cloud(60, seed, COPIES).astype(np.float32)
+        keep = sim.greedy_scan(matrix, threshold, rows, columns)
+        assert np.flatnonzero(keep).tolist() == naive_greedy(matrix.astype(np.float64), threshold)
+    assert sim.greedy_scan(np.empty((0, 0)), 0.5).tolist() == []
+
+
 def test_batches_and_second_pass(spark):
     matrix = cloud(70, 9, COPIES)
     table, t = vectors(spark, matrix), 0.5
