@@ -66,7 +66,7 @@ def reach_of(matrix: np.ndarray, largest: float, threshold: float) -> tuple[np.n
 def _sample(rows: DataFrame, wanted: int) -> np.ndarray:
     """Unit vectors of a hashed sample; their number is bounded."""
     some = rows.select("n", "vec").orderBy(F.xxhash64("n"), "n").limit(wanted).collect()
-    return unit_rows(np.array([r["vec"] for r in some], dtype=np.float64))
+    return unit_rows(np.array([r["vec"] for r in some], dtype=np.float64)) if some else np.empty((0, 0))
 
 
 def _placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
