@@ -411,16 +411,12 @@ def _term_counts(sample: DataFrame) -> DataFrame:
             toxic, clean = Counter(), Counter()
             for text, label in zip(batch["text"], batch["label"]):
                 (toxic if label else clean).update(_terms(text))
-            terms = [t for t in toxic]
-            yield pd.DataFrame(
-                {
-                    "term": terms,
-                    "toxic": [toxic[t] for t in terms],
-                    "clean": [clean.pop(t, 0) for t in terms],
-                }
-            )
-            rest = list(clean)
-            yield pd.DataFrame({"term": rest, "toxic": 0, "clean": [clean[t] for t in rest]})
+            terms = [*toxic, *(t for t in clean if t not in toxic)]
+            # An empty column of strings is no single Arrow array.
+            if terms:
+                yield pd.DataFrame(
+                    {"term": terms, "toxic": [toxic[t] for t in terms], "clean": [clean[t] for t in terms]}
+                )
 
     counted = sample.mapInPandas(count, "term string, toxic bigint, clean bigint")
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -442,7 +438,8 @@ def _surroundings(sample: DataFrame, terms: set[str]) -> dict[str, tuple[int, in
                     for term in (word, *(word[:n] + "*" for n in lengths if len(word) > n)):
                         if term in terms:
                             rows.add((term, left, right, label))
-            yield pd.DataFrame(sorted(rows), columns=["term", "left", "right", "label"])
+            if rows:
+                yield pd.DataFrame(sorted(rows), columns=["term", "left", "right", "label"])
 
     found = sample.mapInPandas(find, "term string, left string, right string, label int")
     counted = found.distinct().groupBy("term").agg(F.sum("label"), F.count("*"))

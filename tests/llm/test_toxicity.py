@@ -12,6 +12,8 @@ from corpusweave.llm.toxicity import (
     Lexicon,
     ToxicityModel,
     _matcher,
+    _surroundings,
+    _term_counts,
     clause_events,
     drop_toxic,
     event_features,
@@ -177,6 +179,16 @@ def test_copies_of_a_passage_are_one_witness(spark):
     assert fit_toxicity(docs, labels).lexicon == Lexicon()
 
 
+def test_batches_of_one_label_or_without_terms(spark):
+    for label in (0, 1):
+        sample = spark.createDataFrame([("zorped again", label), ("", label)], "text string, label int").coalesce(1)
+        counts = {(r.term, r.toxic, r.clean) for r in _term_counts(sample).collect()}
+        assert ("zorped", label, 1 - label) in counts and ("agai*", label, 1 - label) in counts
+    none = spark.createDataFrame([("", 1), ("a", 0)], "text string, label int").coalesce(1)
+    assert not _term_counts(none).collect()
+    assert _surroundings(none, {"zorped"}) == {}
+
+
 def test_odd_rows(spark, long_text):
     docs = spark.createDataFrame(
         [(1, None), (2, ""), (None, "you blargh"), (3, long_text + "you blargh"), (3, long_text), (3, long_text)],
