@@ -123,6 +123,14 @@ def _visits(placed: DataFrame, pivots: np.ndarray, radius: np.ndarray, largest:
     return placed.mapInArrow(visit, "n bigint, cell bigint")
 
 
+def _with_vectors(visits: DataFrame, placed: DataFrame) -> DataFrame:
+    """``visits`` with the vector of each ``n``.
+
+    Few bytes of a written table hold very many visits, so neither side is ever broadcast.
+    """
+    return visits.join(placed.select("n", "vec").hint("merge"), "n")
+
+
 def pivot_cells(
     rows: DataFrame, n: int, threshold: float, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -143,7 +151,7 @@ def pivot_cells(
     placed = stage(placed, "placed")
     radius = _radii(placed, len(pivots))
     open_cells = stage(_visits(placed, pivots, radius, largest, threshold), "visits")
-    visits = open_cells.join(placed.select("n", "vec"), "n").select("n", "vec", "cell")
+    visits = _with_vectors(open_cells, placed).select("n", "vec", "cell")
     if not two:
         return placed.select("n", "vec", "cell"), visits
     return _divided(placed.select("n", "vec", "cell"), visits, pivots, largest, threshold, cell_rows, max_pivots)
@@ -236,7 +244,7 @@ def _divided(
     def numbered(df: DataFrame) -> DataFrame:
         return df.withColumn("cell", number).select("n", "vec", "cell")
 
-    return numbered(home), numbered(open_parts.join(placed.select("n", "vec"), "n"))
+    return numbered(home), numbered(_with_vectors(open_parts, placed))
 
 
 def _best_of_cells(askers: DataFrame, offered: DataFrame, block: int) -> DataFrame:

@@ -400,3 +400,14 @@ def test_signatures_are_not_shuffled(spark):
     many_files = docs(spark, [BASE]).union(docs(spark, [BASE]))
     plan = mh.minhash_signatures(many_files, "doc_id", "text")
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_visits_are_never_broadcast(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "n bigint, vec array<double>")
+    for most in (1024, 4):
+        _, visits = pivot_cells(vectors, 120, 0.3, cell_rows=8, max_pivots=most)
+        assert visits.count()
+        plan = visits._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [n#" in plan and "BroadcastHashJoin [n#" not in plan
