@@ -24,6 +24,8 @@ ENTITIES_13A = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 BLEU_ORDER = 4
 CHAR_ORDER = 6
 BETA = 2
+#: Characters of both sides that are counted at a time; a longer pair is counted alone.
+PIECE_CHARS = 1 << 20
 
 
 def tokenize_13a(text: Column) -> Column:
@@ -84,6 +86,18 @@ def clipped_matches(hyps: list[np.ndarray], refs: list[np.ndarray], order: int)
     return out.reshape(n_rows, 3 * order)
 
 
+def bounded_pieces(sizes: np.ndarray, limit: int = PIECE_CHARS) -> Iterator[slice]:
+    """Runs of rows of up to ``limit`` together, or of one larger row."""
+    start, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > start and held + size > limit:
+            yield slice(start, row)
+            start, held = row, 0
+        held += size
+    if len(sizes) > start:
+        yield slice(start, len(sizes))
+
+
 def _clipped_by_numbers(token: np.ndarray, n_hyp: int, order: int) -> np.ndarray:
     """``clipped_matches`` of one pair with very many different tokens.
 
@@ -108,8 +122,8 @@ def ngram_matches(hyp: Column, ref: Column, order: int, chars: bool = False) ->
 
     Both sides of a row are in the row, so clipping needs no join: exploding every n-gram
     would multiply the corpus by the order and shuffle or spill all of it.  n-grams are taken
-    over characters, or over the blank-separated words of the texts; a batch of rows is
-    counted at a time.
+    over characters, or over the blank-separated words of the texts; rows are counted in
+    pieces of bounded size, however many rows a batch holds.
     """
 
     def characters(texts: pd.Series, _: dict) -> list[np.ndarray]:
@@ -123,9 +137,12 @@ def ngram_matches(hyp: Column, ref: Column, order: int, chars: bool = False) ->
     def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         tokens = characters if chars else numbered
         for hyps, refs in batches:
-            numbers: dict[str, int] = {}
-            sides = (tokens(side.fillna(""), numbers) for side in (hyps, refs))
-            yield pd.Series(list(clipped_matches(*sides, order)), dtype=object)
+            sides = [side.fillna("") for side in (hyps, refs)]
+            parts: list[np.ndarray] = []
+            for rows in bounded_pieces(sum(side.str.len().to_numpy(np.int64) for side in sides)):
+                numbers: dict[str, int] = {}
+                parts.extend(clipped_matches(*(tokens(side.iloc[rows], numbers) for side in sides), order))
+            yield pd.Series(parts, dtype=object)
 
     return count(hyp, ref)
 

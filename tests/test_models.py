@@ -223,6 +223,30 @@ def test_generated_length(spark):
     assert stx.mean_generated_length(unmasked, "ids", 0).first()["gen_len"] == 1.5
 
 
+def test_pieces_are_bounded_and_whole():
+    sizes = np.array([3, 4, 0, 9, 1, 30, 2, 8])
+    rows = [range(len(sizes))[r] for r in tm.bounded_pieces(sizes, 10)]
+    assert [i for part in rows for i in part] == list(range(len(sizes)))
+    assert all(len(part) == 1 or sizes[list(part)].sum() <= 10 for part in rows)
+    assert not list(tm.bounded_pieces(np.array([], np.int64)))
+
+
+def test_pairs_are_counted_in_bounded_pieces(spark):
+    rng = random.Random(4)
+    rows = [(i, *("".join(rng.choices("abc ", k=rng.choice((0, 5, 600)))) for _ in "ab")) for i in range(30)]
+    rows += [(30, "a b a b " * 20_000, "b a " * 30_000), (31, None, "a b"), (32, "a", None)]
+    pairs = spark.createDataFrame(rows, "i int, h string, r string").coalesce(1)
+    for chars in (True, False):
+        want = {}
+        for i, h, r in rows:
+            numbers = {}
+            cut = (lambda t: list(t or "")) if chars else (lambda t: (t or "").split())
+            sides = [[np.array([numbers.setdefault(w, len(numbers)) for w in cut(t)], np.int64)] for t in (h, r)]
+            want[i] = tm.clipped_matches(*sides, 4)[0].tolist()
+        got = pairs.select("i", tm.ngram_matches(F.col("h"), F.col("r"), 4, chars).alias("n")).collect()
+        assert {r.i: r.n for r in got} == want
+
+
 def test_clipped_matches_of_many_different_tokens():
     rng = np.random.default_rng(5)
     hyps = [rng.integers(0, 2**40, 3000), np.arange(70_000) % 65_000]
