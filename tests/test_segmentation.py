@@ -1,8 +1,11 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
+import regex
 
+from corpusweave.operators import segmentation
 from corpusweave.operators.segmentation import (
     BIT,
     WordModel,
@@ -126,3 +129,40 @@ def test_jobs_in_an_unspaced_language(spark, tmp_path, kind):
         jobs.run_sentence_job(spark, cfg | {"dedup_config": {"split_sentences": True, "n_sentences": 1}})
         kept = {r.doc_id: r.text for r in spark.read.json(str(tmp_path / "out")).collect()}
         assert 60 not in kept and 61 not in kept and kept[62] == "今天很好。"
+
+
+@pytest.mark.parametrize("piece, lanes, longest", [(7, 1, 1 << 16), (50, 3, 5), (1 << 19, 16, 1 << 16)])
+def test_many_runs_are_cut_at_once_as_one_by_one(monkeypatch, piece, lanes, longest):
+    for name, value in (("PIECE", piece), ("LANES", lanes), ("LONGEST", longest)):
+        monkeypatch.setattr(segmentation, name, value)
+    rng = random.Random(4)
+    for _ in range(12):
+        alphabet = "abcé漢\U00020001"[: rng.randint(2, 6)]
+        grams = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 4))) for _ in range(30)]
+        model = WordModel({g: rng.randint(0, 6) * BIT for g in grams}, 7 * BIT, 3, r"\p{L}")
+        texts = ["".join(rng.choice(alphabet + " .x") for _ in range(rng.choice([0, 1, 9, 80]))) for _ in range(30)]
+        assert model.spaced_all(texts) == [model.spaced(t) for t in texts]
+        used = {}
+        for batch in model.usage(texts):
+            for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist()):
+                used[word] = used.get(word, 0) + n
+        words = [w for t in texts for run in regex.findall(r"\p{L}+", t) for w in model.cut(run)]
+        assert used == Counter(words)
+
+
+def test_grams_of_many_letters_are_counted_before_they_become_rows(spark, monkeypatch):
+    monkeypatch.setattr(segmentation, "PIECE", 1 << 14)
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x9000)]
+    texts = ["".join(rng.choice(letters) for _ in range(9000)) + "我们。我们" * 5 for _ in range(2)]
+    # More letters than fit five digits of a 62-bit number.
+    chars = segmentation._code_points([texts[0]])
+    left = len(chars) - segmentation.np.arange(len(chars))
+    got = {}
+    for batch in segmentation._gram_counts(chars, left, 5):
+        got |= dict(zip(batch["word"].to_pylist(), batch["n"].to_pylist()))
+    assert got == plain_grams(texts[:1], set(texts[0]), 5, 1)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = word_candidates(docs, "text", 5, 2)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    assert {r.word: r.n for r in found.collect()} == plain_grams(texts, {*letters, "我", "们"}, 5, 2)
