@@ -107,8 +107,13 @@ def minhash_buckets(
     """``src, dst``: each document tied to the smallest one that shares a bucket with it.
 
     A star per bucket holds the same components as all pairs of the bucket, with one edge
-    per member; a bucket with a third of all documents costs a third of the edges.
+    per member; a bucket with a third of all documents costs a third of the edges.  The
+    signatures are read for the sizes of the buckets, for the hot ones and for the members, so
+    they are written first, unless ``total_docs`` says that they are written and counted.
     """
+    if total_docs is None:
+        signatures, seen = stage_observed(signatures, "signatures", docs=F.count("*"))
+        total_docs = seen["docs"]
     r = config.hashes_per_bucket
     bands = signatures.select(
         F.col(id_col).alias("dst"),

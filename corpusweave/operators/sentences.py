@@ -83,7 +83,12 @@ def find_duplicate_sentences(
     With an ``index`` (signatures of another corpus) windows that occur there are duplicates
     too, and with ``only_dedup_in_index`` only those are.  First occurrences and counts are
     combined map-side; a window that makes up a third of the corpus is joined by broadcast.
+    Signatures are read several times, so they are written first, unless ``total_rows`` says that
+    they are written and counted.
     """
+    if total_rows is None:
+        signatures, seen = stage_observed(signatures, "line-signatures", rows=F.count("*"))
+        total_rows = seen["rows"]
     keys = ["h1", "h2"]
     at = F.struct(F.col(id_col), F.col("pos"))
     facts = signatures.groupBy(*keys).agg(F.min(at).alias("first"), F.count("*").alias("n"))

@@ -411,3 +411,33 @@ def test_visits_are_never_broadcast(spark):
         assert visits.count()
         plan = visits._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [n#" in plan and "BroadcastHashJoin [n#" not in plan
+
+
+def counted(df, accumulator):
+    """``df`` with the rows that are computed added up."""
+
+    def rows(batches):
+        for batch in batches:
+            accumulator.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(rows, df.schema)
+
+
+def test_signatures_are_computed_once(spark):
+    texts = ["one two three four five six", "one two three four five six", "a b c d e f g"]
+    seen = spark.sparkContext.accumulator(0)
+    signatures = counted(mh.minhash_signatures(docs(spark, texts), "doc_id", "text").repartition(2), seen)
+    assert [tuple(r) for r in mh.minhash_buckets(signatures, "doc_id").collect()] == [(0, 1)]
+    assert seen.value == 3
+
+
+@pytest.mark.parametrize("with_index", [False, True])
+def test_line_signatures_are_computed_once(spark, with_index):
+    seen = spark.sparkContext.accumulator(0)
+    config = st.SentenceConfig(only_dedup_in_index=False)
+    signatures = counted(st.sentence_signatures(docs(spark, ["a\nb", "a", "c"]), "doc_id", "text"), seen)
+    index = st.sentence_signatures(docs(spark, ["c"]), "doc_id", "text") if with_index else None
+    found = st.find_duplicate_sentences(signatures, "doc_id", index, config)
+    assert {tuple(r) for r in found.collect()} == {(1, 0), (2, 0)} if with_index else {(1, 0)}
+    assert seen.value == 4
