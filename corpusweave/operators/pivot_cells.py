@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.plans.staging import remove, stage
+from corpusweave.plans.staging import remove, stage, stage_observed
 
 #: Rows that a cell should hold, and the most pivots in one table.
 CELL_ROWS, MAX_PIVOTS = 4096, 1024
@@ -123,6 +123,23 @@ def _visits(placed: DataFrame, pivots: np.ndarray, radius: np.ndarray, largest:
     return placed.mapInArrow(visit, "n bigint, cell bigint")
 
 
+def bounds_prune(
+    rows: DataFrame, cells: int, threshold: float, max_pivots: int, share: float
+) -> bool:
+    """Whether the angle bounds leave less than ``share`` of the cells open to a row, judged by a
+    hashed sample of at most ``max_pivots`` rows; only the way of comparing depends on it."""
+    longest = rows.agg(F.max(squared_length("vec"))).first()[0]
+    some = rows.select("n", "vec").orderBy(F.xxhash64("n"), "n").limit(min(max_pivots, 2 * max(1, cells))).collect()
+    matrix = np.array([r["vec"] for r in some], np.float64)
+    theta, any_ = reach_of(matrix, math.sqrt(longest or 0.0), threshold)
+    half = (len(matrix) + 1) // 2
+    away = angles(matrix[half:], unit_rows(matrix[:half]))
+    if not away.size:
+        return True
+    near = away <= away.min(axis=1, keepdims=True) + 2 * theta[half:, None] + SLACK
+    return bool((near & any_[half:, None]).mean() < share)
+
+
 def _with_vectors(visits: DataFrame, placed: DataFrame) -> DataFrame:
     """``visits`` with the vector of each ``n``.
 
@@ -302,10 +319,13 @@ def _one_best(found: DataFrame) -> DataFrame:
 
 def nearest_targets(
     askers: DataFrame, offered: DataFrame, n: int, block: int, cell_rows: int = CELL_ROWS,
-    max_pivots: int = MAX_PIVOTS,
+    max_pivots: int = MAX_PIVOTS, wide: int | None = None,
 ) -> DataFrame:
     """``src, dst, score``: the most similar of the ``n`` offered rows for every asker (both
-    ``n, vec``), by cosine with nine decimals; the smallest number on a tie."""
+    ``n, vec``), by cosine with nine decimals; the smallest number on a tie.
+
+    Askers that would visit more cells than there are blocks of ``wide`` rows meet these blocks.
+    """
     zero = squared_length("vec") == 0
     zeros = offered.where(zero).agg(F.min("n")).first()[0]
     smallest = offered.agg(F.min("n")).first()[0]
@@ -348,15 +368,21 @@ def nearest_targets(
             near = (most >= batch["score"].to_numpy()[:, None] - SCORE_SLACK) & (radius >= 0)[None, :]
             near &= np.arange(len(pivots))[None, :] != batch["cell"].to_numpy()[:, None]
             row, cell = np.nonzero(near)
-            take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch["n"].take(take), batch["vec"].take(take), pa.array(cell, pa.int64())], names=["n", "vec", "cell"]
+                [batch["n"].take(pa.array(row)), pa.array(cell, pa.int64())], names=["n", "cell"]
             )
 
     scored = placed.join(first.select(F.col("src").alias("n"), "score"), "n")
-    again = scored.select("n", "vec", "cell", "score").mapInArrow(better_cells, f"n bigint, vec {kind}, cell bigint")
-    again = stage(again, "asker-visits")
-    found = first.unionByName(_best_of_cells(again, targets, block)).unionByName(flat)
+    again = scored.select("n", "vec", "cell", "score").mapInArrow(better_cells, "n bigint, cell bigint")
+    again, seen = stage_observed(again, "asker-visits", visits=F.count("*"))
+    wide = max(block, wide or block)
+    blocks = math.ceil(n / wide)
+    if n > wide and seen["visits"] > blocks * placed.count():
+        asks = placed.join(again.select("n").distinct(), "n", "left_semi").withColumn("cell", F.lit(0))
+        rest = _best_of_cells(asks.select("n", "vec", "cell"), targets.withColumn("cell", F.lit(0)), wide)
+    else:
+        rest = _best_of_cells(_with_vectors(again, placed).select("n", "vec", "cell"), targets, block)
+    found = first.unionByName(rest).unionByName(flat)
     if zeros is not None:
         found = found.unionByName(told(asking, zeros))
     best = stage(_one_best(found), "nearest")

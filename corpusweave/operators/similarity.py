@@ -25,6 +25,7 @@ from corpusweave.operators.pivot_cells import (
     CELL_ROWS,
     MAX_PIVOTS,
     nearest_targets,
+    bounds_prune,
     pivot_cells,
 )
 from corpusweave.operators.pivot_cells import matrix_of as _matrix
@@ -35,6 +36,13 @@ from corpusweave.plans.staging import remove, shared_path, stage, stage_observed
 
 #: Upper bound on the bytes of one block as a float64 matrix, and on its rows.
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 4096
+#: Rows of a block of which a task gives back no pairs, but one row each.
+WIDE_ROWS = 1 << 15
+#: Beyond so many rows, those that the angle bounds do not keep apart are compared in plain
+#: blocks, and the greedy scan begins with prefixes of that many rows.
+PLAIN_ROWS = 16_384
+#: Share of the open rows that a prefix must settle for another one to be tried.
+SETTLED = 0.25
 #: Rows on either side of a score tile inside a task.
 TILE = 1024
 #: Hyperplanes of one random-projection table at most; bounds the number of buckets.
@@ -78,11 +86,15 @@ def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]
             yield i, j, a[i : i + TILE] @ b[j : j + TILE].T
 
 
-def _matching_pairs(ids_a, a, ids_b, b, same: bool, threshold: float) -> Iterator[dict]:
+def _matching_pairs(
+    ids_a, a, ids_b, b, same: bool, threshold: float, chosen: Callable | None = None
+) -> Iterator[dict]:
     for i, j, scores in _tiles(a, b):
         x, y = np.nonzero(scores > threshold)
         p, q = ids_a[i + x], ids_b[j + y]
         keep = p < q if same else np.ones(len(p), dtype=bool)
+        if chosen:
+            keep &= chosen(i + x, j + y)
         yield {
             "src": np.minimum(p, q)[keep],
             "dst": np.maximum(p, q)[keep],
@@ -91,10 +103,13 @@ def _matching_pairs(ids_a, a, ids_b, b, same: bool, threshold: float) -> Iterato
 
 
 def _cell_pairs(
-    placed: DataFrame, visits: DataFrame | None, threshold: float, block: int
+    placed: DataFrame, visits: DataFrame | None, threshold: float, block: int, chosen: Callable | None = None
 ) -> DataFrame:
     """``src, dst, score`` of all pairs above ``threshold`` inside cells.
 
+    Of ``placed`` with a column ``codes``, only the pairs that ``chosen`` takes by their cell and
+    codes are given.
+
     ``placed`` holds ``n, vec, cell``; ``visits`` the same for rows that meet the cell's own
     rows, but not each other.  Both are cut into blocks by the counted sizes of the cells.
     """
@@ -121,7 +136,7 @@ def _cell_pairs(
     inside = home.withColumn("other", F.explode(each("own_blocks"))).select(
         "cell", F.lit(False).alias("visit"),
         F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"),
-        (F.col("own") <= F.col("other")).alias("is_row"), "n", "vec",
+        (F.col("own") <= F.col("other")).alias("is_row"), "n", "vec", *(["codes"] if chosen else []),
     )
     cells = inside
     if visits is not None:
@@ -142,7 +157,12 @@ def _cell_pairs(
         ids, matrix = cell["n"].to_numpy(), _matrix(cell["vec"])
         same = not cell["visit"][0].as_py() and cell["row"][0].as_py() == cell["col"][0].as_py()
         other = is_row if same else ~is_row
-        parts = _matching_pairs(ids[is_row], matrix[is_row], ids[other], matrix[other], same, threshold)
+        keep = None
+        if chosen:
+            codes, number = _as_stored(cell["codes"]), cell["cell"][0].as_py()
+            a, b = codes[is_row], codes[other]
+            keep = lambda x, y: chosen(number, a[x], b[y])
+        parts = _matching_pairs(ids[is_row], matrix[is_row], ids[other], matrix[other], same, threshold, keep)
         return pa.concat_tables([empty.empty_table(), *(pa.table(p, empty) for p in parts)])
 
     keys = ["cell", "visit", "row", "col"]
@@ -157,7 +177,15 @@ def exact_pairs(
     cell_rows: int = CELL_ROWS,
     max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
-    """All pairs of ``rows`` (``n, vec``) with a product above ``threshold``, in pivot cells."""
+    """All pairs of ``rows`` (``n, vec``) with a product above ``threshold``, in pivot cells.
+
+    Where the bounds would send a row of a large table to more cells than there are blocks, all
+    blocks meet instead.
+    """
+    cells, blocks = math.ceil(n / cell_rows), math.ceil(n / block)
+    if n > PLAIN_ROWS and not bounds_prune(rows, cells, threshold, max_pivots, 2 * blocks / cells):
+        whole = rows.select("n", "vec", F.lit(0).cast("bigint").alias("cell"))
+        return _cell_pairs(whole, None, threshold, block)
     placed, visits = pivot_cells(rows, n, threshold, cell_rows, max_pivots)
     return _cell_pairs(placed, visits, threshold, block)
 
@@ -174,23 +202,35 @@ def projected_pairs(
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     weights = 1 << np.arange(bits)
 
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = rows.schema["vec"].dataType.simpleString()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             side = _matrix(pa.chunked_array([batch["vec"]])) @ planes > 0
-            codes = side.reshape(len(side), tables, bits) @ weights + (np.arange(tables) << bits)
-            row = pa.array(np.repeat(np.arange(len(side)), tables))
-            yield pa.RecordBatch.from_arrays(
-                [batch["n"].take(row), batch["vec"].take(row), pa.array(codes.ravel(), pa.int32())],
-                names=["n", "vec", "cell"],
-            )
-
-    kind = rows.schema["vec"].dataType.simpleString()
-    placed = rows.select("n", "vec").mapInArrow(bucket, f"n bigint, vec {kind}, cell int")
-    # The same product may differ in its last bits between tasks.
-    found = _cell_pairs(stage(placed, "buckets"), None, threshold, block)
-    return found.groupBy("src", "dst").agg(F.max("score").alias("score"))
+            codes = (side.reshape(len(side), tables, bits) @ weights).astype(np.int16)
+            ends = pa.array(np.arange(len(side) + 1, dtype=np.int32) * tables)
+            codes = pa.ListArray.from_arrays(ends, pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["n"], batch["vec"], codes], names=["n", "vec", "codes"])
+
+    rows = stage(rows.select("n", "vec").mapInArrow(coded, f"n bigint, vec {kind}, codes array<smallint>"), "codes")
+    buckets = F.transform("codes", lambda c, t: t * F.lit(1 << bits) + c.cast("int"))
+    # How often rows would travel to meet in their buckets, and to meet all others once.
+    sizes = rows.select(F.explode(buckets).alias("cell")).groupBy("cell").count()
+    sizes = sizes.agg(F.sum(F.col("count") * F.ceil(F.col("count") / block)).alias("apart")).first()
+    n = rows.count()
+    if n > PLAIN_ROWS and sizes["apart"] > n * math.ceil(n / block):
+        whole = rows.select("n", "vec", "codes", F.lit(0).alias("cell"))
+        return _cell_pairs(whole, None, threshold, block, lambda _, a, b: (a == b).any(axis=1))
+
+    def here_first(cell: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A pair is given by the first table in which it shares a bucket."""
+        before = cell >> bits
+        return ~(a[:, :before] == b[:, :before]).any(axis=1)
+
+    placed = rows.select("n", "vec", "codes", F.explode(buckets).alias("cell"))
+    return _cell_pairs(placed, None, threshold, block, here_first)
 
 
 def _pairs(
@@ -368,6 +408,53 @@ def _drop_later_neighbours(
     return spark.read.schema(schema).parquet(f"{path}/*")
 
 
+def _settle_prefixes(
+    distinct: DataFrame, n: int, threshold: float, prefix: int | None = None
+) -> tuple[DataFrame | None, DataFrame, int]:
+    """``n`` of kept rows, the rows left open and their number, after scans of bounded prefixes.
+
+    A task scans the first rows that are open; the kept ones, a bounded table, are sent to all
+    others and drop their neighbours.  That goes on while more rows than a prefix are open and
+    the last one settled a share of ``SETTLED``, so all rounds together write a few times the
+    rows.  Where rows have few neighbours, one prefix is tried.
+    """
+    prefix = prefix or min(PLAIN_ROWS, max(1, BLOCK_BYTES // (8 * _dimension(distinct, "vec"))))
+    first, open_, left = None, distinct, n
+    while left > prefix:
+        accuracy = min(1 << 30, max(10_000, 10 * left // prefix))
+        until = open_.agg(F.percentile_approx("n", prefix / left, accuracy)).first()[0]
+
+        def scan(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("n")
+            return rows.select(["n", "vec"]).filter(pa.array(greedy_scan(_matrix(rows["vec"]), threshold)))
+
+        kind = open_.schema["vec"].dataType.simpleString()
+        head = open_.where(F.col("n") <= until).select(F.lit(0).alias("head"), "n", "vec")
+        kept = stage(head.groupBy("head").applyInArrow(scan, f"n bigint, vec {kind}"), "prefix-kept")
+        vectors = np.array([r["vec"] for r in kept.select("vec").collect()], np.float64)
+
+        def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                matrix = _matrix(pa.chunked_array([batch["vec"]]))
+                stays = np.ones(batch.num_rows, dtype=bool)
+                for at in range(0, len(vectors), TILE):
+                    some = np.flatnonzero(stays)
+                    for i in range(0, len(some), TILE):
+                        own = some[i : i + TILE]
+                        stays[own] = ~(matrix[own] @ vectors[at : at + TILE].T > threshold).any(axis=1)
+                yield batch.filter(pa.array(stays))
+
+        rest = open_.where(F.col("n") > until)
+        rest, more = _stage_counted(rest.mapInArrow(apart, rest.schema), "open")
+        first = kept.select("n") if first is None else first.unionByName(kept.select("n"))
+        if open_ is not distinct:
+            remove(open_)
+        settled, open_, left = 1 - more / left, rest, more
+        if settled < SETTLED:
+            break
+    return first, open_, left
+
+
 def greedy_dedup(
     vectors: DataFrame,
     id_col: str,
@@ -386,12 +473,21 @@ def greedy_dedup(
     to ``scan_pairs`` pairs by one task, more in rounds over the pairs.  Pairs still undecided
     after ``rounds`` rounds are scanned component by component, of a component about
     ``scan_pairs`` pairs at a time.
+
+    The pairs of a large table are looked for among the rows only that prefixes of it have not
+    settled, as long as a prefix settles a fair share; "projections", which may miss pairs, look
+    for them among all.
     """
     distinct, n = _distinct(vectors, id_col, vec_col)
-    pairs = _pairs(distinct, n, threshold, block_rows, index, options).select("src", "dst")
+    first, open_, n_open = None, distinct, n
+    if index == "exact":
+        first, open_, n_open = _settle_prefixes(distinct, n, threshold)
+    pairs = _pairs(open_, n_open, threshold, block_rows, index, options).select("src", "dst")
     edges, left = _stage_counted(pairs, "pairs")
     dropped = _drop_later_neighbours(edges, left, rounds, scan_pairs, max_rounds)
-    keep = distinct if dropped is None else distinct.join(dropped, "n", "left_anti")
+    keep = open_ if dropped is None else open_.join(dropped, "n", "left_anti")
+    if first is not None:
+        keep = keep.unionByName(distinct.join(first, "n", "left_semi").select(*keep.columns))
     # Copies of a vector are neighbours when its squared length exceeds the threshold;
     # otherwise they share the fate of the first one.
     apart = keep.where((F.col("copies") > 1) & (_squared("vec") <= threshold))
@@ -519,7 +615,10 @@ def nearest(
     offered = _with_number(given(targets).groupBy("vec").agg(F.min("id").alias("id")), "id")
     offered, n = _stage_counted(offered, "offered")
     block = _block_rows(_dimension(offered, "vec"), block_rows)
-    found = nearest_targets(askers.select("n", "vec"), offered.select("n", "vec"), n, block, cell_rows)
+    wide = block_rows or max(block, min(WIDE_ROWS, BLOCK_BYTES // (8 * _dimension(offered, "vec"))))
+    found = nearest_targets(
+        askers.select("n", "vec"), offered.select("n", "vec"), n, block, cell_rows, wide=wide
+    )
     named = found.join(offered.select(F.col("n").alias("dst"), F.col("id").alias("best")), "dst")
     named = named.select("src", "best", "score")
     facts = askers.join(named, F.col("n") == F.col("src")).select("vec", "copies", "best", "score")

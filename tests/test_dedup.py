@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.operators import minhash as mh
+from corpusweave.operators import pivot_cells as pivots
 from corpusweave.operators import sentences as st
 from corpusweave.operators import similarity as sim
 from corpusweave.operators.pivot_cells import pivot_cells
@@ -441,3 +442,61 @@ def test_line_signatures_are_computed_once(spark, with_index):
     found = st.find_duplicate_sentences(signatures, "doc_id", index, config)
     assert {tuple(r) for r in found.collect()} == {(1, 0), (2, 0)} if with_index else {(1, 0)}
     assert seen.value == 4
+
+
+def scanned(matrix, threshold):
+    kept = []
+    for i, row in enumerate(matrix):
+        if not any(row @ matrix[k] > threshold for k in kept):
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("scan_pairs", [0, 50, 10**6])
+def test_prefixes_settle_rows_before_pairs_are_looked_for(spark, monkeypatch, scan_pairs):
+    monkeypatch.setattr(sim, "PLAIN_ROWS", 20)
+    matrix = np.random.default_rng(3).standard_normal((300, 6))
+    matrix[200:] *= 0.3
+    found = []
+    before = sim._cell_pairs
+    monkeypatch.setattr(sim, "_cell_pairs", lambda *a: found.append(a[0].count()) or before(*a))
+    got = sim.greedy_dedup(vectors(spark, matrix), "vec_id", "embedding", 0.9, scan_pairs=scan_pairs, cell_rows=9)
+    assert sorted(r.vec_id for r in got.collect()) == scanned(matrix, 0.9)
+    assert sum(found) < 150
+
+
+def test_rows_without_neighbours_leave_the_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(sim, "PLAIN_ROWS", 8)
+    matrix = np.eye(60) * 2
+    matrix[50:] = matrix[:10] + 0.01
+    got = sim.greedy_dedup(vectors(spark, matrix), "vec_id", "embedding", 3.0)
+    assert sorted(r.vec_id for r in got.collect()) == list(range(50))
+
+
+@pytest.mark.parametrize("index, options", [("exact", {"cell_rows": 4}), ("projections", {"tables": 6, "bits": 1})])
+def test_rows_that_no_bound_keeps_apart_travel_once_per_block(spark, monkeypatch, index, options):
+    matrix = np.random.default_rng(4).standard_normal((120, 8))
+    table = vectors(spark, matrix)
+    want = sim.similarity_join(table, "vec_id", "embedding", 0.5, 30, index=index, **options)
+    want = {(r.src, r.dst): round(r.score, 6) for r in want.collect()}
+    travelled = []
+    before = sim._cell_pairs
+    monkeypatch.setattr(sim, "PLAIN_ROWS", 50)
+    monkeypatch.setattr(sim, "_cell_pairs", lambda p, v, *a: travelled.append((p.count(), v)) or before(p, v, *a))
+    got = sim.similarity_join(table, "vec_id", "embedding", 0.5, 30, index=index, **options).collect()
+    assert len(got) == len(want) and {(r.src, r.dst): round(r.score, 6) for r in got} == want
+    assert travelled == [(120, None)]
+
+
+def test_nearest_rows_in_wide_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    left, right = rng.standard_normal((90, 7)), rng.standard_normal((110, 7))
+    cosines = (left / np.linalg.norm(left, axis=1)[:, None]) @ (right / np.linalg.norm(right, axis=1)[:, None]).T
+    sizes = []
+    before = pivots._best_of_cells
+    monkeypatch.setattr(pivots, "_best_of_cells", lambda a, b, n: sizes.append(n) or before(a, b, n))
+    monkeypatch.setattr(sim, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(sim, "WIDE_ROWS", 40)
+    got = sim.nearest(vectors(spark, left), vectors(spark, right), "vec_id", "embedding", cell_rows=5)
+    assert {r.src: r.dst for r in got.collect()} == dict(enumerate(cosines.argmax(axis=1)))
+    assert sizes == [5, 40]
