@@ -4,9 +4,11 @@ import random
 import subprocess
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusweave import ship_package
 from corpusweave.operators import sampling as sm
 from corpusweave.operators.components import connected_components
 from corpusweave.operators.ranges import compress_ranges, expand_ranges, flat_ranges_to_table
@@ -226,3 +228,16 @@ def test_written_tables_need_a_folder(sf_dir, tmp_path):
         [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True
     )
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_python_workers_get_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    ship_package(spark)
+    texts = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))
+    got = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) >= 24_000_000 and max(got) <= 5 << 20
+    lengths = texts.select(F.pandas_udf(lambda t: t.map(lambda _: len(t)), "int")("text").alias("n"))
+    assert lengths.agg(F.max("n")).first()[0] < 2000
