@@ -6,6 +6,8 @@ n-grams of known statements tells licence families from one another and from unk
 family counts only above a probability that held-out unknown paragraphs do not reach, and is
 confirmed if the paragraph holds enough of a statement of that family.
 
+Training reads every paragraph of the documents as unknown text; the common n-grams, the
+regression and the threshold are made of all of them.
 Training and scoring use built-in columns and the JVM's own ``pyspark.ml`` estimators.  When
 scoring, words become rows that meet the bounded vocabulary in broadcast joins; only matches
 travel further.
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 
 from corpusweave.plans.staging import stage
 
-#: Documents whose paragraphs are sampled as unknown text, and paragraphs taken at most.
-SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 1000, 6000
+#: Paragraphs among which the fixed examples count as often as they are repeated; among more
+#: their weights grow in proportion.
+AMONG = 6000
 SIZES = (1, 2, 3)
 #: N-grams in a larger share of ordinary paragraphs say nothing about licences.
 COMMON = 0.01
@@ -152,107 +155,184 @@ class LicenceModel:
     statement_sizes: list[int]
 
 
-def _sampled_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``i, w``: words of at most ``SAMPLE_PARAGRAPHS`` paragraphs of sampled documents."""
-    key = F.col(id_col)
-    chosen = (
-        docs.select(key.alias("_key"))
-        .where("_key is not null")
-        .distinct()
-        .orderBy(F.xxhash64(F.lit("licences"), F.col("_key")), "_key")
-        .limit(SAMPLE_DOCUMENTS)
-    )
-    texts = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+def _known_grams(tokens: str, starts: str, grams: list[str], sizes: tuple[int, ...]) -> Column:
+    """Those n-grams of the array column ``tokens`` that are among ``grams``, one per occurrence.
+
+    ``starts`` holds the places of words with which an n-gram of ``grams`` may begin.
+    """
+
+
+    def of(size: int) -> Column:
+        def gram(k: Column) -> Column:
+            parts = [F.get(tokens, k + i) for i in range(size)]
+            return F.concat(parts[0], *[x for p in parts[1:] for x in (F.lit(" "), p)])
+
+        return F.transform(starts, gram)
+
+    return F.filter(F.concat(*[of(n) for n in sizes]), lambda g: g.isin(grams))
+
+
+def _starts(tokens: str, known: list[str]) -> Column:
+    """Places of the words in ``known``."""
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    return F.filter(places, lambda k: F.get(tokens, k).isin(known))
+
+
+def _ordinary_paragraphs(
+    docs: DataFrame, id_col: str, text_col: str, grams: list[str], sizes: list[int]
+) -> DataFrame:
+    """``i, grams, t, cut, front, back`` of every paragraph that has words and states no licence.
+
+    ``i`` is a hash; ``grams`` are its n-grams among ``grams``, sorted.  It lends words to
+    statement ``t`` of ``sizes[t]`` words, in front of it or behind it, or takes word ``cut`` from
+    it; words of no statement are empty.
+    """
+    known = sorted({x for g in grams for x in g.split()})
     lines = (
-        texts.join(F.broadcast(chosen), "_key", "left_semi")
-        .select("_key", F.posexplode(paragraphs(F.col("_text"))).alias("p", "line"))
+        docs.select(
+            F.col(id_col).alias("_key"), F.posexplode(paragraphs(F.col(text_col))).alias("p", "line")
+        )
+        .where(F.col("line").rlike(r"[\p{L}\p{N}]"))
         .select("_key", "p", words(F.col("line")).alias("w"))
-        .where(F.size("w") > 0)
+        .select(F.pmod(F.xxhash64("w", "_key", "p"), F.lit(1 << 40)).alias("i"), "w")
+        .withColumn("starts", _starts("w", known))
+        .withColumn("t", (F.col("i") % len(sizes)).cast("int"))
     )
-    order = [F.xxhash64("w"), F.col("_key"), F.col("p")]
-    return lines.orderBy(*order).limit(SAMPLE_PARAGRAPHS).select(
-        F.pmod(F.xxhash64("w", "_key", "p"), F.lit(1 << 40)).alias("i"), "w"
+    way, some = F.col("i") % 4, (F.floor(F.col("i") / 7) % 9).cast("int")
+    lent = F.transform(
+        F.slice("w", F.lit(1), some), lambda x: F.when(x.isin(known), x).otherwise("")
     )
+    nothing, size = F.array().cast("array<string>"), F.get(F.lit(sizes), F.col("t"))
+    # The n-grams of three words tell statements; licences in the documents are no ordinary text.
+    written = stage(
+        lines.select(
+            "i", F.array_sort(F.array_distinct(_known_grams("w", "starts", grams, (1, 2)))).alias("grams"),
+            (F.size(_known_grams("w", "starts", grams, (3,))) == 0).alias("ordinary"), "t",
+            F.when((way == 2) & (size > 4), (F.col("i") % size).cast("int")).otherwise(-1).alias("cut"),
+            F.when(way == 0, lent).otherwise(nothing).alias("front"),
+            F.when(way == 1, lent).otherwise(nothing).alias("back"),
+        ),
+        "licence-paragraphs",
+    )
+    return written.where("ordinary").drop("ordinary")
+
+
+def _percentile(values: DataFrame, share: float, bins: int = 4096) -> float | None:
+    """The exact percentile of the column ``p``, rows counted ``n`` times, as ``F.percentile``
+    interpolates it.
+
+    Histograms of ever smaller ranges find it, so that no task holds more than ``bins`` counts.
+    """
+    total = values.agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
+        return None
+
+    def at(rank: int) -> float:
+        part, low, high = values, None, None
+        while True:
+            step = F.lit(0.0) if low is None else (F.col("p") - low) / (high - low)
+            counts = part.groupBy(F.floor(step * bins).alias("bin")).agg(
+                F.sum("n").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")
+            )
+            for r in sorted(counts.collect(), key=lambda r: r["low"]):
+                if rank < r["n"]:
+                    break
+                rank -= r["n"]
+            low, high = r["low"], r["high"]
+            if low == high:
+                return low
+            part = values.where(F.col("p").between(low, high))
+
+    place = share * (total - 1)
+    first = int(place)
+    low = at(first)
+    return low if first == place else low + (place - first) * (at(first + 1) - low)
 
 
 def train_licences(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> LicenceModel:
-    """Train on the statements, altered in several ways, and on sampled ordinary paragraphs."""
+    """Train on the statements, altered in several ways, and on all ordinary paragraphs.
+
+    Examples with the same n-grams of the vocabulary are one example of their number as weight.
+    """
     spark = docs.sparkSession
     stated = _rows(
         spark,
         [{"t": t, "label": FAMILIES.index(f), "s": s} for t, (f, s) in enumerate(STATEMENTS)],
         "t int, label int, s string",
     ).select("t", "label", words(F.col("s")).alias("w"))
-    stated = stated.withColumn("grams", gram_set("w"))
-    lists = {r["t"]: r["grams"] for r in stated.select("t", "grams").collect()}
-    telling = sorted({g for grams in lists.values() for g in grams if g.count(" ") == 2})
-    ordinary = _sampled_paragraphs(docs, id_col, text_col).withColumn("grams", gram_set("w"))
-    # Licences in the sample are no ordinary text.
-    ordinary = stage(
-        ordinary.where(~F.arrays_overlap("grams", F.lit(telling))), "licence-paragraphs"
-    )
-    total = ordinary.count()
+    told = stated.select("t", F.size("w").alias("size"), gram_set("w").alias("grams")).collect()
+    lists = {r["t"]: r["grams"] for r in told}
+    sizes = [n for _, n in sorted((r["t"], r["size"]) for r in told)]
     all_grams = sorted({g for grams in lists.values() for g in grams})
-    seen = (
-        ordinary.select(F.explode(F.array_intersect("grams", F.lit(all_grams))).alias("g"))
-        .groupBy("g")
-        .count()
-    )
+    ordinary = _ordinary_paragraphs(docs, id_col, text_col, all_grams, sizes)
+    total = ordinary.count()
+    seen = ordinary.select(F.explode("grams").alias("g")).groupBy("g").count()
     common = {r["g"] for r in seen.where(F.col("count") > COMMON * max(1, total)).collect()}
     vocabulary = [g for g in all_grams if g not in common]
     kept = {t: [g for g in grams if g not in common] for t, grams in lists.items()}
 
-    # Each ordinary paragraph lends words to one statement, in front of it or behind it.
-    turn = F.col("i") % len(STATEMENTS)
-    lent = ordinary.select("i", F.col("w").alias("o"), turn.cast("int").alias("t")).join(
-        F.broadcast(stated.select("t", "label", "w")), "t"
+    # The fixed texts keep their share however many paragraphs there are.
+    share = max(1, -(-total // AMONG))
+    held = (F.pmod(F.xxhash64("i", F.lit(0)), F.lit(4)) == 0).alias("held")
+    changed = F.concat("front", F.filter("w", lambda _, k: k != F.col("cut")), "back")
+    lent = (
+        ordinary.groupBy("t", "cut", "front", "back")
+        .agg(F.count("*").alias("n"))
+        .join(F.broadcast(stated), "t")
+        .select("label", "n", changed.alias("w"))
     )
-    way, some = F.col("i") % 4, (F.floor(F.col("i") / 7) % 9).cast("int")
-    without = F.filter("w", lambda _, k: k != F.col("i") % F.size("w"))
-    some_words = F.slice("o", F.lit(1), some)
-    altered = (
-        F.when(way == 0, F.concat(some_words, F.col("w")))
-        .when(way == 1, F.concat(F.col("w"), some_words))
-        .when((way == 2) & (F.size("w") > 4), without)
-        .otherwise(F.col("w"))
+    pure = stated.select("label", F.lit(5 * share).alias("n"), "w")
+    other = _rows(spark, [{"s": s} for s in OTHER_TEXT], "s string").select(
+        words(F.col("s")).alias("w")
     )
-    other = _rows(spark, [{"s": s} for s in OTHER_TEXT], "s string")
+    parts = sorted({x for g in vocabulary for x in g.split()})
+
+    def with_grams(rows: DataFrame) -> DataFrame:
+        found = _known_grams("w", "starts", vocabulary, SIZES)
+        return rows.withColumn("starts", _starts("w", parts)).withColumn(
+            "grams", F.array_sort(F.array_distinct(found))
+        )
+
     examples = (
-        lent.select("i", "label", altered.alias("w"))
-        .unionByName(ordinary.select("i", F.lit(0).alias("label"), "w"))
+        with_grams(lent.unionByName(pure))
+        .select("label", F.lit(False).alias("held"), "grams", "n")
         .unionByName(
-            stated.select(F.xxhash64("w").alias("i"), "label", "w").withColumn(
-                "w", F.explode(F.array_repeat("w", 5))
+            ordinary.select(
+                F.lit(0).alias("label"), held, F.filter("grams", lambda g: ~g.isin(*common)).alias("grams"),
+                F.lit(1).alias("n"),
             )
         )
         .unionByName(
-            other.select(words(F.col("s")).alias("w")).select(
-                F.xxhash64("w").alias("i"), F.lit(0).alias("label"), F.explode(F.array_repeat("w", 20)).alias("w")
+            with_grams(other.withColumn("i", F.xxhash64("w"))).select(
+                F.lit(0).alias("label"), held, "grams", F.lit(20 * share).alias("n")
             )
         )
-        .withColumn("grams", gram_set("w"))
-        .select(
-            F.col("label").cast("double").alias("label"), "grams",
-            (F.pmod(F.xxhash64("i", "label"), F.lit(4)) == 0).alias("held"),
-        )
+        .groupBy("label", "held", "grams")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("label", F.col("label").cast("double"))
+        .withColumn("weight", F.col("n").cast("double"))
     )
     counter = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
     counter.setBinary(True)
-    examples = stage(counter.transform(examples).select("label", "features", "held"), "licence-examples")
+    examples = stage(counter.transform(examples).drop("grams"), "licence-examples")
     regression = LogisticRegression(
-        family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=60
+        family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=60, weightCol="weight"
     )
-    fitted = regression.fit(examples.where("not held or label > 0"))
+    fitted = regression.fit(examples.where("not held"))
     matrix, found = fitted.coefficientMatrix.toArray(), int(fitted.numClasses)
     intercepts = fitted.interceptVector.toArray().tolist()
     chance = vector_to_array("probability")
-    top = (
-        fitted.transform(examples.where("held and label = 0"))
-        .select(F.array_max(F.slice(chance, 2, found)).alias("p"))
-        .agg(F.percentile("p", CALIBRATION).alias("p"))
-        .first()["p"]
+    top = _percentile(
+        stage(
+            fitted.transform(examples.where("held"))
+            .select(F.array_max(F.slice(chance, 2, found)).alias("p"), "n")
+            .groupBy("p")
+            .agg(F.sum("n").alias("n")),
+            "licence-chances",
+        ),
+        CALIBRATION,
     )
     weights = {
         g: [float(matrix[c][k]) if c < found else 0.0 for c in range(len(FAMILIES))]

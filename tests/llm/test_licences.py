@@ -2,14 +2,21 @@ import math
 import re
 import textwrap
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from corpusweave.llm.licences import (
+    AMONG,
+    COMMON,
     CONFIRMED,
     FAMILIES,
     OTHER_TEXT,
     STATEMENTS,
     WINDOW,
+    _ordinary_paragraphs,
+    _percentile,
     document_licences,
     scan_licences,
     train_licences,
@@ -174,3 +181,39 @@ def test_query_against_planted_lines(spark, docs, sf_dir):
     for d in docs.collect():
         lines = {want[x] for x in want if x in d.text}
         assert got[d.doc_id] == ",".join(sorted(lines))
+
+
+def test_training_reads_every_document(spark):
+    """A word of licences that only the last documents of any sample by hash use is common."""
+    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit("licences"), "doc_id")))
+    line = F.when(rank > 1000, "we met at mit").otherwise("we met at noon")
+    docs = spark.range(1050).withColumnRenamed("id", "doc_id").withColumn("text", line)
+    assert 50 > COMMON * 1050
+    assert "mit" not in train_licences(docs).weights
+
+
+def test_every_paragraph_is_taken(spark):
+    grams, sizes = ["a", "a b", "a b c", "b", "b c", "c"], [3, 5]
+    text = F.concat(F.lit("x a b\n \na b c\n"), F.repeat(F.lit("b a\n"), AMONG + 1))
+    rows = spark.range(2).select(F.when(F.col("id") == 0, 1).alias("doc_id"), text.alias("text"))
+    got = _ordinary_paragraphs(rows, "doc_id", "text", grams, sizes)
+    # Null ids count; the line that holds a statement's three words does not.
+    assert {(tuple(r.grams), r["count"]) for r in got.groupBy("grams").count().collect()} == {
+        (("a", "a b", "b"), 2), (("a", "b"), 2 * (AMONG + 1)),
+    }
+    for r in got.distinct().collect():
+        known = ["", "a", "b"] if "a b" in r.grams else ["b", "a"]
+        some = known[: r.i // 7 % 9]
+        assert r.t == r.i % 2 and r.cut == (r.i % 5 if r.i % 4 == 2 and r.t == 1 else -1)
+        assert (r.front, r.back) == (some if r.i % 4 == 0 else [], some if r.i % 4 == 1 else [])
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.9, 0.999, 1.0])
+def test_percentile(spark, share):
+    rng = np.random.default_rng(3)
+    values = [(float(p), int(n)) for p, n in zip(rng.random(500) ** 9, rng.integers(1, 9, 500))]
+    values += [(5e-324, 1), (0.25, 70), (0.25, 1)]
+    df = spark.createDataFrame(values, "p double, n long")
+    want = np.percentile([p for p, n in values for _ in range(n)], 100 * share)
+    assert _percentile(df, share, bins=4) == pytest.approx(want, rel=1e-12)
+    assert _percentile(df.limit(0), share) is None
