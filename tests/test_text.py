@@ -150,3 +150,30 @@ def test_python_formatter_keeps_nulls(spark):
 def test_repair_fields(spark):
     df = spark.createDataFrame([("cafÃ©", "x &amp; y")], "text string, title string")
     assert tuple(repair_fields(df, ["text", "title"]).first()) == ("café", "x & y")
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", *fx.OTHER_ENCODINGS])
+def test_characters_are_read_as_their_bytes(encoding):
+    """Windows-1252 and Latin-1 together; elsewhere undefined bytes are their C1 control."""
+    table = fx._LATIN if encoding == "latin-1" else fx._OTHERS[encoding]
+    want = {chr(b): b for b in range(0x80)} | {"\ufffd": 0x1A}
+    for e in ("latin-1", "cp1252") if encoding == "latin-1" else (encoding,):
+        want |= {fx._char(b, e): b for b in range(0x80, 0x100)}
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x10100)]):
+        raw = fx._as_bytes(c, table)
+        assert raw == (bytes([want[c]]) if c in want else None)
+    assert fx._as_bytes("\x80" + "".join(want), table) == (
+        b"\x80" + bytes(want.values()) if "\x80" in want else None
+    )
+
+
+class Untranslated(str):
+    def translate(self, table):
+        raise AssertionError("a look-up per character")
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252", *fx.OTHER_ENCODINGS])
+def test_encoding_is_repaired_without_a_look_up_per_character(encoding):
+    line = "Élève, une forêt où çà et là l'été naît, żółw, привет; "
+    broken = "".join(fx._char(b, encoding) for b in line.encode())
+    assert fx._fix_line_encoding(Untranslated(broken), True, True, True) == line
