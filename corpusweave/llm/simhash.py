@@ -132,9 +132,13 @@ def _links_of_cells(
 
 
 def _shared(indexed: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key others share, with the number ``n`` of those."""
+    """The rows whose key others share, with the number ``n`` of those.
+
+    Spark sizes exploded rows by the file they come from, a few bytes for all variants of a
+    fingerprint, so neither side is ever broadcast.
+    """
     shared = indexed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    return indexed.join(shared, keys)
+    return indexed.join(shared.hint("merge"), keys)
 
 
 def _linked(members: DataFrame, keys: list[str], max_bits: int, block: int) -> DataFrame:

@@ -5,7 +5,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from corpusweave.llm import simhash as module
 from corpusweave.llm.common import whole_row
 from corpusweave.llm.queries import QUERIES
 from corpusweave.llm.simhash import (
@@ -16,6 +18,7 @@ from corpusweave.llm.simhash import (
     simhash_dedup,
     word_shingle_hashes,
 )
+from corpusweave.plans.staging import stage
 
 
 def plain_fingerprint(text):
@@ -104,6 +107,26 @@ def test_other_numbers_of_bits(spark, max_bits):
                     assert find(signed(a)) == find(signed(b))
 
 
+def test_variants_are_never_broadcast(spark, monkeypatch):
+    """The file of the fingerprints is small, their variants are 64 times as many rows."""
+    plans = []
+
+    def planned(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, label):
+        plans.append(planned(df))
+        return stage(df, label)
+
+    fps = stage(spark.range(300).select(F.xxhash64("id").alias("fp")), "fps")
+    want = {tuple(r) for r in fingerprint_links(fps, refine=1).collect()}
+    monkeypatch.setattr(module, "stage", seen)
+    links = fingerprint_links(fps, refine=1)
+    assert {tuple(r) for r in links.collect()} == want
+    plans.append(planned(links))
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_forest_has_fewer_edges_than_nodes():
     fps = np.array([signed(flipped(2**63, b)) for b in range(40)], np.int64)
     u, v = forest(fps, 3)
