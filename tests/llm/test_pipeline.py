@@ -1,6 +1,7 @@
 import pytest
 
 import corpus_pipeline
+from corpusweave.llm import simhash
 from corpusweave.llm.decontaminate import contamination
 from corpusweave.llm.queries import QUERIES
 from corpusweave.llm.simhash import simhash_components
@@ -91,3 +92,16 @@ def test_near_duplicates_by_the_fingerprints_of_the_contract(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = QUERIES["op2_simhash"](spark, sf_dir).collect()
     assert set(ids(corpus_pipeline.near_duplicates(spark, docs, sf_dir))) == {r.component_id for r in found}
+
+
+def test_near_duplicates_broadcast_no_variants(spark, sf_dir, monkeypatch):
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label)
+
+    monkeypatch.setattr(simhash, "stage", seen)
+    corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    for label in ("simhash-members", "simhash-links"):
+        assert "SortMergeJoin" in plans[label] and "Broadcast" not in plans[label]
