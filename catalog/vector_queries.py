@@ -92,7 +92,9 @@ near AS MATERIALIZED (
 
 @query(f"WITH {NEAR_SQL} SELECT src, dst, round(score, 6) AS score FROM near")
 def similarity_join(spark, sf_dir):
-    found = sim.similarity_join(vectors(spark, sf_dir), "vec_id", "embedding", T, cell_rows=CELL)
+    found = sim.similarity_join(
+        vectors(spark, sf_dir), "vec_id", "embedding", T, copies="all", cell_rows=CELL
+    )
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -49,6 +49,8 @@ TILE = 1024
 MAX_BITS = 14
 #: Bytes of hot vectors, the keys of spread rows, that are broadcast at most.
 HOT_BYTES = 8 << 20
+#: Ids of a vector that one row holds at most, and those of copied vectors that are broadcast.
+PART_IDS, SENT_IDS = 256, 100_000
 #: Rounds before what is left is looked at component by component, and the pairs of a
 #: component that one task scans at most.
 ROUNDS, SCAN_PAIRS = 8, 1_000_000
@@ -276,6 +278,81 @@ def _copies_of(
     return joined.where(F.col("id") > F.col("src")).select("id", *payload)
 
 
+def _parts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``n, vec, ids`` and their number: the vectors of ``key, vec``, each with up to ``PART_IDS``
+    of its keys.
+
+    Equal vectors stand together in the order of a hash and the key, so those of very many rows
+    spread over tasks; a vector may come in several parts, each with a unique ``n``.  That is
+    the first key where no two parts share it.
+    """
+    size, kind = PART_IDS, rows.schema["vec"].dataType.simpleString()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashed, matrix = batch["h"].to_numpy(), _as_stored(pa.chunked_array([batch["vec"]]))
+            new = np.ones(batch.num_rows, dtype=bool)
+            new[1:] = (hashed[1:] != hashed[:-1]) | (matrix[1:] != matrix[:-1]).any(axis=1)
+            place = np.arange(len(new)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            starts = np.flatnonzero(place % size == 0)
+            ends = pa.array(np.append(starts, len(new)), pa.int32())
+            ids = pa.ListArray.from_arrays(ends, batch["key"])
+            yield pa.RecordBatch.from_arrays([batch["vec"].take(pa.array(starts)), ids], names=["vec", "ids"])
+
+    near = rows.withColumn("h", F.xxhash64("vec")).repartitionByRange("h", "key").sortWithinPartitions("h", "key")
+    parts = near.mapInArrow(gather, f"vec {kind}, ids array<bigint>")
+    parts, n = _stage_counted(parts.withColumn("n", F.monotonically_increasing_id()), "vector-parts")
+    first = F.element_at("ids", 1)
+    if parts.select(first.alias("n")).distinct().count() == n:
+        parts = parts.withColumn("n", first)
+    return parts, n
+
+
+def _every_pair(
+    vectors: DataFrame, id_col: str, vec_col: str, threshold: float, block_rows: int | None, index: str, options: dict
+) -> DataFrame:
+    """``src, dst, score`` of every pair of rows above ``threshold`` with ``src < dst``.
+
+    Vectors are compared with the ids that share them put together, and the ids of copies paired
+    afterwards, a bounded number with a bounded number in each step.
+    """
+    given = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
+    given = given.select(F.col(id_col).alias("key"), F.col(vec_col).alias("vec"))
+    names = None
+    if _is_integer(vectors, id_col):
+        rows = given.withColumn("key", F.col("key").cast("bigint"))
+    else:
+        ids = given.select(F.col("key").alias("id")).distinct()
+        names = stage(with_row_index(ids, ["id"], "key"), "ids")
+        rows = given.withColumnRenamed("key", "id").join(names, "id").select("key", "vec")
+    parts, n = _parts(rows)
+    found = _pairs(parts.select("n", "vec"), n, threshold, block_rows, index, options).select("src", "dst", "score")
+    held = parts.where((F.size("ids") > 1) | (F.element_at("ids", 1) != F.col("n")))
+    several = held.agg(F.sum(F.size("ids"))).first()[0]
+    if several:
+        for side in ("src", "dst"):
+            ids = held.select(F.col("n").alias(side), F.col("ids").alias(f"{side}_ids"))
+            ids = F.broadcast(ids) if several <= SENT_IDS else ids.hint("merge")
+            found = found.join(ids, side, "left")
+        ids = [F.coalesce(f"{side}_ids", F.array(side)) for side in ("src", "dst")]
+        between = found.select(F.explode(ids[0]).alias("a"), ids[1].alias("ids"), "score")
+        inside = held.where(F.size("ids") > 1).select("ids", _squared("vec").alias("score"))
+        inside = inside.where(F.col("score") > threshold).select(F.explode("ids").alias("a"), "ids", "score")
+        # Each pair of two parts is found once, of the rows of a part in both orders.
+        between, inside = (df.select("a", F.explode("ids").alias("b"), "score") for df in (between, inside))
+        both = between.where("a <> b").unionByName(inside.where("a < b"))
+        found = both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "score")
+    if names is None:
+        id_type = vectors.schema[id_col].dataType
+        return found.select(*[F.col(c).cast(id_type).alias(c) for c in ("src", "dst")], "score")
+    for side in ("src", "dst"):
+        ids = names.select(F.col("key").alias(side), F.col("id").alias(f"{side}_id"))
+        found = found.join(ids, side).drop(side).withColumnRenamed(f"{side}_id", side)
+    return found.select("src", "dst", "score")
+
+
 def similarity_join(
     vectors: DataFrame,
     id_col: str,
@@ -283,15 +360,21 @@ def similarity_join(
     threshold: float = 0.9,
     block_rows: int | None = None,
     index: str = "exact",
+    copies: str = "first",
     **options: int,
 ) -> DataFrame:
     """``src, dst, score`` with ``src < dst`` for all pairs above ``threshold``, by raw product.
 
-    Pairs are listed between the first rows of distinct vectors; a further copy is listed
-    once, with its first row, if their own product is above the threshold.  ``index`` is
-    "exact" (option ``cell_rows``) or "projections" (``tables``, ``bits``), which may miss
-    pairs.
+    With ``copies="all"`` every pair of rows is listed, also those of copies; rows of the same
+    id are no pair.  With "first", pairs are listed between the first rows of distinct vectors,
+    and a further copy once, with its first row, if their own product is above the threshold.
+    ``index`` is "exact" (option ``cell_rows``) or "projections" (``tables``, ``bits``), which
+    may miss pairs.
     """
+    if copies not in ("first", "all"):
+        raise ValueError("copies is 'first' or 'all'")
+    if copies == "all":
+        return _every_pair(vectors, id_col, vec_col, threshold, block_rows, index, options)
     distinct, n = _distinct(vectors, id_col, vec_col)
     found = _pairs(distinct, n, threshold, block_rows, index, options)
     if _is_integer(vectors, id_col):

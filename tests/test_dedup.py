@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import catalog
 from corpusweave.operators import minhash as mh
 from corpusweave.operators import pivot_cells as pivots
 from corpusweave.operators import sentences as st
@@ -321,6 +323,53 @@ def test_similarity_join_lists_copies_once(spark):
     assert pairs == expected | {(2, 5), (2, 8)}
 
 
+def every_pair(ids, matrix, threshold):
+    """Pairs of rows with different ids, as often as there are rows."""
+    scores = matrix @ matrix.T
+    some = range(len(ids))
+    return sorted((ids[i], ids[j]) for i in some for j in some if ids[i] < ids[j] and scores[i, j] > threshold)
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+@pytest.mark.parametrize("index, options", [("exact", {"cell_rows": 10}), ("projections", {"tables": 40, "bits": 1})])
+def test_similarity_join_of_all_copies(spark, monkeypatch, index, options, sent):
+    monkeypatch.setattr(sim, "PART_IDS", 3)
+    monkeypatch.setattr(sim, "SENT_IDS", sent)
+    matrix = cloud(60, 7)
+    matrix[[2, 5, 8, 9, 11, 12, 13, 40, 41]] = [1, 0, 0, 0, 0, 0]
+    matrix[[3, 30]] = [0.1, 0.1, 0, 0, 0, 0]
+    matrix[[4, 31]] = 0
+    matrix[50:52] = matrix[20]
+    plain = list(range(60))
+    # Ids of several rows: of equal vectors, and of different ones.
+    for ids in (plain, [7 if i in (5, 8, 20, 33) else i for i in plain], [f"v{i:03d}" for i in plain]):
+        kind = "string" if isinstance(ids[0], str) else "int"
+        rows = [(k, [float(x) for x in v]) for k, v in zip(ids, matrix)] + [(None, [1.0] * 6), (ids[1], None)]
+        table = spark.createDataFrame(rows, f"vec_id {kind}, embedding array<double>")
+        got = sim.similarity_join(table, "vec_id", "embedding", 0.4, 9, index=index, copies="all", **options)
+        assert [t for _, t in got.dtypes] == [kind, kind, "double"]
+        assert sorted((r.src, r.dst) for r in got.collect()) == every_pair(ids, matrix, 0.4)
+
+
+@pytest.mark.parametrize("name", ["similarity_join"])
+def test_similarity_join_queries_list_copies_as_their_sql(spark, tmp_path, name):
+    catalog.load()
+    rng = np.random.default_rng(5)
+    matrix = rng.standard_normal((40, 8))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix[30:36], matrix[36:38] = matrix[0], matrix[1]
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(matrix)]
+    table = spark.createDataFrame([*rows, rows[3]], "vec_id bigint, embedding array<float>, label int")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.SQL[name]).fetchall()
+    got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(30, 31), (30, 35), (36, 37)} <= {r[:2] for r in want}
+    assert sorted((r.src, r.dst) for r in got) == sorted(r[:2] for r in want)
+    assert np.allclose(sorted(r.score for r in got), sorted(r[2] for r in want), atol=2e-6)
+
+
 @pytest.mark.parametrize("rows, columns", [(1, 1), (7, 5), (256, 4096)])
 def test_scan_in_tiles(rows, columns):
     for seed, threshold in ((1, 0.5), (2, -0.2), (3, 0.0)):
