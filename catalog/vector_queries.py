@@ -111,7 +111,7 @@ def similarity_join_in_two_levels(spark, sf_dir):
 def similarity_join_projected(spark, sf_dir):
     """Hyperplane buckets wide enough to miss a pair with a chance below 1e-12."""
     found = sim.similarity_join(
-        vectors(spark, sf_dir), "vec_id", "embedding", T, index="projections", tables=32, bits=1
+        vectors(spark, sf_dir), "vec_id", "embedding", T, index="projections", copies="all", tables=32, bits=1
     )
     return found.withColumn("score", F.round("score", 6))
 

@@ -351,7 +351,7 @@ def test_similarity_join_of_all_copies(spark, monkeypatch, index, options, sent)
         assert sorted((r.src, r.dst) for r in got.collect()) == every_pair(ids, matrix, 0.4)
 
 
-@pytest.mark.parametrize("name", ["similarity_join"])
+@pytest.mark.parametrize("name", ["similarity_join", "similarity_join_projected"])
 def test_similarity_join_queries_list_copies_as_their_sql(spark, tmp_path, name):
     catalog.load()
     rng = np.random.default_rng(5)
